@@ -152,3 +152,28 @@ def shingle_hashes(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray,
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + m]
     at = np.flatnonzero(doc[:m] == doc[n - 1 :])
     return mix(out[at]), at
+
+
+def doc_groups(off: np.ndarray, size: int = 1 << 22):
+    """Row ranges (i, j) of about ``size`` bytes; a longer text is a range of its own."""
+    n, i = len(off) - 1, 0
+    while i < n:
+        j = min(max(int(np.searchsorted(off, off[i] + size, side="right")) - 1, i + 1), n)
+        yield i, j
+        i = j
+
+
+def runs(inside: np.ndarray, limits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of at least ``least`` true values; a run ends at every offset in ``limits``."""
+    if not len(inside):
+        none = np.zeros(0, np.int64)
+        return none, none
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = limits[(limits > 0) & (limits < len(inside))]
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    keep = ends - starts >= least
+    return starts[keep], ends[keep]

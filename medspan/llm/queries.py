@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import op1_language, op2_urls
+from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language.query,
     "op2_url_filter": op2_urls.query,
+    "op3_secrets": op3_secrets.query,
+    "op4_mixing": op4_mixing.query,
+    "op5_merkle": op5_merkle.query,
 }
 
 #: DuckDB SQL where it can express an operator; trained models and stateful methods have none.

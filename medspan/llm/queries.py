@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op7_tokens
+from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op7_tokens, op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing.query,
     "op5_merkle": op5_merkle.query,
     "op7_tokens": op7_tokens.query,
+    "op10_simhash": op10_simhash.query,
 }
 
 #: DuckDB SQL where it can express an operator; trained models and stateful methods have none.

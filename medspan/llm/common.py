@@ -17,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -77,10 +79,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(raw: np.ndarray, starts_at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, starts_at: np.ndarray | None = None, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of each white-space separated word of ``raw``, A-Z lower-cased.
 
-    ``starts_at`` gives further offsets where a word may not run across (document limits).  The hash of a word
+    ``starts_at`` gives further offsets where a word may not run across (document limits).  With ``letters``, words are
+    runs of ASCII letters, digits and non-ASCII characters, and Latin-1 capitals are lower-cased as well.  The hash of a word
     is a polynomial in its bytes modulo 2**64, read off a running sum, so a block costs a few array passes.
     """
     n = len(raw)
@@ -88,7 +91,12 @@ def word_hashes(raw: np.ndarray, starts_at: np.ndarray | None = None) -> tuple[n
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none
     low = _LOWER[raw]
-    inside = ~_IS_SPACE[low]
+    if letters:
+        capital = np.flatnonzero(raw == 0xC3) + 1
+        capital = capital[capital < n]
+        capital = capital[(raw[capital] >= 0x80) & (raw[capital] <= 0x9E) & (raw[capital] != 0x97)]
+        low[capital] += 32
+    inside = ~(_NO_LETTER if letters else _IS_SPACE)[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -103,7 +111,7 @@ def word_hashes(raw: np.ndarray, starts_at: np.ndarray | None = None) -> tuple[n
     return mix((total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts]), starts, ends
 
 
-def word_blocks(texts: pa.Array, overlap: int = 0):
+def word_blocks(texts: pa.Array, overlap: int = 0, letters: bool = False):
     """Yield (doc, hash, start, end, fresh) for blocks of whole documents of about ``BLOCK_BYTES``.
 
     ``doc`` is the row of each word, ``start`` and ``end`` its byte range in its own text.  A text longer than a
@@ -117,23 +125,23 @@ def word_blocks(texts: pa.Array, overlap: int = 0):
         j = min(max(j, i + 1), n)
         if j > i + 1 or off[j] - off[i] <= BLOCK_BYTES:
             lo, hi = off[i], off[j]
-            h, s, e = word_hashes(raw[lo:hi], off[i:j] - lo)
+            h, s, e = word_hashes(raw[lo:hi], off[i:j] - lo, letters)
             doc = np.searchsorted(off[i : j + 1] - lo, s, side="right") - 1
             base = off[i:j][doc] - lo if len(doc) else doc
             yield doc + i, h, s - base, e - base, 0
         else:
-            yield from _long(raw[off[i] : off[j]], i, overlap)
+            yield from _long(raw[off[i] : off[j]], i, overlap, letters)
         i = j
 
 
-def _long(raw: np.ndarray, row: int, overlap: int):
+def _long(raw: np.ndarray, row: int, overlap: int, letters: bool):
     at, keep_h, keep_s, keep_e = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     while at < len(raw):
         end = min(at + BLOCK_BYTES, len(raw))
         while end < len(raw) and not _IS_SPACE[raw[end]]:
             step = np.flatnonzero(_IS_SPACE[raw[end : end + BLOCK_BYTES]])
             end = end + int(step[0]) if len(step) else min(end + BLOCK_BYTES, len(raw))
-        h, s, e = word_hashes(raw[at:end])
+        h, s, e = word_hashes(raw[at:end], None, letters)
         fresh = len(keep_h)
         h, s, e = np.concatenate([keep_h, h]), np.concatenate([keep_s, s + at]), np.concatenate([keep_e, e + at])
         yield np.full(len(h), row), h, s, e, fresh

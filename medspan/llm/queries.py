@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op7_tokens, op10_simhash
+from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op6_quality, op7_tokens, op8_decontaminate, op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language.query,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets.query,
     "op4_mixing": op4_mixing.query,
     "op5_merkle": op5_merkle.query,
+    "op6_quality": op6_quality.query,
     "op7_tokens": op7_tokens.query,
+    "op8_decontaminate": op8_decontaminate.query,
     "op10_simhash": op10_simhash.query,
 }
 

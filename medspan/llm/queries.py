@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op6_quality, op7_tokens, op8_decontaminate, op10_simhash
+from medspan.llm import op1_language, op2_urls, op3_secrets, op4_mixing, op5_merkle, op6_quality, op7_tokens, op8_decontaminate, op9_pii, op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality.query,
     "op7_tokens": op7_tokens.query,
     "op8_decontaminate": op8_decontaminate.query,
+    "op9_pii": op9_pii.query,
     "op10_simhash": op10_simhash.query,
 }
 

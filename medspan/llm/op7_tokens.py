@@ -2,11 +2,11 @@
 
 For a pre-token (a run the tokenizer never merges across), the last token of each prefix follows from the last token
 of a shorter prefix: token ``t`` ends prefix ``i`` exactly when ``t`` is a token of its own, and the last token of the
-prefix before it and ``t`` stay apart when encoded together.  So one pass stores the exact token count at every
+prefix before it and ``t`` stay apart when encoded together (a published property of BPE).  So one pass stores the exact token count at every
 prefix; a text's counts are running sums over its pre-tokens.  ``PrefixCounter`` answers totals, counts at any prefix,
 and the longest prefix within a budget, without encoding again.
 
-Work memory is bounded: pre-token tables are kept in a cache of at most ``CACHE`` entries, long texts are read in
+Work memory is bounded: pre-token tables are kept in a cache of at most 2 x ``CACHE`` entries, long texts are read in
 pieces, and a pre-token of any length takes one linear pass.
 
 Defined results: a null text counts as empty (0 tokens).  A special token's string inside a text is one token, the
@@ -62,10 +62,8 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank: dict[tuple[str, str], int] = {(a, b): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.vocab))
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(PATTERN).findall
@@ -73,10 +71,11 @@ class PrefixCounter:
         self.unassigned = _unassigned()
         self.high = re.compile(r"[^\x00-ԯ]")
         self.letters = byte_alphabet()
-        self.cache: dict[str, bytes | list[int]] = {}
-        self.total: dict[str, int] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.single: dict[str, bool] = {}
+        self.ascii = {i: c for i, c in enumerate(self.letters[:128])}
+        self.tables: dict[str, bytes | list[int]] = {}
+        self.old_tables: dict[str, bytes | list[int]] = {}
+        self.apart: dict[int, bool] = {}
+        self._own_tokens()
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short string of stand-ins: the rule that the dynamic program rests on."""
@@ -88,62 +87,94 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _stays(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) >= CACHE:
-                self.apart.clear()
-            known = self.apart[key] = self.merge(left + right) == [left, right]
-        return known
+    def _own_tokens(self) -> None:
+        """Number the tokens that encode to themselves in the order of their merges, with the two parts of each.
 
-    def _token(self, text: str) -> bool:
-        known = self.single.get(text)
-        if known is None:
-            known = self.single[text] = text in self.vocab and self.merge(text) == [text]
-        return known
+        A merge makes a token of its own when its parts, side by side, meet no earlier merge; so one pass in merge
+        order, each step a test of two known tokens, finds them all.
+        """
+        self.own: dict[str, int] = {c: i for i, c in enumerate(self.letters)}
+        self.parts: list[tuple[int, int]] = [(i, i) for i in range(256)]
+        self.joins: dict[int, int] = {}
+        for (a, b), rank in sorted(self.rank.items(), key=lambda x: x[1]):
+            x, y = self.own.get(a), self.own.get(b)
+            if x is None or y is None or a + b in self.own or not self._stays(x, y):
+                continue
+            self.own[a + b] = len(self.parts)
+            self.joins[x << 20 | y] = len(self.parts)
+            self.parts.append((x, y))
+        #: Every beginning of a token: its number where it is a token itself, else -1.
+        self.begins: dict[str, int] = {t[:k]: -1 for t in self.own for k in range(1, len(t))} | self.own
+
+    def _stays(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side stay two: no merge across their border comes before a merge that made them.
+
+        Both are undone step by step, the later one first; a join of the facing parts that is older than what was
+        undone last would have happened before it.
+        """
+        joins, parts, before = self.joins.get, self.parts, 1 << 60
+        while True:
+            if joins(left << 20 | right, before) < before:
+                return False
+            if left > right or right < 256:
+                if left < 256:
+                    return True
+                before, left = left, parts[left][1]
+            else:
+                before, right = right + 1, parts[right][0]
 
     def prefix_counts(self, piece: str) -> list[int]:
-        """Token count of each byte prefix of one pre-token, given in stand-ins; entry 0 is 0."""
+        """Token count of each byte prefix of one pre-token, given in stand-ins; entry 0 is 0.
+
+        Prefixes are settled in order; from each, the tokens that begin there are walked until no token goes on.
+        """
         n = len(piece)
-        count, last = [0] * (n + 1), [""] * (n + 1)
-        vocab, longest = self.vocab, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                tail = piece[j:i]
-                if tail in vocab and self._token(tail) and (j == 0 or self._stays(last[j], tail)):
-                    count[i], last[i] = count[j] + 1, tail
+        count, last = [0] * (n + 1), [0] * (n + 1)
+        begins, apart = self.begins.get, self.apart
+        for j in range(n):
+            before = last[j] << 20
+            for i in range(j + 1, n + 1):
+                token = begins(piece[j:i])
+                if token is None:
                     break
+                if token < 0 or count[i]:
+                    continue
+                if j:
+                    stays = apart.get(before | token)
+                    if stays is None:
+                        if len(apart) >= CACHE:
+                            apart.clear()
+                        stays = apart[before | token] = self._stays(last[j], token)
+                    if not stays:
+                        continue
+                count[i], last[i] = count[j] + 1, token
         return count
 
-    def counts_of(self, piece: str) -> list[int]:
+    def counts_of(self, piece: str) -> list[int] | bytes:
         """Token count at each character prefix of a pre-token (as text); entry 0 is 0."""
-        known = self.cache.get(piece)
+        known = self.tables.get(piece)
         if known is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            raw = piece.encode("utf-8")
-            by_byte = self.prefix_counts("".join([self.letters[b] for b in raw]))
-            if len(raw) == len(piece):
-                known = by_byte
-            else:
-                known, at = [0], 0
-                for c in piece:
-                    at += len(c.encode("utf-8"))
-                    known.append(by_byte[at])
-            if piece in CONTRACTIONS:  # a shorter prefix is an apostrophe and a letter, two pre-tokens
-                known = [0, 1, 2, known[3]]
-            known = bytes(known) if known[-1] < 256 and max(known) < 256 else known
-            self.cache[piece] = known
+            known = self.old_tables.get(piece) or self._table(piece)
+            if len(self.tables) >= CACHE:  # two generations: what was not asked for lately goes
+                self.tables, self.old_tables = {}, self.tables
+            self.tables[piece] = known
         return known
 
+    def _table(self, piece: str) -> list[int] | bytes:
+        if piece.isascii():
+            known = self.prefix_counts(piece.translate(self.ascii))
+        else:
+            by_byte = self.prefix_counts("".join([self.letters[b] for b in piece.encode("utf-8")]))
+            known, at = [0], 0
+            for c in piece:
+                at += len(c.encode("utf-8"))
+                known.append(by_byte[at])
+        if piece in CONTRACTIONS:  # a shorter prefix is an apostrophe and a letter, two pre-tokens
+            known = [0, 1, 2, known[3]]
+        return bytes(known) if len(known) < 256 else known
+
     def n_tokens(self, piece: str) -> int:
-        n = self.total.get(piece)
-        if n is None:
-            if len(self.total) >= CACHE:
-                self.total.clear()
-            n = self.total[piece] = self.counts_of(piece)[-1]
-        return n
+        return self.counts_of(piece)[-1]
 
     def pieces(self, text: str):
         """Lists of pre-tokens of a text without special tokens, in order.  Long texts are cut where no pre-token can run across."""
@@ -190,10 +221,8 @@ class PrefixCounter:
         return total, chars if fit is None else fit
 
     def _totals(self, pieces: list[str]) -> list[int]:
-        known = list(map(self.total.get, pieces))
-        if None in known:
-            known = [self.n_tokens(p) if n is None else n for p, n in zip(pieces, known, strict=True)]
-        return known
+        known = list(map(self.tables.get, pieces))
+        return [(self.counts_of(p) if t is None else t)[-1] for p, t in zip(pieces, known, strict=True)]
 
     def _fit(self, pieces: list[str], counts: list[int], budget: int, special: bool) -> int:
         sums = list(accumulate(counts))

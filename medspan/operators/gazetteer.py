@@ -1,0 +1,81 @@
+"""Dictionary matching as relations: n-grams of normalised words joined to aliases, longest first, no overlaps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from medspan.functions.lexicon import TOKEN
+from medspan.functions.textnorm import words
+
+MARK = "\x01"
+MAX_BROADCAST_ALIASES = 1_000_000
+
+
+def token_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, token, start, end) of every token, with code-point offsets.
+
+    Tokens are set between marks and split off; a running sum of part lengths within a row's parts gives the offsets.
+    """
+    from pyspark.sql import Window
+
+    marked = F.regexp_replace(F.translate(F.col(text), MARK, " "), f"({TOKEN})", f"{MARK}$1{MARK}")
+    parts = rows.select(key, F.posexplode(F.split(marked, MARK, -1)).alias("part", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = parts.withColumn("end", end).where("part % 2 = 1")
+    return placed.select(key, ((F.col("part") - 1) / 2).cast("int").alias("pos"), "token", (F.col("end") - F.length("token")).alias("start"), "end")
+
+
+def line_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, start, end) of every line."""
+    from pyspark.sql import Window
+
+    lines = rows.select(key, F.posexplode(F.transform(F.split(F.col(text), "\n", -1), F.length)).alias("line_no", "length"))
+    end = F.sum(F.col("length") + 1).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    return lines.withColumn("end", end).select(key, "line_no", (F.col("end") - F.col("length")).alias("start"), "end")
+
+
+def ngrams(tokens: Column, lengths: list[int]) -> Column:
+    """Array of (n, i, gram) of all word runs of the given lengths."""
+
+    def of(n: int) -> Column:
+        last = F.size(tokens) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram")))
+
+    return F.concat(*[of(n) for n in lengths])
+
+
+def without_overlaps(found: Column) -> Column:
+    """Greedy choice among (n, i, ...) hits: longer first, then from the left, keeping those that overlap no kept one."""
+    ordered = F.array_sort(found, lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["i"] - b["i"]))
+    empty = F.filter(found, lambda x: F.lit(False))
+    return F.aggregate(ordered, empty, lambda kept, x: F.when(F.exists(kept, lambda k: (k["i"] < x["i"] + x["n"]) & (x["i"] < k["i"] + k["n"])), kept).otherwise(F.array_append(kept, x)))
+
+
+def longest_matches(notes: DataFrame, aliases: DataFrame, max_words: int, key: str = "doc_id", norm: str = "norm", lengths: list[int] | None = None) -> DataFrame:
+    """(key, i, n, gram, alias_id) of the greedy dictionary matches of normalised texts.
+
+    ``aliases`` has (gram, alias_id).  A small dictionary is broadcast, so n-grams that match nothing never leave their
+    task; a large one is joined by shuffles of the n-grams.  ``lengths`` limits n to lengths that occur.
+    """
+    wanted = lengths or [r["n"] for r in aliases.select(F.size(F.split("gram", " ")).alias("n")).distinct().where(F.col("n") <= max_words).collect()]
+    table = aliases.groupBy("gram").agg(F.min("alias_id").alias("alias_id"))
+    table = F.broadcast(table) if table.count() <= MAX_BROADCAST_ALIASES else table
+    grams = ngrams(F.col("words"), sorted(wanted) or [1])
+    rows = notes.select(key, words(F.col(norm)).alias("words")).select(key, F.explode(grams).alias("g")).select(key, "g.n", "g.i", "g.gram")
+    hits = rows.join(table, "gram").groupBy(key).agg(F.collect_list(F.struct("n", "i", "gram", "alias_id")).alias("found"))
+    return hits.select(key, F.explode(without_overlaps(F.col("found"))).alias("m")).select(key, "m.i", "m.n", "m.gram", "m.alias_id")
+
+
+def replaced_tokens(norm: Column, table: dict[str, str]) -> Column:
+    """A normalised text with whole words replaced."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_join(F.transform(words(norm), lambda w: F.coalesce(F.try_element_at(pairs, w), w)), " ")
+
+
+def chunks(text: Column) -> Column:
+    """Non-empty trimmed parts between semicolons and line ends."""
+    from medspan.functions.textnorm import strip_space
+
+    return F.filter(F.transform(F.split(text, r"[;\n]+", -1), strip_space), lambda c: c != "")

@@ -44,8 +44,13 @@ def ranked_concepts(mentions: DataFrame, index: Index, top_k: int, exact_boost:
     found = variants.join(nearest(variants, index.vectors, top_k, index.dims), "query")
     adjusted = F.col("score") - F.when(F.col("query") == F.col("norm_text"), 0.0).otherwise(VARIANT_PENALTY)
     by_vector = found.select("mention_id", "concept_id", adjusted.alias("score"), F.struct("variant", "rank").alias("order"))
+    return merged_scores(by_vector, mentions.select("mention_id", F.posexplode("exact_ids").alias("pos", "concept_id")), exact_boost)
+
+
+def merged_scores(by_vector: DataFrame, exact: DataFrame, exact_boost: float) -> DataFrame:
+    """Best score of each (mention_id, concept_id), plus the boost once for every row of ``exact`` (mention_id, pos, concept_id)."""
     merged = by_vector.groupBy("mention_id", "concept_id").agg(F.max("score").alias("score"), F.min("order").alias("order"))
-    exact = mentions.select("mention_id", F.posexplode("exact_ids").alias("pos", "concept_id")).groupBy("mention_id", "concept_id").agg((F.count("*") * F.lit(exact_boost)).alias("boost"), F.min("pos").alias("pos"))
+    exact = exact.groupBy("mention_id", "concept_id").agg((F.count("*") * F.lit(exact_boost)).alias("boost"), F.min("pos").alias("pos"))
     both = merged.join(exact, ["mention_id", "concept_id"], "full")
     late = F.struct(F.lit(1 << 20).alias("variant"), F.coalesce("pos", F.lit(0)).alias("rank"))
     return both.select("mention_id", "concept_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"), F.coalesce("order", late).alias("order"))

@@ -57,11 +57,17 @@ def nearest(queries: DataFrame, concepts: DataFrame, top_k: int = 40, dims: int
     in blocks of at most ``max_matrix_bytes``, one for a terminology of usual size, and each block's best are merged.
     Order: score (rounded to 6 places) descending, then id.
     """
+    texts = queries.where("query is not null and query <> ''").select("query").distinct()
+    return nearest_vectors(texts.withColumn("vec", embed(F.col("query"), dims)), concepts, top_k, max_matrix_bytes)
+
+
+def nearest_vectors(queries: DataFrame, concepts: DataFrame, top_k: int, max_matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
+    """``nearest`` for queries that come with their vectors: (query, vec), of the concepts' width."""
     spark = queries.sparkSession
     rows = concepts.count()
+    dims = (concepts.agg(F.max(F.size("vec"))).first()[0] or 1) if rows else 1
     per_block = max(1, max_matrix_bytes // (4 * dims))
     n_blocks = max(1, -(-rows // per_block))
-    wanted = queries.where("query is not null and query <> ''").select("query").distinct()
     found = None
     for b in range(n_blocks):
         part = concepts if n_blocks == 1 else concepts.where(F.pmod(F.xxhash64("concept_id"), F.lit(n_blocks)) == b)
@@ -72,14 +78,14 @@ def nearest(queries: DataFrame, concepts: DataFrame, top_k: int = 40, dims: int
 
         def search(batches, shared=shared):
             ids, matrix = shared.value
-            known: dict[str, tuple[int, float]] = {}
             for batch in batches:
                 texts = batch.column("query").to_pylist()
+                vectors = np.array(batch.column("vec").to_pylist(), dtype=np.float64)
                 for at in range(0, len(texts), QUERY_ROWS):
                     some = texts[at : at + QUERY_ROWS]
                     if not len(ids):
                         continue
-                    scores = np.round(np.stack([embed_text(t, dims, known) for t in some]).astype(np.float64) @ matrix.T.astype(np.float64), 6)
+                    scores = np.round(vectors[at : at + QUERY_ROWS] @ matrix.T.astype(np.float64), 6)
                     k = min(top_k, scores.shape[1])
                     out = []
                     for row in scores:
@@ -91,7 +97,7 @@ def nearest(queries: DataFrame, concepts: DataFrame, top_k: int = 40, dims: int
                     value = np.concatenate([row[o] for row, o in zip(scores, out, strict=True)])
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[picked].tolist(), pa.string()), pa.array(value)], ["query", "concept_id", "score"])
 
-        own = wanted.mapInArrow(search, "query string, concept_id string, score double")
+        own = queries.select("query", "vec").mapInArrow(search, "query string, concept_id string, score double")
         found = own if found is None else found.unionByName(own)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "concept_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

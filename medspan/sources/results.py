@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,32 @@ def file_notes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
 
 
+def _inner(value: Column) -> Column:
+    """JSON text of one value of any type."""
+    whole = F.to_json(F.struct(value.alias("x")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _extended(struct: Column, *more: Column) -> Column:
+    """JSON object text of a struct with further members appended."""
+    own = F.to_json(struct, {"ignoreNullFields": "false"})
+    return F.concat(F.substring(own, F.lit(1), F.length(own) - 1), *more, F.lit("}"))
+
+
+def _mention_json(m: Column) -> Column:
+    types = m["type_results"]
+    listed, items = types["in_is_list"], types["IN"]
+    ingredient = F.when(listed, _inner(items)).otherwise(_inner(F.get(items, F.lit(0))))
+    all_in = F.when(listed, F.concat(F.lit(',"IN_ALL":'), _inner(items))).otherwise("")
+    inner = _extended(types.dropFields("IN", "in_is_list"), F.lit(',"IN":'), ingredient, all_in)
+    return _extended(m.dropFields("type_results"), F.lit(',"type_results":'), inner)
+
+
 def result_json(results: DataFrame) -> DataFrame:
-    """(doc_id, value): one JSON document per note; absent concepts are null, ingredients are always a list, with
-    ``in_is_list`` telling whether the mention is a combination."""
-    return results.select("doc_id", F.to_json(F.struct("input_text", "target_types", "mention_count", "mentions"), {"ignoreNullFields": "false"}).alias("value"))
+    """(doc_id, value): one JSON document per note.  ``IN`` is null, an object, or for combinations a list (also ``IN_ALL``)."""
+    parts = F.array_join(F.transform("mentions", _mention_json), ",")
+    head = F.to_json(F.struct("input_text", "target_types", "mention_count"), {"ignoreNullFields": "false"})
+    return results.select("doc_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"mentions":['), parts, F.lit("]}")).alias("value"))
 
 
 def write_json(results: DataFrame, path: str) -> None:

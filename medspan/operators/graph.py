@@ -20,18 +20,20 @@ def relation_table(spark: SparkSession, targets: dict[str, list[str]] | None = N
     return spark.createDataFrame(rows, "target string, rela string")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, allowed: DataFrame, max_depth: int = 3) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, allowed: DataFrame, max_depth: int = 3, wanted: DataFrame | None = None) -> DataFrame:
     """(seed, target, node, depth): least number of hops from each seed over the relations its target allows.
 
     ``seeds`` has (seed, target).  Each hop is one join; walks need no path condition, so the least depth over walks
-    is the breadth-first depth.  ``allowed`` is a constant table and is broadcast.
+    is the breadth-first depth.  ``allowed`` is a constant table and is broadcast.  With ``wanted`` (node, target), only such
+    nodes are returned: what is merely passed through never reaches the final aggregation.
     """
-    reached = seeds.select("seed", "target", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier, steps = reached, F.broadcast(allowed)
-    for depth in range(1, max_depth + 1):
-        hop = frontier.join(edges.select(F.col("src").alias("node"), "dst", "rela"), "node").join(steps, ["target", "rela"])
-        frontier = hop.select("seed", "target", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(frontier)
+    frontier, steps, reached = seeds.select("seed", "target", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), F.broadcast(allowed), None
+    for depth in range(max_depth + 1):
+        if depth:
+            hop = frontier.join(edges.select(F.col("src").alias("node"), "dst", "rela"), "node").join(steps, ["target", "rela"])
+            frontier = hop.select("seed", "target", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+        kept = frontier if wanted is None else frontier.join(wanted, ["node", "target"], "left_semi").select("seed", "target", "node", "depth")
+        reached = kept if reached is None else reached.unionByName(kept)
     return reached.groupBy("seed", "target", "node").agg(F.min("depth").alias("depth"))
 
 

@@ -7,18 +7,22 @@ so scoring runs in three stages over the same candidate table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medspan.functions import dose
 from medspan.functions import lexicon as lx
-from medspan.functions.textnorm import noisy, strip_context, token_jaccard
+from medspan.functions.textnorm import noisy, strip_context, words
 from medspan.operators import graph
 from medspan.session import stage
 from medspan.sources.index import Index
 
 MIN_SCORE = -2.5
 VETO = -1000.0
+SCORE_INPUTS = (
+    "projection_words", "anchors", "strength_tokens", "strength_sigs", "ratios", "numbers", "forms", "combo", "structured", "iv", "oral",
+    "continuous", "schedule", "dose_signal", "seed_is_ingredient",
+)
 CONCEPT = "struct<concept_id:string,name:string,depth:int>"
 
 
@@ -48,7 +52,9 @@ def score(preferred: Column) -> Column:
 
     oral_like = F.arrays_overlap(flags, F.array(*[F.lit(x) for x in ("oral", "tablet", "capsule", "dr", "er")]))
     solid = has("tablet") | has("capsule") | has("oral")
-    terms = [1.8 * token_jaccard(c("projection_norm"), name), -0.45 * c("depth").cast("double")]
+    both = F.size(F.array_intersect(c("projection_words"), c("name_words")))  # both sides are distinct words
+    jaccard = F.when(both == 0, 0.0).otherwise(both / (F.size(c("projection_words")) + F.size(c("name_words")) - both))
+    terms = [1.8 * jaccard, -0.45 * c("depth").cast("double")]
 
     # strengths
     tokens_in = F.size(F.filter(c("strength_tokens"), lambda t: F.contains(name, t)))
@@ -111,23 +117,30 @@ def score(preferred: Column) -> Column:
 
 def best_by_type(scored: DataFrame) -> DataFrame:
     """Best candidate of each (mention, target), by score, then depth, then id; those under ``MIN_SCORE`` are dropped."""
-    order = Window.partitionBy("mention_id", "target").orderBy(F.desc("score"), "depth", "node")
-    top = scored.withColumn("n", F.row_number().over(order)).where((F.col("n") == 1) & (F.col("score") >= MIN_SCORE))
-    return top.select("mention_id", "target", F.struct(F.col("node").alias("concept_id"), "name", "depth").alias("hit"), "mg")
+    hit = F.struct(F.struct(F.col("node").alias("concept_id"), "name", "depth").alias("hit"), "mg", "score")
+    # An aggregate, not a window: each task keeps one row of a group before the shuffle.
+    top = scored.groupBy("mention_id", "target").agg(F.min_by(hit, F.struct(-F.col("score"), "depth", "node")).alias("top"))
+    return top.where(F.col("top.score") >= MIN_SCORE).select("mention_id", "target", "top.hit", "top.mg")
 
 
 def candidate_table(mentions: DataFrame, index: Index, max_depth: int) -> DataFrame:
     """(mention_id, target, node, depth, name and its features, found): scored later.
 
-    Closures are computed once for each distinct seed, not for each mention.
+    Closures are computed once for each distinct seed, not for each mention, and only for types that occur.  Rows carry
+    what scoring reads of a mention, not its texts.
     """
     spark = mentions.sparkSession
-    targets = spark.createDataFrame([(t,) for t in lx.TARGET_TYPES], "target string")
+    typed = index.names.select(F.col("concept_id").alias("node"), F.col("tty").alias("target")).where(F.col("target").isin(*lx.TARGET_TYPES))
+    targets = typed.select("target").distinct()  # at most nine rows
     seeds = mentions.select(F.col("best_id").alias("seed")).distinct().crossJoin(F.broadcast(targets))
-    reach = graph.candidates(graph.closure(seeds, index.edges, graph.relation_table(spark), max_depth), index.names)
+    reach = graph.candidates(graph.closure(seeds, index.edges, graph.relation_table(spark), max_depth, typed), index.names)
+    mentions = mentions.select("mention_id", "best_id", *SCORE_INPUTS)
     reach = reach.join(index.ingredients.select(F.col("concept_id").alias("node"), F.col("ingredients").alias("found")), "node", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    gated = F.col("target").isin("SCD", "SBD", "SCDC") & F.col("seed_is_ingredient") & ~F.col("dose_signal") & ~F.col("structured")
-    return mentions.withColumnRenamed("best_id", "seed").join(reach, "seed").where(~gated & (F.col("name") != ""))
+    # An ingredient without a dose is not projected to products: such targets never meet their candidates.
+    bare = F.col("seed_is_ingredient") & ~F.col("dose_signal") & ~F.col("structured")
+    wanted = [F.when(~bare | ~F.lit(t).isin("SCD", "SBD", "SCDC"), F.lit(t)) for t in lx.TARGET_TYPES]
+    asked = mentions.withColumnRenamed("best_id", "seed").withColumn("target", F.explode(F.array_compact(F.array(*wanted))))
+    return asked.join(reach.where("name <> ''"), ["seed", "target"])
 
 
 def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
@@ -138,9 +151,9 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     """
     anchors = index.ingredients.select(F.col("concept_id").alias("best_id"), F.col("ingredients").alias("anchors"))
     is_in = index.names.where("tty = 'IN'").select(F.col("concept_id").alias("best_id"), F.lit(True).alias("seed_is_ingredient")).distinct()
-    base = mentions.join(anchors, "best_id", "left").join(is_in, "best_id", "left").withColumns({"anchors": F.coalesce("anchors", F.array().cast("array<string>")), "seed_is_ingredient": F.coalesce("seed_is_ingredient", F.lit(False))})
+    base = mentions.join(anchors, "best_id", "left").join(is_in, "best_id", "left").withColumns({"anchors": F.coalesce("anchors", F.array().cast("array<string>")), "seed_is_ingredient": F.coalesce("seed_is_ingredient", F.lit(False)), "projection_words": F.array_distinct(words(F.col("projection_norm")))})
     base = stage(base)
-    rows = stage(candidate_table(base, index, max_depth))
+    rows = candidate_table(base, index, max_depth)  # used once for each stage, each time for other types
     nothing = F.lit(None).cast("array<double>")
     free = stage(best_by_type(rows.where(~F.col("target").isin("SCD", "SCDC")).withColumn("score", score(nothing))))
     sbd = free.where("target = 'SBD'").select("mention_id", F.col("mg").alias("sbd_mg"))
@@ -152,7 +165,7 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     hits = free.drop("mg").unionByName(scd.drop("mg")).unionByName(scdc)
     table = hits.where("hit is not null").groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "hit"))).alias("projected"))
     joined = base.join(stage(table), "mention_id", "left").withColumn("projected", F.coalesce("projected", F.create_map().cast(f"map<string,{CONCEPT}>")))
-    return with_ingredients(joined, index).drop("seed_is_ingredient")
+    return with_ingredients(joined, index).drop("seed_is_ingredient", "projection_words")
 
 
 def realigned(scdc: DataFrame, scd_mg: DataFrame, base: DataFrame, index: Index, max_depth: int) -> DataFrame:

@@ -270,25 +270,28 @@ def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(seeds, edges, graph.relation_table(spark), 3).select("seed", "target", "node", F.col("depth").cast("int").alias("depth"))
 
 
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product for each name and size, with the brand and kind of its first part."""
+    first = table(spark, sf_dir, "part").groupBy("p_name", "p_size").agg(F.min_by("p_brand", "p_partkey").alias("brand"), F.min_by("p_type", "p_partkey").alias("kind"), F.min("p_partkey").alias("n"))
+    return first.withColumn("product", F.concat_ws(" ", "p_name", F.concat(_text("p_size"), F.lit(" mg")), "kind"))
+
+
 def part_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(names, relations) of a terminology made from parts: ingredients, brands, and products of both."""
-    part = table(spark, sf_dir, "part")
-    product = F.concat_ws(" ", "p_name", F.concat(_text("p_size"), F.lit(" mg")), "p_type")
-    ingredient, brand, made = F.concat(F.lit("i:"), "p_name"), F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("s:"), product)
-    kinds = [(ingredient, "IN", F.col("p_name")), (brand, "BN", F.col("p_brand")), (made, "SCD", product)]
+    made = products(spark, sf_dir)
+    ingredient, brand, product = F.concat(F.lit("i:"), "p_name"), F.concat(F.lit("b:"), "brand"), F.concat(F.lit("s:"), "product")
     names = None
-    for k, (concept, tty, name) in enumerate(kinds):
-        rows = part.groupBy(concept.alias("concept_id"), name.alias("raw_name")).agg(F.struct(F.lit(k).alias("k"), F.min("p_partkey").alias("n")).alias("line_no")).withColumns({"tty": F.lit(tty), "ispref": F.lit("Y")})
+    for k, (concept, tty, name) in enumerate([(ingredient, "IN", F.col("p_name")), (brand, "BN", F.col("brand")), (product, "SCD", F.col("product"))]):
+        rows = made.groupBy(concept.alias("concept_id"), name.alias("raw_name")).agg(F.struct(F.lit(k).alias("k"), F.min("n").alias("n")).alias("line_no")).withColumns({"tty": F.lit(tty), "ispref": F.lit("Y")})
         names = rows if names is None else names.unionByName(rows)
     names = names.withColumn("norm_text", textnorm.normalize(F.col("raw_name"))).where("norm_text <> ''")
-    links = part.select(made.alias("src"), F.explode(F.array(F.struct(F.lit("has_ingredient").alias("rela"), ingredient.alias("dst")), F.struct(F.lit("has_tradename").alias("rela"), brand.alias("dst")))).alias("e"))
-    relations = links.select("src", "e.dst", F.lit("RO").alias("rel"), "e.rela").distinct()
-    return names, relations
+    links = made.select(product.alias("src"), F.explode(F.array(F.struct(F.lit("has_ingredient").alias("rela"), ingredient.alias("dst")), F.struct(F.lit("has_tradename").alias("rela"), brand.alias("dst")))).alias("e"))
+    return names, links.select("src", "e.dst", F.lit("RO").alias("rel"), "e.rela").distinct()
 
 
 @query(
     """
-WITH p AS (SELECT DISTINCT 'i:' || p_name AS i, 'b:' || p_brand AS b, 's:' || p_name || ' ' || p_size || ' mg ' || p_type AS s FROM part),
+WITH p AS (SELECT 'i:' || p_name AS i, 'b:' || arg_min(p_brand, p_partkey) AS b, 's:' || p_name || ' ' || p_size || ' mg ' || arg_min(p_type, p_partkey) AS s FROM part GROUP BY p_name, p_size),
 f AS (SELECT i AS concept_id, i AS found FROM p UNION SELECT s, i FROM p UNION SELECT b, i FROM p)
 SELECT concept_id, string_agg(found, '|' ORDER BY found) AS ingredients FROM f GROUP BY concept_id
 """

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from medspan.functions import dose
 from medspan.functions.lexicon import TARGET_TYPES
-from medspan.functions.textnorm import normalize
+from medspan.functions.textnorm import normalize, words
 from medspan.operators.graph import ingredient_sets
 from medspan.operators.vectors import embed
 from medspan.sources import release
@@ -41,7 +41,7 @@ TABLES = [f.name for f in fields(Index) if f.name != "dims"]
 def with_name_features(names: DataFrame) -> DataFrame:
     """``names`` with what scoring needs of a candidate name, computed once for each name."""
     normed = names.withColumn("name_norm", normalize(F.col("name")))
-    return normed.withColumns({"flags": dose.form_flags(F.col("name_norm")), "sigs": dose.strength_signatures(F.col("name")), "mg": dose.strengths_mg(F.col("name"))})
+    return normed.withColumns({"name_words": F.array_distinct(words(F.col("name_norm"))), "flags": dose.form_flags(F.col("name_norm")), "sigs": dose.strength_signatures(F.col("name")), "mg": dose.strengths_mg(F.col("name"))})
 
 
 def make_index(names: DataFrame, relations: DataFrame, dims: int = DIMS, max_aliases: int = MAX_ALIASES) -> Index:

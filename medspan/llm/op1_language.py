@@ -168,5 +168,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: ``und``, or a score under ``min_score``."""
-    own = docs.columns
-    return identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*own)
+    found = docs.withColumn("__language", language_column(docs.sparkSession, model, F.col("text")))
+    return found.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= min_score)).drop("__language")

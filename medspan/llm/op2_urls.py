@@ -83,26 +83,32 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.when(hit.isNotNull(), F.struct(hit["rule"].alias("rule"), hit["verdict"].alias("verdict")))
 
 
-def gram_bins(host: Column, path: Column) -> Column:
-    """Array of the distinct bins of the character n-grams of ``^host$`` and ``path$``; host and path hash apart, digits as 0."""
+def with_bins(rows: DataFrame, host: Column, path: Column) -> DataFrame:
+    """``rows`` with ``__bins``: the distinct bins of the character n-grams of ``^host$`` and ``path$``; digits count as 0.
 
-    def grams(text: Column, part: str, n: int) -> Column:
-        last = F.length(text) - F.lit(n - 1)
-        positions = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(positions, lambda i: F.pmod(F.xxhash64(F.lit(part), F.substring(text, i, F.lit(n))), F.lit(BINS)).cast("int"))
+    The texts become arrays of characters in a column of their own first; an n-gram is then a few array look-ups, so a
+    url of any length takes linear time.
+    """
+    digits = ("123456789", "000000000")
+    framed = rows.withColumns({"__host": F.split(F.translate(F.concat(F.lit("^"), host, F.lit("$")), *digits), ""), "__path": F.split(F.translate(F.concat(path, F.lit("$")), *digits), "")})
 
-    framed = {"host": F.translate(F.concat(F.lit("^"), host, F.lit("$")), "123456789", "000000000"), "path": F.translate(F.concat(path, F.lit("$")), "123456789", "000000000")}
-    return F.array_distinct(F.concat(*[grams(framed[part], part, n) for part in ("host", "path") for n in ORDERS]))
+    def grams(part: str, n: int) -> Column:
+        chars = F.col(part)
+        last = F.size(chars) - F.lit(n)
+        positions = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(positions, lambda i: F.pmod(F.xxhash64(F.lit(part), F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(BINS)).cast("int"))
+
+    return framed.withColumn("__bins", F.array_distinct(F.concat(*[grams(part, n) for part in ("__host", "__path") for n in ORDERS]))).drop("__host", "__path")
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", strength: float = 0.0001) -> tuple[list[float], float]:
     """Weights and intercept, fitted in the JVM.  The table is bounded: more than ``MAX_TRAINING_ROWS`` rows are refused."""
     if labelled.limit(MAX_TRAINING_ROWS + 1).count() > MAX_TRAINING_ROWS:
         raise ValueError(f"the labelled URL table may have at most {MAX_TRAINING_ROWS} rows")
-    bins = gram_bins(host_of(F.col(url)), path_of(F.col(url)))
-    n = F.greatest(F.size("bins"), F.lit(1)).cast("double")
-    present = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.array_contains("bins", b).cast("int").cast("double") / F.sqrt(n))
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), bins.alias("bins")).select("label", array_to_vector(present).alias("features"))
+    n = F.greatest(F.size("__bins"), F.lit(1)).cast("double")
+    present = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.array_contains("__bins", b).cast("int").cast("double") / F.sqrt(n))
+    known = with_bins(labelled.where(F.col(label).isNotNull()), host_of(F.col(url)), path_of(F.col(url)))
+    rows = known.select(F.col(label).cast("double").alias("label"), array_to_vector(present).alias("features"))
     model = LogisticRegression(regParam=strength, maxIter=60, standardization=False).fit(rows.coalesce(1))
     return [round(float(w), 9) for w in model.coefficients.toArray()], round(float(model.intercept), 9)
 
@@ -111,10 +117,13 @@ def seed_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEED_URLS, "url string, label int")
 
 
-def score_of(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
-    """Probability that the url is unwanted."""
-    bins = gram_bins(host, path)
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded once
+def weight_table(weights: list[float]) -> Column:
+    """The weights as one literal array."""
+    return F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+
+
+def score_of(bins: Column, table: Column, intercept: float) -> Column:
+    """Probability that the url with these n-gram bins is unwanted."""
     total = F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total / F.sqrt(F.greatest(F.size(bins), F.lit(1)).cast("double")) + F.lit(intercept))))
 
@@ -122,9 +131,10 @@ def score_of(host: Column, path: Column, weights: list[float], intercept: float)
 def judge(pages: DataFrame, weights: list[float], intercept: float, rules: list[tuple[str, str, str]] | None = None, url: str = "url", threshold: float = 0.8) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``score`` and ``verdict`` (allow or block)."""
     parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    scored = parsed.withColumns({"__hit": rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules), "score": F.round(score_of(F.col("host"), F.col("path"), weights, intercept), 6)})
+    parsed = with_bins(parsed, F.col("host"), F.col("path")).withColumn("__weights", weight_table(weights))
+    scored = parsed.withColumns({"__hit": rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules), "score": F.round(score_of(F.col("__bins"), F.col("__weights"), intercept), 6)})
     verdict = F.coalesce(F.col("__hit.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored.withColumns({"rule": F.col("__hit.rule"), "verdict": verdict}).drop("__hit")
+    return scored.withColumns({"rule": F.col("__hit.rule"), "verdict": verdict}).drop("__hit", "__bins", "__weights")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

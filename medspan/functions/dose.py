@@ -97,6 +97,15 @@ def form_flags(norm: Column) -> Column:
     return F.concat(form_tokens(norm), F.when(F.concat(F.lit(" "), norm, F.lit(" ")).contains(" oral "), F.array(F.lit("oral"))).otherwise(F.array().cast("array<string>")))
 
 
+#: Form classes as bits, so that scoring tests and counts them with integer operations.
+FORM_BITS = {form: 1 << i for i, form in enumerate([*lx.FORM_HINTS, "oral"])}
+
+
+def form_bits(forms: Column) -> Column:
+    """Bit set of an array of form classes."""
+    return reduce(lambda a, b: a + b, [F.when(F.array_contains(forms, form), F.lit(bit)).otherwise(0) for form, bit in FORM_BITS.items()])
+
+
 def has_strength_signal(norm: Column) -> Column:
     return norm.rlike(lx.STRENGTH) | norm.rlike(lx.RATIO_STRENGTH) | norm.rlike(lx.UNITS_PER_KG_HOUR)
 

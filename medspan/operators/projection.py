@@ -20,7 +20,7 @@ from medspan.sources.index import Index
 MIN_SCORE = -2.5
 VETO = -1000.0
 SCORE_INPUTS = (
-    "projection_words", "anchors", "strength_tokens", "strength_sigs", "ratios", "numbers", "forms", "combo", "structured", "iv", "oral",
+    "projection_words", "anchors", "strength_tokens", "strength_sigs", "ratios", "numbers", "form_bits", "combo", "structured", "iv", "oral",
     "continuous", "schedule", "dose_signal", "seed_is_ingredient",
 )
 CONCEPT = "struct<concept_id:string,name:string,depth:int>"
@@ -35,22 +35,22 @@ def _either(condition: Column, yes, no) -> Column:
 
 
 def score(preferred: Column) -> Column:
-    """Additive score of a candidate (columns ``target``, ``depth``, ``name``, ``name_norm``, ``flags``, ``sigs``, ``mg``, ``found``)
+    """Additive score of a candidate (columns ``target``, ``depth``, ``name``, ``name_norm``, ``flag_bits``, ``sigs``, ``mg``, ``found``)
     for a mention (columns of ``dose.mention_features``, ``projection_norm``, ``anchors``)."""
     c = F.col
-    name, forms, flags, mg, sigs = c("name_norm"), c("forms"), c("flags"), c("mg"), c("sigs")
+    name, forms, flags, mg, sigs = c("name_norm"), c("form_bits"), c("flag_bits"), c("mg"), c("sigs")
     padded = F.concat(F.lit(" "), name, F.lit(" "))
 
     def has(kind: str) -> Column:
-        return F.array_contains(flags, kind)
+        return flags.bitwiseAND(F.lit(dose.FORM_BITS[kind])) != 0
 
     def hint(kind: str) -> Column:
-        return F.array_contains(forms, kind)
+        return forms.bitwiseAND(F.lit(dose.FORM_BITS[kind])) != 0
 
     def some(column: Column) -> Column:
         return F.size(column) > 0
 
-    oral_like = F.arrays_overlap(flags, F.array(*[F.lit(x) for x in ("oral", "tablet", "capsule", "dr", "er")]))
+    oral_like = flags.bitwiseAND(F.lit(sum(dose.FORM_BITS[x] for x in ("oral", "tablet", "capsule", "dr", "er")))) != 0
     solid = has("tablet") | has("capsule") | has("oral")
     both = F.size(F.array_intersect(c("projection_words"), c("name_words")))  # both sides are distinct words
     jaccard = F.when(both == 0, 0.0).otherwise(both / (F.size(c("projection_words")) + F.size(c("name_words")) - both))
@@ -72,8 +72,8 @@ def score(preferred: Column) -> Column:
     terms.append(_when(F.coalesce(some(preferred), F.lit(False)), _either(some(mg), _either(kept > 0, 2.0 * F.least(kept, F.lit(2)), -2.2), -0.5)))
 
     # forms
-    same = F.size(F.array_intersect(forms, flags))
-    terms.append(_when(some(forms), _either(same > 0, 1.2 * same, -0.9)))
+    same = F.bit_count(forms.bitwiseAND(flags))
+    terms.append(_when(forms != 0, _either(same > 0, 1.2 * same, -0.9)))
     terms.append(_when(hint("inhaler") & (solid | has("injection")), -2.4))
     terms.append(_when(hint("inhaler"), _either(has("inhaler"), 2.4, -3.2)))
     terms.append(_when(hint("inhaler") & has("solution") & ~has("inhaler"), -2.2))
@@ -151,7 +151,7 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     """
     anchors = index.ingredients.select(F.col("concept_id").alias("best_id"), F.col("ingredients").alias("anchors"))
     is_in = index.names.where("tty = 'IN'").select(F.col("concept_id").alias("best_id"), F.lit(True).alias("seed_is_ingredient")).distinct()
-    base = mentions.join(anchors, "best_id", "left").join(is_in, "best_id", "left").withColumns({"anchors": F.coalesce("anchors", F.array().cast("array<string>")), "seed_is_ingredient": F.coalesce("seed_is_ingredient", F.lit(False)), "projection_words": F.array_distinct(words(F.col("projection_norm")))})
+    base = mentions.join(anchors, "best_id", "left").join(is_in, "best_id", "left").withColumns({"anchors": F.coalesce("anchors", F.array().cast("array<string>")), "seed_is_ingredient": F.coalesce("seed_is_ingredient", F.lit(False)), "projection_words": F.array_distinct(words(F.col("projection_norm"))), "form_bits": dose.form_bits(F.col("forms"))})
     base = stage(base)
     rows = candidate_table(base, index, max_depth)  # used once for each stage, each time for other types
     nothing = F.lit(None).cast("array<double>")
@@ -165,7 +165,7 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     hits = free.drop("mg").unionByName(scd.drop("mg")).unionByName(scdc)
     table = hits.where("hit is not null").groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "hit"))).alias("projected"))
     joined = base.join(stage(table), "mention_id", "left").withColumn("projected", F.coalesce("projected", F.create_map().cast(f"map<string,{CONCEPT}>")))
-    return with_ingredients(joined, index).drop("seed_is_ingredient", "projection_words")
+    return with_ingredients(joined, index).drop("seed_is_ingredient", "projection_words", "form_bits")
 
 
 def realigned(scdc: DataFrame, scd_mg: DataFrame, base: DataFrame, index: Index, max_depth: int) -> DataFrame:

@@ -41,7 +41,8 @@ TABLES = [f.name for f in fields(Index) if f.name != "dims"]
 def with_name_features(names: DataFrame) -> DataFrame:
     """``names`` with what scoring needs of a candidate name, computed once for each name."""
     normed = names.withColumn("name_norm", normalize(F.col("name")))
-    return normed.withColumns({"name_words": F.array_distinct(words(F.col("name_norm"))), "flags": dose.form_flags(F.col("name_norm")), "sigs": dose.strength_signatures(F.col("name")), "mg": dose.strengths_mg(F.col("name"))})
+    made = normed.withColumns({"name_words": F.array_distinct(words(F.col("name_norm"))), "flags": dose.form_flags(F.col("name_norm")), "sigs": dose.strength_signatures(F.col("name")), "mg": dose.strengths_mg(F.col("name"))})
+    return made.withColumn("flag_bits", dose.form_bits(F.col("flags")))
 
 
 def make_index(names: DataFrame, relations: DataFrame, dims: int = DIMS, max_aliases: int = MAX_ALIASES) -> Index:

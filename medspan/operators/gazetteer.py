@@ -38,10 +38,10 @@ def line_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
 def ngrams(tokens: Column, lengths: list[int]) -> Column:
     """Array of (n, i, gram) of all word runs of the given lengths."""
 
-    def of(n: int) -> Column:
+    def of(n: int) -> Column:  # single look-ups: a slice would copy the whole array each time
         last = F.size(tokens) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram")))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]).alias("gram")))
 
     return F.concat(*[of(n) for n in lengths])
 

@@ -1,15 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the copies.
-
-1. Items are cut into words (letters and digits, lower-cased); every ``SEED``-gram of an item is a candidate seed.
-2. All documents are counted for these n-grams, and each item keeps its rarest two thirds as seeds (corpus count plus
-   count in the benchmark), so phrases that everything shares seed nothing, and an item always keeps seeds.
-3. Documents are searched for seeds.  Seeds that stand close together make a passage, widened by the longest item's
-   length; a passage is kept as word hashes with byte offsets and the seeds it holds.
-4. Seeds join passages to items, and each (passage, item) pair is aligned locally, many pairs at a time: 2 for a match,
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the copies.
+
+1. Items are cut into words (letters and digits, lower-cased); every ``SEED``-gram of an item is a seed of it.
+2. All documents are counted for these n-grams and words.  A seed that stands out of its item as common, or that many
+   items share, is bound to the item's rare words (``item_keys``); every other seed is a key by itself.
+3. Documents are searched for keys: seeds, and common seeds with a rare word of the same item around them.  Keys that
+   stand close together make a passage, widened by the longest alignment that can pass; a passage is kept as word
+   hashes with byte offsets and the keys it holds.
+4. Keys join passages to items, and each (passage, item) pair is aligned locally, many pairs at a time: 2 for a match,
    -1 for a mismatch or a gap.  The score is the share of the item's own full score.
 
-The filter that documents are searched with is a bit set of fixed size (``FILTER_BITS``), exact hashes where there
-are few; the join decides.  Texts are never moved: only counts, passages around seeds, and scores are.  A passage that
+No copy is lost by the keys: a passing alignment matches at least ``min_score`` of the item's words, so it matches one
+of any set of words that covers more than the rest.  What is required is one intact ``SEED``-gram in the alignment.
+
+The filters that documents are searched with are bit sets of fixed size (``FILTER_BITS``), exact hashes where there
+are few; the join decides.  Texts are never moved: only counts, passages around keys, and scores are.  A passage that
 a third of all documents share is a row for each of them, joined to a broadcast or AQE-split side.
 
 Defined results: null texts and items under ``SEED`` words match nothing.  The best passage of each (document, item)
@@ -18,18 +22,22 @@ is kept; on ties the first.  Repeated rows give one result.  Empty tables give e
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import checkpointed, shingle_hashes, word_blocks
+from medspan.llm.common import checkpointed, mix, shingle_hashes, word_blocks
 
 SEED = 3
 FILTER_BITS = 1 << 24
 #: Seeds that are also sent as exact hashes, and item words that are broadcast; beyond them joins shuffle.
 MAX_EXACT_SEEDS = 500_000
 MAX_BROADCAST_WORDS = 1_000_000
+#: A seed is common if it occurs more often than this and far more often than its item's median seed, or in more items than this.
+FEW, FAR = 64, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS_AT_ONCE = 1 << 19
 PAIRS = "doc_id bigint, item_id bigint, score double, start_byte bigint, end_byte bigint"
@@ -52,17 +60,25 @@ def item_words(items: DataFrame, item: str, text: str) -> DataFrame:
     return items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(cut, "item_id bigint, words array<bigint>")
 
 
-def item_seeds(words: DataFrame) -> DataFrame:
-    """(item_id, pos, seed) of every n-gram of every item."""
+def item_grams(words: DataFrame) -> DataFrame:
+    """(row, item_id, width, pos, seed) of every n-gram (``width`` SEED) and every word (``width`` 1) of every item row."""
 
     def grams(batches):
         for batch in batches:
-            for item, own in zip(batch.column("item_id").to_pylist(), batch.column("words"), strict=True):
+            for row, item, own in zip(batch.column("row").to_pylist(), batch.column("item_id").to_pylist(), batch.column("words"), strict=True):
                 h = own.values.to_numpy().view(np.uint64)
                 g, at = shingle_hashes(np.zeros(len(h), np.int64), h, SEED)
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(g), pa.int64()), pa.array(at, pa.int32()), pa.array(g.view(np.int64))], ["item_id", "pos", "seed"])
+                n, pos = len(g) + len(h), np.concatenate([at, np.arange(len(h))])
+                width, seed = np.repeat([SEED, 1], [len(g), len(h)]), np.concatenate([g, h]).view(np.int64)
+                columns = [pa.array([row] * n, pa.int64()), pa.array([item] * n, pa.int64()), pa.array(width, pa.int32()), pa.array(pos, pa.int32()), pa.array(seed)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "item_id", "width", "pos", "seed"])
+
+    return words.select("row", "item_id", "words").mapInArrow(grams, "row bigint, item_id bigint, width int, pos int, seed bigint")
 
-    return words.mapInArrow(grams, "item_id bigint, pos int, seed bigint")
+
+def bound(seed: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a seed together with a word."""
+    return mix(seed * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
 class SeedFilter:
@@ -85,55 +101,111 @@ class SeedFilter:
 
 
 def corpus_counts(docs: DataFrame, held, text: str) -> DataFrame:
-    """(seed, n): occurrences of the filtered n-grams over all documents."""
+    """(seed, n): occurrences of the filtered n-grams and words over all documents."""
 
     def count(batches):
         for batch in batches:
-            found = []
+            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for doc, h, _, _, fresh in word_blocks(batch.column("text"), overlap=SEED - 1, letters=True):
                 g, _at = shingle_hashes(doc, h, SEED)
-                found.append(g[held.value.positions(g)])
-            seed, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
+                own = h[fresh:]
+                found += [np.unique(x[held.value.positions(x)], return_counts=True) for x in (g, own)]
+            seed, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            n = np.zeros(len(seed), np.int64)
+            np.add.at(n, at, np.concatenate([x for _, x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
 
 
-def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, seed): the rarest two thirds of each item's n-grams.  Items are short next to memory: one item is one window."""
-    from pyspark.sql import Window
+def item_keys(grams: DataFrame, counts: DataFrame, min_score: float) -> DataFrame:
+    """(item_id, key, seed, word): every n-gram of every item, the common ones bound to each of the item's rare words.
 
-    own = seeds.groupBy("seed").agg(F.count("*").alias("own"))
-    ranked = seeds.join(own, "seed").join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("own"))
-    order = Window.partitionBy("item_id").orderBy("n", "pos", "seed")
-    return ranked.withColumns({"rank": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("item_id"))}).where(3 * (F.col("rank") - 1) < 2 * F.col("all")).select("item_id", "seed").distinct()
+    ``seed`` and ``word`` are null where the n-gram is the key itself.  The rare words are the item's rarest ones that
+    together cover so many of its words that an alignment without them cannot pass.  Items are short next to memory.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            out: list[tuple] = [(np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, bool),)]
+            for item, own in zip(batch.column("item_id").to_pylist(), batch.column("grams"), strict=True):
+                if item is None:
+                    continue
+                width, seed, n, items = (own.values.field(k).to_numpy() for k in ("width", "seed", "n", "own"))
+                seed = seed.view(np.uint64)
+                gram, at, _ = np.unique(seed[width == SEED], return_index=True, return_counts=True)
+                often, shared = n[width == SEED], items[width == SEED][at]
+                middle, often = np.sort(often)[(len(often) - 1) // 2], often[at]
+                common = (often > FEW) & ((often > FAR * middle) | (shared > FEW))
+                keys, none = gram[~common], np.zeros((~common).sum(), np.uint64)
+                out.append((np.full(len(keys), item), keys, none, none, np.ones(len(keys), bool)))
+                if common.any():
+                    word, at, times = np.unique(seed[width == 1], return_index=True, return_counts=True)
+                    order = np.argsort(n[width == 1][at], kind="stable")
+                    total = int(times.sum())
+                    least = total - math.ceil(min_score * total - 1e-9) + 1
+                    rare = word[order[: int(np.searchsorted(np.cumsum(times[order]), least)) + 1]]
+                    a, b = np.repeat(gram[common], len(rare)), np.tile(rare, common.sum())
+                    out.append((np.full(len(a), item), bound(a, b), a, b, np.zeros(len(a), bool)))
+            item, key, seed, word, alone = (np.concatenate([x[k] for x in out]) for k in range(5))
+            halves = [pa.array(x.view(np.int64), mask=alone) for x in (seed, word)]
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(key.view(np.int64)), *halves], ["item_id", "key", "seed", "word"])
+
+    own = grams.groupBy("seed").agg(F.count("*").alias("own"))
+    rated = grams.join(own, "seed").join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("own"))
+    rows = rated.groupBy("row", "item_id").agg(F.sort_array(F.collect_list(F.struct("width", "pos", "seed", "n", "own"))).alias("grams"))
+    return rows.select("item_id", "grams").mapInArrow(cut, "item_id bigint, key bigint, seed bigint, word bigint")
+
+
+def bound_hits(doc: np.ndarray, h: np.ndarray, g: np.ndarray, at: np.ndarray, keys: SeedFilter, halves: SeedFilter, reach: int):
+    """Yield (position, key) arrays of common seeds with a rare word of the same item within ``reach``."""
+    seeds = halves.positions(g)
+    if not len(seeds):
+        return
+    words, pos = halves.positions(h), at[seeds]
+    lo = np.searchsorted(words, np.maximum(pos - reach, np.searchsorted(doc, doc[pos], side="left")))
+    hi = np.searchsorted(words, np.minimum(pos + SEED + reach, np.searchsorted(doc, doc[pos], side="right")))
+    total, i = np.concatenate([[0], np.cumsum(hi - lo)]), 0
+    while i < len(pos):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + CELLS_AT_ONCE, side="right")) - 1)
+        n = hi[i:j] - lo[i:j]
+        one = np.repeat(np.arange(i, j), n)
+        word = words[np.arange(n.sum()) - np.repeat(total[i:j] - total[i], n) + lo[one]]
+        key = bound(g[seeds[one]], h[word])
+        hit = keys.positions(key)
+        yield pos[one[hit]], key[hit]
+        i = j
 
 
 def passages(docs: DataFrame, held, reach: int, key: str, text: str) -> DataFrame:
-    """(doc_id, words, first, last, seeds): passages around seeds, as word hashes with the byte range of each word."""
+    """(doc_id, words, first, last, keys): passages around keys, as word hashes with the byte range of each word."""
 
     def cut(batches):
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id")
+            keys, halves = held.value
             for doc, h, s, e, _ in word_blocks(batch.column("text"), overlap=2 * reach, letters=True):
                 g, at = shingle_hashes(doc, h, SEED)
-                hit = held.value.positions(g)
-                if not len(hit):
+                hit = keys.positions(g)
+                hits = [(at[hit], g[hit]), *bound_hits(doc, h, g, at, keys, halves, reach)]
+                pos, held_keys = (np.concatenate([x[k] for x in hits]) for k in (0, 1))
+                if not len(pos):
                     continue
-                pos, seed = at[hit], g[hit]
+                order = np.argsort(pos, kind="stable")
+                pos, held_keys = pos[order], held_keys[order]
                 limits = np.searchsorted(doc, doc[pos], side="left"), np.searchsorted(doc, doc[pos], side="right")
                 new = np.flatnonzero((np.diff(pos) > reach) | (np.diff(doc[pos]) != 0)) + 1
                 for group in np.split(np.arange(len(pos)), new):
                     a, b = group[0], group[-1]
                     lo, hi = max(limits[0][a], pos[a] - reach), min(limits[1][b], pos[b] + SEED + reach)
-                    out.append((int(doc[pos[a]]), h[lo:hi].view(np.int64), s[lo:hi], e[lo:hi], np.unique(seed[group]).view(np.int64)))
+                    out.append((int(doc[pos[a]]), h[lo:hi].view(np.int64), s[lo:hi], e[lo:hi], np.unique(held_keys[group]).view(np.int64)))
             big = pa.list_(pa.int64())
             columns = [ids.take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k] for x in out], big) for k in (1, 2, 3, 4))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "first", "last", "seeds"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "first", "last", "keys"])
 
     wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return wanted.mapInArrow(cut, "doc_id bigint, words array<bigint>, first array<bigint>, last array<bigint>, seeds array<bigint>")
+    return wanted.mapInArrow(cut, "doc_id bigint, words array<bigint>, first array<bigint>, last array<bigint>, keys array<bigint>")
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,16 +269,21 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_score: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, start_byte, end_byte) of every document that holds a copy of an item, edited or not."""
     context = docs.sparkSession.sparkContext
-    words = checkpointed(item_words(items, item, item_text))
+    words = checkpointed(item_words(items, item, item_text).withColumn("row", F.monotonically_increasing_id()))
     seen = words.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
-    all_seeds = checkpointed(item_seeds(words))
-    counts = corpus_counts(docs, context.broadcast(SeedFilter(all_seeds, seen["words"])), text)
-    seeds = checkpointed(rare_seeds(all_seeds, counts))
-    reach = seen["longest"] + seen["longest"] // 4 + 8
-    found = checkpointed(passages(docs, context.broadcast(SeedFilter(seeds, seen["words"])), reach, key, text).withColumn("passage", F.monotonically_increasing_id()))
+    grams = checkpointed(item_grams(words))
+    counts = corpus_counts(docs, context.broadcast(SeedFilter(grams, 2 * seen["words"])), text)
+    keys = checkpointed(item_keys(grams, counts, min_score))
+    n_keys = keys.count()
+    halves = keys.where("seed is not null").select(F.explode(F.array("seed", "word")).alias("seed")).distinct()
+    filters = SeedFilter(keys.select(F.col("key").alias("seed")), n_keys), SeedFilter(halves, halves.count())
+    # All words of an item and as many gaps as a passing score allows.
+    reach = seen["longest"] + math.ceil(MATCH * seen["longest"] * (1 - min(max(min_score, 0), 1))) + SEED
+    found = checkpointed(passages(docs, context.broadcast(filters), reach, key, text).withColumn("passage", F.monotonically_increasing_id()))
     small = F.broadcast if seen["words"] <= MAX_BROADCAST_WORDS else (lambda x: x)
-    pairs = found.select("passage", F.explode("seeds").alias("seed")).join(small(seeds), "seed").select("passage", "item_id").distinct()
-    rows = found.drop("seeds").join(pairs, "passage").join(small(words.withColumnRenamed("words", "item_words")), "item_id")
+    few = F.broadcast if n_keys <= MAX_BROADCAST_WORDS else (lambda x: x)
+    pairs = found.select("passage", F.explode("keys").alias("key")).join(few(keys.select("item_id", "key")), "key").select("passage", "item_id").distinct()
+    rows = found.drop("keys").join(pairs, "passage").join(small(words.select("item_id", F.col("words").alias("item_words"))), "item_id")
     scored = score_pairs(rows).where(F.col("score") >= min_score)
     best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_byte", "end_byte"), F.struct("score", -F.col("start_byte"), -F.col("end_byte"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), "best.start_byte", "best.end_byte")

@@ -148,6 +148,24 @@ def test_decontamination(spark, docs, no_docs):
     assert leaks.contaminated(docs, bench).count() == 0 and leaks.contaminated(no_docs, bench).count() == 0 and leaks.contaminated(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_copies_singly_and_in_thousands(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    fourth = lambda own: [w if (i + 1) % 4 else word() for i, w in enumerate(own)]
+    items = [[word() for _ in range(20)] for _ in range(4)]
+    # its only intact 3-gram in document 9000 is one that thousands of clean documents hold as well
+    items[2][9:12] = ["of", "all", "the"]
+    items += [[*(word() for _ in range(15)), "of", "all", "the"] for _ in range(leaks.FEW + 1)]
+    lone = [w if i in (9, 10, 11) or i % 3 else word() for i, w in enumerate(items[2])]
+    texts = [(0, fourth(items[0]))] + [(i, fourth(items[1]) + [word() for _ in range(5)]) for i in range(1, 3001)]
+    texts += [(i, [word(), "of", "all", "the", word(), word()]) for i in range(3001, 6001)] + [(9000, lone), (9001, fourth(items[3]) + [word() for _ in range(300)])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in leaks.contaminated(rows, bench).collect()}
+    want = {(i, k): plain_score(items[k], t) / 40 for i, t in texts for k in ((0,) if i == 0 else (1,) if i <= 3000 else (2,) if i == 9000 else (3,) if i == 9001 else ())}
+    assert min(want.values()) >= 0.5 and got == pytest.approx(want)
+
+
 def plain_print(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

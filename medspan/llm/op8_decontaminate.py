@@ -296,6 +296,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item."""
-    hit = checkpointed(contaminated(docs, items, key, text).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(hit, F.col(key).cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    """``docs`` without the rows that hold a copy of an item.
+
+    Rows are told apart by a hash of key and text, so rows that share a key, or have none, are judged each by itself.
+    """
+    own = docs.columns
+    marked = docs.withColumn("__mark", F.xxhash64(F.col(key), F.col(text)))
+    hit = checkpointed(contaminated(marked, items, "__mark", text).select(F.col("doc_id").alias("__mark")).distinct())
+    return marked.join(hit, "__mark", "left_anti").select(*own)

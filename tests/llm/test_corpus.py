@@ -166,6 +166,15 @@ def test_decontamination_finds_edited_copies_singly_and_in_thousands(spark):
     assert min(want.values()) >= 0.5 and got == pytest.approx(want)
 
 
+def test_decontamination_judges_rows_that_share_a_key_each_by_itself(spark):
+    item = "one quick brown fox jumps over the lazy dog near the old river bank"
+    texts = [(None, item), (None, "a clean text without an id"), (None, None), (5, "first " + item), (5, "a clean text with the same id"), (5, None), (6, "a clean text without an id")]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in texts], "doc_id long, text string, more string")
+    left = leaks.clean(rows, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert left.columns == rows.columns
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in rows.collect() if item not in (r.text or ""))
+
+
 def plain_print(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

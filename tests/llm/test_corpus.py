@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -208,12 +209,69 @@ def test_simhash(spark, docs, no_docs, edge_rows, monkeypatch):
             assert r.fingerprint == f"{prints[r.doc_id]:016x}"
             assert r.component_id == min(i for i, p in prints.items() if root[p] == root[prints[r.doc_id]])
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == len({root[int(r.fingerprint, 16)] for r in rows})
-    assert kept.where("doc_id = 60").count() == 1 and kept.where("doc_id = 61").count() == 0
 
 
-def test_gray_index_and_routing_lose_no_component(spark):
+def plain_wide(texts):
+    """Components of texts by the links that ``one_of_each`` is to use, over all pairs; as sets of positions."""
+    prints = simhash.wide_prints(pa.array(texts, pa.string()))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = [int(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+            if min(bits[: simhash.ROUTE_WORDS]) <= simhash.ROUTE_DISTANCE and sum(bits) <= simhash.ALIKE_BITS and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("limit", [0, simhash.MAX_BROADCAST])
+def test_one_of_each(spark, docs, no_docs, edge_rows, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "MAX_BROADCAST", limit or 1)
+    monkeypatch.setattr(simhash, "HUB", 2)  # every way of joining
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups: dict = {}
+    for row, g in zip(edge_rows, plain_wide([x[1] for x in edge_rows]), strict=True):
+        groups.setdefault(g, []).append(row)
+    want = sorted((x for g in groups.values() for x in [min(g, key=lambda r: (r[0] is None, r[0] or 0))]), key=repr)
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert simhash.one_of_each(no_docs).count() == 0
+
+
+def test_one_of_each_finds_edited_copies_and_keeps_others(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    texts, sources = [], []
+    for g in range(60):
+        own = [word() for _ in range(400)]
+        texts.append(own)
+        sources.append(g)
+        for _ in range(5):
+            copy = list(own)
+            for at in rng.sample(range(400), 4):  # similarity of about 0.9
+                copy[at] = word()
+            texts.append(copy)
+            sources.append(g)
+    rows = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, mark string")
+    left = [r.doc_id for r in simhash.one_of_each(rows).collect()]
+    assert {sources[i] for i in left} == set(range(60))
+    caught = 1 - (len(left) - 60) / 300
+    assert caught > 0.95 and all(r.mark == "x" for r in simhash.one_of_each(rows).collect())
+
+
+def test_wide_prints_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "bc", "def", "Ü"]) for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 50, 5000)] + [None]
+    whole = simhash.wide_prints(pa.array(texts))
+    assert not whole[0].any() and not whole[-1].any() and len({tuple(x) for x in whole.tolist()}) == 8
+    from medspan.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_BYTES", 700)
+    assert (simhash.wide_prints(pa.array(texts)) == whole).all()
+    assert (simhash.wide_prints(pa.array([texts[-2].upper().replace("Ü", "Ü")])) == whole[-2]).all()
+
+
+def test_gray_index_and_routing_lose_no_component(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centers = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     codes = set(map(int, centers)) | {0}
@@ -232,8 +290,10 @@ def test_gray_index_and_routing_lose_no_component(spark):
     assert set(zip(q.tolist(), m.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
     label = index.labels(4)
     assert len(set(label.tolist())) == len(set(want.values()))
-    frame = spark.createDataFrame([(int(c.view(np.int64)),) for c in codes], "fp long")
-    for n in (len(codes), 10**8, 10**10, 10**13):  # each number of blocks
+    frame = spark.createDataFrame([(int(c.view(np.int64)),) * 2 for c in codes], "mark long, fp long")
+    for n, hot in ((len(codes), 1 << 20), (len(codes), 20), (10**8, 1 << 20), (10**10, 1 << 20), (10**13, 1 << 20)):  # each number of blocks, and hot cells
+        monkeypatch.setattr(simhash, "HOT_CELL", hot)
+        monkeypatch.setattr(simhash, "HOT_SAMPLE", 1 if hot == 20 else 64)
         found = {r.node: r.root for r in simhash.components(simhash.links(frame, n)).collect()}
         groups: dict = {}
         for c in codes:

@@ -7,17 +7,21 @@
    stand close together make a passage, widened by the longest alignment that can pass; a passage is kept as word
    hashes with byte offsets and the keys it holds.
 4. Keys join passages to items, and each (passage, item) pair is aligned locally, many pairs at a time: 2 for a match,
-   -1 for a mismatch or a gap.  The score is the share of the item's own full score.
+   -1 for a mismatch or a gap.  The score is the share of the item's own full score.  Pairs whose passage holds too few of
+   the item's words for a passing score are not aligned: each match needs its word in the passage, so this loses nothing.
 
-No copy is lost by the keys: a passing alignment matches at least ``min_score`` of the item's words, so it matches one
+A copy passes with ``min_score`` of its item's full score, or, as an excerpt of a long item, with that of ``EXCERPT`` matching words.
+No copy is lost by the keys: a passing alignment matches that many of the item's words, so it matches one
 of any set of words that covers more than the rest.  What is required is one intact ``SEED``-gram in the alignment.
 
 The filters that documents are searched with are bit sets of fixed size (``FILTER_BITS``), exact hashes where there
 are few; the join decides.  Texts are never moved: only counts, passages around keys, and scores are.  A passage that
 a third of all documents share is a row for each of them, joined to a broadcast or AQE-split side.
 
-Defined results: null texts and items under ``SEED`` words match nothing.  The best passage of each (document, item)
-is kept; on ties the first.  Repeated rows give one result.  Empty tables give empty results.
+Defined results: null and empty texts and items under ``SEED`` words match nothing.  The best passage of each (document, item)
+is kept; on ties the first.  Repeated rows give one result.  Long texts are read in blocks that overlap by the reach of an
+alignment.  Empty tables give empty results.  ``contaminated`` carries no other columns; ``clean`` returns the input's own,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import checkpointed, mix, shingle_hashes, word_blocks
+from medspan.llm.common import checkpointed, mix, shingle_hashes, unused, word_blocks
 
 SEED = 3
 FILTER_BITS = 1 << 24
@@ -39,7 +43,11 @@ MAX_BROADCAST_WORDS = 1_000_000
 #: A seed is common if it occurs more often than this and far more often than its item's median seed, or in more items than this.
 FEW, FAR = 64, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: So many matching words are a copy however long the item is.
+EXCERPT = 25
 CELLS_AT_ONCE = 1 << 19
+#: Marks of rows to drop that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_MARKS = 1_000_000
 PAIRS = "doc_id bigint, item_id bigint, score double, start_byte bigint, end_byte bigint"
 
 
@@ -51,8 +59,9 @@ def item_words(items: DataFrame, item: str, text: str) -> DataFrame:
             ids, n = batch.column("item_id"), batch.num_rows
             words: list[list[np.ndarray]] = [[] for _ in range(n)]
             for doc, h, _, _, fresh in word_blocks(batch.column("text"), letters=True):
-                for row in np.unique(doc[fresh:]):
-                    words[row].append(h[fresh:][doc[fresh:] == row])
+                rows, at = np.unique(doc[fresh:], return_index=True)
+                for row, own in zip(rows.tolist(), np.split(h[fresh:], at[1:]), strict=False):
+                    words[row].append(own)
             kept = [i for i in range(n) if sum(map(len, words[i])) >= SEED]
             lists = pa.array([np.concatenate(words[i]).view(np.int64) for i in kept], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept, pa.int64())), lists], ["item_id", "words"])
@@ -76,6 +85,11 @@ def item_grams(words: DataFrame) -> DataFrame:
     return words.select("row", "item_id", "words").mapInArrow(grams, "row bigint, item_id bigint, width int, pos int, seed bigint")
 
 
+def needed(n_words, min_score: float):
+    """Words that an alignment with an item of ``n_words`` has to match to pass (a number or an array)."""
+    return np.minimum(np.ceil(min_score * n_words - 1e-9), EXCERPT)
+
+
 def bound(seed: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a seed together with a word."""
     return mix(seed * np.uint64(0xD6E8FEB86659FD93) + word)
@@ -143,7 +157,7 @@ def item_keys(grams: DataFrame, counts: DataFrame, min_score: float) -> DataFram
                     word, at, times = np.unique(seed[width == 1], return_index=True, return_counts=True)
                     order = np.argsort(n[width == 1][at], kind="stable")
                     total = int(times.sum())
-                    least = total - math.ceil(min_score * total - 1e-9) + 1
+                    least = total - int(needed(total, min_score)) + 1
                     rare = word[order[: int(np.searchsorted(np.cumsum(times[order]), least)) + 1]]
                     a, b = np.repeat(gram[common], len(rare)), np.tile(rare, common.sum())
                     out.append((np.full(len(a), item), bound(a, b), a, b, np.zeros(len(a), bool)))
@@ -237,8 +251,8 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best >> np.int64(32), best & np.int64(0xFFFFFFFF), best_end
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Align (doc_id, item_id, words, first, last, item_words) rows."""
+def score_pairs(pairs: DataFrame, min_score: float) -> DataFrame:
+    """Align (doc_id, item_id, words, first, last, item_words) rows; ``points`` that pass are kept."""
 
     def run(batches):
         for batch in batches:
@@ -248,7 +262,15 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             take = lambda c, i: lists[c][int(i)].values.to_numpy()  # noqa: E731, B023
             length = np.array([len(lists["words"][i]) for i in range(batch.num_rows)])
             score, lo, hi = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            order, at = np.argsort(length, kind="stable"), 0
+            passed = np.zeros(batch.num_rows, dtype=bool)
+            own, held = (lists[c].flatten().to_numpy() for c in ("item_words", "words"))
+            row = np.repeat(np.arange(batch.num_rows), [len(lists["item_words"][i]) for i in range(batch.num_rows)])
+            # Words of both sides under the number of their row: what an alignment could match at most.
+            tag = lambda words, of: mix(words.view(np.uint64) + of.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            shared = np.bincount(row, weights=np.isin(tag(own, row), tag(held, np.repeat(np.arange(batch.num_rows), length))), minlength=batch.num_rows)
+            least = needed(np.bincount(row, minlength=batch.num_rows), min_score)
+            able = np.flatnonzero(shared >= least)
+            order, at = able[np.argsort(length[able], kind="stable")], 0
             while at < len(order):
                 end = at + 1
                 while end < len(order) and (end - at + 1) * length[order[end]] <= CELLS_AT_ONCE:
@@ -258,10 +280,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
                 points, first, last = align(own, [take("words", i).view(np.uint64) for i in some])
                 for i, x, p, f, e in zip(some, own, points, first, last, strict=True):
                     score[i] = p / (MATCH * len(x))
+                    passed[i] = p >= min(min_score * MATCH * len(x) - 1e-9, MATCH * EXCERPT)
                     if e > f:
                         lo[i], hi[i] = take("first", i)[f], take("last", i)[e - 1]
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(lo), pa.array(hi)], ["doc_id", "item_id", "score", "start_byte", "end_byte"])
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(lo), pa.array(hi)], ["doc_id", "item_id", "score", "start_byte", "end_byte"])
+            yield made.filter(pa.array(passed))
 
     return pairs.select("doc_id", "item_id", "words", "first", "last", "item_words").mapInArrow(run, PAIRS)
 
@@ -284,7 +308,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     few = F.broadcast if n_keys <= MAX_BROADCAST_WORDS else (lambda x: x)
     pairs = found.select("passage", F.explode("keys").alias("key")).join(few(keys.select("item_id", "key")), "key").select("passage", "item_id").distinct()
     rows = found.drop("keys").join(pairs, "passage").join(small(words.select("item_id", F.col("words").alias("item_words"))), "item_id")
-    scored = score_pairs(rows).where(F.col("score") >= min_score)
+    scored = score_pairs(rows, min_score)
     best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_byte", "end_byte"), F.struct("score", -F.col("start_byte"), -F.col("end_byte"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), "best.start_byte", "best.end_byte")
 
@@ -298,9 +322,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a copy of an item.
 
-    Rows are told apart by a hash of key and text, so rows that share a key, or have none, are judged each by itself.
+    Rows are told apart by a hash of key and text, so rows that share a key, or have none, are judged each by itself.  The
+    marks of the rows to drop are broadcast where they are few enough; then texts are not moved.
     """
-    own = docs.columns
-    marked = docs.withColumn("__mark", F.xxhash64(F.col(key), F.col(text)))
-    hit = checkpointed(contaminated(marked, items, "__mark", text).select(F.col("doc_id").alias("__mark")).distinct())
-    return marked.join(hit, "__mark", "left_anti").select(*own)
+    mark = unused(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
+    hit = checkpointed(contaminated(marked, items, mark, text).select(F.col("doc_id").alias(mark)).distinct())
+    hit = F.broadcast(hit) if hit.count() <= MAX_BROADCAST_MARKS else hit
+    return marked.join(hit, mark, "left_anti").select(*docs.columns)

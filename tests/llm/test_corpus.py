@@ -167,6 +167,34 @@ def test_decontamination_finds_edited_copies_singly_and_in_thousands(spark):
     assert min(want.values()) >= 0.5 and got == pytest.approx(want)
 
 
+def test_decontamination_equals_all_pairs_and_finds_excerpts(spark, monkeypatch):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]  # many shared 3-grams
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 70))] for _ in range(25)]
+    texts = []
+    for _ in range(120):
+        own = list(rng.choice(items))
+        at = rng.randrange(len(own))
+        own = own[at : at + rng.randint(3, 40)]
+        texts.append([w for w in own if rng.random() > 0.1] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))])
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    want, near = {}, set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            points = plain_score(item, t)
+            if points >= min(len(item), 2 * leaks.EXCERPT):
+                (near.add((d, k)) if not grams(item) & grams(t) else want.update({(d, k): points / (2 * len(item))}))
+    assert any(s < 0.5 for s in want.values()) and not near  # a copy without an intact 3-gram is the stated limit
+    rows = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, mark string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in leaks.contaminated(rows, bench).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    for limit in (0, 100):
+        monkeypatch.setattr(leaks, "MAX_BROADCAST_MARKS", limit)
+        left = leaks.clean(rows, bench)
+        assert left.columns == rows.columns and {r.doc_id for r in left.collect()} == set(range(120)) - {d for d, _ in want}
+
+
 def test_decontamination_judges_rows_that_share_a_key_each_by_itself(spark):
     item = "one quick brown fox jumps over the lazy dog near the old river bank"
     texts = [(None, item), (None, "a clean text without an id"), (None, None), (5, "first " + item), (5, "a clean text with the same id"), (5, None), (6, "a clean text without an id")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,31 @@ def runs(inside: np.ndarray, limits: np.ndarray, least: int) -> tuple[np.ndarray
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     keep = ends - starts >= least
     return starts[keep], ends[keep]
+
+
+class Spans:
+    """Sorted spans of one text, asked for overlaps in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):  # overlapping ones become one
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+    def gaps(self, start: int, end: int):
+        """The parts of a range that lie in no span, in order."""
+        at = bisect_right(self.ends, start)
+        while at < len(self.starts) and self.starts[at] < end:
+            if self.starts[at] > start:
+                yield start, self.starts[at]
+            start, at = max(start, self.ends[at]), at + 1
+        if start < end:
+            yield start, end

@@ -1,14 +1,18 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-The base patterns (assignments, access keys, hex runs) always stay.  The method adds spans of kind ``random``: each
-run of at least ``MIN_TOKEN`` token characters that meets no base span is scored by the best log-likelihood ratio
-per character between a first-order Markov model of random strings (one for each alphabet) and one of ordinary
-identifiers.  Both are trained from labelled samples, which ``labelled_samples`` builds from fixed parts and a seed.
+The base patterns (assignments, access keys, hex runs) always stay.  The method adds spans of kind ``random``.  What
+base spans leave of each run of token characters is scored by the best log-likelihood ratio per character between a
+first-order Markov model of random strings (one for each alphabet) and one of ordinary identifiers: the whole run first and, where that
+is not random, its parts between ``/ _ = -``, so that a key within a path or a name is found.  Runs and parts under
+``min_token`` characters are not scored: short strings do not tell (see README for figures).  Both models are trained from labelled samples,
+which ``labelled_samples`` builds from fixed parts and a seed.
 
 Texts are scanned as UTF-8 bytes in Arrow batches; offsets are reported in code points, end exclusive.
 
-Defined results: a null text counts as empty and has no spans.  Repeated rows are each scanned, an empty table gives
-an empty result, columns of the input are kept and the result columns replace those of the same name.
+Defined results: a null text counts as empty and has no spans.  A text of any length and content takes time in proportion to
+its length.  A ratio equal to the bound counts as random; of equal ratios of several alphabets it does not matter which.  Repeated
+rows are each scanned, an empty table gives an empty result, columns of the input are kept and the result columns replace
+those of the same name.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import buffers, code_points, doc_groups, runs
+from medspan.llm.common import Spans, buffers, code_points, doc_groups, runs, unused
 
 KINDS = ("assign", "access", "hex", "random")
+#: Least characters of a scored run or part.
 MIN_TOKEN = 20
 #: Nats per character by which a random model must beat the ordinary one.
 MIN_RATIO = 0.7
@@ -53,13 +58,14 @@ IDENTIFIER_PARTS = (
     "protocol packet router gateway balance payment invoice order product customer supplier warehouse shipment delivery tracking "
     "international organization understanding administration responsibilities communications recommendation transformation"
 ).split()
-#: Ordinary prose that may run together in other languages and in generated text.
+#: Common short words and syllables of English, German, French and Spanish, for words that run together.
 PROSE_PARTS = (
     "the and with that this from have which their there would about other these between through because another without something "
     "und nicht schaft heit keit lich ver ein sch ung zeit tion ment aux eau que pour dans avec elle vous est les des sur "
     "cion dad mente para como esta pero sobre entre cuando donde"
 ).split()
 
+PART = re.compile(rb"[A-Za-z0-9+]+")
 _CODE = np.full(256, -1, dtype=np.int64)
 _CHARS = sorted(set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
 for _i, _c in enumerate(_CHARS):
@@ -108,14 +114,24 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def scan(texts: pa.Array, tables: np.ndarray) -> pa.StructArray:
+def random_spans(text: bytes, start: int, end: int, tables: np.ndarray, min_token: int) -> list[tuple[int, int]]:
+    """The run itself if it is random, else its random parts."""
+    if end - start < min_token:
+        return []
+    if ratio(text[start:end], tables) >= MIN_RATIO:
+        return [(start, end)]
+    parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end]) if m.end() - m.start() >= min_token]
+    return [(s, e) for s, e in parts if (s, e) != (start, end) and ratio(text[s:e], tables) >= MIN_RATIO]
+
+
+def scan(texts: pa.Array, tables: np.ndarray, min_token: int = MIN_TOKEN) -> pa.StructArray:
     raw, off = buffers(texts)
     n = len(off) - 1
     counts = np.zeros((3, n), dtype=np.int64)
     sha, found = [hashlib.sha256(b"").hexdigest()] * n, [""] * n
     for i, j in doc_groups(off):
         block, limits = raw[off[i] : off[j]], off[i:j] - off[i]
-        hexes, longs = runs(_HEX[block], limits, 32), runs(_CODE[block] >= 0, limits, MIN_TOKEN)
+        hexes, longs = runs(_HEX[block], limits, 32), runs(_CODE[block] >= 0, limits, min_token)
         hex_doc, long_doc = (np.searchsorted(limits, x[0], side="right") - 1 for x in (hexes, longs))
         for d in range(j - i):
             text = raw[off[i + d] : off[i + d + 1]].tobytes()
@@ -128,10 +144,9 @@ def scan(texts: pa.Array, tables: np.ndarray) -> pa.StructArray:
             lo, hi = np.searchsorted(hex_doc, (d, d + 1))
             base += [(int(s - limits[d]), 2, int(e - limits[d])) for s, e in zip(hexes[0][lo:hi], hexes[1][lo:hi], strict=True)]
             lo, hi = np.searchsorted(long_doc, (d, d + 1))
-            added = []
-            for s, e in zip(longs[0][lo:hi] - limits[d], longs[1][lo:hi] - limits[d], strict=True):
-                if not any(s < b[2] and b[0] < e for b in base) and ratio(text[s:e], tables) >= MIN_RATIO:
-                    added.append((int(s), 3, int(e)))
+            added, held = [], Spans([(s, e) for s, _, e in base])
+            for s, e in zip((longs[0][lo:hi] - limits[d]).tolist(), (longs[1][lo:hi] - limits[d]).tolist(), strict=True):
+                added += [(x, 3, y) for a, b in held.gaps(s, e) for x, y in random_spans(text, a, b, tables, min_token)]
             if not base and not added:
                 continue
             at = code_points(raw[off[i + d] : off[i + d + 1]])
@@ -144,20 +159,21 @@ def scan(texts: pa.Array, tables: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([*(pa.array(c) for c in counts), pa.array(sha, pa.string()), pa.array(found, pa.string())], ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def secret_column(spark: SparkSession, text: Column) -> Column:
+def secret_column(spark: SparkSession, text: Column, min_token: int = MIN_TOKEN) -> Column:
     shared = spark.sparkContext.broadcast(train(labelled_samples()))
 
     @F.arrow_udf(RESULT)
     def secrets(texts: pa.Array) -> pa.Array:
-        return scan(texts, shared.value)
+        return scan(texts, shared.value, min_token)
 
     return secrets(text)
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", min_token: int = MIN_TOKEN) -> DataFrame:
     """``docs`` with counts of each base kind, the digest of the base spans, and all spans."""
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
-    return docs.withColumn("__secrets", secret_column(docs.sparkSession, F.col(text))).withColumns({c: F.col(f"__secrets.{c}") for c in names}).drop("__secrets")
+    made = unused(docs, "secrets")
+    return docs.withColumn(made, secret_column(docs.sparkSession, F.col(text), min_token)).withColumns({c: F.col(f"{made}.{c}") for c in names}).drop(made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ them (at most 3**5), runs expectation-maximisation on the counts, and fits a log
 features to the posteriors of a bounded sample (``max_rows``, by hash).  ``pii_column`` then tags whole texts: base
 spans, and every loose candidate the classifier accepts that meets no base span.  ``redacted`` replaces spans.
 
-Patterns are written without backtracking, so a text of any content takes linear time.  Offsets are code points,
-end exclusive.
+Patterns are written without backtracking and base spans are looked up by bisection, so a text of any content and length
+takes time in proportion to its length.  Names are whole words, with accents, hyphens and apostrophes, in the forms of English, French,
+German and Spanish.  Offsets are code points, end exclusive.
 
-Defined results: a null text counts as empty; redaction leaves it null.  Without candidates nothing is added.
+Defined results: a null or empty text has no spans; redaction leaves it as it is.  Without candidates nothing is added.  Base spans
+of several kinds may overlap and all stay; an added span that meets a base span is left out, and of equal added spans one stays.
 Repeated rows are each tagged; empty tables give empty results; the input's columns are kept and result columns replace
 those of the same name.
 """
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import buffers, checkpointed, code_points, doc_groups
+from medspan.llm.common import Spans, buffers, checkpointed, code_points, doc_groups, unused
 
 #: Base kinds as the contract lists them, then those of the method.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "identity", "hidden_email", "person")
@@ -50,14 +52,16 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_PHONE = re.compile(rb"(?<![0-9A-Za-z+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 IDENTITY = re.compile(rb"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 HIDDEN_EMAIL = re.compile(rb"(?<![A-Za-z0-9._%+-])" + LOCAL + rb" ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+")
-TITLED = re.compile(rb"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?")
-TITLES = (b"Mr", b"Ms", b"Dr", b"Prof")
+LETTER = rb"(?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])"
+NAME = rb"(?:[A-Z]|\xc3[\x80-\x96\x98-\x9e])(?:" + LETTER + rb"|['-](?=" + LETTER + rb"))++"
+TITLES = b"Mr Mrs Ms Dr Prof Mme Mlle Monsieur Madame Herr Frau Sr Sra Srta Don Do\xc3\xb1a Se\xc3\xb1or Se\xc3\xb1ora".split()
+TITLED = re.compile(rb"(?<![A-Za-z\x80-\xff])(?:" + b"|".join(sorted(TITLES, key=len, reverse=True)) + rb")\.? " + NAME + rb"(?: " + NAME + rb")?+")
 GIVEN_NAMES = (
     b"James Robert Michael William Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Patricia Jennifer Linda "
     b"Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Kimberly Emily Michelle Carlos Fernando Isabel "
     b"Pierre Sophie Wolfgang Juergen"
 ).split()
-NAMED = re.compile(rb"(?<![A-Za-z])(?:" + b"|".join(GIVEN_NAMES) + rb") [A-Z][a-z]{1,30}(?![a-z])")
+NAMED = re.compile(rb"(?<![A-Za-z\x80-\xff])(?:" + b"|".join(GIVEN_NAMES) + rb") " + NAME)
 TOP_DOMAINS = frozenset(b"com org net edu gov io info biz de fr es it uk us ca eu".split())
 TRIGGERS = re.compile(rb"(?i)\b(?:phone|tel|call|fax|mobile|e-?mail|mail|contact|write|ip|address|server|host|card|visa|credit|ssn|social|name|from|by)\b[^A-Za-z0-9]*$")
 COUNTER_TRIGGERS = re.compile(rb"(?i)\b(?:version|ver|v|isbn|issn|order|item|page|figure|table|sku|invoice|total|section|chapter|serial)\b[^A-Za-z0-9]*$")
@@ -235,9 +239,9 @@ def spans_of(text: bytes, n_digits: int, model: SpanModel) -> tuple[list[tuple[i
     """(start, kind, end) in bytes: the base spans, and those the method adds."""
     found = matches(text, n_digits)
     base = [(s, k, e) for k, s, e, valid in found if k < BASE and valid]
-    added = []
+    added, held = [], Spans([(s, e) for s, _, e in base])
     for k, s, e, valid in found:
-        if k >= BASE and not any(s < b[2] and b[0] < e for b in base) and model.accepts(describe(text, k, s, e, valid).features):
+        if k >= BASE and not held.meets(s, e) and model.accepts(describe(text, k, s, e, valid).features):
             added.append((s, k, e))
     return base, sorted(set(added))
 
@@ -311,7 +315,8 @@ def redacted(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame
 def find_pii(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` with counts of each base kind, the digest of the base spans, and all spans."""
     names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    return docs.withColumn("__pii", pii_column(docs.sparkSession, F.col(text), model)).withColumns({c: F.col(f"__pii.{c}") for c in names}).drop("__pii")
+    made = unused(docs, "pii")
+    return docs.withColumn(made, pii_column(docs.sparkSession, F.col(text), model)).withColumns({c: F.col(f"{made}.{c}") for c in names}).drop(made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 ``train`` counts hashed character bigrams and trigrams per language on a bounded, hash-ordered sample of labelled
-rows; ``identify`` broadcasts the log-probability matrix (languages x bins) and scores whole texts in Arrow
+rows; ``identify`` broadcasts the log-probability matrix (languages x bins, at most ``MAX_LANGUAGES`` rows) and scores whole texts in Arrow
 batches, as sparse rows of bin indices summed with numpy.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled row at all every
-text is ``und``.  Ties go to the language first in code-point order.  Empty tables give empty results, repeated
-rows are each scored, and the columns of the input are kept (``lang_pred`` and ``score`` are replaced).
+``fit`` tells how well a text suits the language chosen: the mean log-probability of its n-grams above that of a model that
+knows no language (all bins equally likely).  The posterior cannot tell that, since it only compares learned languages.  ``accepted``
+rejects what has no letter, no clear best language, or a ``fit`` under 0.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0 and fit 0; with no labelled row at all every
+text is ``und``, and ``accepted`` then keeps every row, as nothing can be judged.  Ties go to the language first in code-point order.
+Texts of any length are read in blocks.  Empty tables give empty results, repeated rows are each scored, and the columns of the
+input are kept (``lang_pred``, ``score`` and ``fit`` are replaced).
 """
 
 from __future__ import annotations
@@ -18,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medspan.llm.common import unused
+
 BINS = 1 << 15
 BLOCK = 1 << 18
 UNDETERMINED = "und"
-RESULT = "struct<lang_pred:string,score:double>"
+#: Labels beyond this number are refused: the matrix (256 KiB a language) is broadcast.
+MAX_LANGUAGES = 256
+RESULT = "struct<lang_pred:string,score:double,fit:double>"
 
 
 @dataclass(frozen=True)
@@ -79,14 +88,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """Fit the model on at most about ``max_rows_per_lang`` rows of each language, chosen by a hash of ``key``.
 
     The bound is a documented parameter: beyond it more rows do not move the matrix.  Rows with a null text or
-    language are left out.  Only counts per (language, bin) leave the executors.
+    language are left out, of the priors too.  Only counts per (language, bin) leave the executors.
     """
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)).alias("at"))
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)).alias("at"))
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     if not found:
         return LanguageModel([], np.zeros(0), np.zeros((0, BINS + 1)))
     share = F.create_map(*[x for k, n in found.items() for x in (F.lit(k), F.lit(int(min(1.0, max_rows_per_lang / n) * (1 << 30))))])
-    sample = rows.where((F.col("at") < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull()).select("lang", "text").repartition(8)
+    sample = rows.where(F.col("at") < F.element_at(share, F.col("lang"))).select("lang", "text").repartition(8)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -119,14 +130,16 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Best language, its posterior, and ``fit`` of each text."""
     n, k = len(texts), len(model.langs)
-    best, score = [UNDETERMINED] * n, np.zeros(n)
+    best, score, fit = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
     if not k:
-        return best, score
-    total = np.tile(model.log_prior, (n, 1))
+        return best, score, fit
+    total, grams = np.tile(model.log_prior, (n, 1)), np.zeros(n)
     known = [i for i, t in enumerate(texts) if _has_letter(t)]
     for at, starts, two, three in _blocks(texts):
+        np.add.at(grams, at, np.add.reduceat((two < BINS).astype(np.int64) + (three < BINS), starts))
         for j in range(k):
             table = model.log_prob[j]
             np.add.at(total[:, j], at, np.add.reduceat(table[two] + table[three], starts))
@@ -135,17 +148,18 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     post = (odds / odds.sum(1, keepdims=True)).max(1)
     for i in known:
         best[i], score[i] = model.langs[top[i]], post[i]
-    return best, score
+        fit[i] = (total[i, top[i]] - model.log_prior[top[i]]) / max(grams[i], 1) + np.log(BINS)
+    return best, score, fit
 
 
 def language_column(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """Struct column of ``lang_pred`` and ``score`` for a text column."""
+    """Struct column of ``lang_pred``, ``score`` and ``fit`` for a text column."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
     def language(texts: pa.Array) -> pa.Array:
-        best, score = score_texts(texts.to_pylist(), shared.value)
-        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        best, score, fit = score_texts(texts.to_pylist(), shared.value)
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score), pa.array(fit)], ["lang_pred", "score", "fit"])
 
     return language(text)
 
@@ -156,17 +170,22 @@ def held_out(key: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of every whole text."""
-    return docs.withColumn("__language", language_column(docs.sparkSession, model, F.col(text))).withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
+    """``docs`` with ``lang_pred``, ``score`` and ``fit`` of every whole text."""
+    made = unused(docs, "language")
+    found = docs.withColumn(made, language_column(docs.sparkSession, model, F.col(text)))
+    return found.withColumns({c: F.col(f"{made}.{c}") for c in ("lang_pred", "score", "fit")}).drop(made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "fit")
 
 
-def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: ``und``, or a score under ``min_score``."""
-    found = docs.withColumn("__language", language_column(docs.sparkSession, model, F.col("text")))
-    return found.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= min_score)).drop("__language")
+def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language cannot be told: ``und``, a score under ``min_score``, or a ``fit`` under 0."""
+    if not model.langs:
+        return docs
+    made = unused(docs, "language")
+    found = docs.withColumn(made, language_column(docs.sparkSession, model, F.col(text)))
+    return found.where((F.col(f"{made}.lang_pred") != UNDETERMINED) & (F.col(f"{made}.score") >= min_score) & (F.col(f"{made}.fit") >= 0)).drop(made)

@@ -11,7 +11,8 @@ labels, times the number of documents; the k-th largest key is found exactly by
 
 Defined results: a null or empty text has no n-gram, weight 0 and only its noise.  Noise depends on the id and the
 seed; rows with equal ids and texts have equal keys, and all rows with the k-th key are selected.  Without good
-labels the two models are equal and the sample is uniform.  Empty tables give empty results.
+labels the two models are equal and the sample is uniform.  Long texts are read in blocks.  Empty tables give empty results.  No
+other columns are carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -106,10 +107,10 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sample = ids.where(F.col("good") & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < limit)).select("id")
     ratios = log_ratios(*count_models(docs, sample, key, text))
     uniform = (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("u")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = checkpointed(weigh(docs, ratios, key, text).withColumn("__key", F.round((F.col("log_weight") - F.log(-F.log(uniform))) * 1e6).cast("long")))
+    keyed = checkpointed(weigh(docs, ratios, key, text).withColumn("gumbel", F.round((F.col("log_weight") - F.log(-F.log(uniform))) * 1e6).cast("long")))
     wanted = (seen["fit"] / seen["n"] if seen["n"] else 1.0) if share is None else share
-    edge = kth_largest(keyed, "__key", round(wanted * keyed.count()))
-    return keyed.select(key, "n_grams", "log_weight", (F.col("__key") / 1e6).alias("gumbel_key"), (F.col("__key") >= edge if edge is not None else F.lit(False)).alias("selected"))
+    edge = kth_largest(keyed, "gumbel", round(wanted * keyed.count()))
+    return keyed.select(key, "n_grams", "log_weight", (F.col("gumbel") / 1e6).alias("gumbel_key"), (F.col("gumbel") >= edge if edge is not None else F.lit(False)).alias("selected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ prefix before it and ``t`` stay apart when encoded together (a published propert
 prefix; a text's counts are running sums over its pre-tokens.  ``PrefixCounter`` answers totals, counts at any prefix,
 and the longest prefix within a budget, without encoding again.
 
-Work memory is bounded: pre-token tables are kept in a cache of at most 2 x ``CACHE`` entries, long texts are read in
-pieces, and a pre-token of any length takes one linear pass.
+Work memory is bounded: pre-token tables are kept in a cache of at most 2 x ``CACHE`` entries and 2 x ``CACHE_CHARS`` characters,
+long texts are read in pieces, and a pre-token of any length takes one linear pass.  A vocabulary file with another model, normaliser
+or pre-tokenizer than the one written here is refused.
 
 Defined results: a null text counts as empty (0 tokens).  A special token's string inside a text is one token, the
 library's default.  Repeated rows are each counted; empty tables give empty results; the input's columns are kept and
@@ -26,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medspan.llm.common import unused
+
 LIMIT = 1024
-CACHE = 300_000
+CACHE, CACHE_CHARS = 300_000, 16_000_000
 PIECE = 1 << 20
 RESULT = "struct<n_tokens:bigint,fit_chars:bigint>"
 #: Fixed pattern of the vocabulary's published pre-tokenizer.
@@ -55,6 +58,16 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(spans) + "]")
 
 
+def check(spec: dict) -> None:
+    """Refuse vocabulary files whose rules are not the ones that this module applies."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    bytewise = cut.get("type") == "ByteLevel" and cut.get("add_prefix_space") is False and cut.get("use_regex", True) is True
+    tokens = all(not (t.get("single_word") or t.get("lstrip") or t.get("rstrip")) for t in spec["added_tokens"])
+    if not (plain and bytewise and tokens and spec.get("normalizer") is None and spec.get("post_processor") is None):
+        raise ValueError("the vocabulary file is no plain byte-level BPE with the standard pre-tokenizer")
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         import regex
@@ -62,6 +75,7 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank: dict[tuple[str, str], int] = {(a, b): i for i, (a, b) in enumerate(merges)}
         special = [t["content"] for t in spec["added_tokens"]]
@@ -74,6 +88,7 @@ class PrefixCounter:
         self.ascii = {i: c for i, c in enumerate(self.letters[:128])}
         self.tables: dict[str, bytes | list[int]] = {}
         self.old_tables: dict[str, bytes | list[int]] = {}
+        self.held_chars = 0
         self.apart: dict[int, bool] = {}
         self._own_tokens()
 
@@ -155,9 +170,10 @@ class PrefixCounter:
         known = self.tables.get(piece)
         if known is None:
             known = self.old_tables.get(piece) or self._table(piece)
-            if len(self.tables) >= CACHE:  # two generations: what was not asked for lately goes
-                self.tables, self.old_tables = {}, self.tables
+            if len(self.tables) >= CACHE or self.held_chars >= CACHE_CHARS:  # two generations: what was not asked for lately goes
+                self.tables, self.old_tables, self.held_chars = {}, self.tables, 0
             self.tables[piece] = known
+            self.held_chars += len(piece)
         return known
 
     def _table(self, piece: str) -> list[int] | bytes:
@@ -295,15 +311,16 @@ def token_column(text: Column, path: str, limit: int = LIMIT) -> Column:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_chars`` (longest prefix within the limit)."""
-    made = docs.withColumn("__tokens", token_column(F.col(text), path, limit))
+    own = unused(docs, "tokens")
+    made = docs.withColumn(own, token_column(F.col(text), path, limit))
     return made.withColumns(
         {
             "n_bytes": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long"),
-            "n_tokens": F.col("__tokens.n_tokens"),
-            "over_limit": F.col("__tokens.n_tokens") > limit,
-            "fit_chars": F.col("__tokens.fit_chars"),
+            "n_tokens": F.col(f"{own}.n_tokens"),
+            "over_limit": F.col(f"{own}.n_tokens") > limit,
+            "fit_chars": F.col(f"{own}.fit_chars"),
         }
-    ).drop("__tokens")
+    ).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

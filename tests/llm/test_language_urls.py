@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 
+import numpy as np
+import pytest
+from conftest import prose
 from pyspark.sql import functions as F
 
 from medspan.llm import op1_language as lang
@@ -12,7 +17,7 @@ def test_language(spark, docs, no_docs, edge_rows):
     model = lang.train(docs.where(~lang.held_out(F.col("doc_id"))))
     assert model.langs == ["de", "en"]
     out = lang.identify(docs, model)
-    assert out.columns == [*docs.columns, "lang_pred"]
+    assert out.columns == [*docs.columns, "lang_pred", "fit"]
     rows = out.collect()
     assert len(rows) == len(edge_rows)
     for r in rows:
@@ -23,12 +28,64 @@ def test_language(spark, docs, no_docs, edge_rows):
             if r.doc_id is not None and r.doc_id < 40:
                 assert r.lang_pred == r.lang
     kept = lang.accepted(docs, model)
-    assert kept.columns == docs.columns and kept.where("score = 0.25").count() == kept.count() == len([r for r in rows if r.lang_pred != "und" and r.score >= 0.5])
+    assert kept.columns == docs.columns and kept.where("score = 0.25").count() == kept.count() == len([r for r in rows if r.lang_pred != "und" and r.score >= 0.5 and r.fit >= 0])
+    assert kept.where("doc_id < 40").count() == 40
     empty = lang.train(no_docs)
-    assert {r.lang_pred for r in lang.identify(docs, empty).collect()} == {"und"}
+    assert {r.lang_pred for r in lang.identify(docs, empty).collect()} == {"und"} and lang.accepted(docs, empty).count() == len(edge_rows)
     assert lang.identify(no_docs, model).count() == 0
 
 
+def plain_scores(train_rows, texts):
+    """Naive Bayes with a plain loop over n-grams; the bin of an n-gram as the operator computes it, character by character."""
+
+    def bins(text):
+        cut, framed, out = 32 - lang.BINS.bit_length() + 1, [ord(c) for c in f"\0{text.lower()}\0"], []
+        wrap = lambda x: x & 0xFFFFFFFF
+        for i in range(len(framed) - 1):
+            two = wrap(framed[i] * 0x9E3779B1) ^ wrap(framed[i + 1] * 0x85EBCA6B)
+            out.append(wrap(two * 0x165667B1) >> cut)
+            if i + 2 < len(framed):
+                out.append(wrap((wrap(two * 0xC2B2AE35) ^ wrap(framed[i + 2] * 0x27D4EB2F)) * 0x165667B1) >> cut)
+        return out
+
+    counts, rows = {}, {}
+    for text, label in train_rows:
+        rows[label] = rows.get(label, 0) + 1
+        for b in bins(text) if text else ():
+            counts.setdefault(label, {})[b] = counts.setdefault(label, {}).get(b, 0) + 1
+    out = []
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0, 0.0))
+            continue
+        log, grams = {}, bins(text)
+        for label in sorted(counts):
+            total = sum(counts[label].values()) + 0.5 * lang.BINS
+            log[label] = math.log(rows[label] / sum(rows.values())) + sum(math.log((counts[label].get(b, 0) + 0.5) / total) for b in grams)
+        best = max(sorted(log), key=log.get)
+        out.append((best, 1 / sum(math.exp(v - log[best]) for v in log.values()), (log[best] - math.log(rows[best] / sum(rows.values()))) / len(grams) + math.log(lang.BINS)))
+    return out
+
+
+def test_scores_equal_plain_naive_bayes(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, "en" if i % 3 else "de", rng.randint(1, 12)), "en" if i % 3 else "de") for i in range(60)] + [(90, None, "en"), (91, "x", None), (92, "", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.train(frame)
+    texts = [t for _, t, _ in rows] + ["Über das Haus", "zzz", "12", "qxj zkv wqx", "日本語のテキスト"]
+    want = plain_scores([(t, k) for _, t, k in rows if k is not None and t is not None], texts)
+    best, score, fit = lang.score_texts(texts, model)
+    assert best == [w[0] for w in want]
+    assert np.allclose(score, [w[1] for w in want]) and np.allclose(fit, [w[2] for w in want])
+    assert fit[texts.index("日本語のテキスト")] < 0 < min(f for f, (i, t, k) in zip(fit, rows, strict=False) if k and t and len(t) > 20)
+
+
+def test_too_many_labels_are_refused(spark):
+    rows = spark.range(lang.MAX_LANGUAGES + 1).selectExpr("id AS doc_id", "'text' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError, match="labels"):
+        lang.train(rows)
+
+
 def test_scores_do_not_depend_on_blocks(docs):
     model = lang.train(docs)
     texts = ["the house over the river", None, "haus und fluss", "x" * 700_000 + " the house"]

@@ -7,6 +7,7 @@ import random
 import re
 import string
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medspan.llm import op3_secrets as secrets
@@ -102,6 +103,66 @@ def test_pii_matches_plain_patterns(spark, docs, no_docs):
             assert not plain_spans(r.text, PII_PATTERNS[:1])
 
 
+def test_random_keys_within_longer_runs_are_found():
+    tables = secrets.train(secrets.labelled_samples())
+    rng = random.Random(3)
+    found = 0
+    for _ in range(100):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(28))
+        text = f"see reset/confirm/account/{key} and administration_service_request_handler_name={key}".encode()
+        got = [(text[s:e]).decode() for a, b in ((4, 54), (59, len(text))) for s, e in secrets.random_spans(text, a, b, tables, secrets.MIN_TOKEN)]
+        found += sum(key in g for g in got)
+    assert found >= 190
+    ordinary = b"international_organization_understanding/administration/responsibilities/communications"
+    assert secrets.random_spans(ordinary, 0, len(ordinary), tables, secrets.MIN_TOKEN) == []
+
+
+def test_spans_answer_overlaps_and_gaps():
+    from medspan.llm.common import Spans
+
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        lo = rng.randint(0, 60)
+        hi = lo + rng.randint(1, 20)
+        held = Spans(spans)
+        assert held.meets(lo, hi) == any(s < hi and lo < e for s, e in spans)
+        free = [i for i in range(lo, hi) if not any(s <= i < e for s, e in spans)]
+        assert [i for a, b in held.gaps(lo, hi) for i in range(a, b)] == free
+
+
+def test_scans_take_linear_time_on_megabytes_of_matches():
+    import time
+
+    import numpy as np
+
+    model, tables = pii.SpanModel(np.ones(pii.FEATURES), 1.0), secrets.train(secrets.labelled_samples())
+    for unit in ("mail a@b.cc or 555-123-4567, ", "10.0.0.1 Dr Smith "):
+        text = (unit * (1_000_000 // len(unit))).encode()
+        began = time.time()
+        base, added = pii.spans_of(text, sum(map(str.isdigit, unit)) * (len(text) // len(unit)), model)
+        assert base and added and time.time() - began < 8
+    began = time.time()
+    got = secrets.scan(pa.array(["token=abcdefgh12 qZ7xK2mW9pL4vT8nB3rY6sJ5 " * 25_000]), tables)
+    assert got[0]["n_assign"].as_py() == 25_000 and got[0]["spans"].as_py().count("random") > 20_000 and time.time() - began < 8
+
+
+def test_names_are_whole_words_in_any_language():
+    for text, want in ((b"Dr M\xc3\xbcller went", b"Dr M\xc3\xbcller"), ("Señora Gonzáles-Ñúñez dijo".encode(), "Señora Gonzáles-Ñúñez".encode()), (b"Mme D'Arc " + b"x", b"Mme D'Arc"), (b"Mr " + b"A" + b"b" * 50 + b"!", b"Mr A" + b"b" * 50)):
+        assert [text[s:e] for k, s, e, _ in pii.matches(text, 0) if k == 7] == [want]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    spec = json.load(open(tokens.default_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            tokens.check(spec | change)
+
+
 def test_pii_takes_linear_time_on_any_text():
     import time
 

@@ -6,7 +6,8 @@ batches, as sparse rows of bin indices summed with numpy.
 
 ``fit`` tells how well a text suits the language chosen: the mean log-probability of its n-grams above that of a model that
 knows no language (all bins equally likely).  The posterior cannot tell that, since it only compares learned languages.  ``accepted``
-rejects what has no letter, no clear best language, or a ``fit`` under 0.
+rejects what has no letter, no clear best language, or a ``fit`` under ``MIN_FIT``: unlearned scripts and letter junk lie far below, and
+texts of a learned language that consist mostly of numbers stay above.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and fit 0; with no labelled row at all every
 text is ``und``, and ``accepted`` then keeps every row, as nothing can be judged.  Ties go to the language first in code-point order.
@@ -30,6 +31,7 @@ BLOCK = 1 << 18
 UNDETERMINED = "und"
 #: Labels beyond this number are refused: the matrix (256 KiB a language) is broadcast.
 MAX_LANGUAGES = 256
+MIN_FIT = -2.0
 RESULT = "struct<lang_pred:string,score:double,fit:double>"
 
 
@@ -183,9 +185,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: ``und``, a score under ``min_score``, or a ``fit`` under 0."""
+    """``docs`` without the rows whose language cannot be told: ``und``, a score under ``min_score``, or a ``fit`` under ``MIN_FIT``."""
     if not model.langs:
         return docs
     made = unused(docs, "language")
     found = docs.withColumn(made, language_column(docs.sparkSession, model, F.col(text)))
-    return found.where((F.col(f"{made}.lang_pred") != UNDETERMINED) & (F.col(f"{made}.score") >= min_score) & (F.col(f"{made}.fit") >= 0)).drop(made)
+    return found.where((F.col(f"{made}.lang_pred") != UNDETERMINED) & (F.col(f"{made}.score") >= min_score) & (F.col(f"{made}.fit") >= MIN_FIT)).drop(made)

@@ -22,4 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express an operator; trained models and stateful methods have none.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": op4_mixing.ORACLE_SQL,
+    "op5_merkle": op5_merkle.ORACLE_SQL,
+}

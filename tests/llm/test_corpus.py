@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -15,6 +17,7 @@ from medspan.llm import op5_merkle as merkle
 from medspan.llm import op6_quality as quality
 from medspan.llm import op8_decontaminate as leaks
 from medspan.llm import op10_simhash as simhash
+from medspan.llm.common import mix, word_hashes
 
 
 def plain_targets(sizes: dict, cap=3):
@@ -45,6 +48,12 @@ def test_mixing(spark, docs, no_docs, edge_rows):
     by_id = {(r.doc_id, r.size) for r in rows}
     assert by_id == {(x[0], len((x[1] or "").split())) for x in edge_rows}
     assert mixing.mix(no_docs).count() == 0
+    whole = mixing.mixed(docs.withColumn("Size", F.lit("own")))
+    assert whole.columns == [*docs.columns, "size", "source_size", "target", "taken", "whole"]
+    small = lambda r: repr((r.doc_id, r.source, r.size, r.source_size, r.target, r.taken, r.whole))
+    found = whole.collect()
+    assert sorted(map(small, found)) == sorted(map(small, rows)) and sorted(repr(tuple(r)[:9]) for r in found) == sorted(map(repr, edge_rows))
+    assert mixing.mixed(no_docs).count() == 0
 
 
 def test_water_fill_clamps_several_sources(spark):
@@ -73,6 +82,50 @@ def test_merkle(spark, docs, no_docs, edge_rows):
     assert len(one) == 1 and one[0].next_fingerprint == one[0].fingerprint
 
 
+def plain_print(text):
+    """The fingerprint with plain loops."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for section in text.split("\n\n"):
+        lines = []
+        for line in section.split("\n"):
+            phrases, own = [], ""
+            for i, c in enumerate(line):
+                own += c
+                if (c in ".!?,;:|" and i + 1 < len(line) and line[i + 1] in " \t\n\x0b\x0c\r") or i + 1 == len(line):
+                    phrases += [own[k : k + merkle.PHRASE] for k in range(0, len(own), merkle.PHRASE)]
+                    own = ""
+            digests = [sha(x) for x in phrases]
+            lines.append((sha("P" + "".join(digests)), digests))
+        sections.append((sha("S" + "".join(d for d, _ in lines)), lines))
+    tree = "/".join(f"{d[:8]}=" + "|".join(" ".join([p[:8], *(x[:8] for x in leaves)]) for p, leaves in lines) for d, lines in sections)
+    return sha("R" + "".join(d for d, _ in sections)) + ":" + tree
+
+
+def plain_near(a, b):
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    x, y = ({t for p in f.split(":")[1].replace("/", "|").split("|") for t in p.split("=")[-1].split(" ")[1:]} for f in (a, b))
+    return 2.0 * len(x & y) / max(1, len(x) + len(y))
+
+
+def test_merkle_equals_plain_trees(spark, docs):
+    for r in merkle.fingerprints(docs).withColumn("near", merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).collect():
+        assert r.fingerprint == plain_print(r.text) and r.edited_fingerprint == plain_print(r.edited)
+        assert r.near == pytest.approx(plain_near(r.fingerprint, r.edited_fingerprint))
+
+
+def test_merkle_splits_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 4)
+    texts = [(7 if i % 3 else None, f"text {i}") for i in range(90)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    seen = {r.text: (r.doc_id, r.tie) for r in rows.collect()}
+    order = sorted(seen, key=lambda t: (seen[t][0] is not None, seen[t][0] or 0, seen[t][1]))
+    dealt = merkle.with_next(rows, "doc_id", ["text"], "tie", lambda x: x.withColumn("task", F.spark_partition_id()))
+    got = dealt.collect()
+    assert {r.text: r.next.text for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_merkle_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 3)
     monkeypatch.setattr(merkle, "GROUP", 4)
@@ -92,6 +145,11 @@ def test_merkle_likeness_and_edits(spark):
     assert [r.l == 1.0 for r in got] == [True, False, False, True, False]
     assert 0.5 < got[1].l < 1 and got[4].l == 0.0
     assert [tuple(x) for x in got[1].e] == [(0, 1)] and got[0].e == []
+    lines = [f"Line {i}, of a text." for i in range(12)]
+    longer = "\n".join([*lines[:3], "One more.", *lines[3:]])
+    rows = spark.createDataFrame([(longer, "\n".join(lines)), ("A.\n\n" + longer, longer)], "a string, b string")
+    rows = merkle.with_fingerprint(merkle.with_fingerprint(rows, "a", "fa"), "b", "fb")
+    assert [[tuple(x) for x in r.e] for r in rows.select(merkle.locate_edits(F.col("fa"), F.col("fb")).alias("e")).collect()] == [[(0, 3)], [(0, 0)]]
 
 
 def test_resampling(spark, docs, no_docs, edge_rows):
@@ -113,6 +171,35 @@ def test_kth_largest(spark):
             assert quality.kth_largest(rows, "v", k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_resampling_equals_plain_models(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[:20] if i % 2 else words) for _ in range(rng.randint(0, 30))) for i in range(80)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.resample(rows, labels).collect()}
+    shift = 64 - quality.BUCKETS.bit_length() + 1
+    hash_of = {w: int(word_hashes(np.frombuffer(w.encode(), dtype=np.uint8))[0][0]) for w in words}
+
+    def buckets(text):
+        own = [hash_of[w] for w in text.split()]
+        pairs = [(a * 0xD6E8FEB86659FD93 + b) % 2**64 for a, b in zip(own, own[1:], strict=False)]
+        return [x >> shift for x in own] + [int(mix(np.array([p], dtype=np.uint64))[0]) >> shift for p in pairs]
+
+    target, raw = {}, {}
+    for i, t in enumerate(texts):
+        for b in buckets(t):
+            raw[b] = raw.get(b, 0) + 1
+            if i < 40 and i % 2:
+                target[b] = target.get(b, 0) + 1
+    n, m = sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+    for i, t in enumerate(texts):
+        want = sum(math.log((target.get(b, 0) + 1) / n) - math.log((raw.get(b, 0) + 1) / m) for b in buckets(t))
+        assert out[i].log_weight == pytest.approx(want, abs=1e-6) and out[i].n_grams == len(buckets(t))
+    order = sorted(out.values(), key=lambda r: -r.gumbel_key)
+    assert {r.doc_id for r in out.values() if r.selected} == {r.doc_id for r in order[: round(0.5 * len(out))]}
+
+
 def plain_score(item, text):
     best = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
     for i, a in enumerate(item):
@@ -204,7 +291,7 @@ def test_decontamination_judges_rows_that_share_a_key_each_by_itself(spark):
     assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in rows.collect() if item not in (r.text or ""))
 
 
-def plain_print(text):
+def plain_simhash(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
     bits = [sum(xxhash.xxh64_intdigest(r, 42) >> b & 1 for r in runs) for b in range(64)]
@@ -230,8 +317,8 @@ def test_simhash(spark, docs, no_docs, edge_rows, monkeypatch):
     monkeypatch.setattr(simhash, "TEXT_BLOCK", 50_000)
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(edge_rows)
-    prints = {x[0]: plain_print(x[1]) for x in edge_rows if x[0] is not None}
-    root = plain_components(set(prints.values()) | {plain_print("no id the house")})
+    prints = {x[0]: plain_simhash(x[1]) for x in edge_rows if x[0] is not None}
+    root = plain_components(set(prints.values()) | {plain_simhash("no id the house")})
     for r in rows:
         if r.doc_id is not None:
             assert r.fingerprint == f"{prints[r.doc_id]:016x}"

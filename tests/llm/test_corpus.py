@@ -415,29 +415,3 @@ def test_gray_index_and_routing_lose_no_component(spark, monkeypatch):
             key = int(c.view(np.int64))
             groups.setdefault(found.get(key, key), set()).add(int(c))
         assert sorted(map(min, groups.values())) == sorted(set(want.values()))
-
-
-def test_pipeline(spark, tmp_path, docs):
-    import corpus_pipeline
-
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, "same text of the house and river with many people over there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect() if r.doc_id is not None)
-    for name, stage in corpus_pipeline.STAGES:
-        before, columns = ids(frame), frame.columns
-        frame = stage(spark, frame, str(tmp_path))
-        if name != "mix":
-            assert frame.columns == columns
-        if name == "language":
-            assert set(before) - set(ids(frame)) == {50, 51, 52}
-        if name == "near_duplicates":
-            assert 61 not in ids(frame) and ids(frame).count(60) == 1
-        if name == "decontaminate":
-            assert set(before) - set(ids(frame)) == {60}
-        if name in ("pii", "mix"):
-            assert before == ids(frame)
-        frame.write.parquet(f"{tmp_path}/out-{name}")
-        frame = spark.read.parquet(f"{tmp_path}/out-{name}")
-    again = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(map(repr, again.collect())) == sorted(map(repr, frame.collect()))

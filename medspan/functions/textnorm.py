@@ -40,15 +40,29 @@ def decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), many
 
 
+def _class_of(chars) -> str:
+    """Character class of a set of characters, runs as ranges."""
+    codes, runs = sorted(map(ord, chars)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 def fold(text: Column, lookalikes: bool = True) -> Column:
-    """ASCII form of a text: look-alikes (if asked) and decompositions replaced, everything else outside ASCII deleted."""
+    """ASCII form of a text: look-alikes (if asked) and decompositions replaced, everything else outside ASCII deleted.
+
+    Plain ASCII passes through after one scan.  Characters that decompose to several are looked for in what is left of
+    a text without its ASCII characters, and looked up for those alone.
+    """
     one_from, one_to, many = decompositions()
     plain = F.translate(text, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO) if lookalikes else text
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # a literal: folded once
-    spread = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    wide = "[" + "".join(many) + "]"
-    full = F.when(plain.rlike(wide), spread).otherwise(plain)
-    return F.regexp_replace(F.translate(full, one_from, one_to), r"[^\x00-\x7F]+", "")
+    spread = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    full = F.when(F.regexp_replace(plain, r"[\x00-\x7F]+", "").rlike(_class_of(many)), spread).otherwise(plain)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(full, one_from, one_to), r"[^\x00-\x7F]+", "")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:

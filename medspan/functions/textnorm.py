@@ -84,12 +84,6 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
-    """Shared words over all words; 0 where either has none."""
-    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-
-
 def clause_parts(line: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
     return F.substring(line, F.lit(1), start), F.substring(line, start + 1, end - start), F.substring(line, end + 1, F.length(line))
 
@@ -111,6 +105,8 @@ def segment_around(line: Column, start: Column, end: Column) -> Column:
 
 
 def normalize_py(text: str) -> str:
+    if text.isascii():
+        return " ".join(re.findall("[a-z0-9]+", text.lower()))
     decomposed = unicodedata.normalize("NFKD", text.translate(_CONFUSABLE))
     return " ".join(re.findall("[a-z0-9]+", decomposed.encode("ascii", "ignore").decode().lower()))
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from medspan.functions import lexicon as lx
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
-    """(node, dst, rela): distinct neighbours of ``nodes`` over the given relations."""
-    step = edges.where(F.col("rela").isin(relations)).select(F.col("src").alias("node"), "dst", "rela")
-    return nodes.select("node").distinct().join(step, "node").distinct()
+def neighbors(edges: DataFrame, relations: list[str]) -> DataFrame:
+    """(src, dst): distinct neighbours of all nodes over the given relations."""
+    return edges.where(F.col("rela").isin(relations)).select("src", "dst").distinct()
 
 
 def relation_table(spark: SparkSession, targets: dict[str, list[str]] | None = None) -> DataFrame:
@@ -53,12 +52,9 @@ def ingredient_sets(concepts: DataFrame, names: DataFrame, edges: DataFrame) ->
     ingredient = names.where("tty = 'IN'").select(F.col("concept_id").alias("dst")).distinct()
     product = names.where(F.col("tty").isin(*lx.SECOND_HOP_TYPES)).select(F.col("concept_id").alias("via")).distinct()
 
-    def steps(relations: list[str]) -> DataFrame:
-        return edges.where(F.col("rela").isin(relations)).select("src", "dst").distinct()
-
-    direct = steps(lx.DIRECT_INGREDIENT_RELATIONS).join(ingredient, "dst", "left_semi").select("src", F.col("dst").alias("found"))
-    bridge = steps(lx.BRIDGE_RELATIONS).select(F.col("src").alias("concept_id"), F.col("dst").alias("via"))
-    second = steps(lx.SECOND_HOP_RELATIONS).select(F.col("src").alias("via"), F.col("dst").alias("far"))
+    direct = neighbors(edges, lx.DIRECT_INGREDIENT_RELATIONS).join(ingredient, "dst", "left_semi").select("src", F.col("dst").alias("found"))
+    bridge = neighbors(edges, lx.BRIDGE_RELATIONS).select(F.col("src").alias("concept_id"), F.col("dst").alias("via"))
+    second = neighbors(edges, lx.SECOND_HOP_RELATIONS).select(F.col("src").alias("via"), F.col("dst").alias("far"))
     own = ingredient.select(F.col("dst").alias("concept_id"), F.col("dst").alias("found"), F.lit(0).alias("stage"))
     one = direct.select(F.col("src").alias("concept_id"), "found", F.lit(1).alias("stage"))
     two = bridge.join(direct.withColumnRenamed("src", "via"), "via").select("concept_id", "found", F.lit(2).alias("stage"))

@@ -1,9 +1,9 @@
 """Mention detection in notes.
 
 The greedy choice of dictionary spans is sequential within a line, so it runs as one Arrow function over whole notes,
-with the dictionary at hand.  A dictionary of at most ``MAX_BROADCAST_ROWS`` rows is broadcast; a larger one is joined:
-``needed_keys`` lists the lookup keys of each note, thinned by a bit set of fixed size, the keys meet the dictionary in
-a shuffled join, and each note is detected with the rows of its own keys.
+with the dictionary at hand.  A dictionary of at most ``MAX_BROADCAST_BYTES`` is broadcast as Arrow columns sorted by key hash
+(``Dictionary``); a larger one is joined: ``needed_keys`` lists the lookup keys of each note, thinned by a bit set of fixed size, the keys
+meet the dictionary in a shuffled join, and each note is detected with the rows of its own keys.
 
 Everything after detection (context, negation, features, retrieval, projection) is relational.
 """
@@ -13,8 +13,11 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 from medspan.functions import lexicon as lx
 from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 FILTER_BITS = 1 << 24
 
 Rows = list[tuple[str, str]]
 Lookup = Callable[[str], Rows]
+Knows = Callable[[str], bool]
 
 MENTION = (
     "text string, norm_text string, start int, end int, exact_ids array<string>, exact_types array<string>, method string, lookup_norm string, "
@@ -54,7 +58,8 @@ def display_text(text: str) -> str:
     return max(telling or values or [own], key=len)
 
 
-def lookup_keys(span: str) -> list[tuple[str, str]]:
+@lru_cache(maxsize=1 << 16)
+def lookup_keys(span: str) -> tuple[tuple[str, str], ...]:
     """(key, source) of a span in order of preference: surface, repaired, stripped, then names only, and sorted."""
     found: dict[str, str] = {}
     noisy = noisy_py(span)
@@ -67,7 +72,7 @@ def lookup_keys(span: str) -> list[tuple[str, str]]:
             found.setdefault(" ".join(names), f"{source}:alpha_only")
         if 2 <= len(names) <= 3:
             found.setdefault(" ".join(sorted(names)), f"{source}:alpha_sorted")
-    return list(found.items())
+    return tuple(found.items())
 
 
 def span_allowed(span: str) -> bool:
@@ -75,6 +80,15 @@ def span_allowed(span: str) -> bool:
     return "," not in span or any(mark in span.lower() for mark in (" and ", " with ", "/", "+"))
 
 
+def tokens_of(line: str) -> list[re.Match]:
+    return list(_TOKEN.finditer(line))
+
+
+def chunks_of(text: str) -> list[str]:
+    """Non-empty trimmed parts between semicolons and line ends."""
+    return [c.strip() for c in re.split(r"[;\n]+", text) if c.strip()]
+
+
 def lines_of(text: str) -> Iterator[tuple[int, str]]:
     at = 0
     for line in text.split("\n"):
@@ -82,10 +96,38 @@ def lines_of(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-def line_spans(tokens: list[re.Match], line: str, max_ngram: int) -> Iterator[tuple[int, int, str]]:
-    """(first token, tokens, span) of a line, longest first, then from the left."""
-    for n in range(min(max_ngram, len(tokens)), 0, -1):
+def hopeless(tokens: list[re.Match], line: str, knows: Knows) -> list[bool]:
+    """Tokens that no dictionary key can hold, so that no span over them can be found.
+
+    Such a token is a plain word that no repair changes or drops, next to words and numbers that it could at most be joined
+    to; and neither it nor such a joint word is a word of any key.  Everything else may be found.
+    """
+    words = [t[0].lower() if t[0].isascii() and t[0].isalpha() and len(t[0]) > 1 else "0" if t[0].isdecimal() else "" for t in tokens]
+    whole = line.isascii()
+    out = []
+    for i, word in enumerate(words):
+        left, right = words[i - 1] if i else "0", words[i + 1] if i + 1 < len(words) else "0"
+        settled = word > "9" and left and right and word not in _NOT_NAMES and word not in lx.TOKEN_REPLACEMENTS and not word.strip("o") == ""
+        if settled and not whole:
+            settled = line[tokens[i - 1].end() if i else 0 : tokens[i + 1].start() if i + 1 < len(tokens) else len(line)].isascii()
+        if settled and not knows(word):
+            joint = [x for x in (left + word if left != "0" else "", word + right if right != "0" else "") if x]
+            settled = not any(x in lx.TOKEN_REPLACEMENTS or knows(x) for x in joint)
+            out.append(settled)
+        else:
+            out.append(False)
+    return out
+
+
+def line_spans(tokens: list[re.Match], line: str, max_ngram: int, dead: list[bool]) -> Iterator[tuple[int, int, str]]:
+    """(first token, tokens, span) of a line, longest first, then from the left; spans over dead tokens are left out."""
+    reach = [0] * (len(tokens) + 1)  # tokens from each on up to a dead one
+    for i in range(len(tokens) - 1, -1, -1):
+        reach[i] = 0 if dead[i] else reach[i + 1] + 1
+    for n in range(min(max_ngram, max(reach)), 0, -1):
         for i in range(len(tokens) - n + 1):
+            if reach[i] < n:
+                continue
             span = line[tokens[i].start() : tokens[i + n - 1].end()]
             if n == 1 or span_allowed(span):
                 yield i, n, span
@@ -113,15 +155,16 @@ def dense_segments(line: str) -> Iterator[tuple[int, str, str, str]]:
             yield hit.start(), segment, noisy_py(segment), noisy_py(lx.DENSE_LINE_TERMS.get(hit[0].lower(), hit[0].lower()))
 
 
-def needed_keys(text: str, max_ngram: int) -> set[str]:
+def needed_keys(text: str, max_ngram: int, knows: Knows) -> set[str]:
     """All keys that detection may look up in a text."""
     keys: set[str] = set()
     for _, line in lines_of(text):
-        tokens = list(_TOKEN.finditer(line))
-        for _, _, span in line_spans(tokens, line, max_ngram):
+        tokens = tokens_of(line)
+        dead = hopeless(tokens, line, knows)
+        for _, _, span in line_spans(tokens, line, max_ngram, dead):
             keys.update(k for k, _ in lookup_keys(span))
-        for t in tokens:
-            whole = lx.TOKEN_REPLACEMENTS.get(noisy_py(t[0]))
+        for t, gone in zip(tokens, dead, strict=True):
+            whole = None if gone else lx.TOKEN_REPLACEMENTS.get(noisy_py(t[0]))
             if whole:
                 keys.add(noisy_py(whole))
         if is_dense(line):
@@ -140,11 +183,12 @@ def _mention(text: str, norm: str, start: int, rows: Rows, method: str, key: str
     return {"text": text, "norm_text": norm, "start": start, "end": start + len(text), "exact_ids": [r[0] for r in rows], "exact_types": sorted({r[1] for r in rows if r[1]}), "method": method, "lookup_norm": key, "lookup_source": source} | more
 
 
-def _in_line(at: int, line: str, lookup: Lookup, max_ngram: int) -> list[dict]:
+def _in_line(at: int, line: str, lookup: Lookup, max_ngram: int, knows: Knows) -> list[dict]:
     """Dictionary spans of a line, then shorthands among the tokens left over, then dense segments."""
-    tokens = list(_TOKEN.finditer(line))
+    tokens = tokens_of(line)
+    dead = hopeless(tokens, line, knows)
     taken, found = set(), []
-    for i, n, span in line_spans(tokens, line, max_ngram):
+    for i, n, span in line_spans(tokens, line, max_ngram, dead):
         if not taken.isdisjoint(range(i, i + n)):
             continue
         norm = normalize_py(span)
@@ -157,7 +201,7 @@ def _in_line(at: int, line: str, lookup: Lookup, max_ngram: int) -> list[dict]:
                 found.append(_mention(span, key, at + tokens[i].start(), rows, "exact_alias_span", key, source))
                 break
     for i, token in enumerate(tokens):
-        short = noisy_py(token[0]) if i not in taken else ""
+        short = noisy_py(token[0]) if i not in taken and not dead[i] else ""
         if short in lx.TOKEN_REPLACEMENTS:
             whole = noisy_py(lx.TOKEN_REPLACEMENTS[short])
             found.append(_mention(token[0], whole, at + token.start(), _usable(lookup, whole), "token_replacement_alias", whole, "token_replacement", replaced_from=short, replaced_to=whole))
@@ -195,15 +239,15 @@ def _shown(text: str, m: dict) -> tuple[str, int, int]:
     return display_text(clause), at, at + len(clause)
 
 
-def detect(text: str, lookup: Lookup, max_ngram: int = 8) -> list[dict]:
-    """Mentions of one note, in order of their start."""
+def detect(text: str, lookup: Lookup, max_ngram: int = 8, knows: Knows = lambda word: True) -> list[dict]:
+    """Mentions of one note, in order of their start.  ``knows`` tells words that may occur in dictionary keys."""
     if not _TOKEN.search(text):
         own = text.strip()
         return [_finish(text, _mention(own, normalize_py(own), 0, [], "unknown", normalize_py(own), "") | {"shown": (own, 0, len(own))})] if own else []
     found: list[dict] = []
     dense: list[dict] = []
     for at, line in lines_of(text):
-        own = _in_line(at, line, lookup, max_ngram)
+        own = _in_line(at, line, lookup, max_ngram, knows)
         found += own
         if len(own) < 2 and is_dense(line):
             dense += _dense(at, line, lookup)
@@ -218,7 +262,7 @@ def detect(text: str, lookup: Lookup, max_ngram: int = 8) -> list[dict]:
         often = Counter(bounds)
         kept = [m for m, b in zip(found, bounds, strict=True) if not (often[b] > 1 and 0 < m["start"] and m["end"] < len(text) and text[m["start"] - 1] in "([" and text[m["end"]] in ")]")]
         return [_finish(text, m | {"shown": _shown(text, m)}) for m in kept]
-    chunks = [c.strip() for c in re.split(r"[;\n]+", text) if c.strip()]
+    chunks = chunks_of(text)
     if len(chunks) <= 1:
         chunks, method = [text.strip()], "fallback_whole_text"
     else:
@@ -250,36 +294,93 @@ def _slot(key: str) -> int:
     return zlib.crc32(key.encode()) & (FILTER_BITS - 1)
 
 
-def detect_mentions(notes: DataFrame, aliases: DataFrame, max_ngram: int = 8, max_exact: int = 25, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def _bit(bits: bytes, slot: int) -> int:
+    return bits[slot >> 3] >> (7 - (slot & 7)) & 1
+
+
+class WordSet:
+    """The words of all keys of a dictionary, as a bit set: false hits only cost time."""
+
+    def __init__(self, table: DataFrame):
+        self.bits = slot_bits(table.select(F.explode(words(F.col("norm_text"))).alias("norm_text")))
+
+    def __call__(self, word: str) -> bool:
+        return _bit(self.bits, _slot(word)) == 1
+
+
+def slot_bits(table: DataFrame) -> bytes:
+    """The slots of texts as a bit set of fixed size, whatever the dictionary."""
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    slots = table.select(F.crc32(F.col("norm_text").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("slot")).distinct().toArrow()
+    bits[slots.column("slot").to_numpy()] = True
+    return np.packbits(bits).tobytes()
+
+
+class Dictionary:
+    """Rows by key: Arrow columns in the order of a hash of the key, found by bisection behind a bit set."""
+
+    def __init__(self, table: DataFrame):
+        self.bits = slot_bits(table)
+        hashed = F.crc32(F.col("norm_text").cast("binary"))
+        rows = table.select(hashed.alias("hash"), "norm_text", "rows").toArrow().sort_by("hash").combine_chunks()
+        self.hashes = array("q", rows.column("hash").to_numpy().tobytes())
+        self.names, self.rows = (rows.column(c).combine_chunks() if rows.num_rows else [] for c in ("norm_text", "rows"))
+
+    def __call__(self, key: str) -> Rows:
+        own = zlib.crc32(key.encode())
+        if not _bit(self.bits, own & (FILTER_BITS - 1)):
+            return []
+        at = bisect_left(self.hashes, own)
+        while at < len(self.hashes) and self.hashes[at] == own:
+            if self.names[at].as_py() == key:
+                return [(x["concept_id"], x["tty"]) for x in self.rows[at].as_py()]
+            at += 1
+        return []
+
+
+def note_lines(notes: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start, end, tokens): the lines of each note and their tokens, as detection cuts them; offsets in the note."""
+    token = "struct<token:string,start:int,end:int>"
+
+    @F.arrow_udf(f"array<struct<start:int,end:int,tokens:array<{token}>>>")
+    def lines(texts: pa.Array) -> pa.Array:
+        cut = [None if t is None else [{"start": at, "end": at + len(x), "tokens": [{"token": m[0], "start": at + m.start(), "end": at + m.end()} for m in tokens_of(x)]} for at, x in lines_of(t)] for t in texts.to_pylist()]
+        span = [("start", pa.int32()), ("end", pa.int32())]
+        return pa.array(cut, pa.list_(pa.struct([*span, ("tokens", pa.list_(pa.struct([("token", pa.string()), *span])))])))
+
+    return notes.select("doc_id", F.posexplode(lines("text")).alias("line_no", "line")).select("doc_id", "line_no", "line.*")
+
+
+def detect_mentions(notes: DataFrame, aliases: DataFrame, max_ngram: int = 8, max_exact: int = 25, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per mention: doc_id, ``mention_no`` and the fields of ``MENTION``.  ``notes`` has unique (doc_id, text)."""
     context = notes.sparkSession.sparkContext
     table = dictionary(aliases, max_exact)
-    kind = f"array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split(' ') for x in MENTION.split(', ')))}>>".replace(", ", ",")
+    fields = [x.split(" ") for x in MENTION.split(", ")]
+    kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>"
+
+    known = context.broadcast(WordSet(table))
 
     def found(texts: pa.Array, lookup_of: Callable[[int], Lookup]) -> pa.Array:
-        made = [None if t is None else detect(t, lookup_of(i), max_ngram) for i, t in enumerate(texts.to_pylist())]
-        strings, ints = pa.string(), pa.int32()
-        types = {"string": strings, "int": ints, "array<string>": pa.list_(strings)}
-        return pa.array(made, pa.list_(pa.struct([(n, types[t]) for n, t in (x.split(" ") for x in MENTION.split(", "))])))
+        made = [None if t is None else detect(t, lookup_of(i), max_ngram, known.value) for i, t in enumerate(texts.to_pylist())]
+        types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+        return pa.array(made, pa.list_(pa.struct([(n, types[t]) for n, t in fields])))
 
-    if aliases.count() <= max_broadcast_rows:
-        shared = context.broadcast({r["norm_text"]: [(x["concept_id"], x["tty"]) for x in r["rows"]] for r in table.collect()})
+    size = aliases.where(F.col("pos") <= max_exact).agg(F.sum(F.octet_length("norm_text") + F.octet_length("concept_id") + F.lit(48))).first()[0] or 0
+    if size <= max_broadcast_bytes:
+        shared = context.broadcast(Dictionary(table))
 
         @F.arrow_udf(kind)
         def mentions(texts: pa.Array) -> pa.Array:
-            return found(texts, lambda _: lambda key: shared.value.get(key, []))
+            return found(texts, lambda _: shared.value)
 
         detected = notes.select("doc_id", mentions("text").alias("mentions"))
     else:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
-        slots = table.select(F.crc32(F.col("norm_text").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("slot")).distinct().toPandas()
-        bits[slots["slot"].to_numpy(dtype=np.int64)] = True  # of fixed size, whatever the dictionary
-        held = context.broadcast(np.packbits(bits))
+        held = context.broadcast(slot_bits(table))
 
         @F.arrow_udf("array<string>")
         def keys(texts: pa.Array) -> pa.Array:
-            bits = np.unpackbits(held.value)
-            return pa.array([[k for k in sorted(needed_keys(t, max_ngram)) if bits[_slot(k)]] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+            bits = held.value
+            return pa.array([[k for k in sorted(needed_keys(t, max_ngram, known.value)) if _bit(bits, _slot(k))] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
         @F.arrow_udf(kind)
         def mentions_of(texts: pa.Array, rows: pa.Array) -> pa.Array:

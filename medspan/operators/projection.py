@@ -34,6 +34,12 @@ def _either(condition: Column, yes, no) -> Column:
     return F.when(condition, yes if isinstance(yes, Column) else F.lit(yes)).otherwise(no if isinstance(no, Column) else F.lit(no))
 
 
+def word_jaccard(a: Column, b: Column) -> Column:
+    """Shared words over all words of two arrays of distinct words; 0 where none is shared."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(both == 0, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def score(preferred: Column) -> Column:
     """Additive score of a candidate (columns ``target``, ``depth``, ``name``, ``name_norm``, ``flag_bits``, ``sigs``, ``mg``, ``found``)
     for a mention (columns of ``dose.mention_features``, ``projection_norm``, ``anchors``)."""
@@ -52,9 +58,7 @@ def score(preferred: Column) -> Column:
 
     oral_like = flags.bitwiseAND(F.lit(sum(dose.FORM_BITS[x] for x in ("oral", "tablet", "capsule", "dr", "er")))) != 0
     solid = has("tablet") | has("capsule") | has("oral")
-    both = F.size(F.array_intersect(c("projection_words"), c("name_words")))  # both sides are distinct words
-    jaccard = F.when(both == 0, 0.0).otherwise(both / (F.size(c("projection_words")) + F.size(c("name_words")) - both))
-    terms = [1.8 * jaccard, -0.45 * c("depth").cast("double")]
+    terms = [1.8 * word_jaccard(c("projection_words"), c("name_words")), -0.45 * c("depth").cast("double")]
 
     # strengths
     tokens_in = F.size(F.filter(c("strength_tokens"), lambda t: F.contains(name, t)))

@@ -63,11 +63,16 @@ def primary_type() -> Column:
 
 
 def choose_best(mentions: DataFrame, index: Index, top_k: int = 40, exact_boost: float = 0.35) -> DataFrame:
+    """``chosen`` among the candidates of ``ranked_concepts``; ``mentions`` also has ``variants``."""
+    return chosen(mentions, stage(ranked_concepts(mentions, index, top_k, exact_boost)), index)
+
+
+def chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
     """``mentions`` with best_id, best_score, best_name, best_type, exact_match, selection_reason and the override signals.
 
-    Input: mention_id, norm_text, projection_norm, context, exact_ids, variants.  Mentions without candidates are dropped.
+    Input: mention_id, norm_text, projection_norm, context, exact_ids; ``ranked`` has (mention_id, concept_id, score, order).
+    Mentions without candidates are dropped.
     """
-    ranked = stage(ranked_concepts(mentions, index, top_k, exact_boost))
     top = ranked.groupBy("mention_id").agg(F.min_by(F.struct("concept_id", "score"), F.struct(-F.col("score"), "order", "concept_id")).alias("top"))
     rows = mentions.join(top, "mention_id")
     signal = F.col("context").rlike(lx.STRENGTH) | F.col("context").rlike(lx.RATIO_STRENGTH) | F.col("context").rlike(lx.SLASH_RATIO)

@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from medspan.functions import dose, textnorm
 from medspan.functions import lexicon as lx
-from medspan.operators import display, gazetteer, graph, mentions, projection, ranking, vectors
+from medspan.operators import display, graph, mentions, projection, ranking, vectors
 from medspan.plans.annotate import annotate, signals
 from medspan.session import stage
 from medspan.sources import release
-from medspan.sources.index import Index, make_index
+from medspan.sources.index import Index, alias_table, make_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,7 +88,9 @@ SELECT doc_id, CAST((part - 1) // 2 AS INTEGER) AS pos, token, CAST(e - length(t
 """
 )
 def tokenize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gazetteer.token_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    lines = mentions.note_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.explode("tokens").alias("t"))
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("t.start")) - 1
+    return lines.select("doc_id", pos.cast("int").alias("pos"), "t.token", F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("end"))
 
 
 @query(
@@ -99,24 +101,36 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(e - length(line) AS BIG
 """
 )
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gazetteer.line_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return mentions.note_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def no_aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "norm_text string, concept_id string, raw_text string, tty string, pos int")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as notes."""
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
 
 
 @query(
     rf"""
-WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS chunk FROM c
+WITH c AS (SELECT conv_id || ':' || turn AS doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM conversations WHERE regexp_matches(text, '[A-Za-z0-9]')),
+k AS (SELECT doc_id, CASE WHEN len(p) > 1 THEN p ELSE [{sql_strip('text')}] END AS p, CASE WHEN len(p) > 1 THEN 'fallback_chunk' ELSE 'fallback_whole_text' END AS method FROM c)
+SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS mention_no, unnest(p) AS text, method FROM k
 """
 )
 def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(gazetteer.chunks(F.col("text"))).alias("pos", "chunk"))
+    """Notes in which a dictionary finds nothing."""
+    return mentions.detect_mentions(turns(spark, sf_dir), no_aliases(spark)).select("doc_id", F.col("mention_no").cast("int").alias("mention_no"), "text", "method")
 
 
 @query()
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").select("p_partkey", textnorm.normalize(F.concat_ws(" ", "p_name", "p_type")).alias("norm"))
     after = n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("norm").alias("norm_after"))
-    return n.join(after, "p_partkey").select("p_partkey", F.round(textnorm.token_jaccard(F.col("norm"), F.col("norm_after")), 6).alias("jaccard"))
+    words = lambda c: F.array_distinct(textnorm.words(F.col(c)))
+    return n.join(after, "p_partkey").select("p_partkey", F.round(projection.word_jaccard(words("norm"), words("norm_after")), 6).alias("jaccard"))
 
 
 ORACLE_SQL["token_jaccard"] = f"""
@@ -125,17 +139,19 @@ SELECT a.p_partkey, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE round(l
 FROM n a JOIN n b ON b.p_partkey = a.p_partkey + 1
 """
 
-_TYPOS = {"the": "le", "and": "et", "of": "de", "in": "dans"}
+_SHORT = sorted(lx.TOKEN_REPLACEMENTS)
+_SHORT_OF = f"({sql_list(_SHORT)})[p_partkey % {len(_SHORT)} + 1]"
+_WHOLE_OF = f"({sql_list([lx.TOKEN_REPLACEMENTS[k] for k in _SHORT])})[p_partkey % {len(_SHORT)} + 1]"
 
 
-@query(
-    f"SELECT conv_id, turn, array_to_string(list_transform({sql_words(sql_norm('text'))}, lambda w: CASE w "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPOS.items())
-    + " ELSE w END), ' ') AS replaced FROM conversations"
-)
+@query(f"""SELECT p_partkey AS doc_id, upper({_SHORT_OF}) AS text, 0 AS "start", {_WHOLE_OF} AS norm_text, 'exact_alias_span' AS method, 'noisy_norm' AS lookup_source, {_WHOLE_OF} AS concept_id FROM part""")
 def token_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normed = table(spark, sf_dir, "conversations").select("conv_id", "turn", textnorm.normalize(F.col("text")).alias("norm"))
-    return normed.select("conv_id", "turn", gazetteer.replaced_tokens(F.col("norm"), _TYPOS).alias("replaced"))
+    """Shorthand, with a dictionary of the whole names: the repaired form of a token is what is found."""
+    short = F.get(F.array(*[F.lit(x) for x in _SHORT]), (F.col("p_partkey") % len(_SHORT)).cast("int"))
+    notes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.upper(short).alias("text"))
+    known = spark.createDataFrame([(x, x, x, "IN", 1) for x in sorted(set(lx.TOKEN_REPLACEMENTS.values()))], no_aliases(spark).schema)
+    found = mentions.detect_mentions(notes, known)
+    return found.select("doc_id", "text", "start", "norm_text", "method", "lookup_source", F.get("exact_ids", F.lit(0)).alias("concept_id"))
 
 
 # --- terminology from parts --------------------------------------------------------------------------------------------
@@ -247,16 +263,14 @@ def semi_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.kept_relations(rows, customers.unionByName(orders), "TERMS").select("src", "dst", "rela")
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT src AS node, dst, rela FROM e WHERE src LIKE 'n%' AND rela IN ('contains', 'consists_of')")
+@query(f"WITH {_EDGES} SELECT DISTINCT src, dst FROM e WHERE rela IN ('contains', 'contained_in', 'consists_of', 'constitutes')")
 def neighbors_by_rela(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = release.both_ways(supply_edges(spark, sf_dir))
-    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), _text("n_nationkey")).alias("node"))
-    return graph.neighbors(nodes, edges, lx.relations("contains consists"))
+    return graph.neighbors(release.both_ways(supply_edges(spark, sf_dir)), lx.relations("contains consists"))
 
 
 @query(
     f"""
-WITH RECURSIVE {_EDGES}, targets(target, rels) AS (VALUES ('SBD', {sql_list(lx.TARGET_RELATIONS['SBD'])}), ('GPCK', {sql_list(lx.TARGET_RELATIONS['GPCK'])}), ('IN', {sql_list(lx.TARGET_RELATIONS['IN'])})),
+WITH RECURSIVE {_EDGES}, targets(target, rels) AS (VALUES {", ".join(f"('{t}', {sql_list(r)})" for t, r in lx.TARGET_RELATIONS.items())}),
 walk(seed, target, node, depth) AS (
   SELECT 'r' || r_regionkey, target, 'r' || r_regionkey, 0 FROM region, targets
   UNION SELECT w.seed, w.target, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node JOIN targets t ON t.target = w.target AND list_contains(t.rels, e.rela) WHERE w.depth < 3
@@ -265,7 +279,7 @@ walk(seed, target, node, depth) AS (
 )
 def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = release.both_ways(supply_edges(spark, sf_dir))
-    targets = spark.createDataFrame([("SBD",), ("GPCK",), ("IN",)], "target string")
+    targets = spark.createDataFrame([(t,) for t in lx.TARGET_RELATIONS], "target string")
     seeds = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), _text("r_regionkey")).alias("seed")).crossJoin(targets)
     return graph.closure(seeds, edges, graph.relation_table(spark), 3).select("seed", "target", "node", F.col("depth").cast("int").alias("depth"))
 
@@ -304,21 +318,49 @@ def ingredient_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- matching and context ----------------------------------------------------------------------------------------------
+_HIT = "STRUCT(i BIGINT, n BIGINT)"
+
+
 @query(
-    f"""
-WITH a AS (SELECT min(item_id) AS alias_id, array_to_string(w[1:8], ' ') AS gram FROM (SELECT item_id, {sql_words(sql_norm('text'))} AS w FROM benchmark) WHERE len(w) >= 8 GROUP BY 2),
-t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, {sql_words(sql_norm('text'))} AS w FROM documents)),
-g AS (SELECT doc_id, i, token || ' ' || {" || ' ' || ".join(f"lead(token, {k}) OVER v" for k in range(1, 8))} AS gram FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-h AS (SELECT doc_id, i, gram, alias_id FROM g JOIN a USING (gram)),
-s AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8) AS gap FROM h)
-SELECT doc_id, CAST(i AS INTEGER) AS i, 8 AS n, gram, alias_id FROM s WHERE gap >= 8
+    rf"""
+WITH a AS (SELECT DISTINCT array_to_string(w[1:1 + conv_id % 8], ' ') AS norm FROM (SELECT conv_id, {sql_words(sql_norm('text'))} AS w FROM conversations WHERE turn = 0) WHERE len(w) > 0),
+l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS no, p FROM (SELECT conv_id || ':' || turn AS doc_id, string_split(text, chr(10)) AS p FROM conversations)),
+b AS (SELECT doc_id, no, line, length(array_to_string(p[1:no - 1], chr(10))) + CASE WHEN no > 1 THEN 1 ELSE 0 END AS lead_ FROM l),
+q AS (SELECT doc_id, no, line, lead_, unnest(p) AS token, generate_subscripts(p, 1) - 1 AS part FROM (SELECT *, string_split(regexp_replace(line, '({lx.TOKEN})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM b)),
+e AS (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id, no ORDER BY part) AS e FROM q),
+t AS (SELECT doc_id, no, line, lead_, e - length(token) AS s, e, row_number() OVER (PARTITION BY doc_id, no ORDER BY part) AS i FROM e WHERE part % 2 = 1),
+s AS (SELECT x.doc_id, x.no, x.lead_, x.i, y.i - x.i + 1 AS n, x.s, y.e, substr(x.line, CAST(x.s + 1 AS BIGINT), CAST(y.e - x.s AS BIGINT)) AS span FROM t x JOIN t y ON y.doc_id = x.doc_id AND y.no = x.no AND y.i BETWEEN x.i AND x.i + 7),
+h AS (SELECT *, {sql_norm('span')} AS norm FROM s WHERE n = 1 OR NOT contains(span, ',') OR contains(lower(span), ' and ') OR contains(lower(span), ' with ') OR contains(span, '/') OR contains(span, '+')),
+w AS (SELECT *, {sql_words('norm')} AS w FROM h WHERE norm <> '' AND norm NOT IN {tuple(lx.NON_DRUG_TERMS)}),
+v AS (SELECT *, list_filter(w, lambda x: NOT list_contains({sql_list([*lx.CONTEXT_WORDS, *lx.STRENGTH_UNITS])}, x) AND regexp_matches(x, '[a-z]')) AS names, list_filter(w, lambda x: NOT list_contains({sql_list(lx.CONTEXT_WORDS)}, x)) AS stripped FROM w),
+u AS (SELECT * EXCLUDE (norm), unnest(p) AS norm, generate_subscripts(p, 1) AS rank FROM (SELECT *, [norm, array_to_string(stripped, ' '), array_to_string(names, ' '), CASE WHEN len(names) BETWEEN 2 AND 3 THEN array_to_string(list_sort(names), ' ') END] AS p FROM v)),
+k AS (SELECT doc_id, no, lead_, i, n, s, e, arg_min(norm, rank) AS norm FROM u JOIN a USING (norm) GROUP BY ALL),
+f AS (SELECT doc_id, no, list_reduce(list(struct_pack(kept := []::{_HIT}[], i := i, n := n) ORDER BY n DESC, i),
+  lambda y, x: CASE WHEN len(list_filter(y.kept, lambda z: z.i < x.i + x.n AND x.i < z.i + z.n)) > 0 THEN y ELSE struct_pack(kept := list_append(y.kept, struct_pack(i := x.i, n := x.n)), i := x.i, n := x.n) END,
+  struct_pack(kept := []::{_HIT}[], i := 0::BIGINT, n := 0::BIGINT)).kept AS kept FROM k GROUP BY doc_id, no)
+SELECT k.doc_id, CAST(lead_ + s AS INTEGER) AS "start", CAST(lead_ + e AS INTEGER) AS "end", norm AS norm_text, n AS words FROM k JOIN f ON f.doc_id = k.doc_id AND f.no = k.no WHERE list_contains(kept, struct_pack(i := k.i, n := k.n))
 """
 )
 def gazetteer_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", textnorm.words(textnorm.normalize(F.col("text"))).alias("w")).where(F.size("w") >= 8)
-    aliases = items.select(F.array_join(F.slice("w", 1, 8), " ").alias("gram"), F.col("item_id").alias("alias_id"))
-    notes = table(spark, sf_dir, "documents").select("doc_id", textnorm.normalize(F.col("text")).alias("norm"))
-    return gazetteer.longest_matches(notes, aliases, 8, lengths=[8])
+    """All conversation turns against a dictionary of 1 to 8 words: how the conversations begin."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", textnorm.words(textnorm.normalize(F.col("text"))).alias("w"))
+    names = first.select(F.col("conv_id").alias("line_no"), F.concat(F.lit("c"), _text("conv_id")).alias("concept_id"), F.lit("BN").alias("tty"), F.array_join(F.slice("w", 1, (F.col("conv_id") % 8 + 1).cast("int")), " ").alias("norm_text")).where("norm_text <> ''")
+    found = mentions.detect_mentions(turns(spark, sf_dir), alias_table(names.withColumn("raw_name", F.col("norm_text"))))
+    tokens = F.size(F.regexp_extract_all("text", F.lit(f"({lx.TOKEN})"), F.lit(1)))
+    return found.where("method = 'exact_alias_span'").select("doc_id", "start", "end", "norm_text", tokens.cast("long").alias("words"))
+
+
+@query(
+    f"""
+WITH d AS (SELECT {sql_norm('p_name')} AS norm_text, p_brand AS concept_id, {_TYPE} AS tty, min(p_partkey) AS k FROM part GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm_text ORDER BY k) AS n FROM d)
+SELECT norm_text, string_agg(concept_id || ':' || tty, '|' ORDER BY n) AS rows FROM r WHERE n <= 25 GROUP BY norm_text
+"""
+)
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a look-up of each name returns: its first 25 concepts and types in file order."""
+    rows = mentions.dictionary(alias_table(brand_names(spark, sf_dir)), 25)
+    return rows.select("norm_text", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["concept_id"], r["tty"])), "|").alias("rows"))
 
 
 _LEFT, _RIGHT = "'Seen today; plan: she continues '", "' ' || p_size || ' mg PO BID but rests, plus walks. Review soon!'"

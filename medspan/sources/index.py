@@ -45,6 +45,13 @@ def with_name_features(names: DataFrame) -> DataFrame:
     return made.withColumn("flag_bits", dose.form_bits(F.col("flags")))
 
 
+def alias_table(names: DataFrame) -> DataFrame:
+    """(norm_text, concept_id, tty, raw_text, pos): distinct (name, concept, type), numbered within a name in file order."""
+    order = Window.partitionBy("norm_text").orderBy("line_no")
+    rows = names.groupBy("norm_text", "concept_id", "tty").agg(F.min_by("raw_name", "line_no").alias("raw_text"), F.min("line_no").alias("line_no"))
+    return rows.withColumn("pos", F.row_number().over(order)).drop("line_no")
+
+
 def make_index(names: DataFrame, relations: DataFrame, dims: int = DIMS, max_aliases: int = MAX_ALIASES) -> Index:
     """Index tables of kept names (see ``release.kept_names``) and kept relations."""
     first = release.first_aliases(names, max_aliases)
@@ -52,13 +59,9 @@ def make_index(names: DataFrame, relations: DataFrame, dims: int = DIMS, max_ali
     concepts = concepts.select("concept_id", F.coalesce(F.when(F.col("preferred_name") != "", F.col("preferred_name")), F.get("aliases", F.lit(0)), "concept_id").alias("preferred_name"), "aliases")
     typed = with_name_features(release.typed_names(names))
     edges = release.both_ways(relations)
-    # The order of rows within one normalised name follows the file.
-    order = Window.partitionBy("norm_text").orderBy("line_no")
-    rows = names.groupBy("norm_text", "concept_id", "tty").agg(F.min_by("raw_name", "line_no").alias("raw_text"), F.min("line_no").alias("line_no"))
-    aliases = rows.withColumn("pos", F.row_number().over(order)).drop("line_no")
     text = F.array_join("aliases", " ")
     vectors = concepts.select("concept_id", embed(F.when(text != "", text).otherwise(normalize(F.col("preferred_name"))), dims).alias("vec"))
-    return Index(concepts.drop("aliases"), typed, aliases, edges, ingredient_sets(concepts, typed, edges), vectors, dims)
+    return Index(concepts.drop("aliases"), typed, alias_table(names), edges, ingredient_sets(concepts, typed, edges), vectors, dims)
 
 
 def build_index(spark: SparkSession, names_file: str, relations_file: str, out_dir: str, source: str, dims: int = DIMS, max_aliases: int = MAX_ALIASES, max_concepts: int | None = None, max_relation_lines: int | None = None) -> dict:

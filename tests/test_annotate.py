@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
 import mini
-from medspan.operators import display, gazetteer, graph, mentions
+from medspan.operators import display, graph, mentions
 from medspan.plans.annotate import annotate, annotate_mentions
 from medspan.sources import release
 from medspan.sources.index import build_index, load_index
@@ -100,7 +101,7 @@ def test_combination_and_fallbacks(results):
 
 def test_shuffled_dictionary_gives_the_same_mentions(notes, index):
     small = mentions.detect_mentions(notes, index.aliases).orderBy("doc_id", "mention_no").collect()
-    assert small == mentions.detect_mentions(notes, index.aliases, max_broadcast_rows=0).orderBy("doc_id", "mention_no").collect()
+    assert small == mentions.detect_mentions(notes, index.aliases, max_broadcast_bytes=0).orderBy("doc_id", "mention_no").collect()
 
 
 def test_json_and_display(spark, index, notes):
@@ -113,11 +114,20 @@ def test_json_and_display(spark, index, notes):
     assert {r.IN for r in display.table_rows(rows).collect()} == {"metformin (100)", "aspirin (104)"}
 
 
-def test_greedy_matches(spark):
-    notes = spark.createDataFrame([(1, "a b c d a b"), (2, ""), (3, None)], "doc_id long, norm string")
-    aliases = spark.createDataFrame([("a b", 1), ("b c d", 2), ("a", 3), ("d a", 4)], "gram string, alias_id int")
-    got = sorted((r.i, r.n, r.alias_id) for r in gazetteer.longest_matches(notes, aliases, 3).collect())
-    assert got == [(0, 1, 3), (1, 3, 2), (4, 2, 1)]
+WORDS = ["metformin", "aspirin", "asa", "hctz", "lipi", "tor", "sodium", "chloride", "po", "er", "of", "the", "500", "5omg", "10mg", "m", "e", "t", "café", "naïve", "x", "oo", "-", "/", ",", ".", "Losrtan", "and", "mg", "amx", "clv", "pill"]
+
+
+def test_skipped_tokens_lose_no_mention():
+    """Detection with and without the test for hopeless tokens, over dictionaries made of what repairs can produce."""
+    rng = random.Random(17)
+    for _ in range(400):
+        text = "".join(rng.choice(WORDS) + rng.choice([" ", " ", " ", "", "\n", ", "]) for _ in range(rng.randint(1, 14)))
+        whole = [k for i in range(0, len(text), 3) for k, _ in mentions.lookup_keys(text[i : i + rng.randint(1, 30)])]
+        table = {k: [(k, "IN")] for k in rng.sample(whole, min(len(whole), rng.randint(0, 3)))}
+        known = {w for k in table for w in k.split()}
+        lookup = lambda key, table=table: table.get(key, [])
+        assert mentions.detect(text, lookup, 8, known.__contains__) == mentions.detect(text, lookup), text
+        assert {k for k in mentions.needed_keys(text, 8, lambda w: True) if k in table} == {k for k in mentions.needed_keys(text, 8, known.__contains__) if k in table}
 
 
 def test_stream(spark, index, tmp_path):

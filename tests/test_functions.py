@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medspan.functions import dose, textnorm
 from medspan.functions import lexicon as lx
-from medspan.operators import mentions, ranking, vectors
+from medspan.operators import mentions, projection, ranking, vectors
 
 NORMS = [("Lipitor™ 20 mg", "lipitortm 20 mg"), ("875–125 mg", "875125 mg"), ("5 µg", "5 g"), ("2.5 mg/5 ml", "2 5 mg 5 ml"), ("heiß", "hei"), ("½ ﬁ Ⅷ Ａ", "12 fi viii a"), ("ασ", "a"), ("", ""), (None, None)]
 
@@ -38,7 +38,8 @@ def test_noisy(text, want):
 
 def test_context_and_jaccard(spark):
     assert column(spark, ["metformin po bid", "po", ""], textnorm.strip_context(F.col("t"))) == ["metformin", "", ""]
-    assert column(spark, ["a b c", "", "x"], textnorm.token_jaccard(F.col("t"), F.lit("b c d"))) == [0.5, 0.0, 0.0]
+    distinct = lambda c: F.array_distinct(textnorm.words(c))
+    assert column(spark, ["a b c", "", "x"], projection.word_jaccard(distinct(F.col("t")), distinct(F.lit("b c d")))) == [0.5, 0.0, 0.0]
     line = "x. amlodipine 2.5 mg but not now"
     assert column(spark, [line], textnorm.clause_around(F.col("t"), F.lit(3), F.lit(13))) == ["amlodipine 2"]
     assert column(spark, [line], textnorm.segment_around(F.col("t"), F.lit(3), F.lit(13))) == ["x. amlodipine 2.5 mg"]

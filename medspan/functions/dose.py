@@ -31,8 +31,9 @@ def canonical_unit(unit: Column) -> Column:
 
 
 def canonical_number(value: Column) -> Column:
-    """Whole numbers plain, others with six significant digits."""
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(F.format_string("%.6g", value))
+    """Whole numbers plain, others with six significant digits and no zeros at the end."""
+    short = F.regexp_replace(F.format_string("%.6g", value), r"\.?0+(?=e|$)", "")
+    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(short)
 
 
 def strength_signatures(text: Column) -> Column:

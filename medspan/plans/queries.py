@@ -431,8 +431,16 @@ def strength_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORM_TEXTS = ("oral tablet", "metered dose inhaler hfa", "solution for injection iv", "24 hr capsule xr", "eye drops", "patch er")
 
 
+def _sql_form_tests(norm: str) -> list[str]:
+    return [f"CASE WHEN {' OR '.join(f"contains(' ' || {norm} || ' ', ' {h} ')" for h in hints)} THEN '{form}' END" for form, hints in lx.FORM_HINTS.items()]
+
+
+def _sql_form_list(norm: str) -> str:
+    return f"[{', '.join(_sql_form_tests(norm))}]"
+
+
 def _sql_forms(norm: str) -> str:
-    tests = [f"CASE WHEN {' OR '.join(f"contains(' ' || {norm} || ' ', ' {h} ')" for h in hints)} THEN '{form}' END" for form, hints in lx.FORM_HINTS.items()]
+    tests = _sql_form_tests(norm)
     tests.append(f"CASE WHEN contains(' ' || {norm} || ' ', ' oral ') THEN 'oral' END")
     return f"array_to_string(list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL), '|')"
 
@@ -473,12 +481,63 @@ def med_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dose.with_record(rows, "t").select("p_partkey", "structured", "record_name", "record_route", "record_schedule")
 
 
-@query()
+_FORM_OF = f"({sql_list(_FORM_TEXTS)})[p_size % 6 + 1]"
+_MENTION = f"""CASE p_size % 5 WHEN 0 THEN p_name || ' ' || p_size || ' mg ' || {_FORM_OF} || ' PO daily'
+  WHEN 1 THEN 'MED|' || p_name || '|' || p_size || ' mg|IV|q8h|active' WHEN 2 THEN p_name || ' ' || p_size || '/' || (p_size * 2) || ' 5 mcg/kg/hr drip'
+  WHEN 3 THEN p_name || '+' || p_brand || ' ' || p_size || ' 0.5 units' ELSE p_name || ' ' || p_size || ' 25 PO nightly' END"""
+_PLAIN_STRENGTH = rf"\b{lx.NUMBER}\s*(?:{lx.UNIT})\b"  # what the texts hold has no rate behind it
+
+
+def _sql_found(text: str, pattern: str, group: int) -> str:
+    return f"regexp_extract_all({text}, '{pattern}', {group})"
+
+
+def _sql_distinct(values: str) -> str:
+    """Distinct values in order of their first place."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+def _sql_numbers(text: str) -> str:
+    return f"list_filter(list_transform({_sql_found(text, lx.BARE_NUMBER, 0)}, lambda x: CAST(x AS DOUBLE)), lambda x: x > 0 AND x <= 1500)"
+
+
+def _sql_key(value: str, unit: str) -> str:
+    return f"CASE WHEN {value} = floor({value}) THEN CAST(CAST({value} AS BIGINT) AS VARCHAR) ELSE printf('%.6g', {value}) END || {unit}"
+
+
+_PAIRS = "list_concat(" + ", ".join(f"list_zip({_sql_found('c', p, v)}, {_sql_found('c', p, u)})" for p, v, u in ((lx.RATIO_STRENGTH, 1, 3), (lx.RATIO_STRENGTH, 2, 3), (lx.SINGLE_STRENGTH, 1, 2))) + ")"
+
+
+@query(
+    rf"""
+WITH t AS (SELECT p_partkey, {_MENTION} AS m, {sql_norm('p_name')} AS n, p_size % 5 = 1 AS structured FROM part),
+c AS (SELECT *, {sql_norm('m')} AS c, CASE WHEN structured THEN 'iv' ELSE '' END AS route, CASE WHEN structured THEN 'q8h' ELSE '' END AS sched FROM t),
+r AS (SELECT *, regexp_matches(c, '{lx.INFUSION_RATE}') AS rate FROM c),
+f AS (SELECT *, regexp_matches(c, '\b(?:iv|ivp|ivpb|intravenous)\b') OR route = 'iv' OR rate AS iv, regexp_matches(c, '\b(?:po|oral)\b') AS oral, regexp_matches(c, '{lx.CONTINUOUS}') OR rate AS continuous,
+  regexp_matches(c, '{lx.SCHEDULE}') AS schedule, list_filter({_sql_form_list('c')}, lambda x: x IS NOT NULL) AS held FROM r),
+g AS (SELECT *, CASE WHEN (route = 'iv' OR rate) AND NOT list_contains(held, 'injection') THEN list_append(held, 'injection') ELSE held END AS forms,
+  list_transform({_PAIRS}, lambda x: struct_pack(v := CAST(x[1] AS DOUBLE), u := CASE WHEN x[2] LIKE 'unit%' THEN 'unit' ELSE x[2] END)) AS pairs FROM f),
+k AS (SELECT *, flatten(list_transform(pairs, lambda x: list_filter([{_sql_key('x.v', 'x.u')}, CASE x.u WHEN 'mg' THEN {_sql_key('(x.v * 1000.0)', "'mcg'")} WHEN 'mcg' THEN {_sql_key('(x.v / 1000.0)', "'mg'")} END], lambda y: y IS NOT NULL))) AS sigs FROM g)
+SELECT p_partkey, structured, iv, oral, continuous, schedule, array_to_string(forms, '|') AS forms,
+  array_to_string({_sql_distinct(f"list_transform({_sql_found('c', _PLAIN_STRENGTH, 0)}, lambda x: trim(x))")}, '|') AS strength_tokens, array_to_string(list_sort(list_distinct(sigs)), '|') AS strength_sigs,
+  contains(CASE WHEN structured THEN '' ELSE m END, '+') OR regexp_matches(lower(CASE WHEN structured THEN '' ELSE m END), '\b[a-z]{{3,}}\s*[-/]\s*[a-z]{{3,}}\b') AS combo,
+  array_to_string(list_transform(list_zip({_sql_found('lower(m)', lx.SLASH_RATIO, 1)}, {_sql_found('lower(m)', lx.SLASH_RATIO, 2)}), lambda x: x[1] || '/' || x[2]), '|') AS ratios,
+  array_to_string(list_transform(list_sort(list_distinct({_sql_numbers('c')})), lambda x: printf('%.6f', x)), '|') AS numbers,
+  regexp_matches(c, '{_PLAIN_STRENGTH}') OR regexp_matches(c, '{lx.RATIO_STRENGTH}') OR regexp_matches(c, '{lx.UNITS_PER_KG_HOUR}')
+    OR (NOT iv AND NOT continuous AND NOT regexp_matches(c, '\b(?:kg|hr|h|min|sec)\b') AND len({_sql_numbers('c')}) > 0 AND (schedule OR oral OR list_has_any(forms, ['tablet', 'capsule', 'er', 'ec', 'xl24', 'oral']))) AS dose_signal
+FROM k
+"""
+)
 def mention_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws(" ", "p_name", F.concat(_text("p_size"), F.lit(" mg")), F.get(F.array(*[F.lit(x) for x in _FORM_TEXTS]), F.col("p_size") % 6), F.lit("PO daily"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("mention_text")).withColumn("context", textnorm.noisy(F.col("mention_text")))
-    rows = rows.withColumns({"surface": F.col("context"), "projection_norm": textnorm.strip_context(F.col("context"))})
-    return dose.with_mention_features(dose.with_record(rows, "mention_text"))
+    form = F.get(F.array(*[F.lit(x) for x in _FORM_TEXTS]), F.col("p_size") % 6)
+    text = F.expr(_MENTION.replace(_FORM_OF, "form_text"))
+    rows = table(spark, sf_dir, "part").withColumn("form_text", form).select("p_partkey", text.alias("mention_text"), textnorm.normalize(F.col("p_name")).alias("projection_norm"))
+    rows = rows.withColumn("context", textnorm.normalize(F.col("mention_text"))).withColumn("surface", F.col("context"))
+    made = dose.with_mention_features(dose.with_record(rows, "mention_text"))
+    joined = {c: F.array_join(c, "|") for c in ("forms", "strength_tokens", "strength_sigs")}
+    ratios = F.array_join(F.transform("ratios", lambda p: F.format_string("%.0f/%.0f", p["a"], p["b"])), "|")
+    numbers = F.array_join(F.transform("numbers", lambda v: F.format_string("%.6f", v)), "|")
+    return made.withColumns(joined | {"ratios": ratios, "numbers": numbers}).select("p_partkey", "structured", "iv", "oral", "continuous", "schedule", "forms", "strength_tokens", "strength_sigs", "combo", "ratios", "numbers", "dose_signal")
 
 
 # --- retrieval, scores, projection -----------------------------------------------------------------------------------------
@@ -532,6 +591,137 @@ def best_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.best_by_type(rows).select("mention_id", "target", F.col("hit.concept_id").alias("node"), F.col("hit.depth").alias("depth"))
 
 
+_KIND = "CASE WHEN p_size = 3 AND p_type = 'SMALL' THEN 'IN' WHEN p_size % 2 = 0 THEN 'SCD' ELSE 'BN' END"
+_CONTEXT = "CASE p_size % 4 WHEN 0 THEN '20 mg daily' WHEN 1 THEN '10 / 20' ELSE 'po daily' END"
+_OTHER = "'Brand#' || (p_size % 25 + 1)"
+
+
+@query(
+    f"""
+WITH n AS (SELECT p_brand AS concept, {_KIND} AS tty, {sql_norm('p_name')} AS norm, p_name, p_partkey FROM part),
+kind AS (SELECT concept, arg_min(tty, CASE tty WHEN 'SCD' THEN 2 WHEN 'BN' THEN 5 ELSE 7 END) AS best_type FROM n GROUP BY concept),
+pref AS (SELECT concept, arg_min(p_name, (CASE tty WHEN 'SCD' THEN 1 WHEN 'BN' THEN 4 ELSE 6 END, length(p_name), p_partkey)) AS best_name FROM n GROUP BY concept),
+named AS (SELECT norm, arg_min(concept, p_partkey) AS concept FROM n WHERE tty = 'IN' GROUP BY norm),
+m AS (SELECT p_partkey, p_size, {sql_norm('p_name')} AS norm, p_size % 4 IN (0, 1) AS strong, CASE WHEN p_size % 3 = 0 THEN [p_brand, {_OTHER}] ELSE []::VARCHAR[] END AS exact FROM part),
+c AS (SELECT p_partkey, k, 'Brand#' || ((p_partkey * 7 + k * 5 + p_size) % 25 + 1) AS concept, round(((p_partkey * 13 + k * 29) % 17) / 17.0, 6) AS score FROM part, range(3) r(k)),
+top AS (SELECT p_partkey, arg_min(concept, (-score, k)) AS top, max(score) AS top_score FROM c GROUP BY p_partkey),
+o AS (SELECT m.*, top, top_score, (SELECT arg_min(e, i) FROM (SELECT unnest(exact) AS e, generate_subscripts(exact, 1) AS i) WHERE e IN (SELECT concept FROM n WHERE tty = 'IN')) AS exact_in, named.concept AS alias_in FROM m JOIN top USING (p_partkey) LEFT JOIN named USING (norm)),
+p AS (SELECT *, CASE WHEN NOT strong AND exact_in IS NOT NULL THEN exact_in ELSE top END AS step FROM o),
+b AS (SELECT *, CASE WHEN NOT strong AND alias_in IS NOT NULL THEN alias_in ELSE step END AS best FROM p)
+SELECT b.p_partkey, best AS best_id, coalesce(x.score, y.score, top_score) AS best_score, best_name, best_type, list_contains(exact, best) AS exact_match, step <> top AS exact_override, best <> step AS alias_override,
+  CASE WHEN best <> step THEN 'no_strength_in_alias_override' WHEN step <> top THEN 'no_strength_in_exact_override' WHEN list_contains(exact, best) THEN 'embedding_plus_exact' ELSE 'embedding_ranked' END AS selection_reason
+FROM b LEFT JOIN c x ON x.p_partkey = b.p_partkey AND x.concept = best LEFT JOIN c y ON y.p_partkey = b.p_partkey AND y.concept = step LEFT JOIN kind ON kind.concept = best LEFT JOIN pref ON pref.concept = best
+"""
+)
+def best_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice among ranked candidates: best score, overrides by ingredients, reasons."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").alias("line_no"), F.col("p_brand").alias("concept_id"), F.lit("Y").alias("ispref"), F.expr(_KIND).alias("tty"), F.col("p_name").alias("raw_name"), textnorm.normalize(F.col("p_name")).alias("norm_text"))
+    names = stage(names)
+    index = Index(release.preferred_names(names), release.typed_names(names), alias_table(names), names, names, names)
+    none = F.array().cast("array<string>")
+    found = part.select(F.col("p_partkey").alias("mention_id"), textnorm.normalize(F.col("p_name")).alias("norm_text"), F.expr(_CONTEXT).alias("context"), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", F.expr(_OTHER))).otherwise(none).alias("exact_ids"))
+    found = found.withColumn("projection_norm", textnorm.strip_context(F.col("norm_text")))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    ranked = part.select(F.col("p_partkey").alias("mention_id"), "p_size", k).select("mention_id", F.expr("'Brand#' || ((mention_id * 7 + k * 5 + p_size) % 25 + 1)").alias("concept_id"), F.expr("round(((mention_id * 13 + k * 29) % 17) / 17.0D, 6)").alias("score"), F.struct(F.col("k").alias("variant"), F.lit(1).alias("rank")).alias("order"))
+    made = ranking.chosen(found, stage(ranked), index)
+    return made.select(F.col("mention_id").alias("p_partkey"), "best_id", "best_score", "best_name", "best_type", "exact_match", "exact_override", "alias_override", "selection_reason")
+
+
+_BITS = dose.FORM_BITS
+
+
+def _sql_close(values: str, e: str) -> str:
+    return f"len(list_filter({values}, lambda z: abs(z - {e}) <= greatest(0.005, abs({e}) * 0.06))) > 0"
+
+
+def _sql_count(wanted: str, values: str) -> str:
+    return f"len(list_filter({wanted}, lambda y: {_sql_close(values, 'y')}))"
+
+
+def _sql_has(column: str, *kinds: str) -> str:
+    return f"({column} & {sum(_BITS[k] for k in kinds)}) <> 0"
+
+
+#: The score of a candidate term by term, as its rules are stated: (condition, points).
+_TERMS = [
+    ("true", "1.8 * CASE WHEN len(list_intersect(pw, nw)) = 0 THEN 0.0 ELSE len(list_intersect(pw, nw)) / (len(pw) + len(nw) - len(list_intersect(pw, nw))) END - 0.45 * depth"),
+    ("len(tokens) > 0", "CASE WHEN len(list_filter(tokens, lambda x: contains(name, x))) > 0 THEN 1.8 * len(list_filter(tokens, lambda x: contains(name, x))) ELSE -0.6 END"),
+    ("len(sigs) > 0", "CASE WHEN len(csigs) = 0 THEN -0.8 WHEN len(list_intersect(sigs, csigs)) > 0 THEN 2.2 * len(list_intersect(sigs, csigs)) ELSE -1.4 END"),
+    ("len(ratios) > 0 AND len(mg) >= 2", f"CASE WHEN len(list_filter(ratios, lambda x: (({_sql_close('mg', 'x.a')}) AND ({_sql_close('mg', 'x.b')})) OR (x.a >= 10 AND x.b >= 10 AND ({_sql_close('mg', '(x.a / 1000.0)')}) AND ({_sql_close('mg', '(x.b / 1000.0)')})))) > 0 THEN 3.4 ELSE -1.3 END"),
+    ("len(numbers) > 0 AND len(mg) > 0", f"CASE WHEN {_sql_count('numbers', 'mg')} > 0 THEN 1.25 * least({_sql_count('numbers', 'mg')}, 2) WHEN len(ratios) = 0 THEN -0.4 ELSE 0 END"),
+    ("coalesce(len(preferred), 0) > 0", f"CASE WHEN len(mg) = 0 THEN -0.5 WHEN {_sql_count('preferred', 'mg')} > 0 THEN 2.0 * least({_sql_count('preferred', 'mg')}, 2) ELSE -2.2 END"),
+    ("hints <> 0", "CASE WHEN bit_count(hints & flags) > 0 THEN 1.2 * bit_count(hints & flags) ELSE -0.9 END"),
+    (f"{_sql_has('hints', 'inhaler')} AND {_sql_has('flags', 'tablet', 'capsule', 'oral', 'injection')}", "-2.4"),
+    (f"{_sql_has('hints', 'inhaler')} AND {_sql_has('flags', 'inhaler')}", "2.4"),
+    (f"{_sql_has('hints', 'inhaler')} AND NOT {_sql_has('flags', 'inhaler')}", "-3.2"),
+    (f"{_sql_has('hints', 'inhaler')} AND {_sql_has('flags', 'solution')} AND NOT {_sql_has('flags', 'inhaler')}", "-2.2"),
+    (f"{_sql_has('hints', 'dry_powder')} AND {_sql_has('flags', 'dry_powder')}", "0.8"),
+    (f"{_sql_has('hints', 'injection')} AND {_sql_has('flags', 'tablet', 'capsule', 'oral', 'inhaler')}", "-2.4"),
+    (f"{_sql_has('hints', 'tablet', 'capsule')} AND {_sql_has('flags', 'inhaler')}", "-2.0"),
+    (f"schedule AND {_sql_has('flags', 'injection')} AND NOT {_sql_has('hints', 'injection')}", "-2.4"),
+    (f"schedule AND {_sql_has('flags', 'oral', 'tablet', 'capsule', 'dr', 'er')}", "0.6"),
+    (f"iv AND routed AND {_sql_has('flags', 'injection')}", "3.2"),
+    (f"iv AND routed AND NOT {_sql_has('flags', 'injection')}", "-4.6"),
+    (f"iv AND routed AND {_sql_has('flags', 'patch', 'sublingual')}", "-3.5"),
+    (f"oral AND routed AND {_sql_has('flags', 'oral', 'tablet', 'capsule', 'dr', 'er')}", "0.9"),
+    (f"oral AND routed AND {_sql_has('flags', 'injection')}", "-3.2"),
+    (f"oral AND routed AND {_sql_has('flags', 'tablet')}", "0.9"),
+    (f"oral AND routed AND {_sql_has('flags', 'capsule')} AND NOT {_sql_has('hints', 'capsule')}", "-1.1"),
+    (f"continuous AND iv AND routed AND {_sql_has('flags', 'injection')}", "0.9"),
+    (f"continuous AND iv AND routed AND {_sql_has('flags', 'patch', 'sublingual')}", "-2.8"),
+    (f"contains(name, 'dry powder') AND NOT {_sql_has('hints', 'dry_powder')}", "-1.8"),
+    (f"{_sql_has('flags', 'solution')} AND NOT {_sql_has('hints', 'solution', 'inhaler', 'injection')}", "-0.9"),
+    (f"contains(' ' || name || ' ', ' granules ') AND NOT {_sql_has('hints', 'suspension')}", "-0.8"),
+    ("len(anchors) > 0", "CASE WHEN len(found) = 0 THEN -0.4 WHEN list_sort(found) = list_sort(anchors) THEN 2.4 WHEN list_has_all(found, anchors) THEN 0.3 + CASE WHEN combined THEN 0 ELSE -4.0 END WHEN list_has_any(found, anchors) THEN 0.1 + CASE WHEN NOT combined AND len(found) > len(anchors) THEN -3.2 ELSE 0 END ELSE -3.0 END"),
+    ("len(anchors) > 0 AND len(found) > len(anchors)", "-1.6 * (len(found) - len(anchors))"),
+    ("len(anchors) > 0 AND len(found) > len(anchors) AND NOT combined", "-2.0"),
+    ("target IN ('GPCK', 'BPCK') AND NOT contains(' ' || name || ' ', ' pack ')", "-1.0"),
+]
+_TAIL = "CASE c.p_partkey % 5 WHEN 0 THEN ' dry powder' WHEN 1 THEN ' granules' WHEN 2 THEN ' pack' WHEN 3 THEN ' 5 ml' ELSE '' END"
+
+
+@query(
+    f"""
+WITH j AS (SELECT m.p_partkey AS k, m.p_size AS s, m.p_name || ' ' || m.p_type AS mtext, c.p_partkey AS n, CASE WHEN c.p_partkey % 2 = 0 THEN m.p_size ELSE c.p_size END AS t, c.p_name || ' ' || c.p_type AS ctext, {_TAIL} AS tail FROM part m JOIN part c ON c.p_partkey IN (m.p_partkey + 1, m.p_partkey + 7, m.p_partkey + 18)),
+f AS (SELECT k, n, ({sql_list(lx.TARGET_TYPES)})[n % 9 + 1] AS target, t % 4 AS depth, {sql_norm("ctext || ' ' || t || ' mg' || tail")} AS name, list_distinct({sql_words(sql_norm('mtext'))}) AS pw,
+  CASE s % 3 WHEN 0 THEN [s || ' mg'] WHEN 1 THEN []::VARCHAR[] ELSE [s || ' mg', '5 ml'] END AS tokens, CASE WHEN s % 4 = 0 THEN []::VARCHAR[] ELSE [s || 'mg', (s * 1000) || 'mcg'] END AS sigs,
+  CASE s % 5 WHEN 0 THEN [struct_pack(a := s * 1.0::DOUBLE, b := s * 2.0::DOUBLE)] WHEN 1 THEN [struct_pack(a := s * 1000.0::DOUBLE, b := s * 2000.0::DOUBLE)] ELSE []::STRUCT(a DOUBLE, b DOUBLE)[] END AS ratios,
+  CASE WHEN s % 6 = 0 THEN []::DOUBLE[] ELSE [s * 1.0::DOUBLE, 500.0::DOUBLE] END AS numbers, CASE s % 7 WHEN 0 THEN NULL WHEN 1 THEN []::DOUBLE[] ELSE [s * 1.0::DOUBLE, s * 2.0::DOUBLE] END AS preferred,
+  (k * 7919 % 524288) & (k * 104729 % 524288) AS hints, (n * 6271 % 524288) & (n * 15485863 % 524288) AS flags, k % 2 = 0 AS combo, k % 3 = 0 AS structured, k % 4 = 1 AS iv, k % 5 < 2 AS oral, k % 6 < 2 AS continuous, k % 7 < 3 AS schedule,
+  ['a', 'b', 'c'][1:k % 4] AS anchors, CASE WHEN t % 4 = 1 THEN []::VARCHAR[] ELSE [t || 'mg'] END AS csigs, CASE WHEN t % 3 = 0 THEN []::DOUBLE[] ELSE [t * 1.0::DOUBLE, t * 2.0::DOUBLE] END AS mg,
+  CASE n % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['a'] WHEN 2 THEN ['a', 'b'] WHEN 3 THEN ['b', 'c', 'd'] ELSE ['d'] END AS found FROM j),
+g AS (SELECT *, list_distinct({sql_words('name')}) AS nw, combo OR len(anchors) > 1 AS combined, target IN ('SBD', 'SCD', 'GPCK', 'BPCK', 'BN', 'SCDC') AS routed FROM f)
+SELECT k AS p_partkey, n AS candidate, target, round(CASE WHEN target = 'MIN' AND ((structured AND NOT combo) OR NOT combined) THEN -1000.0 ELSE {" + ".join(f"CASE WHEN {when} THEN {points} ELSE 0 END" for when, points in _TERMS)} END, 6) + 0.0 AS score FROM g
+"""
+)
+def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer over mentions and candidates whose features take all values."""
+    part = table(spark, sf_dir, "part")
+    m, c = part.alias("m"), part.alias("c")
+    ahead = m.select("*", F.explode(F.array(*[F.col("m.p_partkey") + x for x in (1, 7, 18)])).alias("n"))
+    j = ahead.join(c, F.col("n") == F.col("c.p_partkey")).select(
+        F.col("m.p_partkey").alias("k"), F.col("m.p_size").alias("s"), "n", F.when(F.col("n") % 2 == 0, F.col("m.p_size")).otherwise(F.col("c.p_size")).alias("t"), F.concat_ws(" ", "m.p_name", "m.p_type").alias("mtext"), F.concat_ws(" ", "c.p_name", "c.p_type").alias("ctext"), F.expr(_TAIL).alias("tail")
+    )
+    k, s, n, t = (F.col(x) for x in "ksnt")
+    strings, doubles = (F.array().cast(f"array<{x}>") for x in ("string", "double"))
+    sd, td = s.cast("double"), t.cast("double")
+    pair = lambda x: F.array(F.struct((sd * x).alias("a"), (sd * 2 * x).alias("b")))
+    rows = j.select(
+        "k", "n", F.get(F.array(*[F.lit(x) for x in lx.TARGET_TYPES]), (n % 9).cast("int")).alias("target"), (t % 4).alias("depth"), textnorm.normalize(F.concat("ctext", F.lit(" "), t.cast("string"), F.lit(" mg"), "tail")).alias("name_norm"), F.array_distinct(textnorm.words(textnorm.normalize(F.col("mtext")))).alias("projection_words"),
+        F.when(s % 3 == 0, F.array(F.concat(s.cast("string"), F.lit(" mg")))).when(s % 3 == 1, strings).otherwise(F.array(F.concat(s.cast("string"), F.lit(" mg")), F.lit("5 ml"))).alias("strength_tokens"),
+        F.when(s % 4 == 0, strings).otherwise(F.array(F.concat(s.cast("string"), F.lit("mg")), F.concat((s * 1000).cast("string"), F.lit("mcg")))).alias("strength_sigs"),
+        F.when(s % 5 == 0, pair(1.0)).when(s % 5 == 1, pair(1000.0)).otherwise(F.array().cast("array<struct<a:double,b:double>>")).alias("ratios"),
+        F.when(s % 6 == 0, doubles).otherwise(F.array(sd, F.lit(500.0))).alias("numbers"), F.when(s % 7 == 0, F.lit(None)).when(s % 7 == 1, doubles).otherwise(F.array(sd, sd * 2)).alias("preferred"),
+        (k * 7919 % 524288).bitwiseAND(k * 104729 % 524288).cast("int").alias("form_bits"), (n * 6271 % 524288).bitwiseAND(n * 15485863 % 524288).cast("int").alias("flag_bits"),
+        (k % 2 == 0).alias("combo"), (k % 3 == 0).alias("structured"), (k % 4 == 1).alias("iv"), (k % 5 < 2).alias("oral"), (k % 6 < 2).alias("continuous"), (k % 7 < 3).alias("schedule"),
+        F.slice(F.array(*[F.lit(x) for x in "abc"]), F.lit(1), (k % 4).cast("int")).alias("anchors"), F.when(t % 4 == 1, strings).otherwise(F.array(F.concat(t.cast("string"), F.lit("mg")))).alias("sigs"), F.when(t % 3 == 0, doubles).otherwise(F.array(td, td * 2)).alias("mg"),
+        F.get(F.array(strings, *[F.array(*[F.lit(y) for y in x]) for x in ("a", "ab", "bcd", "d")]), (n % 5).cast("int")).alias("found"),
+    )
+    rows = rows.withColumn("name_words", F.array_distinct(textnorm.words(F.col("name_norm"))))
+    return rows.select(F.col("k").alias("p_partkey"), F.col("n").alias("candidate"), "target", F.round(projection.score(F.col("preferred")), 6).alias("score"))
+
+
 _QUERY_NORM = sql_norm("p_name || ' ' || p_size || ' mg po daily tablet'")
 
 

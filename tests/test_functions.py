@@ -48,6 +48,8 @@ def test_context_and_jaccard(spark):
 def test_doses(spark):
     t = F.col("t")
     assert column(spark, ["metformin 1 G / x 500 MCG", "none", None], dose.strengths_mg(t)) == [[0.5, 1000.0], [], None]
+    values = [500.0, 0.0125, 0.004, 2.5, 1.23456789, 0.00002, 1234567.5]
+    assert column(spark, values, dose.canonical_number(t), "double") == [f"{v:.6g}" if v != int(v) else str(int(v)) for v in values]
     assert set(column(spark, ["2 5 mg"], dose.strength_signatures(t))[0]) == {"2mg", "2000mcg", "5mg", "5000mcg"}
     assert column(spark, ["10 mg/dl", "10 mg po"], dose.strength_tokens(t)) == [[], ["10 mg"]]
     assert column(spark, [106.0, 107.0], dose.close(F.array(F.lit(100.0)), t), "double") == [True, False]

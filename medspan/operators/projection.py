@@ -3,6 +3,9 @@
 A mention's seed concept is closed over the relation graph, candidates are scored by one column expression, and the
 best of each type is kept.  Types depend on each other in a chain (SBD, then SCD, then SCDC, by preferred strengths),
 so scoring runs in three stages over the same candidate table.
+
+What is projected depends on the seed and the features alone, and notes repeat themselves: each distinct combination of both
+(``shape``) is projected once, whatever number of mentions has it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from medspan.operators import graph
 from medspan.session import stage
 from medspan.sources.index import Index
 
+#: Projected shapes of up to so many rows are broadcast to their mentions.
+MAX_BROADCAST_SHAPES = 50_000
 MIN_SCORE = -2.5
 VETO = -1000.0
 SCORE_INPUTS = (
@@ -148,15 +153,29 @@ def candidate_table(mentions: DataFrame, index: Index, max_depth: int) -> DataFr
 
 
 def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
-    """``mentions`` with ``projected`` (map of type to concept), ``in_list`` and ``in_is_list``.
+    """``mentions`` with ``anchors``, ``projected`` (map of type to concept), ``in_list`` and ``in_is_list``.
 
-    Input columns: mention_id (unique), best_id, projection_norm and the features.  Each stage keeps the best of its
-    types; SCD prefers the strengths of SBD, SCDC those of SCD, else of SBD.
+    Input columns: mention_id (unique), best_id, projection_norm and the features.
     """
     anchors = index.ingredients.select(F.col("concept_id").alias("best_id"), F.col("ingredients").alias("anchors"))
     is_in = index.names.where("tty = 'IN'").select(F.col("concept_id").alias("best_id"), F.lit(True).alias("seed_is_ingredient")).distinct()
-    base = mentions.join(anchors, "best_id", "left").join(is_in, "best_id", "left").withColumns({"anchors": F.coalesce("anchors", F.array().cast("array<string>")), "seed_is_ingredient": F.coalesce("seed_is_ingredient", F.lit(False)), "projection_words": F.array_distinct(words(F.col("projection_norm"))), "form_bits": dose.form_bits(F.col("forms"))})
-    base = stage(base)
+    seeds = mentions.select("best_id").distinct().join(anchors, "best_id", "left").join(is_in, "best_id", "left")
+    seeds = seeds.select("best_id", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"), F.coalesce("seed_is_ingredient", F.lit(False)).alias("seed_is_ingredient"))
+    base = mentions.join(seeds, "best_id").withColumns({"projection_words": F.array_distinct(words(F.col("projection_norm"))), "form_bits": dose.form_bits(F.col("forms"))})
+    inputs = ["best_id", *SCORE_INPUTS]
+    base = stage(base.withColumn("shape", F.concat_ws(":", F.xxhash64(*inputs), F.hash(*inputs))))
+    shapes = stage(base.groupBy("shape").agg(*[F.first(c).alias(c) for c in inputs]).withColumnRenamed("shape", "mention_id"))
+    done = with_ingredients(shapes.join(stage(best_of_types(shapes, index, max_depth)), "mention_id", "left").withColumn("projected", F.coalesce("projected", F.create_map().cast(f"map<string,{CONCEPT}>"))), index)
+    done = done.select(F.col("mention_id").alias("shape"), "projected", "in_list", "in_is_list")
+    done = F.broadcast(done) if shapes.count() <= MAX_BROADCAST_SHAPES else done
+    return base.join(done, "shape").drop("shape", "seed_is_ingredient", "projection_words", "form_bits")
+
+
+def best_of_types(base: DataFrame, index: Index, max_depth: int) -> DataFrame:
+    """(mention_id, projected): the best concept of each type.
+
+    Each stage keeps the best of its types; SCD prefers the strengths of SBD, SCDC those of SCD, else of SBD.
+    """
     rows = candidate_table(base, index, max_depth)  # used once for each stage, each time for other types
     nothing = F.lit(None).cast("array<double>")
     free = stage(best_by_type(rows.where(~F.col("target").isin("SCD", "SCDC")).withColumn("score", score(nothing))))
@@ -167,9 +186,7 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     scdc = stage(best_by_type(chained.withColumn("score", score(F.coalesce("scd_mg", "sbd_mg")))))
     scdc = realigned(scdc, scd_mg, base, index, max_depth)
     hits = free.drop("mg").unionByName(scd.drop("mg")).unionByName(scdc)
-    table = hits.where("hit is not null").groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "hit"))).alias("projected"))
-    joined = base.join(stage(table), "mention_id", "left").withColumn("projected", F.coalesce("projected", F.create_map().cast(f"map<string,{CONCEPT}>")))
-    return with_ingredients(joined, index).drop("seed_is_ingredient", "projection_words", "form_bits")
+    return hits.where("hit is not null").groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "hit"))).alias("projected"))
 
 
 def realigned(scdc: DataFrame, scd_mg: DataFrame, base: DataFrame, index: Index, max_depth: int) -> DataFrame:

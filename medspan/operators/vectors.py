@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Concept matrices of up to so many bytes are broadcast whole; larger ones go block by block.
-MAX_MATRIX_BYTES = 256 << 20
+from medspan.session import stage
+
+#: A concept matrix is broadcast in blocks of at most so many bytes.
+MAX_MATRIX_BYTES = 64 << 20
 QUERY_ROWS = 256
 
 
@@ -54,50 +56,75 @@ def nearest(queries: DataFrame, concepts: DataFrame, top_k: int = 40, dims: int
     """(query, concept_id, score, rank): the ``top_k`` most similar concepts of each distinct non-empty query.
 
     ``queries`` has (query), ``concepts`` (concept_id, vec).  Queries stay distributed; the concept matrix comes to them
-    in blocks of at most ``max_matrix_bytes``, one for a terminology of usual size, and each block's best are merged.
+    in blocks of at most ``max_matrix_bytes``, four for a terminology of usual size, and each block's best are merged.
     Order: score (rounded to 6 places) descending, then id.
     """
     texts = queries.where("query is not null and query <> ''").select("query").distinct()
     return nearest_vectors(texts.withColumn("vec", embed(F.col("query"), dims)), concepts, top_k, max_matrix_bytes)
 
 
+def _matrix(vectors: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of an Arrow list column as a matrix, from its buffer."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dims)
+
+
+class Block:
+    """Some concepts' ids, in order, and vectors; the matrix is widened once in each worker."""
+
+    def __init__(self, ids: pa.Array, matrix: np.ndarray):
+        self.ids, self.matrix, self.wide = ids, matrix, None
+
+    def __getstate__(self):
+        return self.ids, self.matrix
+
+    def __setstate__(self, state):
+        (self.ids, self.matrix), self.wide = state, None
+
+    def best(self, queries: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, place in the block, score) of the ``top_k`` most similar concepts; ids are in order, so a stable sort settles ties."""
+        if self.wide is None:
+            self.wide = np.ascontiguousarray(self.matrix.T, dtype=np.float64)
+        scores = np.round(queries.astype(np.float64) @ self.wide, 6)
+        k = min(top_k, scores.shape[1])
+        edge = np.partition(scores, -k, axis=1)[:, -k]
+        row, at = np.nonzero(scores >= edge[:, None])
+        value = scores[row, at]
+        order = np.lexsort((at, -value, row))
+        row, at, value = row[order], at[order], value[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < k
+        return row[kept], at[kept], value[kept]
+
+
 def nearest_vectors(queries: DataFrame, concepts: DataFrame, top_k: int, max_matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
-    """``nearest`` for queries that come with their vectors: (query, vec), of the concepts' width."""
-    spark = queries.sparkSession
-    rows = concepts.count()
-    dims = (concepts.agg(F.max(F.size("vec"))).first()[0] or 1) if rows else 1
-    per_block = max(1, max_matrix_bytes // (4 * dims))
-    n_blocks = max(1, -(-rows // per_block))
+    """``nearest`` for queries that come with their vectors: (query, vec), of the concepts' width.
+
+    Each block of concepts passes through the driver as Arrow buffers, one at a time; queries are computed once.
+    """
+    context = queries.sparkSession.sparkContext
+    seen = concepts.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    rows, dims = seen["n"], seen["dims"] or 1
+    n_blocks = max(1, -(-rows // max(1, max_matrix_bytes // (4 * dims))))
+    asked = queries.select("query", "vec") if n_blocks == 1 else stage(queries.select("query", "vec"))
     found = None
     for b in range(n_blocks):
         part = concepts if n_blocks == 1 else concepts.where(F.pmod(F.xxhash64("concept_id"), F.lit(n_blocks)) == b)
-        table = part.select("concept_id", "vec").orderBy("concept_id").toArrow()
-        ids = np.array(table.column("concept_id").to_pylist(), dtype=object)
-        matrix = np.array(table.column("vec").to_pylist(), dtype=np.float32).reshape(len(ids), -1)
-        shared = spark.sparkContext.broadcast((ids, np.nan_to_num(matrix, nan=-1.0, posinf=1.0, neginf=-1.0)))
+        table = part.select("concept_id", "vec").toArrow().sort_by("concept_id")
+        matrix = np.nan_to_num(_matrix(table.column("vec"), dims), nan=-1.0, posinf=1.0, neginf=-1.0) if table.num_rows else np.zeros((0, dims), np.float32)
+        shared = context.broadcast(Block(table.column("concept_id").combine_chunks() if table.num_rows else pa.array([], pa.string()), matrix))
 
         def search(batches, shared=shared):
-            ids, matrix = shared.value
+            block = shared.value
             for batch in batches:
-                texts = batch.column("query").to_pylist()
-                vectors = np.array(batch.column("vec").to_pylist(), dtype=np.float64)
+                if not batch.num_rows or not len(block.ids):
+                    continue
+                texts, own = batch.column("query"), _matrix(batch.column("vec"), dims)
                 for at in range(0, len(texts), QUERY_ROWS):
-                    some = texts[at : at + QUERY_ROWS]
-                    if not len(ids):
-                        continue
-                    scores = np.round(vectors[at : at + QUERY_ROWS] @ matrix.T.astype(np.float64), 6)
-                    k = min(top_k, scores.shape[1])
-                    out = []
-                    for row in scores:
-                        edge = np.partition(row, -k)[-k]
-                        at_least = np.flatnonzero(row >= edge)  # ids are sorted, so a stable sort settles ties
-                        out.append(at_least[np.argsort(-row[at_least], kind="stable")][:k])
-                    q = [t for t in some for _ in range(k)]
-                    picked = np.concatenate(out)
-                    value = np.concatenate([row[o] for row, o in zip(scores, out, strict=True)])
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[picked].tolist(), pa.string()), pa.array(value)], ["query", "concept_id", "score"])
-
-        own = queries.select("query", "vec").mapInArrow(search, "query string, concept_id string, score double")
+                    row, place, value = block.best(own[at : at + QUERY_ROWS], top_k)
+                    yield pa.RecordBatch.from_arrays([texts.take(pa.array(row + at)), block.ids.take(pa.array(place)), pa.array(value)], ["query", "concept_id", "score"])
+
+        own = asked.mapInArrow(search, "query string, concept_id string, score double")
         found = own if found is None else found.unionByName(own)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "concept_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -14,6 +14,7 @@ from medspan.operators import mentions as m
 from medspan.operators import projection, ranking
 from medspan.session import stage
 from medspan.sources.index import Index
+from medspan.sources.results import result_json, text_notes
 
 
 @dataclass(frozen=True)
@@ -111,3 +112,9 @@ def annotate(notes: DataFrame, index: Index, options: Options | None = None) ->
     kept = notes.join(lists, "doc_id", "left")
     count = F.coalesce(F.size("mentions"), F.lit(0))
     return kept.select("doc_id", F.col("text").alias("input_text"), F.array(*[F.lit(t) for t in lx.TARGET_TYPES]).alias("target_types"), F.when(count > 0, count).otherwise(0).alias("mention_count"), F.coalesce("mentions", F.array().cast(lists.schema["mentions"].dataType)).alias("mentions"))
+
+
+def infer_json(index: Index, text: str, options: Options | None = None) -> str:
+    """The JSON result of one text, as the command line and the server give it."""
+    spark = index.aliases.sparkSession
+    return result_json(annotate(text_notes(spark, text), index, options)).first()["value"]

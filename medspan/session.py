@@ -11,11 +11,14 @@ def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from its checkpoint, in the folder the session names in ``spark.checkpoint.dir``.
 
     Long plans that use a table several times would otherwise compute and analyse it each time, and lost executors
-    would set them back to the start.  A temporary folder is used only where no folder is set (tests, local runs).
+    would set them back to the start.  Where no folder is set, a local session (tests) gets a temporary one; a cluster gets an
+    error, since a folder of one machine would be lost with it.
     """
     session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="medspan-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -1,13 +1,19 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import threading
+import urllib.request
 
 import pytest
 
 import mini
+from medspan import serve
+from medspan.__main__ import main
+from medspan.functions import lexicon as lx
 from medspan.operators import display, graph, mentions
-from medspan.plans.annotate import annotate, annotate_mentions
+from medspan.plans.annotate import Options, annotate, annotate_mentions
 from medspan.sources import release
 from medspan.sources.index import build_index, load_index
 from medspan.sources.results import result_json
@@ -106,8 +112,13 @@ def test_shuffled_dictionary_gives_the_same_mentions(notes, index):
 
 def test_json_and_display(spark, index, notes):
     found = {r.doc_id: json.loads(r.value) for r in result_json(annotate(notes.where("doc_id in (1, 4, 6)"), index)).collect()}
-    assert found[1]["mentions"][0]["type_results"]["IN"]["concept_id"] == "100" and found[4]["mentions"] == []
-    assert [x["concept_id"] for x in found[6]["mentions"][0]["type_results"]["IN_ALL"]] == ["103", "101"]
+    first = found[1]["mentions"][0]
+    assert first["tty_results"]["IN"] == {"rxcui": "100", "name": "metformin", "depth": 1} and found[4]["mentions"] == []
+    assert set(first) == set("mention_text matched_text span matched_span normalized_text best_match tty_results detected_by detection_trace".split())
+    assert set(first["best_match"]) == set("rxcui name tty score exact_match".split()) and set(first["tty_results"]) == set(lx.TARGET_TYPES)
+    assert set(first["detection_trace"]["ranking"]) == set("used_embeddings embedding_query_variants exact_alias_candidate_count exact_alias_candidates exact_alias_ttys selection_reason best_name_similarity ingredient_projection_suppressed".split())
+    assert set(found[1]) == {"input_text", "target_ttys", "mention_count", "mentions"} and first["tty_results"]["BN"] is None
+    assert [x["rxcui"] for x in found[6]["mentions"][0]["tty_results"]["IN_ALL"]] == ["103", "101"]
     twice = spark.createDataFrame([(1, "metformin 500 mg tablet\nMetformin 500 MG tablet\naspirin 81 mg")], "doc_id long, text string")
     rows = display.deduplicated(annotate_mentions(twice, index))
     assert sorted(r.merged for r in rows.collect()) == [1, 2]
@@ -130,6 +141,30 @@ def test_skipped_tokens_lose_no_mention():
         assert {k for k in mentions.needed_keys(text, 8, lambda w: True) if k in table} == {k for k in mentions.needed_keys(text, 8, known.__contains__) if k in table}
 
 
+def test_server(index, results):
+    assert serve.answer(index, Options(), b"[]")[0] == 400 and serve.answer(index, Options(), b'{"text": " "}')[0] == 400
+    running = serve.server(index, "somewhere", port=0)
+    thread = threading.Thread(target=lambda: [running.handle_request() for _ in range(2)])
+    thread.start()
+    url = f"http://127.0.0.1:{running.server_port}"
+    assert json.load(urllib.request.urlopen(f"{url}/health")) == {"ok": True, "index_dir": "somewhere"}
+    asked = urllib.request.Request(f"{url}/api/infer", json.dumps({"text": NOTES[0][1]}).encode())
+    got = json.load(urllib.request.urlopen(asked))
+    thread.join()
+    running.server_close()
+    assert got["mention_count"] == 1 and got["mentions"][0]["best_match"]["rxcui"] == results[1]["mentions"][0]["best_match"]["concept_id"]
+
+
+def test_command_line_takes_a_folder(spark, tmp_path, capsys, monkeypatch):
+    names, relations = mini.write_release(tmp_path)
+    os.rename(names, tmp_path / "XCONSO.RRF")
+    os.rename(relations, tmp_path / "XREL.RRF")
+    main(["build-index", "--rrf-dir", str(tmp_path), "--source", mini.SOURCE, "--out-dir", f"{tmp_path}/index"])
+    assert json.loads(capsys.readouterr().out)["concept_count"] == 20
+    main(["infer", "--index-dir", f"{tmp_path}/index", "--text", NOTES[0][1]])
+    assert json.loads(capsys.readouterr().out)["mentions"][0]["best_match"]["rxcui"] == "200"
+
+
 def test_stream(spark, index, tmp_path):
     spark.createDataFrame(NOTES[:2], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")

@@ -6,6 +6,7 @@ terminology and notes, customers to regions into a graph, ``benchmark`` into a g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from medspan.operators import display, graph, mentions, projection, ranking, vec
 from medspan.plans.annotate import annotate, signals
 from medspan.session import stage
 from medspan.sources import release
-from medspan.sources.index import Index, alias_table, make_index
+from medspan.sources.index import Index, alias_table, build_index, load_index, make_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -722,6 +723,104 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").alias("p_partkey"), F.col("n").alias("candidate"), "target", F.round(projection.score(F.col("preferred")), 6).alias("score"))
 
 
+_A, _B = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+_ANCHORS = "CASE p_size % 5 WHEN 1 THEN {0}'i:' || a{1} WHEN 2 THEN {0}'i:' || a, 'i:' || b{1} WHEN 3 THEN {0}'i:zzz'{1} WHEN 4 THEN {0}'i:' || b{1} ELSE {2} END"
+_PARTS_OF = "CASE length(a) % 3 WHEN 1 THEN {0}'i:' || a{1} WHEN 2 THEN {0}'i:' || a, 'i:' || b{1} ELSE {2} END"
+
+
+@query(
+    f"""
+WITH m AS (SELECT p_partkey, p_size, {_A} AS a, {_B} AS b FROM part),
+w AS (SELECT DISTINCT unnest([a, b]) AS word FROM m),
+x AS (SELECT *, {_ANCHORS.format('[', ']', '[]::VARCHAR[]')} AS anchors, {_PARTS_OF.format('[', ']', '[]::VARCHAR[]')} AS parts FROM m),
+l AS (SELECT *, CASE WHEN p_size % 2 = 1 THEN list_distinct(list_concat(parts, CASE WHEN len(parts) < 2 THEN ['i:' || a, 'i:' || b] ELSE [] END)) WHEN len(anchors) > 1 THEN anchors ELSE [] END AS listed FROM x),
+n AS (SELECT p_partkey, string_agg('i:' || word, '|' ORDER BY lower(upper(word)), word) AS ids FROM (SELECT p_partkey, unnest(listed) AS id FROM l) JOIN w ON id = 'i:' || word WHERE length(word) <> 4 GROUP BY p_partkey)
+SELECT p_partkey, ids IS NOT NULL AS in_is_list, coalesce(ids, CASE WHEN p_size % 3 = 0 THEN 'i:' || b WHEN len(anchors) = 1 AND anchors[1] IN (SELECT 'i:' || word FROM w WHERE length(word) <> 4) THEN anchors[1] ELSE '' END) AS ids
+FROM l LEFT JOIN n USING (p_partkey)
+"""
+)
+def ingredient_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingredient projection: own, inferred, or lists of combinations; words of part names stand for ingredients."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mention_id"), "p_size", F.expr(_A).alias("a"), F.expr(_B).alias("b"))
+    none = "cast(array() AS array<string>)"
+    word = rows.select(F.explode(F.array("a", "b")).alias("word")).distinct()
+    names = word.where(F.length("word") != 4).select(F.concat(F.lit("i:"), "word").alias("concept_id"), F.lit("IN").alias("tty"), F.upper("word").alias("name"))
+    aliases = word.select(F.col("word").alias("norm_text"), F.concat(F.lit("i:"), "word").alias("concept_id"), F.lit("IN").alias("tty"), F.lit(1).alias("pos"))
+    combined = F.concat(F.lit("m:"), "a", F.lit(":"), "b")
+    ingredients = rows.select(combined.alias("concept_id"), F.expr(_PARTS_OF.format("array(", ")", none)).alias("ingredients")).distinct()
+    concept = lambda i, n: F.struct(i.alias("concept_id"), n.alias("name"), F.lit(2).alias("depth"))
+    entries = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 1, F.struct(F.lit("MIN").alias("k"), concept(combined, F.concat("a", F.lit(" and "), "b", F.lit(" 5"))).alias("v"))), F.when(F.col("p_size") % 3 == 0, F.struct(F.lit("IN").alias("k"), concept(F.concat(F.lit("i:"), "b"), F.lit("own")).alias("v")))))
+    rows = rows.select("mention_id", F.map_from_entries(entries).alias("projected"), F.expr(_ANCHORS.format("array(", ")", none)).alias("anchors"))
+    made = projection.with_ingredients(rows, Index(names, names, aliases, names, ingredients, names))
+    return made.select(F.col("mention_id").alias("p_partkey"), "in_is_list", F.array_join(F.transform("in_list", lambda x: x["concept_id"]), "|").alias("ids"))
+
+
+_FOUND = {1: "a", 2: "ab", 3: "b"}
+
+
+@query(
+    f"""
+WITH p AS (SELECT *, CAST(substr(p_brand, 7) AS INTEGER) AS brand, CASE p_partkey % 4 {" ".join(f"WHEN {k} THEN {sql_list(v)}" for k, v in _FOUND.items())} ELSE []::VARCHAR[] END AS found FROM part),
+m AS (SELECT p_partkey, brand, p_size AS s, found AS anchors, CASE WHEN p_size % 3 = 0 THEN []::DOUBLE[] ELSE [p_size * 1.0::DOUBLE, 7.0::DOUBLE] END AS scd, CASE p_size % 4 WHEN 0 THEN []::DOUBLE[] WHEN 1 THEN [p_size * 1.0::DOUBLE] ELSE [9999.0::DOUBLE] END AS own FROM p),
+o AS (SELECT *, len(scd) > 0 AND len(own) > 0 AND {_sql_count('scd', 'own')} = 0 AS off FROM m),
+c AS (SELECT 'c:' || p_partkey AS node, brand, p_name AS name, found, [p_size * 1.0::DOUBLE, p_size * 2.0::DOUBLE] AS mg FROM p WHERE p_type = 'SMALL'),
+r AS (SELECT o.p_partkey, c.node, {_sql_count('scd', 'mg')} AS overlap, abs(o.brand - c.brand) + 1 AS depth, length(name) AS len,
+  CASE WHEN len(anchors) = 0 THEN 0 WHEN list_sort(anchors) = list_sort(found) THEN 0 WHEN list_has_all(found, anchors) THEN 1 WHEN list_has_any(found, anchors) THEN 2 ELSE 3 END AS penalty
+  FROM o JOIN c ON abs(o.brand - c.brand) <= 2 WHERE off),
+b AS (SELECT p_partkey, arg_min(node, (-overlap, penalty, depth, len, node)) AS node FROM r WHERE overlap > 0 GROUP BY p_partkey)
+SELECT o.p_partkey, CASE WHEN off THEN b.node ELSE 'first' END AS concept_id FROM o LEFT JOIN b USING (p_partkey) WHERE NOT off OR b.node IS NOT NULL
+"""
+)
+def strength_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components whose strengths miss the drug's: the best-aligned near one; brands in a row stand for drugs."""
+    part = table(spark, sf_dir, "part").withColumn("brand", F.substring("p_brand", 7, 10).cast("int"))
+    strings, doubles = (F.array().cast(f"array<{x}>") for x in ("string", "double"))
+    found = strings
+    for k, v in _FOUND.items():
+        found = F.when(F.col("p_partkey") % 4 == k, F.array(*[F.lit(x) for x in v])).otherwise(found)
+    size, drug, node = F.col("p_size").cast("double"), F.concat(F.lit("d:"), _text("brand")), F.concat(F.lit("c:"), _text("p_partkey"))
+    base = part.select(F.col("p_partkey").alias("mention_id"), found.alias("anchors"))
+    scd = part.select(F.col("p_partkey").alias("mention_id"), F.when(F.col("p_size") % 3 == 0, doubles).otherwise(F.array(size, F.lit(7.0))).alias("scd_mg"), drug.alias("scd_id"))
+    own = F.when(F.col("p_size") % 4 == 0, doubles).when(F.col("p_size") % 4 == 1, F.array(size)).otherwise(F.array(F.lit(9999.0)))
+    scdc = part.select(F.col("p_partkey").alias("mention_id"), F.lit("SCDC").alias("target"), F.struct(F.lit("first").alias("concept_id"), F.lit("x").alias("name"), F.lit(1).alias("depth")).alias("hit"), own.alias("mg"))
+    small = part.where("p_type = 'SMALL'")
+    names = small.select(node.alias("concept_id"), F.lit("SCDC").alias("tty"), F.col("p_name").alias("name"), F.array(size, size * 2).alias("mg"))
+    links = small.select(drug.alias("src"), node.alias("dst"), F.lit("consists_of").alias("rela"))
+    row = part.select("brand").distinct().select(drug.alias("src"), F.concat(F.lit("d:"), (F.col("brand") + 1).cast("string")).alias("dst"), F.lit("form_of").alias("rela"))
+    edges = release.both_ways(links.unionByName(row).withColumn("rel", F.lit("RO")))
+    ingredients = small.where("p_partkey % 4 <> 0").select(node.alias("concept_id"), found.alias("ingredients"))
+    made = projection.realigned(scdc, scd, base, Index(names, names, names, stage(edges), ingredients, names), 3)
+    return made.select(F.col("mention_id").alias("p_partkey"), F.col("hit.concept_id").alias("concept_id"))
+
+
+_LINK = {0: "CAST(p_partkey AS VARCHAR)", 3: "'RO'", 4: "CAST((p_partkey * 7 + 3) % 500 AS VARCHAR)", 7: "CASE WHEN p_size % 2 = 0 THEN 'has_ingredient' ELSE 'consists_of' END", 10: "CASE WHEN p_size % 13 = 0 THEN 'OTHER' ELSE 'TERMS' END", 14: "CASE WHEN p_size % 9 = 0 THEN 'Y' ELSE '' END"}
+_LINK_LINE = " || '|' || ".join(_LINK.get(i, "''") for i in range(16)) + " || '|'"
+
+
+@query(
+    f"""
+WITH n AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_size || ' mg' AS name FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0),
+c AS (SELECT * FROM n WHERE k <= coalesce((SELECT max(k) FROM (SELECT k FROM n ORDER BY k LIMIT 300) HAVING count(*) = 300), (SELECT max(k) FROM n))),
+r AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS src, CAST((p_partkey * 7 + 3) % 500 AS VARCHAR) AS dst, CASE WHEN p_size % 2 = 0 THEN 'has_ingredient' ELSE 'consists_of' END AS rela FROM part WHERE p_size % 13 <> 0 AND p_size % 9 <> 0),
+g AS (SELECT * FROM r WHERE src <> dst AND src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c)),
+h AS (SELECT * FROM g WHERE k <= coalesce((SELECT min(k) FROM g WHERE k >= 99), (SELECT max(k) FROM g))),
+e AS (SELECT src, dst, rela FROM h UNION SELECT dst, src, rela FROM h)
+SELECT id AS concept_id, name AS preferred_name, 'SCD' AS tty, {sql_norm('name')} AS alias, 16 AS dims, (SELECT count(*) FROM e WHERE src = id) AS edges FROM c
+"""
+)
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release files written, built into an index with both row caps, and read back."""
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/index-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1)
+    for name, line in (("names", _LINE), ("relations", _LINK_LINE)):
+        part.select(F.expr(line.replace("VARCHAR", "STRING"))).write.text(f"{folder}/{name}")
+    build_index(spark, f"{folder}/names", f"{folder}/relations", f"{folder}/index", "TERMS", 16, 8, 300, 100)
+    made = load_index(spark, f"{folder}/index")
+    edges = made.edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("edges"))
+    rows = made.concepts.join(made.names.select("concept_id", "tty"), "concept_id").join(made.aliases.select("concept_id", F.col("norm_text").alias("alias")), "concept_id").join(made.vectors.select("concept_id", F.size("vec").alias("dims")), "concept_id")
+    return rows.join(edges, "concept_id", "left").select("concept_id", "preferred_name", "tty", "alias", "dims", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 _QUERY_NORM = sql_norm("p_name || ' ' || p_size || ' mg po daily tablet'")
 
 

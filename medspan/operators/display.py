@@ -61,5 +61,5 @@ def escaped(text: Column) -> Column:
 
 def table_rows(rows: DataFrame) -> DataFrame:
     """One row per mention with a text cell for each type, as a result table shows it."""
-    cells = [(list_text(F.col("mention.type_results.IN")) if t == "IN" else concept_text(F.col(f"mention.type_results.{t}"))).alias(t) for t in lx.TARGET_TYPES]
-    return rows.select("doc_id", "mention_no", escaped(F.col("mention.mention_text")).alias("mention_text"), F.col("mention.normalized_text").alias("normalized_text"), *cells)
+    cells = [escaped(list_text(F.col("mention.type_results.IN")) if t == "IN" else concept_text(F.col(f"mention.type_results.{t}"))).alias(t) for t in lx.TARGET_TYPES]
+    return rows.select("doc_id", "mention_no", *[escaped(F.col(f"mention.{c}")).alias(c) for c in ("mention_text", "normalized_text")], *cells)

@@ -36,6 +36,7 @@ class Index:
 
 
 TABLES = [f.name for f in fields(Index) if f.name != "dims"]
+LOOKUP_KEY = {"aliases": "norm_text", "edges": "src"}
 
 
 def with_name_features(names: DataFrame) -> DataFrame:
@@ -77,8 +78,8 @@ def build_index(spark: SparkSession, names_file: str, relations_file: str, out_d
     kept = release.kept_relations(release.parse(relation_lines, release.RELATION_COLUMNS, release.RELATION_WIDTH), known, source)
     release.first_relations(kept, relation_lines, max_relation_lines).write.mode("overwrite").parquet(f"{out_dir}/kept_relations")
     index = make_index(names, spark.read.parquet(f"{out_dir}/kept_relations"), dims, max_aliases)
-    for table in TABLES:
-        getattr(index, table).write.mode("overwrite").parquet(f"{out_dir}/{table}")
+    for table in TABLES:  # in the order of the look-up key, so that a look-up reads few row groups
+        getattr(index, table).orderBy(LOOKUP_KEY.get(table, "concept_id")).write.mode("overwrite").parquet(f"{out_dir}/{table}")
     made = load_index(spark, out_dir, dims)
     metadata = {
         "created_at_utc": datetime.now(timezone.utc).isoformat(),

@@ -43,7 +43,7 @@ from medspan.llm.common import buffers, checkpointed, mix, shingle_hashes, unuse
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: For corpora: words of a shingle, how many of the four fingerprints are searched, and by how many bits of one of those, and
 #: of all four, two like texts may differ.
-WIDE_SHINGLE, ROUTE_WORDS, ROUTE_DISTANCE, ALIKE_BITS = 5, 2, 8, 44
+WIDE_SHINGLE, ROUTE_WORDS, ROUTE_DISTANCE, ALIKE_BITS = 5, 3, 8, 44
 WIDE = ("fp", "w1", "w2", "w3")
 FANOUT = 16
 QUERIES_AT_ONCE = 256

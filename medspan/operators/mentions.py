@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
 from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
+from medspan.session import spread
 
 MAX_BROADCAST_BYTES = 64 << 20
 FILTER_BITS = 1 << 24
@@ -354,6 +355,7 @@ def note_lines(notes: DataFrame) -> DataFrame:
 def detect_mentions(notes: DataFrame, aliases: DataFrame, max_ngram: int = 8, max_exact: int = 25, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per mention: doc_id, ``mention_no`` and the fields of ``MENTION``.  ``notes`` has unique (doc_id, text)."""
     context = notes.sparkSession.sparkContext
+    notes = spread(notes)
     table = dictionary(aliases, max_exact)
     fields = [x.split(" ") for x in MENTION.split(", ")]
     kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>"

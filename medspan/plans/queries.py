@@ -18,7 +18,7 @@ from medspan.functions import dose, textnorm
 from medspan.functions import lexicon as lx
 from medspan.operators import display, graph, mentions, projection, ranking, vectors
 from medspan.plans.annotate import annotate, signals
-from medspan.session import stage
+from medspan.session import spread, stage
 from medspan.sources import release
 from medspan.sources.index import Index, alias_table, build_index, load_index, make_index
 
@@ -65,17 +65,17 @@ def sql_strip(x: str) -> str:
 # --- text ------------------------------------------------------------------------------------------------------------
 @query(f"SELECT doc_id, {sql_norm('text')} AS norm FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", textnorm.normalize(F.col("text")).alias("norm"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", textnorm.normalize(F.col("text")).alias("norm"))
 
 
 @query()
 def noisy_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", textnorm.noisy(F.col("text")).alias("norm"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", textnorm.noisy(F.col("text")).alias("norm"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter({sql_words(sql_norm('text'))}, lambda w: NOT list_contains({sql_list(lx.CONTEXT_WORDS)}, w)), ' ') AS stripped FROM documents")
 def strip_context_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normed = table(spark, sf_dir, "documents").select("doc_id", textnorm.normalize(F.col("text")).alias("norm"))
+    normed = spread(table(spark, sf_dir, "documents")).select("doc_id", textnorm.normalize(F.col("text")).alias("norm"))
     return normed.select("doc_id", textnorm.strip_context(F.col("norm")).alias("stripped"))
 
 
@@ -89,7 +89,7 @@ SELECT doc_id, CAST((part - 1) // 2 AS INTEGER) AS pos, token, CAST(e - length(t
 """
 )
 def tokenize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = mentions.note_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.explode("tokens").alias("t"))
+    lines = mentions.note_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", F.explode("tokens").alias("t"))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("t.start")) - 1
     return lines.select("doc_id", pos.cast("int").alias("pos"), "t.token", F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("end"))
 
@@ -102,7 +102,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(e - length(line) AS BIG
 """
 )
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.note_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return mentions.note_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def no_aliases(spark: SparkSession) -> DataFrame:
@@ -406,8 +406,9 @@ SELECT l_orderkey, l_linenumber, (cue <> '' AND NOT regexp_matches(cue, '{lx.NEG
 """
 )
 def negation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    rows = lines.select("l_orderkey", "l_linenumber", F.expr(f"{_NEGATED} || p_name || {_AFTER}").alias("line_text"), F.expr(f"length({_NEGATED})").alias("start"), F.expr(f"length({_NEGATED}) + length(p_name)").alias("end"), F.lit(0).alias("line_start"), textnorm.normalize(F.col("p_name")).alias("norm_text"))
+    part = table(spark, sf_dir, "part").withColumn("norm", textnorm.normalize(F.col("p_name")))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")).join(part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = lines.select("l_orderkey", "l_linenumber", F.expr(f"{_NEGATED} || p_name || {_AFTER}").alias("line_text"), F.expr(f"length({_NEGATED})").alias("start"), F.expr(f"length({_NEGATED}) + length(p_name)").alias("end"), F.lit(0).alias("line_start"), F.col("norm").alias("norm_text"))
     return mentions.with_negation(rows).select("l_orderkey", "l_linenumber", "negated")
 
 

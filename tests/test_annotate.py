@@ -141,6 +141,29 @@ def test_skipped_tokens_lose_no_mention():
         assert {k for k in mentions.needed_keys(text, 8, lambda w: True) if k in table} == {k for k in mentions.needed_keys(text, 8, known.__contains__) if k in table}
 
 
+def found(text, *names):
+    rows = {n: [(n, "IN")] for n in names}
+    return [(m["text"], m["start"], m["method"], m["lookup_source"], m["mention_text"]) for m in mentions.detect(text, lambda key: rows.get(key, []), 8, set(names).__contains__)]
+
+
+def test_dense_lines_are_cut_at_known_names():
+    line = "metformin500mgBID,lisinopril10mgdaily,atorvastatin20mgnightly;metoprolol25mgBID"
+    want = [("metformin500mgBID", 0, "dense_core_norm"), ("lisinopril10mgdaily", 18, "dense_segment_norm"), ("atorvastatin20mgnightly", 38, "dense_segment_norm"), ("metoprolol25mgBID", 62, "dense_segment_norm")]
+    assert [(t, s, source) for t, s, method, source, _ in found(line, "metformin") if method == "dense_line_scan"] == want
+    assert [m[4] for m in found("Plan:\n" + line, "metformin")] == [t for t, *_ in want]
+    assert not mentions.is_dense(line[:69]) and not mentions.is_dense("a long line of plain words " * 4)
+
+
+def test_names_in_brackets_give_way_on_shared_lines():
+    assert [m[0] for m in found("aspirin (bayer) x", "aspirin", "bayer")] == ["aspirin"]
+    assert [m[0] for m in found("x (bayer) x", "aspirin", "bayer")] == ["bayer"]
+
+
+def test_shown_text_is_the_clause():
+    assert [m[::4] for m in found("Plan; take aspirin 81 mg daily, rest", "aspirin")] == [("take aspirin 81 mg daily", "take aspirin 81 mg daily")]
+    assert [m[4] for m in found("on aspirin: stop", "aspirin")] == ["on aspirin"]
+
+
 def test_server(index, results):
     assert serve.answer(index, Options(), b"[]")[0] == 400 and serve.answer(index, Options(), b'{"text": " "}')[0] == 400
     running = serve.server(index, "somewhere", port=0)

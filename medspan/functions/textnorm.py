@@ -118,7 +118,7 @@ def strip_context_py(norm: str) -> str:
 _SPELLED = re.compile(r"(?<!\S)(?:[a-z] ){2,}[a-z](?!\S)")
 _BORDER = re.compile(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 _SPLIT_UNIT = re.compile(r"\b([0-9]+) *(m *c *g|m *g|m *l)\b")
-_LETTER_O = re.compile(rf"[0-9o]+(?:{lx.UNIT})?")
+LETTER_O = re.compile(rf"[0-9o]+(?:{lx.UNIT})?")
 
 
 def _pair(first: str, second: str) -> str | None:
@@ -139,7 +139,7 @@ def noisy_py(text: str) -> str:
     out: list[str] = []
     while queue:
         word = queue.pop()
-        word = word.replace("o", "0") if _LETTER_O.fullmatch(word) else word
+        word = word.replace("o", "0") if LETTER_O.fullmatch(word) else word
         whole = lx.TOKEN_REPLACEMENTS.get(word)
         if whole is None and queue:
             whole = _pair(word, queue[-1])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
-from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
+from medspan.functions.textnorm import LETTER_O, clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
 from medspan.session import spread
 
 MAX_BROADCAST_BYTES = 64 << 20
@@ -108,9 +108,9 @@ def hopeless(tokens: list[re.Match], line: str, knows: Knows) -> list[bool]:
     out = []
     for i, word in enumerate(words):
         left, right = words[i - 1] if i else "0", words[i + 1] if i + 1 < len(words) else "0"
-        settled = word > "9" and left and right and word not in _NOT_NAMES and word not in lx.TOKEN_REPLACEMENTS and not word.strip("o") == ""
-        if settled and not whole:
-            settled = line[tokens[i - 1].end() if i else 0 : tokens[i + 1].start() if i + 1 < len(tokens) else len(line)].isascii()
+        settled = word > "9" and left and right and word not in _NOT_NAMES and word not in lx.TOKEN_REPLACEMENTS and not LETTER_O.fullmatch(word)
+        if settled and not whole:  # letters outside ASCII would belong to this word or to a neighbour
+            settled = line[max(0, tokens[i - 1].start() - 1) if i else 0 : tokens[i + 1].end() + 1 if i + 1 < len(tokens) else len(line)].isascii()
         if settled and not knows(word):
             joint = [x for x in (left + word if left != "0" else "", word + right if right != "0" else "") if x]
             settled = not any(x in lx.TOKEN_REPLACEMENTS or knows(x) for x in joint)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
+from medspan.session import stage
+
+#: Edges of a node beyond which it is cut into slots, and the most such nodes that are broadcast.
+HUB_EDGES, MAX_BROADCAST_HUBS = 500, 100_000
 
 
 def neighbors(edges: DataFrame, relations: list[str]) -> DataFrame:
@@ -25,11 +29,25 @@ def closure(seeds: DataFrame, edges: DataFrame, allowed: DataFrame, max_depth: i
     ``seeds`` has (seed, target).  Each hop is one join; walks need no path condition, so the least depth over walks
     is the breadth-first depth.  ``allowed`` is a constant table and is broadcast.  With ``wanted`` (node, target), only such
     nodes are returned: what is merely passed through never reaches the final aggregation.
+
+    A hub (a dose form, a common ingredient) meets all seeds that reach it with all its edges, which no skew join sees coming, as its
+    rows are few before the join.  Its edges are cut into slots of about ``HUB_EDGES``, and the rows that reach it go to each slot.
     """
     frontier, steps, reached = seeds.select("seed", "target", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), F.broadcast(allowed), None
+    links = edges.select(F.col("src").alias("node"), "dst", "rela")
+    hubs = links.groupBy("node").agg(F.ceil(F.count("*") / F.lit(HUB_EDGES)).cast("int").alias("slots")).where("slots > 1")
+    seen = hubs.limit(MAX_BROADCAST_HUBS + 1).count()
+    on = ["node"]
+    if seen:
+        hubs, on = stage(hubs), ["node", "slot"]
+        hubs = F.broadcast(hubs) if seen <= MAX_BROADCAST_HUBS else hubs
+        slots = F.coalesce("slots", F.lit(1))
+        links = links.join(hubs, "node", "left").withColumn("slot", F.pmod(F.xxhash64("dst"), slots).cast("int")).drop("slots")
     for depth in range(max_depth + 1):
         if depth:
-            hop = frontier.join(edges.select(F.col("src").alias("node"), "dst", "rela"), "node").join(steps, ["target", "rela"])
+            if seen:
+                frontier = frontier.join(hubs, "node", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
+            hop = frontier.join(links, on).join(steps, ["target", "rela"])
             frontier = hop.select("seed", "target", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
         kept = frontier if wanted is None else frontier.join(wanted, ["node", "target"], "left_semi").select("seed", "target", "node", "depth")
         reached = kept if reached is None else reached.unionByName(kept)

@@ -75,6 +75,20 @@ def test_closure(spark, index):
     assert {(r.node, r.depth) for r in reach.collect()} == {("300", 2), ("301", 2)}
 
 
+def test_closure_over_hubs(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randint(0, 8)}", f"m{rng.randint(0, 120)}") for _ in range(400)}
+    rows = [(a, b, rng.choice(["isa", "form_of", "other"])) for a, b in sorted(pairs)]
+    edges = spark.createDataFrame(rows + [(b, a, r) for a, b, r in rows], "src string, dst string, rela string")
+    seeds = spark.createDataFrame([(f"m{i}", t) for i in range(0, 120, 7) for t in ("SCD", "IN")], "seed string, target string")
+    allowed = graph.relation_table(spark, {"SCD": ["isa", "form_of"], "IN": ["form_of"]})
+    plain = {tuple(r) for r in graph.closure(seeds, edges, allowed, 3).collect()}
+    for most in (graph.MAX_BROADCAST_HUBS, 1):
+        monkeypatch.setattr(graph, "HUB_EDGES", 3)
+        monkeypatch.setattr(graph, "MAX_BROADCAST_HUBS", most)
+        assert {tuple(r) for r in graph.closure(seeds, edges, allowed, 3).collect()} == plain and len(plain) > 500
+
+
 def test_row_caps(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", "a", "c", "b"])], "line_no long, concept_id string")
     assert [r.line_no for r in release.first_concepts(rows, 2).orderBy("line_no").collect()] == [0, 1]

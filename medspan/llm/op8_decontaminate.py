@@ -6,7 +6,7 @@
 3. Documents are searched for keys: seeds, and common seeds with a rare word of the same item around them.  Keys that
    stand close together make a passage, widened by the longest alignment that can pass; a passage is kept as word
    hashes with byte offsets and the keys it holds.
-4. Keys join passages to items, and each (passage, item) pair is aligned locally, many pairs at a time: 2 for a match,
+4. Keys join passages to items (in place where the benchmark is broadcast), and each (passage, item) pair is aligned, many at a time: 2 for a match,
    -1 for a mismatch or a gap.  The score is the share of the item's own full score.  Pairs whose passage holds too few of
    the item's words for a passing score are not aligned: each match needs its word in the passage, so this loses nothing.
 
@@ -15,8 +15,7 @@ No copy is lost by the keys: a passing alignment matches that many of the item's
 of any set of words that covers more than the rest.  What is required is one intact ``SEED``-gram in the alignment.
 
 The filters that documents are searched with are bit sets of fixed size (``FILTER_BITS``), exact hashes where there
-are few; the join decides.  Texts are never moved: only counts, passages around keys, and scores are.  A passage that
-a third of all documents share is a row for each of them, joined to a broadcast or AQE-split side.
+are few; the join decides.  Texts are never moved: only counts and scores are, and with a large benchmark passages around keys.
 
 Defined results: null and empty texts and items under ``SEED`` words match nothing.  The best passage of each (document, item)
 is kept; on ties the first.  Repeated rows give one result.  Long texts are read in blocks that overlap by the reach of an
@@ -37,7 +36,7 @@ from medspan.llm.common import checkpointed, mix, shingle_hashes, unused, word_b
 
 SEED = 3
 FILTER_BITS = 1 << 24
-#: Seeds that are also sent as exact hashes, and item words that are broadcast; beyond them joins shuffle.
+#: Seeds that are also sent as exact hashes; words and keys of a benchmark that is broadcast (a larger one meets passages by shuffles).
 MAX_EXACT_SEEDS = 500_000
 MAX_BROADCAST_WORDS = 1_000_000
 #: A seed is common if it occurs more often than this and far more often than its item's median seed, or in more items than this.
@@ -48,7 +47,9 @@ EXCERPT = 25
 CELLS_AT_ONCE = 1 << 19
 #: Marks of rows to drop that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_MARKS = 1_000_000
+PAIR_NAMES = ["doc_id", "item_id", "score", "start_byte", "end_byte"]
 PAIRS = "doc_id bigint, item_id bigint, score double, start_byte bigint, end_byte bigint"
+PAIRS_AT_ONCE = 1024
 
 
 def item_words(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -191,37 +192,81 @@ def bound_hits(doc: np.ndarray, h: np.ndarray, g: np.ndarray, at: np.ndarray, ke
         i = j
 
 
+def cut_passages(texts: pa.Array, keys: SeedFilter, halves: SeedFilter, reach: int):
+    """Yield (row, words, first, last, keys) of the passages around keys of each text, as word hashes with the byte range of each word."""
+    for doc, h, s, e, _ in word_blocks(texts, overlap=2 * reach, letters=True):
+        g, at = shingle_hashes(doc, h, SEED)
+        hit = keys.positions(g)
+        hits = [(at[hit], g[hit]), *bound_hits(doc, h, g, at, keys, halves, reach)]
+        pos, held = (np.concatenate([x[k] for x in hits]) for k in (0, 1))
+        if not len(pos):
+            continue
+        order = np.argsort(pos, kind="stable")
+        pos, held = pos[order], held[order]
+        limits = np.searchsorted(doc, doc[pos], side="left"), np.searchsorted(doc, doc[pos], side="right")
+        new = np.flatnonzero((np.diff(pos) > reach) | (np.diff(doc[pos]) != 0)) + 1
+        for lo, hi in zip(np.append(0, new).tolist(), np.append(new, len(pos)).tolist(), strict=True):
+            a, b = max(limits[0][lo], pos[lo] - reach), min(limits[1][hi - 1], pos[hi - 1] + SEED + reach)
+            yield int(doc[pos[lo]]), h[a:b], s[a:b], e[a:b], np.unique(held[lo:hi])
+
+
 def passages(docs: DataFrame, held, reach: int, key: str, text: str) -> DataFrame:
-    """(doc_id, words, first, last, keys): passages around keys, as word hashes with the byte range of each word."""
+    """(doc_id, words, first, last, keys): ``cut_passages`` of all documents."""
 
     def cut(batches):
         for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column("doc_id")
             keys, halves = held.value
-            for doc, h, s, e, _ in word_blocks(batch.column("text"), overlap=2 * reach, letters=True):
-                g, at = shingle_hashes(doc, h, SEED)
-                hit = keys.positions(g)
-                hits = [(at[hit], g[hit]), *bound_hits(doc, h, g, at, keys, halves, reach)]
-                pos, held_keys = (np.concatenate([x[k] for x in hits]) for k in (0, 1))
-                if not len(pos):
-                    continue
-                order = np.argsort(pos, kind="stable")
-                pos, held_keys = pos[order], held_keys[order]
-                limits = np.searchsorted(doc, doc[pos], side="left"), np.searchsorted(doc, doc[pos], side="right")
-                new = np.flatnonzero((np.diff(pos) > reach) | (np.diff(doc[pos]) != 0)) + 1
-                for group in np.split(np.arange(len(pos)), new):
-                    a, b = group[0], group[-1]
-                    lo, hi = max(limits[0][a], pos[a] - reach), min(limits[1][b], pos[b] + SEED + reach)
-                    out.append((int(doc[pos[a]]), h[lo:hi].view(np.int64), s[lo:hi], e[lo:hi], np.unique(held_keys[group]).view(np.int64)))
+            out = [(row, h.view(np.int64), s, e, k.view(np.int64)) for row, h, s, e, k in cut_passages(batch.column("text"), keys, halves, reach)]
             big = pa.list_(pa.int64())
-            columns = [ids.take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k] for x in out], big) for k in (1, 2, 3, 4))]
+            columns = [batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k] for x in out], big) for k in (1, 2, 3, 4))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "first", "last", "keys"])
 
     wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return wanted.mapInArrow(cut, "doc_id bigint, words array<bigint>, first array<bigint>, last array<bigint>, keys array<bigint>")
 
 
+class ItemTable:
+    """The items of a bounded benchmark: which items a key belongs to, and their words."""
+
+    def __init__(self, keys: DataFrame, words: DataFrame):
+        pairs = keys.where("item_id is not null").select("key", "item_id").distinct().toArrow()
+        key, item = (pairs.column(c).to_numpy() for c in ("key", "item_id"))
+        order = np.lexsort((item, key))
+        self.keys, self.items = key[order], item[order]
+        rows = words.where("item_id is not null").select("item_id", "words").toArrow()
+        self.words: dict[int, list[np.ndarray]] = {}
+        for i, own in zip(rows.column("item_id").to_pylist(), rows.column("words"), strict=True):
+            self.words.setdefault(i, []).append(own.values.to_numpy().view(np.uint64).copy())
+
+    def of(self, keys: np.ndarray) -> list[int]:
+        lo, hi = (np.searchsorted(self.keys, keys.view(np.int64), side=side) for side in ("left", "right"))
+        return np.unique(np.concatenate([self.items[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] or [self.items[:0]])).tolist()
+
+
+def scores_in_place(docs: DataFrame, held, reach: int, key: str, text: str, min_score: float) -> DataFrame:
+    """Passages cut and aligned in one pass, for a benchmark that is broadcast: no passage leaves its task."""
+
+    def run(batches):
+        for batch in batches:
+            keys, halves, table = held.value
+            found: list[tuple] = []
+            for row, h, s, e, own in cut_passages(batch.column("text"), keys, halves, reach):
+                found += [(row, item, words, h, s, e) for item in table.of(own) for words in table.words[item]]
+                if len(found) >= PAIRS_AT_ONCE:
+                    yield _scored_batch(batch, found, min_score)
+                    found = []
+            yield _scored_batch(batch, found, min_score)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PAIRS)
+
+
+def _scored_batch(batch: pa.RecordBatch, found: list[tuple], min_score: float) -> pa.RecordBatch:
+    score, lo, hi, passed = scored([x[2] for x in found], [x[3] for x in found], [x[4] for x in found], [x[5] for x in found], min_score)
+    ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
+    made = pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), pa.array(score), pa.array(lo), pa.array(hi)], PAIR_NAMES)
+    return made.filter(pa.array(passed))
+
+
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment score of each pair, and the first and last (exclusive) text word of it.
 
@@ -251,40 +296,42 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best >> np.int64(32), best & np.int64(0xFFFFFFFF), best_end
 
 
+def scored(items: list[np.ndarray], texts: list[np.ndarray], first: list[np.ndarray], last: list[np.ndarray], min_score: float):
+    """Score, byte range and whether it passes of each (item, passage) pair; pairs that share too few words are not aligned."""
+    n = len(items)
+    score, lo, hi, passed = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, dtype=bool)
+    if not n:
+        return score, lo, hi, passed
+    sizes, length = np.array([len(x) for x in items]), np.array([len(x) for x in texts])
+    row = np.repeat(np.arange(n), sizes)
+    # Words of both sides under the number of their pair: what an alignment could match at most.
+    tag = lambda words, of: mix(np.concatenate(words) + of.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    shared = np.bincount(row, weights=np.isin(tag(items, row), tag(texts, np.repeat(np.arange(n), length))), minlength=n)
+    able = np.flatnonzero(shared >= needed(sizes, min_score))
+    order, at = able[np.argsort(length[able], kind="stable")], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * length[order[end]] <= CELLS_AT_ONCE:
+            end += 1
+        some = order[at:end].tolist()
+        for i, p, f, e in zip(some, *align([items[i] for i in some], [texts[i] for i in some]), strict=True):
+            score[i] = p / (MATCH * sizes[i])
+            passed[i] = p >= min(min_score * MATCH * sizes[i] - 1e-9, MATCH * EXCERPT)
+            if e > f:
+                lo[i], hi[i] = first[i][f], last[i][e - 1]
+        at = end
+    return score, lo, hi, passed
+
+
 def score_pairs(pairs: DataFrame, min_score: float) -> DataFrame:
-    """Align (doc_id, item_id, words, first, last, item_words) rows; ``points`` that pass are kept."""
+    """(doc_id, item_id, score, start_byte, end_byte) of the (doc_id, item_id, words, first, last, item_words) rows that pass."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = {c: batch.column(c) for c in ("words", "first", "last", "item_words")}
-            take = lambda c, i: lists[c][int(i)].values.to_numpy()  # noqa: E731, B023
-            length = np.array([len(lists["words"][i]) for i in range(batch.num_rows)])
-            score, lo, hi = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            passed = np.zeros(batch.num_rows, dtype=bool)
-            own, held = (lists[c].flatten().to_numpy() for c in ("item_words", "words"))
-            row = np.repeat(np.arange(batch.num_rows), [len(lists["item_words"][i]) for i in range(batch.num_rows)])
-            # Words of both sides under the number of their row: what an alignment could match at most.
-            tag = lambda words, of: mix(words.view(np.uint64) + of.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            shared = np.bincount(row, weights=np.isin(tag(own, row), tag(held, np.repeat(np.arange(batch.num_rows), length))), minlength=batch.num_rows)
-            least = needed(np.bincount(row, minlength=batch.num_rows), min_score)
-            able = np.flatnonzero(shared >= least)
-            order, at = able[np.argsort(length[able], kind="stable")], 0
-            while at < len(order):
-                end = at + 1
-                while end < len(order) and (end - at + 1) * length[order[end]] <= CELLS_AT_ONCE:
-                    end += 1
-                some = order[at:end]
-                own = [take("item_words", i).view(np.uint64) for i in some]
-                points, first, last = align(own, [take("words", i).view(np.uint64) for i in some])
-                for i, x, p, f, e in zip(some, own, points, first, last, strict=True):
-                    score[i] = p / (MATCH * len(x))
-                    passed[i] = p >= min(min_score * MATCH * len(x) - 1e-9, MATCH * EXCERPT)
-                    if e > f:
-                        lo[i], hi[i] = take("first", i)[f], take("last", i)[e - 1]
-                at = end
-            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(lo), pa.array(hi)], ["doc_id", "item_id", "score", "start_byte", "end_byte"])
+            lists = {c: [x.values.to_numpy() for x in batch.column(c)] for c in ("item_words", "words", "first", "last")}
+            hashes = [[x.view(np.uint64) for x in lists[c]] for c in ("item_words", "words")]
+            score, lo, hi, passed = scored(*hashes, lists["first"], lists["last"], min_score)
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(lo), pa.array(hi)], PAIR_NAMES)
             yield made.filter(pa.array(passed))
 
     return pairs.select("doc_id", "item_id", "words", "first", "last", "item_words").mapInArrow(run, PAIRS)
@@ -303,13 +350,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     filters = SeedFilter(keys.select(F.col("key").alias("seed")), n_keys), SeedFilter(halves, halves.count())
     # All words of an item and as many gaps as a passing score allows.
     reach = seen["longest"] + math.ceil(MATCH * seen["longest"] * (1 - min(max(min_score, 0), 1))) + SEED
-    found = checkpointed(passages(docs, context.broadcast(filters), reach, key, text).withColumn("passage", F.monotonically_increasing_id()))
-    small = F.broadcast if seen["words"] <= MAX_BROADCAST_WORDS else (lambda x: x)
-    few = F.broadcast if n_keys <= MAX_BROADCAST_WORDS else (lambda x: x)
-    pairs = found.select("passage", F.explode("keys").alias("key")).join(few(keys.select("item_id", "key")), "key").select("passage", "item_id").distinct()
-    rows = found.drop("keys").join(pairs, "passage").join(small(words.select("item_id", F.col("words").alias("item_words"))), "item_id")
-    scored = score_pairs(rows, min_score)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_byte", "end_byte"), F.struct("score", -F.col("start_byte"), -F.col("end_byte"))).alias("best"))
+    if max(seen["words"], n_keys) <= MAX_BROADCAST_WORDS:
+        passing = scores_in_place(docs, context.broadcast((*filters, ItemTable(keys, words))), reach, key, text, min_score)
+    else:
+        found = checkpointed(passages(docs, context.broadcast(filters), reach, key, text).withColumn("passage", F.monotonically_increasing_id()))
+        pairs = found.select("passage", F.explode("keys").alias("key")).join(keys.select("item_id", "key"), "key").select("passage", "item_id").distinct()
+        passing = score_pairs(found.drop("keys").join(pairs, "passage").join(words.select("item_id", F.col("words").alias("item_words")), "item_id"), min_score)
+    best = passing.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_byte", "end_byte"), F.struct("score", -F.col("start_byte"), -F.col("end_byte"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), "best.start_byte", "best.end_byte")
 
 

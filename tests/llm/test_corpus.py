@@ -254,7 +254,10 @@ def test_decontamination_finds_edited_copies_singly_and_in_thousands(spark):
     assert min(want.values()) >= 0.5 and got == pytest.approx(want)
 
 
-def test_decontamination_equals_all_pairs_and_finds_excerpts(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, leaks.MAX_BROADCAST_WORDS])
+def test_decontamination_equals_all_pairs_and_finds_excerpts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(leaks, "MAX_BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(leaks, "PAIRS_AT_ONCE", 50)
     rng = random.Random(31)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]  # many shared 3-grams
     items = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 70))] for _ in range(25)]

@@ -46,7 +46,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 WIDE_SHINGLE, ROUTE_WORDS, ROUTE_DISTANCE, ALIKE_BITS = 5, 3, 8, 44
 WIDE = ("fp", "w1", "w2", "w3")
 FANOUT = 16
-QUERIES_AT_ONCE = 256
+#: Fingerprints of a cell that are searched together, and the most (query, member) pairs that may be held for them.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 18
 #: Expected fingerprints in a cell that the choice of blocks aims at.
 CELL, WIDE_CELL = 512, 8192
 #: A cell with more fingerprints is cut further; a node with more links is joined by broadcast.
@@ -114,7 +115,7 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
 def wide_prints(texts: pa.Array, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     """Four 64-bit SimHashes of each text; shingles by rolling word hashes (fewer words: the whole sequence; none: zero)."""
     rows = len(texts)
-    total, n = np.zeros((rows, 64 * len(WIDE)), dtype=np.int64), np.zeros(rows, dtype=np.int64)
+    total, n = np.zeros((rows, 64 * len(WIDE)), dtype=np.int32), np.zeros(rows, dtype=np.int64)
     seeds = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
     few: dict[int, np.ndarray] = {}
     for doc, h, _, _, fresh in word_blocks(texts, overlap=shingle - 1):
@@ -134,7 +135,7 @@ def wide_prints(texts: pa.Array, shingle: int = WIDE_SHINGLE) -> np.ndarray:
             for x in own:
                 whole = mix(whole * seeds[0] + x)
             n[d], total[d] = 1, _bits(whole, seeds)[0]
-    return np.packbits(2 * total > n[:, None], axis=1).view(">u8").astype(np.uint64)
+    return np.packbits(total > n[:, None] // 2, axis=1).view(">u8").astype(np.uint64)
 
 
 def _bits(g: np.ndarray, seeds: list[np.uint64]) -> np.ndarray:
@@ -226,8 +227,9 @@ class GrayIndex:
         chain = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= distance)
         chain = chain[alike(chain, chain + 1)] if alike is not None else chain
         label = merge_labels(at, chain, chain + 1)
-        for lo in range(0, n, QUERIES_AT_ONCE):
-            a, b = self.pairs(at[lo : lo + QUERIES_AT_ONCE], distance, label)
+        step = max(1, min(QUERIES_AT_ONCE, PAIRS_AT_ONCE // max(n, 1)))
+        for lo in range(0, n, step):
+            a, b = self.pairs(at[lo : lo + step], distance, label)
             if alike is not None and len(a):
                 held = alike(a, b)
                 a, b = a[held], b[held]
@@ -357,7 +359,7 @@ def _cells(codes: list[np.ndarray], starts: np.ndarray, end: int, distance: int,
     size = stops - starts
 
     def confirm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in codes) <= alike_bits
+        return sum((np.bitwise_count(x[a] ^ x[b]) for x in codes[1:]), np.bitwise_count(codes[0][a] ^ codes[0][b]).astype(np.int16)) <= alike_bits
 
     # Cells of two, the most frequent, in one pass.
     two = starts[size == 2]

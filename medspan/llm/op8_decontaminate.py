@@ -207,7 +207,7 @@ def cut_passages(texts: pa.Array, keys: SeedFilter, halves: SeedFilter, reach: i
         new = np.flatnonzero((np.diff(pos) > reach) | (np.diff(doc[pos]) != 0)) + 1
         for lo, hi in zip(np.append(0, new).tolist(), np.append(new, len(pos)).tolist(), strict=True):
             a, b = max(limits[0][lo], pos[lo] - reach), min(limits[1][hi - 1], pos[hi - 1] + SEED + reach)
-            yield int(doc[pos[lo]]), h[a:b], s[a:b], e[a:b], np.unique(held[lo:hi])
+            yield int(doc[pos[lo]]), *(x[a:b].copy() for x in (h, s, e)), np.unique(held[lo:hi])  # copies: a view would hold its whole block
 
 
 def passages(docs: DataFrame, held, reach: int, key: str, text: str) -> DataFrame:

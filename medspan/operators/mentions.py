@@ -2,9 +2,11 @@
 
 The greedy choice of dictionary spans is sequential within a line, so it runs as one Arrow function over whole notes,
 with the dictionary at hand.  A dictionary of at most ``MAX_BROADCAST_BYTES`` is broadcast as Arrow columns sorted by key hash
-(``Dictionary``); a larger one is joined: ``needed_keys`` lists the lookup keys of each note, thinned by a bit set of fixed size, the keys
+(``Dictionary``); a larger one is joined: ``needed_keys`` lists the lookup keys of each note's candidate spans, the keys
 meet the dictionary in a shuffled join, and each note is detected with the rows of its own keys.
 
+``scan`` finds the candidate spans of a batch of notes at once; only these are looked up, and lines without any are not visited.
+
 Everything after detection (context, negation, features, retrieval, projection) is relational.
 """
 
@@ -25,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
-from medspan.functions.textnorm import LETTER_O, clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
-from medspan.session import spread
+from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
+from medspan.operators.scan import KeyFilter, Note, batches, key_slots, scan
+from medspan.session import spread, stage
 
 MAX_BROADCAST_BYTES = 64 << 20
 FILTER_BITS = 1 << 24
 
 Rows = list[tuple[str, str]]
 Lookup = Callable[[str], Rows]
-Knows = Callable[[str], bool]
 
 MENTION = (
     "text string, norm_text string, start int, end int, exact_ids array<string>, exact_types array<string>, method string, lookup_norm string, "
@@ -46,6 +48,7 @@ _DENSE = re.compile("|".join(map(re.escape, sorted(lx.DENSE_LINE_TERMS, key=len,
 _LOOKALIKE = str.maketrans(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)
 _NOT_NAMES = frozenset(lx.CONTEXT_WORDS) | frozenset(lx.STRENGTH_UNITS)
 _VALUE = re.compile(r"""value\s*=\s*(['"])(.*?)\1""", re.IGNORECASE)
+_CLAUSE_MARK = re.compile("[.;:!?,]")
 _DULL = re.compile(r"\d{4}-\d{2}-\d{2}|[a-z]+/\d+", re.IGNORECASE)
 
 
@@ -97,41 +100,18 @@ def lines_of(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-def hopeless(tokens: list[re.Match], line: str, knows: Knows) -> list[bool]:
-    """Tokens that no dictionary key can hold, so that no span over them can be found.
-
-    Such a token is a plain word that no repair changes or drops, next to words and numbers that it could at most be joined
-    to; and neither it nor such a joint word is a word of any key.  Everything else may be found.
-    """
-    words = [t[0].lower() if t[0].isascii() and t[0].isalpha() and len(t[0]) > 1 else "0" if t[0].isdecimal() else "" for t in tokens]
-    whole = line.isascii()
-    out = []
-    for i, word in enumerate(words):
-        left, right = words[i - 1] if i else "0", words[i + 1] if i + 1 < len(words) else "0"
-        settled = word > "9" and left and right and word not in _NOT_NAMES and word not in lx.TOKEN_REPLACEMENTS and not LETTER_O.fullmatch(word)
-        if settled and not whole:  # letters outside ASCII would belong to this word or to a neighbour
-            settled = line[max(0, tokens[i - 1].start() - 1) if i else 0 : tokens[i + 1].end() + 1 if i + 1 < len(tokens) else len(line)].isascii()
-        if settled and not knows(word):
-            joint = [x for x in (left + word if left != "0" else "", word + right if right != "0" else "") if x]
-            settled = not any(x in lx.TOKEN_REPLACEMENTS or knows(x) for x in joint)
-            out.append(settled)
-        else:
-            out.append(False)
-    return out
-
-
-def line_spans(tokens: list[re.Match], line: str, max_ngram: int, dead: list[bool]) -> Iterator[tuple[int, int, str]]:
-    """(first token, tokens, span) of a line, longest first, then from the left; spans over dead tokens are left out."""
-    reach = [0] * (len(tokens) + 1)  # tokens from each on up to a dead one
-    for i in range(len(tokens) - 1, -1, -1):
-        reach[i] = 0 if dead[i] else reach[i + 1] + 1
-    for n in range(min(max_ngram, max(reach)), 0, -1):
-        for i in range(len(tokens) - n + 1):
-            if reach[i] < n:
-                continue
-            span = line[tokens[i].start() : tokens[i + n - 1].end()]
-            if n == 1 or span_allowed(span):
-                yield i, n, span
+def all_spans(text: str, max_ngram: int) -> Note:
+    """Every span of every line: what ``scan`` narrows down."""
+    note = Note(False, {}, {}, [])
+    for at, line in lines_of(text):
+        tokens = tokens_of(line)
+        places = [(i, at + t.start(), at + t.end()) for i, t in enumerate(tokens)]
+        if tokens:
+            note.has_token = True
+            note.shorts[at] = places
+            note.lines[at] = [(i, n, places[i][1], places[i + n - 1][2]) for n in range(min(max_ngram, len(tokens)), 0, -1) for i in range(len(tokens) - n + 1)]
+        note.dense.append(at)
+    return note
 
 
 def is_dense(line: str) -> bool:
@@ -156,18 +136,19 @@ def dense_segments(line: str) -> Iterator[tuple[int, str, str, str]]:
             yield hit.start(), segment, noisy_py(segment), noisy_py(lx.DENSE_LINE_TERMS.get(hit[0].lower(), hit[0].lower()))
 
 
-def needed_keys(text: str, max_ngram: int, knows: Knows) -> set[str]:
+def needed_keys(text: str, note: Note) -> set[str]:
     """All keys that detection may look up in a text."""
     keys: set[str] = set()
-    for _, line in lines_of(text):
-        tokens = tokens_of(line)
-        dead = hopeless(tokens, line, knows)
-        for _, _, span in line_spans(tokens, line, max_ngram, dead):
-            keys.update(k for k, _ in lookup_keys(span))
-        for t, gone in zip(tokens, dead, strict=True):
-            whole = None if gone else lx.TOKEN_REPLACEMENTS.get(noisy_py(t[0]))
+    for spans in note.lines.values():
+        for _, _, start, end in spans:
+            keys.update(k for k, _ in lookup_keys(text[start:end]))
+    for tokens in note.shorts.values():
+        for _, start, end in tokens:
+            whole = lx.TOKEN_REPLACEMENTS.get(noisy_py(text[start:end]))
             if whole:
                 keys.add(noisy_py(whole))
+    for at in note.dense:
+        line = text[at : _line_bounds(text, at, at)[1]]
         if is_dense(line):
             for _, _, repaired, core in dense_segments(line):
                 keys.update((core, strip_context_py(repaired)))
@@ -184,14 +165,15 @@ def _mention(text: str, norm: str, start: int, rows: Rows, method: str, key: str
     return {"text": text, "norm_text": norm, "start": start, "end": start + len(text), "exact_ids": [r[0] for r in rows], "exact_types": sorted({r[1] for r in rows if r[1]}), "method": method, "lookup_norm": key, "lookup_source": source} | more
 
 
-def _in_line(at: int, line: str, lookup: Lookup, max_ngram: int, knows: Knows) -> list[dict]:
-    """Dictionary spans of a line, then shorthands among the tokens left over, then dense segments."""
-    tokens = tokens_of(line)
-    dead = hopeless(tokens, line, knows)
+def _in_line(text: str, spans: list[tuple[int, int, int, int]], shorts: list[tuple[int, int, int]], lookup: Lookup) -> list[dict]:
+    """Dictionary spans of a line, longest first, then shorthands among the tokens left over."""
     taken, found = set(), []
-    for i, n, span in line_spans(tokens, line, max_ngram, dead):
+    for i, n, start, end in spans:
         if not taken.isdisjoint(range(i, i + n)):
             continue
+        span = text[start:end]
+        if n > 1 and not span_allowed(span):
+            continue
         norm = normalize_py(span)
         if not norm or norm in lx.NON_DRUG_TERMS:
             continue
@@ -199,13 +181,13 @@ def _in_line(at: int, line: str, lookup: Lookup, max_ngram: int, knows: Knows) -
             rows = _usable(lookup, key)
             if rows:
                 taken.update(range(i, i + n))
-                found.append(_mention(span, key, at + tokens[i].start(), rows, "exact_alias_span", key, source))
+                found.append(_mention(span, key, start, rows, "exact_alias_span", key, source))
                 break
-    for i, token in enumerate(tokens):
-        short = noisy_py(token[0]) if i not in taken and not dead[i] else ""
+    for i, start, end in shorts:
+        short = noisy_py(text[start:end]) if i not in taken else ""
         if short in lx.TOKEN_REPLACEMENTS:
             whole = noisy_py(lx.TOKEN_REPLACEMENTS[short])
-            found.append(_mention(token[0], whole, at + token.start(), _usable(lookup, whole), "token_replacement_alias", whole, "token_replacement", replaced_from=short, replaced_to=whole))
+            found.append(_mention(text[start:end], whole, start, _usable(lookup, whole), "token_replacement_alias", whole, "token_replacement", replaced_from=short, replaced_to=whole))
     return found
 
 
@@ -224,33 +206,42 @@ def _line_bounds(text: str, start: int, end: int) -> tuple[int, int]:
     return lo, len(text) if hi < 0 else hi
 
 
-def _shown(text: str, m: dict) -> tuple[str, int, int]:
-    """What a mention shows and its span: its own text, the clause around it, or its line."""
-    lo, hi = _line_bounds(text, m["start"], m["end"])
-    line = text[lo:hi]
-    if not line.strip() or m.get("whole"):
-        return display_text(m["text"]), m["start"], m["end"]
-    a, b = max(0, m["start"] - lo), m["end"] - lo
-    left = max(line.rfind(c, 0, a) for c in ".;:!?,") + 1
-    right = min((p for p in (line.find(c, b) for c in ".;:!?,") if p >= 0), default=len(line))
-    clause = line[left:right].strip()
-    if not clause:
-        clause = line.strip()
-    at = lo + line.find(clause)
-    return display_text(clause), at, at + len(clause)
-
-
-def detect(text: str, lookup: Lookup, max_ngram: int = 8, knows: Knows = lambda word: True) -> list[dict]:
-    """Mentions of one note, in order of their start.  ``knows`` tells words that may occur in dictionary keys."""
-    if not _TOKEN.search(text):
+class _Line:
+    """A line of a note, with the places of its clause marks."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.lo, self.text = lo, text[lo:hi]
+        self.blank = not self.text.strip()
+        self.marks = [m.start() for m in _CLAUSE_MARK.finditer(self.text)]
+
+    def shown(self, m: dict) -> tuple[str, int, int]:
+        """What a mention shows and its span: its own text, the clause around it, or its line."""
+        if self.blank or m.get("whole"):
+            return display_text(m["text"]), m["start"], m["end"]
+        before, after = bisect_left(self.marks, max(0, m["start"] - self.lo)), bisect_left(self.marks, m["end"] - self.lo)
+        left = self.marks[before - 1] + 1 if before else 0
+        right = self.marks[after] if after < len(self.marks) else len(self.text)
+        clause = self.text[left:right].strip() or self.text.strip()
+        at = self.lo + self.text.find(clause)
+        return display_text(clause), at, at + len(clause)
+
+
+def detect(text: str, lookup: Lookup, max_ngram: int = 8, note: Note | None = None) -> list[dict]:
+    """Mentions of one note, in order of their start.  ``note`` holds the spans that may be found (without it: all)."""
+    note = note or all_spans(text, max_ngram)
+    if not note.has_token:
         own = text.strip()
         return [_finish(text, _mention(own, normalize_py(own), 0, [], "unknown", normalize_py(own), "") | {"shown": (own, 0, len(own))})] if own else []
     found: list[dict] = []
     dense: list[dict] = []
-    for at, line in lines_of(text):
-        own = _in_line(at, line, lookup, max_ngram, knows)
+    held: Counter = Counter()
+    for at in sorted(note.lines.keys() | note.shorts.keys()):
+        own = _in_line(text, note.lines.get(at, []), note.shorts.get(at, []), lookup)
         found += own
-        if len(own) < 2 and is_dense(line):
+        held[at] = len(own)
+    for at in note.dense:
+        line = text[at : _line_bounds(text, at, at)[1]]
+        if held[at] < 2 and is_dense(line):
             dense += _dense(at, line, lookup)
     seen = {(m["start"], m["end"]) for m in found}
     for m in dense:
@@ -261,8 +252,9 @@ def detect(text: str, lookup: Lookup, max_ngram: int = 8, knows: Knows = lambda
     if found:
         bounds = [_line_bounds(text, m["start"], m["end"]) for m in found]
         often = Counter(bounds)
-        kept = [m for m, b in zip(found, bounds, strict=True) if not (often[b] > 1 and 0 < m["start"] and m["end"] < len(text) and text[m["start"] - 1] in "([" and text[m["end"]] in ")]")]
-        return [_finish(text, m | {"shown": _shown(text, m)}) for m in kept]
+        lines = {b: _Line(text, *b) for b in often}
+        kept = [(m, lines[b]) for m, b in zip(found, bounds, strict=True) if not (often[b] > 1 and 0 < m["start"] and m["end"] < len(text) and text[m["start"] - 1] in "([" and text[m["end"]] in ")]")]
+        return [_finish(text, m | {"shown": line.shown(m)}, line) for m, line in kept]
     chunks = chunks_of(text)
     if len(chunks) <= 1:
         chunks, method = [text.strip()], "fallback_whole_text"
@@ -277,12 +269,13 @@ def detect(text: str, lookup: Lookup, max_ngram: int = 8, knows: Knows = lambda
     return out
 
 
-def _finish(text: str, m: dict) -> dict:
+def _finish(text: str, m: dict, line: _Line | None = None) -> dict:
     shown, a, b = m.pop("shown")
-    lo, hi = _line_bounds(text, m["start"], m["end"])
-    own = _line_bounds(text, a, b)
+    line = line or _Line(text, *_line_bounds(text, m["start"], m["end"]))
+    within = line.lo <= a and b <= line.lo + len(line.text)
+    own = line.text if within else text[slice(*_line_bounds(text, a, b))]
     m.pop("whole", None)
-    return m | {"mention_text": shown, "mention_start": a, "mention_end": b, "line_text": text[lo:hi], "line_start": lo, "context_line": text[own[0] : own[1]].strip(), "wide_text": text[max(0, a - 24) : b + 40]}
+    return m | {"mention_text": shown, "mention_start": a, "mention_end": b, "line_text": line.text, "line_start": line.lo, "context_line": own.strip(), "wide_text": text[max(0, a - 24) : b + 40]}
 
 
 def dictionary(aliases: DataFrame, max_exact: int) -> DataFrame:
@@ -291,40 +284,21 @@ def dictionary(aliases: DataFrame, max_exact: int) -> DataFrame:
     return rows.select("norm_text", F.transform("rows", lambda r: F.struct(r["concept_id"].alias("concept_id"), r["tty"].alias("tty"))).alias("rows"))
 
 
-def _slot(key: str) -> int:
-    return zlib.crc32(key.encode()) & (FILTER_BITS - 1)
-
-
 def _bit(bits: bytes, slot: int) -> int:
     return bits[slot >> 3] >> (7 - (slot & 7)) & 1
 
 
-class WordSet:
-    """The words of all keys of a dictionary, as a bit set: false hits only cost time."""
-
-    def __init__(self, table: DataFrame):
-        self.bits = slot_bits(table.select(F.explode(words(F.col("norm_text"))).alias("norm_text")))
-
-    def __call__(self, word: str) -> bool:
-        return _bit(self.bits, _slot(word)) == 1
-
-
-def slot_bits(table: DataFrame) -> bytes:
-    """The slots of texts as a bit set of fixed size, whatever the dictionary."""
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    slots = table.select(F.crc32(F.col("norm_text").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("slot")).distinct().toArrow()
-    bits[slots.column("slot").to_numpy()] = True
-    return np.packbits(bits).tobytes()
-
-
 class Dictionary:
     """Rows by key: Arrow columns in the order of a hash of the key, found by bisection behind a bit set."""
 
-    def __init__(self, table: DataFrame):
-        self.bits = slot_bits(table)
-        hashed = F.crc32(F.col("norm_text").cast("binary"))
-        rows = table.select(hashed.alias("hash"), "norm_text", "rows").toArrow().sort_by("hash").combine_chunks()
-        self.hashes = array("q", rows.column("hash").to_numpy().tobytes())
+    def __init__(self, rows: pa.Table):
+        """``rows`` has (hash, norm_text, rows)."""
+        rows = rows.sort_by("hash").combine_chunks()
+        hashes = rows.column("hash").to_numpy()
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        bits[hashes & (FILTER_BITS - 1)] = True
+        self.bits = np.packbits(bits).tobytes()
+        self.hashes = array("q", hashes.tobytes())
         self.names, self.rows = (rows.column(c).combine_chunks() if rows.num_rows else [] for c in ("norm_text", "rows"))
 
     def __call__(self, key: str) -> Rows:
@@ -339,6 +313,45 @@ class Dictionary:
         return []
 
 
+class Detector:
+    """A dictionary made ready for detection, once: its filter, and its rows, broadcast or (above ``max_broadcast_bytes``) as a table.
+
+    It serves any number of calls and threads; ``release`` frees what it has broadcast.
+    """
+
+    def __init__(self, aliases: DataFrame, max_exact: int = 25, max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
+        context = aliases.sparkSession.sparkContext
+        size = aliases.where(F.col("pos") <= max_exact).agg(F.sum(F.octet_length("norm_text") + F.octet_length("concept_id") + F.lit(48))).first()[0] or 0
+        table = dictionary(aliases, max_exact).select(F.crc32(F.col("norm_text").cast("binary")).alias("hash"), "norm_text", "rows")
+        self.table = self.rows = None
+        if size <= max_broadcast_bytes:
+            rows = table.toArrow()
+            self.keys = context.broadcast(KeyFilter.of(rows.column("norm_text").to_pylist()))
+            self.rows = context.broadcast(Dictionary(rows))
+        else:
+            self.table = stage(table)
+            self.keys = context.broadcast(_key_filter(self.table))
+
+    def release(self) -> None:
+        for shared in (self.keys, self.rows):
+            if shared is not None:
+                shared.unpersist()
+
+
+def _key_filter(table: DataFrame) -> KeyFilter:
+    """The filter of a dictionary of any size: slots are made where its rows are, and as many reach the driver as the filter has at most."""
+
+    def slots(batches):
+        for batch in batches:
+            made = key_slots(batch.column("norm_text").to_pylist())
+            for kind, own in enumerate(made):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int64))], ["kind", "slot"])
+
+    found = table.select("norm_text").mapInArrow(slots, "kind int, slot bigint").distinct().toArrow()
+    kind, slot = (found.column(c).to_numpy() for c in ("kind", "slot"))
+    return KeyFilter(*(slot[kind == k].astype(np.uint64) for k in (0, 1)))
+
+
 def note_lines(notes: DataFrame) -> DataFrame:
     """(doc_id, line_no, start, end, tokens): the lines of each note and their tokens, as detection cuts them; offsets in the note."""
     token = "struct<token:string,start:int,end:int>"
@@ -352,45 +365,48 @@ def note_lines(notes: DataFrame) -> DataFrame:
     return notes.select("doc_id", F.posexplode(lines("text")).alias("line_no", "line")).select("doc_id", "line_no", "line.*")
 
 
-def detect_mentions(notes: DataFrame, aliases: DataFrame, max_ngram: int = 8, max_exact: int = 25, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """One row per mention: doc_id, ``mention_no`` and the fields of ``MENTION``.  ``notes`` has unique (doc_id, text)."""
-    context = notes.sparkSession.sparkContext
+def detect_mentions(notes: DataFrame, aliases: DataFrame | Detector, max_ngram: int = 8, max_exact: int = 25, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """One row per mention: doc_id, ``mention_no`` and the fields of ``MENTION``.  ``notes`` has unique (doc_id, text); ``aliases`` may come ready as a ``Detector``."""
+    detector = aliases if isinstance(aliases, Detector) else Detector(aliases, max_exact, max_broadcast_bytes)
     notes = spread(notes)
-    table = dictionary(aliases, max_exact)
     fields = [x.split(" ") for x in MENTION.split(", ")]
     kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>"
+    types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    filters, shared = detector.keys, detector.rows
 
-    known = context.broadcast(WordSet(table))
+    def lists(made: list[list[dict] | None]) -> pa.Array:
+        """Mentions of each note as Arrow lists, built field by field."""
+        flat = [m for own in made for m in own or ()]
+        columns = [pa.array([m.get(n) for m in flat], types[t]) for n, t in fields]
+        offsets = np.cumsum([0, *(len(own or ()) for own in made)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, [n for n, _ in fields]))
 
-    def found(texts: pa.Array, lookup_of: Callable[[int], Lookup]) -> pa.Array:
-        made = [None if t is None else detect(t, lookup_of(i), max_ngram, known.value) for i, t in enumerate(texts.to_pylist())]
-        types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-        return pa.array(made, pa.list_(pa.struct([(n, types[t]) for n, t in fields])))
+    def scanned(texts: pa.Array, use: Callable[[int, str, Note], object], made: list) -> list:
+        for held in batches(texts):
+            for (row, text), note in zip(held, scan([t for _, t in held], filters.value, max_ngram), strict=True):
+                made[row] = use(row, text, note)
+        return made
 
-    size = aliases.where(F.col("pos") <= max_exact).agg(F.sum(F.octet_length("norm_text") + F.octet_length("concept_id") + F.lit(48))).first()[0] or 0
-    if size <= max_broadcast_bytes:
-        shared = context.broadcast(Dictionary(table))
+    if shared is not None:
 
         @F.arrow_udf(kind)
         def mentions(texts: pa.Array) -> pa.Array:
-            return found(texts, lambda _: shared.value)
+            return lists(scanned(texts, lambda _, text, note: detect(text, shared.value, max_ngram, note), [None] * len(texts)))
 
         detected = notes.select("doc_id", mentions("text").alias("mentions"))
     else:
-        held = context.broadcast(slot_bits(table))
 
         @F.arrow_udf("array<string>")
         def keys(texts: pa.Array) -> pa.Array:
-            bits = held.value
-            return pa.array([[k for k in sorted(needed_keys(t, max_ngram, known.value)) if _bit(bits, _slot(k))] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+            return pa.array(scanned(texts, lambda _, text, note: sorted(needed_keys(text, note)), [[] for _ in texts]), pa.list_(pa.string()))
 
         @F.arrow_udf(kind)
         def mentions_of(texts: pa.Array, rows: pa.Array) -> pa.Array:
             own = [{x["norm_text"]: [(y["concept_id"], y["tty"]) for y in x["rows"]] for x in found_rows or []} for found_rows in rows.to_pylist()]
-            return found(texts, lambda i: lambda key: own[i].get(key, []))
+            return lists(scanned(texts, lambda row, text, note: detect(text, lambda key: own[row].get(key, []), max_ngram, note), [None] * len(texts)))
 
         wanted = notes.select("doc_id", F.explode(keys("text")).alias("norm_text"))
-        hits = wanted.join(table, "norm_text").groupBy("doc_id").agg(F.collect_list(F.struct("norm_text", "rows")).alias("hits"))
+        hits = wanted.join(detector.table.drop("hash"), "norm_text").groupBy("doc_id").agg(F.collect_list(F.struct("norm_text", "rows")).alias("hits"))
         detected = notes.join(hits, "doc_id", "left").select("doc_id", mentions_of("text", "hits").alias("mentions"))
     return detected.select("doc_id", F.posexplode("mentions").alias("mention_no", "m")).select("doc_id", "mention_no", "m.*")
 

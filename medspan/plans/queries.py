@@ -109,21 +109,17 @@ def no_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "norm_text string, concept_id string, raw_text string, tty string, pos int")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as notes."""
-    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-
-
 @query(
     rf"""
-WITH c AS (SELECT conv_id || ':' || turn AS doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM conversations WHERE regexp_matches(text, '[A-Za-z0-9]')),
+WITH c AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')),
 k AS (SELECT doc_id, CASE WHEN len(p) > 1 THEN p ELSE [{sql_strip('text')}] END AS p, CASE WHEN len(p) > 1 THEN 'fallback_chunk' ELSE 'fallback_whole_text' END AS method FROM c)
 SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS mention_no, unnest(p) AS text, method FROM k
 """
 )
 def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes in which a dictionary finds nothing."""
-    return mentions.detect_mentions(turns(spark, sf_dir), no_aliases(spark)).select("doc_id", F.col("mention_no").cast("int").alias("mention_no"), "text", "method")
+    notes = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mentions.detect_mentions(notes, no_aliases(spark)).select("doc_id", F.col("mention_no").cast("int").alias("mention_no"), "text", "method")
 
 
 @query()
@@ -325,7 +321,7 @@ _HIT = "STRUCT(i BIGINT, n BIGINT)"
 @query(
     rf"""
 WITH a AS (SELECT DISTINCT array_to_string(w[1:1 + conv_id % 8], ' ') AS norm FROM (SELECT conv_id, {sql_words(sql_norm('text'))} AS w FROM conversations WHERE turn = 0) WHERE len(w) > 0),
-l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS no, p FROM (SELECT conv_id || ':' || turn AS doc_id, string_split(text, chr(10)) AS p FROM conversations)),
+l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS no, p FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 b AS (SELECT doc_id, no, line, length(array_to_string(p[1:no - 1], chr(10))) + CASE WHEN no > 1 THEN 1 ELSE 0 END AS lead_ FROM l),
 q AS (SELECT doc_id, no, line, lead_, unnest(p) AS token, generate_subscripts(p, 1) - 1 AS part FROM (SELECT *, string_split(regexp_replace(line, '({lx.TOKEN})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM b)),
 e AS (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id, no ORDER BY part) AS e FROM q),
@@ -343,10 +339,10 @@ SELECT k.doc_id, CAST(lead_ + s AS INTEGER) AS "start", CAST(lead_ + e AS INTEGE
 """
 )
 def gazetteer_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversation turns against a dictionary of 1 to 8 words: how the conversations begin."""
+    """All documents against a dictionary of 1 to 8 words: how the conversations begin."""
     first = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", textnorm.words(textnorm.normalize(F.col("text"))).alias("w"))
     names = first.select(F.col("conv_id").alias("line_no"), F.concat(F.lit("c"), _text("conv_id")).alias("concept_id"), F.lit("BN").alias("tty"), F.array_join(F.slice("w", 1, (F.col("conv_id") % 8 + 1).cast("int")), " ").alias("norm_text")).where("norm_text <> ''")
-    found = mentions.detect_mentions(turns(spark, sf_dir), alias_table(names.withColumn("raw_name", F.col("norm_text"))))
+    found = mentions.detect_mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), alias_table(names.withColumn("raw_name", F.col("norm_text"))))
     tokens = F.size(F.regexp_extract_all("text", F.lit(f"({lx.TOKEN})"), F.lit(1)))
     return found.where("method = 'exact_alias_span'").select("doc_id", "start", "end", "norm_text", tokens.cast("long").alias("words"))
 

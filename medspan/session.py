@@ -24,10 +24,15 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The least bytes of a table that a scan gives a task.
+SPLIT_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores where its files are fewer than those: for costly work on each row of a small table.
+    """``df``, dealt over all cores where it is too small for a scan to do so: for costly work on each row of a small table.
 
-    A table of any size worth a cluster has more splits than cores and is left as it is.
+    The plan's own estimate of its size decides, so nothing is run for it; a table of any size worth a cluster is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -12,7 +12,7 @@ import mini
 from medspan import serve
 from medspan.__main__ import main
 from medspan.functions import lexicon as lx
-from medspan.operators import display, graph, mentions
+from medspan.operators import display, graph, mentions, scan
 from medspan.plans.annotate import Options, annotate, annotate_mentions
 from medspan.sources import release
 from medspan.sources.index import build_index, load_index
@@ -142,26 +142,66 @@ def test_json_and_display(spark, index, notes):
 WORDS = ["metformin", "aspirin", "asa", "hctz", "lipi", "tor", "sodium", "chloride", "po", "er", "of", "the", "500", "5omg", "10mg", "m", "e", "t", "café", "naïve", "x", "oo", "-", "/", ",", ".", "Losrtan", "and", "mg", "omg", "é", "amx", "clv", "pill"]
 
 
-def test_skipped_tokens_lose_no_mention():
-    """Detection with and without the test for hopeless tokens, over dictionaries made of what repairs can produce."""
+DENSE = "metformin500mgBID,lisinopril10mgdaily,atorvastatin20mgnightly;metoprolol25mgBID"
+SIGNS = [" ", " ", " ", " ", "", "\n", ", ", " / ", "+", ".", "-", "_", "“", "ﬁ", ";"]
+
+
+def random_text(rng, n=14):
+    return "".join(rng.choice(WORDS) + rng.choice(SIGNS) for _ in range(rng.randint(1, n))) + (DENSE[: rng.randint(0, 90)] if rng.random() < 0.1 else "")
+
+
+def random_table(rng, texts):
+    """A dictionary of what look-ups of some spans may ask for."""
+    whole = [k for text in texts for i in range(0, len(text), 3) for k, _ in mentions.lookup_keys(text[i : i + rng.randint(1, 30)])]
+    return {k: [(k, rng.choice(["IN", "BN", "DF"]))] for k in rng.sample(whole, min(len(whole), rng.randint(0, 5)))}
+
+
+def test_scan_loses_no_mention():
+    """Detection over the spans that the scan of a batch leaves, and over all spans, with dictionaries made of what repairs can produce."""
     rng = random.Random(17)
-    for _ in range(1500):
-        text = "".join(rng.choice(WORDS) + rng.choice([" ", " ", " ", "", "\n", ", "]) for _ in range(rng.randint(1, 14)))
-        whole = [k for i in range(0, len(text), 3) for k, _ in mentions.lookup_keys(text[i : i + rng.randint(1, 30)])]
-        table = {k: [(k, "IN")] for k in rng.sample(whole, min(len(whole), rng.randint(0, 3)))}
-        known = {w for k in table for w in k.split()}
+    for _ in range(400):
+        texts = [random_text(rng) for _ in range(rng.randint(1, 6))]
+        table = random_table(rng, texts)
         lookup = lambda key, table=table: table.get(key, [])
-        assert mentions.detect(text, lookup, 8, known.__contains__) == mentions.detect(text, lookup), text
-        assert {k for k in mentions.needed_keys(text, 8, lambda w: True) if k in table} == {k for k in mentions.needed_keys(text, 8, known.__contains__) if k in table}
+        for text, note in zip(texts, scan.scan(texts, scan.KeyFilter.of(list(table))), strict=True):
+            assert mentions.detect(text, lookup, 8, note) == mentions.detect(text, lookup), (text, table)
+            assert {k for k in mentions.needed_keys(text, mentions.all_spans(text, 8)) if k in table} == {k for k in mentions.needed_keys(text, note) if k in table}
+
+
+def test_scan_cuts_tokens_as_the_pattern_does():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1é .+/%_-,\n") for _ in range(rng.randint(0, 30)))
+        batch = scan.Batch(["x", text])
+        assert [(a - 2, b - 2) for a, b in zip(batch.start.tolist(), batch.end.tolist(), strict=True)][1:] == [m.span() for m in mentions._TOKEN.finditer(text)]
+
+
+def test_scan_leaves_few_spans():
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["the", "house", "and", "river", "walked", "with", "für", "schöne", "está", "a", "of", "12"]) for _ in range(4000)) + " takes metformin 500 mg po"
+    note = scan.scan([text], scan.KeyFilter.of(["metformin", "metformin 500 mg", "aspirin"]))[0]
+    assert [text[a:b] for spans in note.lines.values() for _, _, a, b in spans if text[a:b] in ("metformin", "metformin 500 mg")] == ["metformin 500 mg", "metformin"]
+    assert sum(map(len, note.lines.values())) < 100  # of 32,000
+
+
+def test_no_token_is_left_for_the_replacement_pass():
+    """Repair replaces each shorthand itself, so no repaired token is a shorthand: that pass never finds one, here as before."""
+    rng = random.Random(1)
+    short = list(lx.TOKEN_REPLACEMENTS)
+    for _ in range(3000):
+        token = "".join(rng.choice([rng.choice(short), rng.choice("abo05"), "-", "/", "."]) for _ in range(rng.randint(1, 4)))
+        for m in mentions._TOKEN.finditer(token):
+            assert mentions.noisy_py(m[0]) not in lx.TOKEN_REPLACEMENTS
 
 
 def found(text, *names):
     rows = {n: [(n, "IN")] for n in names}
-    return [(m["text"], m["start"], m["method"], m["lookup_source"], m["mention_text"]) for m in mentions.detect(text, lambda key: rows.get(key, []), 8, set(names).__contains__)]
+    note = scan.scan([text], scan.KeyFilter.of(list(names)))[0]
+    return [(m["text"], m["start"], m["method"], m["lookup_source"], m["mention_text"]) for m in mentions.detect(text, lambda key: rows.get(key, []), 8, note)]
 
 
 def test_dense_lines_are_cut_at_known_names():
-    line = "metformin500mgBID,lisinopril10mgdaily,atorvastatin20mgnightly;metoprolol25mgBID"
+    line = DENSE
     want = [("metformin500mgBID", 0, "dense_core_norm"), ("lisinopril10mgdaily", 18, "dense_segment_norm"), ("atorvastatin20mgnightly", 38, "dense_segment_norm"), ("metoprolol25mgBID", 62, "dense_segment_norm")]
     assert [(t, s, source) for t, s, method, source, _ in found(line, "metformin") if method == "dense_line_scan"] == want
     assert [m[4] for m in found("Plan:\n" + line, "metformin")] == [t for t, *_ in want]

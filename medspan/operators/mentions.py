@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
-from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, words
+from medspan.functions.textnorm import clause_around, noisy_py, normalize, normalize_py, strip_context_py, strip_space, words
 from medspan.operators.scan import KeyFilter, Note, batches, key_slots, scan
 from medspan.session import spread, stage
 
@@ -37,11 +37,13 @@ FILTER_BITS = 1 << 24
 Rows = list[tuple[str, str]]
 Lookup = Callable[[str], Rows]
 
+#: Fields of a mention as detection gives them; ``context`` and ``wide_text`` only where the line does not do.
 MENTION = (
-    "text string, norm_text string, start int, end int, exact_ids array<string>, exact_types array<string>, method string, lookup_norm string, "
-    "lookup_source string, replaced_from string, replaced_to string, mention_text string, mention_start int, mention_end int, line_text string, "
-    "line_start int, context_line string, wide_text string"
+    "mention_no int, text string, norm_text string, start int, end int, exact_ids array<string>, exact_types array<string>, method string, "
+    "lookup_norm string, lookup_source string, replaced_from string, replaced_to string, mention_text string, mention_start int, mention_end int, "
+    "context string, wide_text string"
 )
+LINE = f"line_start int, line_text string, mentions array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>"
 
 _TOKEN = re.compile(lx.TOKEN)
 _DENSE = re.compile("|".join(map(re.escape, sorted(lx.DENSE_LINE_TERMS, key=len, reverse=True))), re.IGNORECASE)
@@ -273,9 +275,10 @@ def _finish(text: str, m: dict, line: _Line | None = None) -> dict:
     shown, a, b = m.pop("shown")
     line = line or _Line(text, *_line_bounds(text, m["start"], m["end"]))
     within = line.lo <= a and b <= line.lo + len(line.text)
-    own = line.text if within else text[slice(*_line_bounds(text, a, b))]
+    own = None if within else text[slice(*_line_bounds(text, a, b))].strip()
     m.pop("whole", None)
-    return m | {"mention_text": shown, "mention_start": a, "mention_end": b, "line_text": line.text, "line_start": line.lo, "context_line": own.strip(), "wide_text": text[max(0, a - 24) : b + 40]}
+    short = len(line.text.strip() if own is None else own) < 4
+    return m | {"mention_text": shown, "mention_start": a, "mention_end": b, "line_text": line.text, "line_start": line.lo, "context": own, "wide_text": text[max(0, a - 24) : b + 40] if short else None}
 
 
 def dictionary(aliases: DataFrame, max_exact: int) -> DataFrame:
@@ -352,11 +355,17 @@ def _key_filter(table: DataFrame) -> KeyFilter:
     return KeyFilter(*(slot[kind == k].astype(np.uint64) for k in (0, 1)))
 
 
+def once(kind: str) -> Callable:
+    """An Arrow function whose result is exploded.  Declared not deterministic, or the filter that Spark infers from
+    ``explode`` would be pushed below a repartition and call it a second time there."""
+    return lambda f: F.arrow_udf(kind)(f).asNondeterministic()
+
+
 def note_lines(notes: DataFrame) -> DataFrame:
     """(doc_id, line_no, start, end, tokens): the lines of each note and their tokens, as detection cuts them; offsets in the note."""
     token = "struct<token:string,start:int,end:int>"
 
-    @F.arrow_udf(f"array<struct<start:int,end:int,tokens:array<{token}>>>")
+    @once(f"array<struct<start:int,end:int,tokens:array<{token}>>>")
     def lines(texts: pa.Array) -> pa.Array:
         cut = [None if t is None else [{"start": at, "end": at + len(x), "tokens": [{"token": m[0], "start": at + m.start(), "end": at + m.end()} for m in tokens_of(x)]} for at, x in lines_of(t)] for t in texts.to_pylist()]
         span = [("start", pa.int32()), ("end", pa.int32())]
@@ -370,16 +379,26 @@ def detect_mentions(notes: DataFrame, aliases: DataFrame | Detector, max_ngram:
     detector = aliases if isinstance(aliases, Detector) else Detector(aliases, max_exact, max_broadcast_bytes)
     notes = spread(notes)
     fields = [x.split(" ") for x in MENTION.split(", ")]
-    kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>"
+    kind = f"array<struct<{LINE.replace(' ', ':').replace(',:', ',')}>>"
     types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
     filters, shared = detector.keys, detector.rows
 
+    def nested(sizes: list[int], columns: list[pa.Array], names: list[str]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+
     def lists(made: list[list[dict] | None]) -> pa.Array:
-        """Mentions of each note as Arrow lists, built field by field."""
-        flat = [m for own in made for m in own or ()]
-        columns = [pa.array([m.get(n) for m in flat], types[t]) for n, t in fields]
-        offsets = np.cumsum([0, *(len(own or ()) for own in made)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, [n for n, _ in fields]))
+        """Mentions of each note under their lines, built field by field; a line's text is held once."""
+        flat, lines, per_note = [], [], []
+        for own in made:
+            under: dict[tuple[int, int], list[dict]] = {}
+            for i, m in enumerate(own or ()):
+                m["mention_no"] = i
+                under.setdefault((m["line_start"], len(m["line_text"])), []).append(m)
+            per_note.append(len(under))
+            lines += under.values()
+        flat = [m for ms in lines for m in ms]
+        below = nested([len(ms) for ms in lines], [pa.array([m.get(n) for m in flat], types[t]) for n, t in fields], [n for n, _ in fields])
+        return nested(per_note, [pa.array([ms[0]["line_start"] for ms in lines], pa.int32()), pa.array([ms[0]["line_text"] for ms in lines], pa.string()), below], ["line_start", "line_text", "mentions"])
 
     def scanned(texts: pa.Array, use: Callable[[int, str, Note], object], made: list) -> list:
         for held in batches(texts):
@@ -389,18 +408,18 @@ def detect_mentions(notes: DataFrame, aliases: DataFrame | Detector, max_ngram:
 
     if shared is not None:
 
-        @F.arrow_udf(kind)
+        @once(kind)
         def mentions(texts: pa.Array) -> pa.Array:
             return lists(scanned(texts, lambda _, text, note: detect(text, shared.value, max_ngram, note), [None] * len(texts)))
 
         detected = notes.select("doc_id", mentions("text").alias("mentions"))
     else:
 
-        @F.arrow_udf("array<string>")
+        @once("array<string>")
         def keys(texts: pa.Array) -> pa.Array:
             return pa.array(scanned(texts, lambda _, text, note: sorted(needed_keys(text, note)), [[] for _ in texts]), pa.list_(pa.string()))
 
-        @F.arrow_udf(kind)
+        @once(kind)
         def mentions_of(texts: pa.Array, rows: pa.Array) -> pa.Array:
             own = [{x["norm_text"]: [(y["concept_id"], y["tty"]) for y in x["rows"]] for x in found_rows or []} for found_rows in rows.to_pylist()]
             return lists(scanned(texts, lambda row, text, note: detect(text, lambda key: own[row].get(key, []), max_ngram, note), [None] * len(texts)))
@@ -408,7 +427,9 @@ def detect_mentions(notes: DataFrame, aliases: DataFrame | Detector, max_ngram:
         wanted = notes.select("doc_id", F.explode(keys("text")).alias("norm_text"))
         hits = wanted.join(detector.table.drop("hash"), "norm_text").groupBy("doc_id").agg(F.collect_list(F.struct("norm_text", "rows")).alias("hits"))
         detected = notes.join(hits, "doc_id", "left").select("doc_id", mentions_of("text", "hits").alias("mentions"))
-    return detected.select("doc_id", F.posexplode("mentions").alias("mention_no", "m")).select("doc_id", "mention_no", "m.*")
+    lines = detected.select("doc_id", F.explode("mentions").alias("l")).select("doc_id", "l.line_start", "l.line_text", F.explode("l.mentions").alias("m"))
+    made = [f"m.{n}" for n, _ in fields if n != "context"]
+    return lines.select("doc_id", *made, "line_text", "line_start", F.coalesce("m.context", strip_space(F.col("line_text"))).alias("context_line"))
 
 
 def with_negation(rows: DataFrame) -> DataFrame:

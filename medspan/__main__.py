@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--max-aliases-per-concept", type=int, default=MAX_ALIASES)
     build.add_argument("--max-concepts", type=int)
     build.add_argument("--max-rel-lines", type=int)
+    build.add_argument("--reach-depth", type=int, default=0, help="also build the closures of all concepts to this depth, to be looked up")
     infer = commands.add_parser("infer", help="annotate a text or text files")
     source = infer.add_mutually_exclusive_group(required=True)
     source.add_argument("--text")
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             top.error("give --rrf-dir, or --names-file and --relations-file")
     spark = SparkSession.builder.appName("medspan").getOrCreate()
     if args.command == "build-index":
-        made = build_index(spark, names, relations, args.out_dir, args.source, args.dims, args.max_aliases_per_concept, args.max_concepts, args.max_rel_lines)
+        made = build_index(spark, names, relations, args.out_dir, args.source, args.dims, args.max_aliases_per_concept, args.max_concepts, args.max_rel_lines, args.reach_depth)
         print(json.dumps(made, indent=2))
         return 0
     options = Options(args.top_k, args.exact_boost, args.max_graph_depth, args.max_ngram, args.max_exact_candidates)

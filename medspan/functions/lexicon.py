@@ -142,5 +142,6 @@ INFUSION_RATE = r"\b(?:mcg|mg|u|unit|units)\s*(?:/|\s+)?\s*(?:kg\s*(?:/|\s+)?\s*
 UNITS_PER_KG_HOUR = rf"\b{NUMBER}\s*(?:u|unit|units)\s*(?:/|\s+)\s*kg\s*(?:/|\s+)\s*h(?:r)?\b"
 SEGMENT_BREAKS = (r"\?", "!", ";", ":", r"\+", r"\bbut\b", r"\bplus\b")
 NEGATION_CUES = "no|denies|deny|denied|without|not taking|not on|off|hold|held|stop|stopped|discontinue|discontinued|allergic to|allergy to"
-NEGATION_BREAKS = r"\b(?:but|however|though|although|except)\b"
+NEGATION_BREAK_WORDS = "but however though although except".split()
+NEGATION_BREAKS = rf"\b(?:{'|'.join(NEGATION_BREAK_WORDS)})\b"
 LATE_NEGATIONS = "held|stopped|discontinued"

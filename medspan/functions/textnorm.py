@@ -2,7 +2,7 @@
 
 Expressions stay in the JVM.  Unicode decomposition is a ``translate`` over the characters that decompose to one ASCII
 character (a table built from ``unicodedata``); text with a character that decomposes to several takes a second,
-lazily evaluated branch.  Only ``noisy`` (a left-to-right repair of tokens) is an Arrow function.
+lazily evaluated branch.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from medspan.functions import lexicon as lx
 
@@ -149,8 +148,42 @@ def noisy_py(text: str) -> str:
     return " ".join(out)
 
 
-@F.arrow_udf(StringType())
-def noisy(texts: pa.Array) -> pa.Array:
-    """Arrow form of ``noisy_py``; null stays null."""
-    known: dict[str | None, str | None] = {None: None}
-    return pa.array([known[t] if t in known else known.setdefault(t, noisy_py(t)) for t in texts.to_pylist()], pa.string())
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def noisy(text: Column) -> Column:
+    """Column form of ``noisy_py``; null stays null.
+
+    Which neighbours are joined depends on the words before them.  Each word is marked by whether it could be joined to the next, and one
+    scan of the marks, taking two at a time where the first says so, does what a walk over the words would.
+    """
+    table = F.from_json(F.lit(json.dumps(lx.TOKEN_REPLACEMENTS)), "map<string,string>")
+    norm = F.regexp_replace(normalize(text), "(?<=(?:^| )[a-z] [a-z]) (?=[a-z](?: |$))|(?<=(?:^| )[a-z]) (?=[a-z] [a-z](?: |$))", "")
+    norm = F.regexp_replace(norm, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    for unit in ("mg", "mcg", "ml"):
+        norm = F.regexp_replace(norm, rf"\b([0-9]+) *{' *'.join(unit)}\b", f"$1 {unit}")
+    zeros = rf"^[0-9o]+(?:{lx.UNIT})?$"
+
+    def joins(first: Column, second: Column) -> Column:
+        whole = F.concat(first, second)
+        able = F.try_element_at(table, first).isNull() & first.rlike("^[a-z]{2,6}$") & second.rlike("^[a-z]{2,8}$") & ~first.isin(lx.CONTEXT_WORDS) & ~second.isin(lx.CONTEXT_WORDS)
+        return able & ((F.length(whole) >= 7) | F.try_element_at(table, whole).isNotNull())
+
+    def repaired(raw: Column, own: Column, marks: Column) -> Column:
+        def made(word: Column, i: Column) -> Column:
+            whole = F.concat(word, F.get(raw, i + 1))
+            return F.when(F.get(marks, i) == "J", F.coalesce(F.try_element_at(table, whole), whole)).when(F.get(marks, i) == "0", F.coalesce(F.try_element_at(table, word), word))
+
+        return F.array_join(F.transform(own, made), " ")  # words that were joined to the one before are null and left out
+
+    def over(raw: Column) -> Column:
+        fixed = F.transform(raw, lambda w: F.when(w.contains("o") & w.rlike(zeros), F.translate(w, "o", "0")).otherwise(w))
+        return bound(fixed, lambda own: bound(marks_of(raw, own), lambda marks: repaired(raw, own, marks)))
+
+    def marks_of(raw: Column, own: Column) -> Column:
+        flags = F.array_join(F.transform(own, lambda w, i: F.when(F.coalesce(joins(w, F.get(raw, i + 1)), F.lit(False)), "1").otherwise("0")), "")
+        return F.split(F.regexp_replace(flags, "1.", "JS"), "")
+
+    return bound(words(norm), over)

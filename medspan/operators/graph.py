@@ -26,32 +26,33 @@ def relation_table(spark: SparkSession, targets: dict[str, list[str]] | None = N
 def closure(seeds: DataFrame, edges: DataFrame, allowed: DataFrame, max_depth: int = 3, wanted: DataFrame | None = None) -> DataFrame:
     """(seed, target, node, depth): least number of hops from each seed over the relations its target allows.
 
-    ``seeds`` has (seed, target).  Each hop is one join; walks need no path condition, so the least depth over walks
-    is the breadth-first depth.  ``allowed`` is a constant table and is broadcast.  With ``wanted`` (node, target), only such
-    nodes are returned: what is merely passed through never reaches the final aggregation.
+    ``seeds`` has (seed, target).  Breadth first: a hop expands only nodes that no earlier hop reached, so each (seed, target, node) is
+    expanded once, at its least depth.  ``allowed`` is a constant table and is broadcast.  With ``wanted`` (node, target), only such
+    nodes are returned.
 
     A hub (a dose form, a common ingredient) meets all seeds that reach it with all its edges, which no skew join sees coming, as its
     rows are few before the join.  Its edges are cut into slots of about ``HUB_EDGES``, and the rows that reach it go to each slot.
     """
-    frontier, steps, reached = seeds.select("seed", "target", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), F.broadcast(allowed), None
+    key = ["seed", "target", "node"]
+    frontier = stage(seeds.select("seed", "target", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     links = edges.select(F.col("src").alias("node"), "dst", "rela")
     hubs = links.groupBy("node").agg(F.ceil(F.count("*") / F.lit(HUB_EDGES)).cast("int").alias("slots")).where("slots > 1")
-    seen = hubs.limit(MAX_BROADCAST_HUBS + 1).count()
+    seen = hubs.limit(MAX_BROADCAST_HUBS + 1).count() if max_depth else 0
     on = ["node"]
     if seen:
         hubs, on = stage(hubs), ["node", "slot"]
         hubs = F.broadcast(hubs) if seen <= MAX_BROADCAST_HUBS else hubs
         slots = F.coalesce("slots", F.lit(1))
         links = links.join(hubs, "node", "left").withColumn("slot", F.pmod(F.xxhash64("dst"), slots).cast("int")).drop("slots")
-    for depth in range(max_depth + 1):
-        if depth:
-            if seen:
-                frontier = frontier.join(hubs, "node", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
-            hop = frontier.join(links, on).join(steps, ["target", "rela"])
-            frontier = hop.select("seed", "target", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
-        kept = frontier if wanted is None else frontier.join(wanted, ["node", "target"], "left_semi").select("seed", "target", "node", "depth")
-        reached = kept if reached is None else reached.unionByName(kept)
-    return reached.groupBy("seed", "target", "node").agg(F.min("depth").alias("depth"))
+    reached = frontier
+    for depth in range(1, max_depth + 1):
+        if seen:
+            frontier = frontier.join(hubs, "node", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
+        hop = frontier.join(links, on).join(F.broadcast(allowed), ["target", "rela"]).select("seed", "target", F.col("dst").alias("node")).distinct()
+        new = hop.join(reached, key, "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stage(new) if depth < max_depth else new
+        reached = reached.unionByName(frontier)
+    return reached if wanted is None else reached.join(wanted, ["node", "target"], "left_semi").select(*key, "depth")
 
 
 def candidates(reach: DataFrame, names: DataFrame) -> DataFrame:

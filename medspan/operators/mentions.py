@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medspan.functions import lexicon as lx
@@ -432,18 +432,44 @@ def detect_mentions(notes: DataFrame, aliases: DataFrame | Detector, max_ngram:
     return lines.select("doc_id", *made, "line_text", "line_start", F.coalesce("m.context", strip_space(F.col("line_text"))).alias("context_line"))
 
 
-def with_negation(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``negated``: a cue before the mention's first word in its clause, or a late one after it.
+def negated_words(clause: Column, anchor: Column) -> Column:
+    """Whether a clause (an array of words) negates its word ``anchor``, by the places of cues, anchors and breaks.
 
-    The first word is letters and digits, so it enters the pattern as it is.  A literal test for any cue comes first.
+    The first cue that an anchor follows with at most eight words between counts, up to the last such anchor, unless a break lies
+    between them; or an anchor that a late negation follows with at most six words between.
     """
+    cues = [c.split() for c in lx.NEGATION_CUES.split("|")]
+    ones, twos = [c[0] for c in cues if len(c) == 1], [c for c in cues if len(c) == 2]
+    late = lx.LATE_NEGATIONS.split("|")
+    places = F.filter(F.transform(clause, lambda w, i: F.when(w == anchor, i)), lambda i: i.isNotNull())
+
+    def reached(cue: Column) -> Column:
+        """Anchors within reach of a cue (its place and length)."""
+        first = cue["at"] + cue["size"]
+        return F.filter(places, lambda j: (j >= first) & (j <= first + 8))
+
+    def size(w: Column, i: Column) -> Column:
+        after = F.get(clause, i + 1)
+        pair = F.lit(False)
+        for a, b in twos:
+            pair = pair | ((w == a) & (after == b))
+        return F.when(w.isin(ones), 1).when(pair, 2)
+
+    found = F.filter(F.transform(clause, lambda w, i: F.struct(i.alias("at"), size(w, i).alias("size"))), lambda c: c["size"].isNotNull())
+    first = F.get(F.filter(found, lambda c: F.size(reached(c)) > 0), F.lit(0))
+    between = F.slice(clause, first["at"] + 1, F.array_max(reached(first)) - first["at"] + 1)
+    early = first.isNotNull() & ~F.exists(between, lambda w: w.isin(lx.NEGATION_BREAK_WORDS))
+    after = F.exists(places, lambda j: F.exists(F.slice(clause, j + 2, F.lit(7)), lambda w: w.isin(late)))
+    has = lambda words: F.arrays_overlap(clause, F.array(*[F.lit(w) for w in words]))
+    return F.when(has([c[0] for c in cues]), F.coalesce(early, F.lit(False))).otherwise(F.lit(False)) | F.when(has(late), after).otherwise(F.lit(False))
+
+
+def with_negation(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``negated``: a cue before the mention's first word in its clause, or a late one after it."""
+    clause, anchor = "clause_words", "anchor_word"
+    while {clause, anchor} & set(rows.columns):
+        clause, anchor = clause + "_", anchor + "_"
     start, end = F.col("start") - F.col("line_start"), F.col("end") - F.col("line_start")
-    staged = rows.withColumns({"__clause": clause_around(F.col("line_text"), start, end), "__anchor": F.get(words(F.col("norm_text")), F.lit(0))})
-    staged = staged.withColumn("__clause", normalize(F.col("__clause")))
-    clause, anchor = F.col("__clause"), F.col("__anchor")
-    before = F.concat(F.lit(rf"\b(?:{lx.NEGATION_CUES})\b(?:\s+\w+){{0,8}}\s+\b"), anchor, F.lit(r"\b"))
-    after = F.concat(F.lit(r"\b"), anchor, F.lit(rf"\b(?:\s+\w+){{0,6}}\s+\b(?:{lx.LATE_NEGATIONS})\b"))
-    early = clause.rlike(rf"\b(?:{lx.NEGATION_CUES})\b") & F.coalesce(~F.regexp_substr(clause, before).rlike(lx.NEGATION_BREAKS), F.lit(False))
-    late = clause.rlike(rf"\b(?:{lx.LATE_NEGATIONS})\b") & F.rlike(clause, after)
+    staged = rows.withColumns({clause: words(normalize(clause_around(F.col("line_text"), start, end))), anchor: F.get(words(F.col("norm_text")), F.lit(0))})
     exempt = F.col("line_text").rlike(r"(?iU)^\s*med\|")
-    return staged.withColumn("negated", F.coalesce(~exempt & anchor.isNotNull() & (early | late), F.lit(False))).drop("__clause", "__anchor")
+    return staged.withColumn("negated", F.coalesce(~exempt & negated_words(F.col(clause), F.col(anchor)), F.lit(False))).drop(clause, anchor)

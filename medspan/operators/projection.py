@@ -22,6 +22,8 @@ from medspan.sources.index import Index
 
 #: Projected shapes of up to so many rows are broadcast to their mentions.
 MAX_BROADCAST_SHAPES = 50_000
+#: Mentions of a seed that are scored under one join key.
+SLOT_MENTIONS = 2_000
 MIN_SCORE = -2.5
 VETO = -1000.0
 SCORE_INPUTS = (
@@ -132,24 +134,38 @@ def best_by_type(scored: DataFrame) -> DataFrame:
     return top.where(F.col("top.score") >= MIN_SCORE).select("mention_id", "target", "top.hit", "top.mg")
 
 
+def reach_table(seeds: DataFrame, index: Index, max_depth: int) -> DataFrame:
+    """(seed, target, node, depth, name and its features, found): what each (seed, target) may be projected to.
+
+    Looked up where the index holds it for this depth, else closed over the graph, once for each distinct seed.
+    """
+    if index.reach is not None and index.reach_depth == max_depth:
+        reach = index.reach.join(seeds, ["seed", "target"], "left_semi")
+    else:
+        typed = index.names.select(F.col("concept_id").alias("node"), F.col("tty").alias("target")).where(F.col("target").isin(*lx.TARGET_TYPES))
+        reach = graph.closure(seeds, index.edges, graph.relation_table(seeds.sparkSession), max_depth, typed)
+    named = graph.candidates(reach, index.names).where("name <> ''")
+    found = index.ingredients.select(F.col("concept_id").alias("node"), F.col("ingredients").alias("found"))
+    return named.join(found, "node", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+
+
 def candidate_table(mentions: DataFrame, index: Index, max_depth: int) -> DataFrame:
     """(mention_id, target, node, depth, name and its features, found): scored later.
 
-    Closures are computed once for each distinct seed, not for each mention, and only for types that occur.  Rows carry
-    what scoring reads of a mention, not its texts.
+    What a seed reaches is made once and kept for all stages.  A common drug is the seed of very many mentions: those are dealt to slots of
+    about ``SLOT_MENTIONS``, and its candidates go to each slot, so no (seed, target) is one task.
+    Rows carry what scoring reads of a mention, not its texts.
     """
-    spark = mentions.sparkSession
-    typed = index.names.select(F.col("concept_id").alias("node"), F.col("tty").alias("target")).where(F.col("target").isin(*lx.TARGET_TYPES))
-    targets = typed.select("target").distinct()  # at most nine rows
-    seeds = mentions.select(F.col("best_id").alias("seed")).distinct().crossJoin(F.broadcast(targets))
-    reach = graph.candidates(graph.closure(seeds, index.edges, graph.relation_table(spark), max_depth, typed), index.names)
-    mentions = mentions.select("mention_id", "best_id", *SCORE_INPUTS)
-    reach = reach.join(index.ingredients.select(F.col("concept_id").alias("node"), F.col("ingredients").alias("found")), "node", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    typed = index.names.select("tty").where(F.col("tty").isin(*lx.TARGET_TYPES)).distinct().withColumnRenamed("tty", "target")  # at most nine rows
+    own = stage(mentions.groupBy(F.col("best_id").alias("seed")).agg(F.ceil(F.count("*") / F.lit(SLOT_MENTIONS)).cast("int").alias("slots")))
+    reach = reach_table(own.select("seed").crossJoin(F.broadcast(typed)), index, max_depth)
+    reach = stage(reach.join(own, "seed").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots"))
     # An ingredient without a dose is not projected to products: such targets never meet their candidates.
     bare = F.col("seed_is_ingredient") & ~F.col("dose_signal") & ~F.col("structured")
     wanted = [F.when(~bare | ~F.lit(t).isin("SCD", "SBD", "SCDC"), F.lit(t)) for t in lx.TARGET_TYPES]
-    asked = mentions.withColumnRenamed("best_id", "seed").withColumn("target", F.explode(F.array_compact(F.array(*wanted))))
-    return asked.join(reach.where("name <> ''"), ["seed", "target"])
+    asked = mentions.select("mention_id", "best_id", *SCORE_INPUTS).withColumnRenamed("best_id", "seed").join(own, "seed")
+    asked = asked.withColumn("slot", F.pmod(F.xxhash64("mention_id"), F.col("slots")).cast("int")).drop("slots")
+    return asked.withColumn("target", F.explode(F.array_compact(F.array(*wanted)))).join(reach, ["seed", "target", "slot"])
 
 
 def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
@@ -163,7 +179,8 @@ def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:
     seeds = seeds.select("best_id", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"), F.coalesce("seed_is_ingredient", F.lit(False)).alias("seed_is_ingredient"))
     base = mentions.join(seeds, "best_id").withColumns({"projection_words": F.array_distinct(words(F.col("projection_norm"))), "form_bits": dose.form_bits(F.col("forms"))})
     inputs = ["best_id", *SCORE_INPUTS]
-    base = stage(base.withColumn("shape", F.concat_ws(":", F.xxhash64(*inputs), F.hash(*inputs))))
+    # JSON marks the borders of lists and fields, which hashes of columns run together.
+    base = stage(base.withColumn("shape", F.sha2(F.to_json(F.struct(*inputs)), 256)))
     shapes = stage(base.groupBy("shape").agg(*[F.first(c).alias(c) for c in inputs]).withColumnRenamed("shape", "mention_id"))
     done = with_ingredients(shapes.join(stage(best_of_types(shapes, index, max_depth)), "mention_id", "left").withColumn("projected", F.coalesce("projected", F.create_map().cast(f"map<string,{CONCEPT}>"))), index)
     done = done.select(F.col("mention_id").alias("shape"), "projected", "in_list", "in_is_list")
@@ -176,7 +193,7 @@ def best_of_types(base: DataFrame, index: Index, max_depth: int) -> DataFrame:
 
     Each stage keeps the best of its types; SCD prefers the strengths of SBD, SCDC those of SCD, else of SBD.
     """
-    rows = candidate_table(base, index, max_depth)  # used once for each stage, each time for other types
+    rows = candidate_table(base, index, max_depth)  # joined once for each stage, each time for other types
     nothing = F.lit(None).cast("array<double>")
     free = stage(best_by_type(rows.where(~F.col("target").isin("SCD", "SCDC")).withColumn("score", score(nothing))))
     sbd = free.where("target = 'SBD'").select("mention_id", F.col("mg").alias("sbd_mg"))

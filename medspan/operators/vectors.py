@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from medspan.session import stage
 
-#: A concept matrix is broadcast in blocks of at most so many bytes.
-MAX_MATRIX_BYTES = 64 << 20
+#: A task holds a block of the concept matrix of at most so many bytes, and searches it for a slice of so many queries.
+MAX_MATRIX_BYTES, SLICE_QUERIES = 64 << 20, 50_000
 QUERY_ROWS = 256
 
 
@@ -55,8 +55,7 @@ def embed(text: Column, dims: int = 256) -> Column:
 def nearest(queries: DataFrame, concepts: DataFrame, top_k: int = 40, dims: int = 256, max_matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
     """(query, concept_id, score, rank): the ``top_k`` most similar concepts of each distinct non-empty query.
 
-    ``queries`` has (query), ``concepts`` (concept_id, vec).  Queries stay distributed; the concept matrix comes to them
-    in blocks of at most ``max_matrix_bytes``, four for a terminology of usual size, and each block's best are merged.
+    ``queries`` has (query), ``concepts`` (concept_id, vec).
     Order: score (rounded to 6 places) descending, then id.
     """
     texts = queries.where("query is not null and query <> ''").select("query").distinct()
@@ -70,21 +69,16 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 class Block:
-    """Some concepts' ids, in order, and vectors; the matrix is widened once in each worker."""
+    """Some concepts' ids, in order, and vectors."""
 
-    def __init__(self, ids: pa.Array, matrix: np.ndarray):
-        self.ids, self.matrix, self.wide = ids, matrix, None
-
-    def __getstate__(self):
-        return self.ids, self.matrix
-
-    def __setstate__(self, state):
-        (self.ids, self.matrix), self.wide = state, None
+    def __init__(self, ids: list[str], vectors: list[np.ndarray]):
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+        self.ids = pa.array([ids[i] for i in order], pa.string())
+        matrix = np.nan_to_num(np.stack(vectors)[order], nan=-1.0, posinf=1.0, neginf=-1.0)
+        self.wide = np.ascontiguousarray(matrix.T, dtype=np.float64)
 
     def best(self, queries: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, place in the block, score) of the ``top_k`` most similar concepts; ids are in order, so a stable sort settles ties."""
-        if self.wide is None:
-            self.wide = np.ascontiguousarray(self.matrix.T, dtype=np.float64)
         scores = np.round(queries.astype(np.float64) @ self.wide, 6)
         k = min(top_k, scores.shape[1])
         edge = np.partition(scores, -k, axis=1)[:, -k]
@@ -97,34 +91,47 @@ class Block:
         return row[kept], at[kept], value[kept]
 
 
-def nearest_vectors(queries: DataFrame, concepts: DataFrame, top_k: int, max_matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
+def nearest_vectors(queries: DataFrame, concepts: DataFrame, top_k: int, max_matrix_bytes: int = MAX_MATRIX_BYTES, slice_queries: int = SLICE_QUERIES) -> DataFrame:
     """``nearest`` for queries that come with their vectors: (query, vec), of the concepts' width.
 
-    Each block of concepts passes through the driver as Arrow buffers, one at a time; queries are computed once.
+    A block product: concepts are dealt to blocks, queries to slices, and each (block, slice) is a cell with the rows of both.  A cell's
+    concepts are read first and held, its queries stream past them, so a task's memory is one block, and no vector
+    passes the driver.  The best of each block meet in the window's group limit, which also cuts them before the shuffle.
     """
-    context = queries.sparkSession.sparkContext
+    queries = stage(queries.select("query", "vec"))  # counted, then dealt
     seen = concepts.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
-    rows, dims = seen["n"], seen["dims"] or 1
-    n_blocks = max(1, -(-rows // max(1, max_matrix_bytes // (4 * dims))))
-    asked = queries.select("query", "vec") if n_blocks == 1 else stage(queries.select("query", "vec"))
-    found = None
-    for b in range(n_blocks):
-        part = concepts if n_blocks == 1 else concepts.where(F.pmod(F.xxhash64("concept_id"), F.lit(n_blocks)) == b)
-        table = part.select("concept_id", "vec").toArrow().sort_by("concept_id")
-        matrix = np.nan_to_num(_matrix(table.column("vec"), dims), nan=-1.0, posinf=1.0, neginf=-1.0) if table.num_rows else np.zeros((0, dims), np.float32)
-        shared = context.broadcast(Block(table.column("concept_id").combine_chunks() if table.num_rows else pa.array([], pa.string()), matrix))
-
-        def search(batches, shared=shared):
-            block = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(block.ids):
+    dims = seen["dims"] or 1
+    blocks = max(1, -(-seen["n"] // max(1, max_matrix_bytes // (4 * dims))))
+    slices = max(1, -(-queries.count() // slice_queries))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    slices = max(slices, min(cores // blocks, slices * cores)) if seen["n"] else slices
+    block, part = F.pmod(F.xxhash64("concept_id"), F.lit(blocks)), F.pmod(F.xxhash64("query"), F.lit(slices))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = concepts.withColumns({"block": block, "part": every(slices)}).select("block", "part", F.lit(0).alias("kind"), F.col("concept_id").alias("name"), "vec")
+    asked = queries.withColumns({"part": part, "block": every(blocks)}).select("block", "part", F.lit(1).alias("kind"), F.col("query").alias("name"), "vec")
+
+    def search(batches):
+        cell, ids, vectors, own = None, [], [], None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "part", "kind")], axis=1)
+            matrix = _matrix(batch.column("vec"), dims)
+            edges = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))).tolist() + [len(place)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if tuple(place[lo, :2]) != cell:
+                    cell, ids, vectors, own = tuple(place[lo, :2]), [], [], None
+                names = batch.column("name").slice(lo, hi - lo)
+                if place[lo, 2] == 0:
+                    ids += names.to_pylist()
+                    vectors += list(matrix[lo:hi].copy())
                     continue
-                texts, own = batch.column("query"), _matrix(batch.column("vec"), dims)
-                for at in range(0, len(texts), QUERY_ROWS):
-                    row, place, value = block.best(own[at : at + QUERY_ROWS], top_k)
-                    yield pa.RecordBatch.from_arrays([texts.take(pa.array(row + at)), block.ids.take(pa.array(place)), pa.array(value)], ["query", "concept_id", "score"])
-
-        own = asked.mapInArrow(search, "query string, concept_id string, score double")
-        found = own if found is None else found.unionByName(own)
+                if own is None and ids:
+                    own = Block(ids, vectors)
+                    vectors = []
+                for at in range(0, hi - lo if own else 0, QUERY_ROWS):
+                    row, near, value = own.best(matrix[lo + at : min(lo + at + QUERY_ROWS, hi)], top_k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row + at)), own.ids.take(pa.array(near)), pa.array(value)], ["query", "concept_id", "score"])
+
+    dealt = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    found = dealt.mapInArrow(search, "query string, concept_id string, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "concept_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

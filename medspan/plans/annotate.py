@@ -26,6 +26,20 @@ class Options:
     max_exact_candidates: int = 25
 
 
+class Prepared:
+    """An index made ready for many calls and threads: the dictionary is read, filtered and broadcast once, for given options.
+
+    Closures are looked up where the index holds them (``build_index`` with a reach depth).  ``release`` frees the broadcasts.
+    """
+
+    def __init__(self, index: Index, options: Options | None = None):
+        self.index, self.options = index, options or Options()
+        self.detector = m.Detector(index.aliases, self.options.max_exact_candidates)
+
+    def release(self) -> None:
+        self.detector.release()
+
+
 def with_context(found: DataFrame) -> DataFrame:
     """Mentions with their repaired text forms, context, query variants and features; negated ones are dropped."""
     start, end = F.col("start") - F.col("line_start"), F.col("end") - F.col("line_start")
@@ -94,18 +108,21 @@ def assembled(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mention_no", mention.alias("mention"))
 
 
-def annotate_mentions(notes: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
-    """(doc_id, mention_no, mention) for all mentions of ``notes`` (unique doc_id, text)."""
-    o = options or Options()
-    found = with_context(m.detect_mentions(notes, index.aliases, o.max_ngram, o.max_exact_candidates))
-    found = stage(found)  # several joins start from the mentions
+def annotate_mentions(notes: DataFrame, index: Index | Prepared, options: Options | None = None) -> DataFrame:
+    """(doc_id, mention_no, mention) for all mentions of ``notes`` (unique doc_id, text).  A ``Prepared`` index brings its options."""
+    kept = isinstance(index, Prepared)
+    ready = index if kept else Prepared(index, options)
+    o, index = ready.options, ready.index
+    found = stage(with_context(m.detect_mentions(notes, ready.detector, o.max_ngram)))  # several joins start from the mentions
+    if not kept:
+        ready.release()
     best = stage(ranking.choose_best(found, index, o.top_k, o.exact_boost))
     projected = stage(projection.project(best, index, o.max_graph_depth))
     rows = ranking.with_similarity(ranking.has_brand(projected, index))
     return assembled(rows.withColumn("suppressed", ranking.low_confidence()))
 
 
-def annotate(notes: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
+def annotate(notes: DataFrame, index: Index | Prepared, options: Options | None = None) -> DataFrame:
     """One row per note: doc_id, input_text, target_types, mention_count, mentions."""
     rows = annotate_mentions(notes, index, options)
     lists = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("mention_no", "mention"))), lambda x: x["mention"]).alias("mentions"))
@@ -114,7 +131,7 @@ def annotate(notes: DataFrame, index: Index, options: Options | None = None) ->
     return kept.select("doc_id", F.col("text").alias("input_text"), F.array(*[F.lit(t) for t in lx.TARGET_TYPES]).alias("target_types"), F.when(count > 0, count).otherwise(0).alias("mention_count"), F.coalesce("mentions", F.array().cast(lists.schema["mentions"].dataType)).alias("mentions"))
 
 
-def infer_json(index: Index, text: str, options: Options | None = None) -> str:
+def infer_json(index: Index | Prepared, text: str, options: Options | None = None) -> str:
     """The JSON result of one text, as the command line and the server give it."""
-    spark = index.aliases.sparkSession
+    spark = (index.index if isinstance(index, Prepared) else index).aliases.sparkSession
     return result_json(annotate(text_notes(spark, text), index, options)).first()["value"]

@@ -18,7 +18,7 @@ from medspan.functions import dose, textnorm
 from medspan.functions import lexicon as lx
 from medspan.operators import display, graph, mentions, projection, ranking, vectors
 from medspan.plans.annotate import annotate, signals
-from medspan.session import spread, stage
+from medspan.session import remove, shared_folder, spread, stage
 from medspan.sources import release
 from medspan.sources.index import Index, alias_table, build_index, load_index, make_index
 
@@ -275,7 +275,7 @@ walk(seed, target, node, depth) AS (
 """
 )
 def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = release.both_ways(supply_edges(spark, sf_dir))
+    edges = stage(release.both_ways(supply_edges(spark, sf_dir)))  # as the index holds them: made once
     targets = spark.createDataFrame([(t,) for t in lx.TARGET_RELATIONS], "target string")
     seeds = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), _text("r_regionkey")).alias("seed")).crossJoin(targets)
     return graph.closure(seeds, edges, graph.relation_table(spark), 3).select("seed", "target", "node", F.col("depth").cast("int").alias("depth"))
@@ -794,28 +794,43 @@ _LINK = {0: "CAST(p_partkey AS VARCHAR)", 3: "'RO'", 4: "CAST((p_partkey * 7 + 3
 _LINK_LINE = " || '|' || ".join(_LINK.get(i, "''") for i in range(16)) + " || '|'"
 
 
-@query(
-    f"""
+def _sql_index(concepts: str, links: str) -> str:
+    return f"""
 WITH n AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_size || ' mg' AS name FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0),
-c AS (SELECT * FROM n WHERE k <= coalesce((SELECT max(k) FROM (SELECT k FROM n ORDER BY k LIMIT 300) HAVING count(*) = 300), (SELECT max(k) FROM n))),
+c AS (SELECT * FROM n {concepts}),
 r AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS src, CAST((p_partkey * 7 + 3) % 500 AS VARCHAR) AS dst, CASE WHEN p_size % 2 = 0 THEN 'has_ingredient' ELSE 'consists_of' END AS rela FROM part WHERE p_size % 13 <> 0 AND p_size % 9 <> 0),
 g AS (SELECT * FROM r WHERE src <> dst AND src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c)),
-h AS (SELECT * FROM g WHERE k <= coalesce((SELECT min(k) FROM g WHERE k >= 99), (SELECT max(k) FROM g))),
+h AS (SELECT * FROM g {links}),
 e AS (SELECT src, dst, rela FROM h UNION SELECT dst, src, rela FROM h)
 SELECT id AS concept_id, name AS preferred_name, 'SCD' AS tty, {sql_norm('name')} AS alias, 16 AS dims, (SELECT count(*) FROM e WHERE src = id) AS edges FROM c
 """
-)
-def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Release files written, built into an index with both row caps, and read back."""
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/index-{uuid.uuid4().hex}"
-    part = table(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1)
+
+
+def _built(spark: SparkSession, sf_dir: str, *caps: int) -> DataFrame:
+    """Release files written, built into an index and read back; the folder is removed once its rows are kept."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1)  # a release file is one file, whose line order counts
     for name, line in (("names", _LINE), ("relations", _LINK_LINE)):
         part.select(F.expr(line.replace("VARCHAR", "STRING"))).write.text(f"{folder}/{name}")
-    build_index(spark, f"{folder}/names", f"{folder}/relations", f"{folder}/index", "TERMS", 16, 8, 300, 100)
+    build_index(spark, f"{folder}/names", f"{folder}/relations", f"{folder}/index", "TERMS", 16, 8, *caps)
     made = load_index(spark, f"{folder}/index")
     edges = made.edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("edges"))
     rows = made.concepts.join(made.names.select("concept_id", "tty"), "concept_id").join(made.aliases.select("concept_id", F.col("norm_text").alias("alias")), "concept_id").join(made.vectors.select("concept_id", F.size("vec").alias("dims")), "concept_id")
-    return rows.join(edges, "concept_id", "left").select("concept_id", "preferred_name", "tty", "alias", "dims", F.coalesce("edges", F.lit(0)).alias("edges"))
+    kept = stage(rows.join(edges, "concept_id", "left").select("concept_id", "preferred_name", "tty", "alias", "dims", F.coalesce("edges", F.lit(0)).alias("edges")))
+    remove(spark, folder)
+    return kept
+
+
+@query(_sql_index("WHERE k <= coalesce((SELECT max(k) FROM (SELECT k FROM n ORDER BY k LIMIT 300) HAVING count(*) = 300), (SELECT max(k) FROM n))", "WHERE k <= coalesce((SELECT min(k) FROM g WHERE k >= 99), (SELECT max(k) FROM g))"))
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the release with both row caps."""
+    return _built(spark, sf_dir, 300, 100)
+
+
+@query(_sql_index("", ""))
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the whole release."""
+    return _built(spark, sf_dir)
 
 
 _QUERY_NORM = sql_norm("p_name || ' ' || p_size || ' mg po daily tablet'")

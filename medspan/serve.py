@@ -1,18 +1,19 @@
 """A small HTTP server over the annotation plan: ``POST /api/infer`` with ``{"text": ...}``, and ``GET /health``.
 
-For trying texts by hand; many notes are annotated as one batch or stream, not by requests.
+Requests are answered side by side, each a thread, over one prepared index.  For trying texts by hand; many notes are annotated as
+one batch or stream, not by requests.
 """
 
 from __future__ import annotations
 
 import json
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from medspan.plans.annotate import Options, infer_json
+from medspan.plans.annotate import Options, Prepared, infer_json
 from medspan.sources.index import Index
 
 
-def answer(index: Index, options: Options, body: bytes) -> tuple[int, dict]:
+def answer(index: Prepared, body: bytes) -> tuple[int, dict]:
     """Status and result for the body of a request."""
     try:
         payload = json.loads(body.decode("utf-8"))
@@ -23,11 +24,15 @@ def answer(index: Index, options: Options, body: bytes) -> tuple[int, dict]:
     text = payload.get("text")
     if not isinstance(text, str) or not text.strip():
         return 400, {"error": "field text must be a non-empty string"}
-    return 200, json.loads(infer_json(index, text, options))
+    try:
+        return 200, json.loads(infer_json(index, text))
+    except Exception as error:  # whatever the engine raises is the answer's, not the server's end
+        return 500, {"error": f"{type(error).__name__}: {error}"[:2000]}
 
 
-def server(index: Index, index_dir: str, options: Options | None = None, host: str = "127.0.0.1", port: int = 8000) -> HTTPServer:
-    """A server that is bound but not yet running (``serve_forever``); one request at a time."""
+def server(index: Index, index_dir: str, options: Options | None = None, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
+    """A server that is bound but not yet running (``serve_forever``)."""
+    ready = Prepared(index, options)
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, value: dict) -> None:
@@ -43,6 +48,6 @@ def server(index: Index, index_dir: str, options: Options | None = None, host: s
 
         def do_POST(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length", "0")))
-            self._send(*(answer(index, options or Options(), body) if self.path.split("?")[0] == "/api/infer" else (404, {"error": "not found"})))
+            self._send(*(answer(ready, body) if self.path.split("?")[0] == "/api/infer" else (404, {"error": "not found"})))
 
-    return HTTPServer((host, port), Handler)
+    return ThreadingHTTPServer((host, port), Handler)

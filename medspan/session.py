@@ -4,26 +4,44 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(session: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set, a local session (tests) gets a temporary one; a cluster gets an error, since a folder of one
+    machine would be lost with it.
+    """
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None and not session.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or tempfile.mkdtemp(prefix="medspan-checkpoint-")).rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from its checkpoint, in the folder the session names in ``spark.checkpoint.dir``.
+    """Compute ``df`` once and go on from its checkpoint in the shared folder.
 
     Long plans that use a table several times would otherwise compute and analyse it each time, and lost executors
-    would set them back to the start.  Where no folder is set, a local session (tests) gets a temporary one; a cluster gets an
-    error, since a folder of one machine would be lost with it.
+    would set them back to the start.
     """
-    session = df.sparkSession
-    context = session.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="medspan-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def qualified(session: SparkSession, path: str) -> str:
+    """``path`` with its file system, absolute."""
+    target = session._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).makeQualified(target).toString()
+
+
+def remove(session: SparkSession, path: str) -> None:
+    target = session._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 #: The least bytes of a table that a scan gives a task.
 SPLIT_BYTES = 4 << 20
 

@@ -2,13 +2,16 @@
 
 Tables: ``concepts`` (concept_id, preferred_name), ``names`` (concept_id, tty, name and its features), ``aliases``
 (norm_text, concept_id, raw_text, tty, pos), ``edges`` (src, dst, rel, rela), ``ingredients`` (concept_id, ingredients),
-``vectors`` (concept_id, vec), and ``metadata`` (one JSON row).
+``vectors`` (concept_id, vec), and ``metadata`` (one JSON row); with a reach depth also ``reach`` (seed, target, node, depth).
+
+Tables are bucketed and sorted by their look-up key, so joins on it shuffle the other side alone.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+import uuid
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,11 +20,12 @@ from pyspark.sql import functions as F
 from medspan.functions import dose
 from medspan.functions.lexicon import TARGET_TYPES
 from medspan.functions.textnorm import normalize, words
-from medspan.operators.graph import ingredient_sets
+from medspan.operators.graph import closure, ingredient_sets, relation_table
 from medspan.operators.vectors import embed
+from medspan.session import qualified, remove
 from medspan.sources import release
 
-DIMS, MAX_ALIASES = 256, 8
+DIMS, MAX_ALIASES, BUCKETS = 256, 8, 16
 
 
 @dataclass
@@ -33,10 +37,13 @@ class Index:
     ingredients: DataFrame
     vectors: DataFrame
     dims: int = DIMS
+    #: (seed, target, node, depth) of all concepts for closures of ``reach_depth``, where it was built.
+    reach: DataFrame | None = None
+    reach_depth: int = 0
 
 
-TABLES = [f.name for f in fields(Index) if f.name != "dims"]
-LOOKUP_KEY = {"aliases": "norm_text", "edges": "src"}
+TABLES = ["concepts", "names", "aliases", "edges", "ingredients", "vectors"]
+LOOKUP_KEY = {"aliases": "norm_text", "edges": "src", "reach": "seed"}
 
 
 def with_name_features(names: DataFrame) -> DataFrame:
@@ -65,10 +72,11 @@ def make_index(names: DataFrame, relations: DataFrame, dims: int = DIMS, max_ali
     return Index(concepts.drop("aliases"), typed, alias_table(names), edges, ingredient_sets(concepts, typed, edges), vectors, dims)
 
 
-def build_index(spark: SparkSession, names_file: str, relations_file: str, out_dir: str, source: str, dims: int = DIMS, max_aliases: int = MAX_ALIASES, max_concepts: int | None = None, max_relation_lines: int | None = None) -> dict:
+def build_index(spark: SparkSession, names_file: str, relations_file: str, out_dir: str, source: str, dims: int = DIMS, max_aliases: int = MAX_ALIASES, max_concepts: int | None = None, max_relation_lines: int | None = None, reach_depth: int = 0, buckets: int = BUCKETS) -> dict:
     """Read the two release files (rows of ``source``), write the index tables under ``out_dir``, return the metadata.
 
-    Concepts and edges are written first and read back, so the files are scanned once for each.
+    Concepts and edges are written first and read back, so the files are scanned once for each.  With a ``reach_depth``, the closures
+    of all concepts are built as a table, for annotation to look up.
     """
     name_lines, relation_lines = release.read_lines(spark, names_file), release.read_lines(spark, relations_file)
     names = release.first_concepts(release.kept_names(release.parse(name_lines, release.NAME_COLUMNS, release.NAME_WIDTH), source), max_concepts)
@@ -78,9 +86,11 @@ def build_index(spark: SparkSession, names_file: str, relations_file: str, out_d
     kept = release.kept_relations(release.parse(relation_lines, release.RELATION_COLUMNS, release.RELATION_WIDTH), known, source)
     release.first_relations(kept, relation_lines, max_relation_lines).write.mode("overwrite").parquet(f"{out_dir}/kept_relations")
     index = make_index(names, spark.read.parquet(f"{out_dir}/kept_relations"), dims, max_aliases)
-    for table in TABLES:  # in the order of the look-up key, so that a look-up reads few row groups
-        getattr(index, table).orderBy(LOOKUP_KEY.get(table, "concept_id")).write.mode("overwrite").parquet(f"{out_dir}/{table}")
-    made = load_index(spark, out_dir, dims)
+    for table in TABLES:
+        _write(getattr(index, table), f"{out_dir}/{table}", _key(table), buckets)
+    made = Index(**{t: _read(spark, f"{out_dir}/{t}", _key(t), buckets) for t in TABLES}, dims=dims)
+    if reach_depth:
+        _write(all_reach(made, reach_depth), f"{out_dir}/reach", _key("reach"), buckets)
     metadata = {
         "created_at_utc": datetime.now(timezone.utc).isoformat(),
         "names_file": names_file,
@@ -89,17 +99,47 @@ def build_index(spark: SparkSession, names_file: str, relations_file: str, out_d
         "embedding_dims": dims,
         "max_aliases_per_concept": max_aliases,
         "target_types": list(TARGET_TYPES),
+        "buckets": buckets,
+        "reach_depth": reach_depth,
     }
     spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/metadata")
     return metadata
 
 
-def load_index(spark: SparkSession, path: str, dims: int | None = None) -> Index:
+def all_reach(index: Index, depth: int) -> DataFrame:
+    """(seed, target, node, depth): every concept's closure for every target type, nodes of that type alone."""
+    typed = index.names.select(F.col("concept_id").alias("node"), F.col("tty").alias("target")).where(F.col("target").isin(*TARGET_TYPES))
+    seeds = index.concepts.select(F.col("concept_id").alias("seed")).crossJoin(F.broadcast(typed.select("target").distinct()))  # at most nine types
+    return closure(seeds, index.edges, relation_table(index.edges.sparkSession), depth, typed)
+
+
+def _key(table: str) -> str:
+    return LOOKUP_KEY.get(table, "concept_id")
+
+
+def _write(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Files of a table, bucketed and sorted by ``key``; only the files stay."""
+    name = f"medspan_{uuid.uuid4().hex}"
+    remove(df.sparkSession, path)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", qualified(df.sparkSession, path)).format("parquet").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def _read(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A bucketed table by its files.  Its catalogue entry belongs to the session and carries how it is bucketed."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    name = f"medspan_{uuid.uuid4().hex}"
+    where = qualified(spark, path).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(name)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
     """The tables of an index; its vectors must cover its concepts."""
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
-    if dims is None:
-        dims = json.loads(spark.read.text(f"{path}/metadata").first()["value"])["embedding_dims"]
-    index = Index(**tables, dims=dims)
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    read = lambda t: _read(spark, f"{path}/{t}", _key(t), metadata["buckets"])
+    depth = metadata["reach_depth"]
+    index = Index(**{t: read(t) for t in TABLES}, dims=metadata["embedding_dims"], reach=read("reach") if depth else None, reach_depth=depth)
     n, m = index.vectors.count(), index.concepts.count()
     if n != m:
         raise ValueError(f"the index has {n} vectors for {m} concepts")

@@ -4,16 +4,21 @@ import json
 import os
 import random
 import threading
+import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import mini
 from medspan import serve
 from medspan.__main__ import main
 from medspan.functions import lexicon as lx
-from medspan.operators import display, graph, mentions, scan
-from medspan.plans.annotate import Options, annotate, annotate_mentions
+from medspan.operators import display, graph, mentions, projection, scan, vectors
+from medspan.plans.annotate import Prepared, annotate, annotate_mentions
+from medspan.session import spread
 from medspan.sources import release
 from medspan.sources.index import build_index, load_index
 from medspan.sources.results import result_json
@@ -218,18 +223,104 @@ def test_shown_text_is_the_clause():
     assert [m[4] for m in found("on aspirin: stop", "aspirin")] == ["on aspirin"]
 
 
-def test_server(index, results):
-    assert serve.answer(index, Options(), b"[]")[0] == 400 and serve.answer(index, Options(), b'{"text": " "}')[0] == 400
+def test_server(index, results, monkeypatch):
+    made = []
+    begin = mentions.Detector.__init__
+    monkeypatch.setattr(mentions.Detector, "__init__", lambda self, *args: made.append(1) or begin(self, *args))
     running = serve.server(index, "somewhere", port=0)
-    thread = threading.Thread(target=lambda: [running.handle_request() for _ in range(2)])
+    thread = threading.Thread(target=running.serve_forever)
     thread.start()
     url = f"http://127.0.0.1:{running.server_port}"
+
+    def ask(body):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{url}/api/infer", body)) as reply:
+                return reply.status, json.load(reply)
+        except urllib.error.HTTPError as error:
+            return error.code, json.load(error)
+
     assert json.load(urllib.request.urlopen(f"{url}/health")) == {"ok": True, "index_dir": "somewhere"}
-    asked = urllib.request.Request(f"{url}/api/infer", json.dumps({"text": NOTES[0][1]}).encode())
-    got = json.load(urllib.request.urlopen(asked))
+    assert ask(b"[]")[0] == 400 and ask(b'{"text": " "}')[0] == 400 and ask(b"\xff")[0] == 400
+    with ThreadPoolExecutor(3) as pool:  # side by side, over one dictionary
+        got = list(pool.map(ask, [json.dumps({"text": NOTES[0][1]}).encode()] * 3))
+    assert {status for status, _ in got} == {200} and made == [1]
+    assert all(g["mention_count"] == 1 and g["mentions"][0]["best_match"]["rxcui"] == results[1]["mentions"][0]["best_match"]["concept_id"] for _, g in got)
+    monkeypatch.setattr(serve, "infer_json", lambda *_: 1 / 0)
+    assert ask(b'{"text": "x"}') == (500, {"error": "ZeroDivisionError: division by zero"})
+    running.shutdown()
     thread.join()
     running.server_close()
-    assert got["mention_count"] == 1 and got["mentions"][0]["best_match"]["rxcui"] == results[1]["mentions"][0]["best_match"]["concept_id"]
+
+
+def test_prepared_index_serves_many_calls(spark, index, notes, results):
+    ready = Prepared(index)
+    tracker = spark.sparkContext.statusTracker()
+    for group in ("first", "second"):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.doc_id: r.asDict(True) for r in annotate(notes, ready).collect()}
+        assert got == results
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("second")) <= len(tracker.getJobIdsForGroup("first"))
+    ready.release()
+
+
+def test_index_with_reach_gives_the_same(spark, index, notes, results, tmp_path):
+    names, relations = mini.write_release(tmp_path)
+    build_index(spark, names, relations, f"{tmp_path}/index", mini.SOURCE, reach_depth=3)
+    known = load_index(spark, f"{tmp_path}/index")
+    assert known.reach_depth == 3 and known.reach.count() > 0
+    assert {r.doc_id: r.asDict(True) for r in annotate(notes, known).collect()} == results
+
+
+def test_lookups_do_not_shuffle_the_index(spark, index):
+    asked = spark.createDataFrame([(f"x{i}", f"c{i}") for i in range(50)], "norm_text string, src string").repartition(3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table, key in ((index.aliases, "norm_text"), (index.edges, "src")):
+            plan = asked.join(table, key)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("hashpartitioning") == 1 and "Bucketed: true" in plan, plan  # of the asking side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_nearest_in_blocks_and_slices(spark):
+    rng = np.random.default_rng(5)
+    concepts = [(f"c{i:03}", [float(x) for x in rng.integers(-3, 4, 8)]) for i in range(90)]
+    asked = [(f"q{i}", concepts[i][1]) for i in range(0, 90, 3)]
+    one, two = spark.createDataFrame(concepts, "concept_id string, vec array<float>"), spark.createDataFrame(asked, "query string, vec array<float>")
+    want = []
+    for name, vec in asked:
+        scored = sorted((-round(float(np.dot(vec, v)), 6), c) for c, v in concepts)[:7]
+        want += [(name, c, -s, i + 1) for i, (s, c) in enumerate(scored)]
+    for size, part in ((64 << 20, 50_000), (500, 4)):
+        got = vectors.nearest_vectors(two, one, 7, size, part).select("query", "concept_id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert vectors.nearest_vectors(two, one.limit(0), 7).count() == 0 and vectors.nearest_vectors(two.limit(0), one, 7).count() == 0
+
+
+def test_mentions_with_different_features_are_projected_apart(spark, index, monkeypatch):
+    """Lists that hashes of columns would run together, and a seed whose mentions are dealt to several slots."""
+    monkeypatch.setattr(projection, "SLOT_MENTIONS", 2)
+    shape = "ratios array<struct<a:double,b:double>>, numbers array<double>"
+    rows = spark.createDataFrame([(1, [(5.0, 10.0)], []), (2, [], [5.0, 10.0])], f"id int, {shape}")
+    made = rows.select(F.sha2(F.to_json(F.struct("ratios", "numbers")), 256)).distinct()
+    assert rows.select(F.xxhash64("ratios", "numbers")).distinct().count() == 1 and made.count() == 2
+    many = spark.createDataFrame([(i, f"metformin {500 * (i % 7)} mg tablet daily") for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: r.mentions[0].type_results.SCD for r in annotate(many, index).collect()}
+    alone = {r.doc_id: r.mentions[0].type_results.SCD for r in annotate(many.where("doc_id < 7"), index).collect()}
+    assert all(got[i] == alone[i % 7] for i in range(30))
+
+
+def test_small_scans_are_dealt_without_a_job(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    scanned = spark.read.parquet(f"{tmp_path}/t")
+    seen = spark.sparkContext.accumulator(0)
+    rows = scanned.select(F.udf(lambda x: seen.add(1) or x, "long")("id").alias("id"))
+    dealt = spread(rows)
+    assert seen.value == 0
+    dealt.collect()
+    assert seen.value == 100 and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_command_line_takes_a_folder(spark, tmp_path, capsys, monkeypatch):

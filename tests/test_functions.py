@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import re
 import unicodedata
 
 import pytest
@@ -77,6 +79,29 @@ def test_negation(spark):
     assert [r.negated for r in got] == [n for *_, n in rows]
 
 
+def test_negation_by_places_equals_the_patterns(spark):
+    rng = random.Random(3)
+    vocabulary = "no denies not taking on off hold held stopped allergic to aspirin aspirin but though x y z 81 mg w v u".split()
+
+    def plain(clause):
+        cue = re.search(rf"\b(?:{lx.NEGATION_CUES})\b(?:\s+\w+){{0,8}}\s+\baspirin\b", clause)
+        if cue and not re.search(lx.NEGATION_BREAKS, cue[0]):
+            return True
+        return bool(re.search(rf"\baspirin\b(?:\s+\w+){{0,6}}\s+\b(?:{lx.LATE_NEGATIONS})\b", clause))
+
+    clauses = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 22))) for _ in range(4000)]
+    got = column(spark, clauses, mentions.negated_words(textnorm.words(F.col("t")), F.lit("aspirin")))
+    assert [bool(g) for g in got] == [plain(c) for c in clauses]
+    assert sum(map(plain, clauses)) > 500
+
+
+def test_repair_equals_its_plain_twin(spark):
+    rng = random.Random(8)
+    parts = "metformin aspirin asa hctz lipi tor sodium chloride po er of the 500 5omg 10mg m e t c g mc l mg café naïve x oo o omg - / Losrtan and é amx clv pill with river house ﬁn".split()
+    texts = [None, "", "  ", *(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(4000)), " ".join(rng.choice(parts) for _ in range(20_000))]
+    assert column(spark, texts, textnorm.noisy(F.col("t"))) == [None if t is None else textnorm.noisy_py(t) for t in texts]
+
+
 def test_vectors(spark):
     import hashlib
 

@@ -23,7 +23,7 @@ from medspan.sources.index import Index
 #: Projected shapes of up to so many rows are broadcast to their mentions.
 MAX_BROADCAST_SHAPES = 50_000
 #: Mentions of a seed that are scored under one join key.
-SLOT_MENTIONS = 2_000
+SLOT_MENTIONS = 200
 MIN_SCORE = -2.5
 VETO = -1000.0
 SCORE_INPUTS = (
@@ -165,7 +165,11 @@ def candidate_table(mentions: DataFrame, index: Index, max_depth: int) -> DataFr
     wanted = [F.when(~bare | ~F.lit(t).isin("SCD", "SBD", "SCDC"), F.lit(t)) for t in lx.TARGET_TYPES]
     asked = mentions.select("mention_id", "best_id", *SCORE_INPUTS).withColumnRenamed("best_id", "seed").join(own, "seed")
     asked = asked.withColumn("slot", F.pmod(F.xxhash64("mention_id"), F.col("slots")).cast("int")).drop("slots")
-    return asked.withColumn("target", F.explode(F.array_compact(F.array(*wanted)))).join(reach, ["seed", "target", "slot"])
+    asked = asked.withColumn("target", F.explode(F.array_compact(F.array(*wanted))))
+    # Few bytes make many scores: a stated number of partitions is not coalesced by size.
+    key, session = ["seed", "target", "slot"], mentions.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return asked.repartition(n, *key).join(reach.repartition(n, *key), key)
 
 
 def project(mentions: DataFrame, index: Index, max_depth: int = 3) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medspan.session import stage as checkpointed  # noqa: F401  cut lineage in the shared folder
+
 #: ASCII white space, as the contracts define it: [\x20\x09-\x0D].
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 BLOCK_BYTES = 1 << 19
@@ -25,22 +26,6 @@ _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that is unset, a local session (tests) gets a
-    temporary folder; a cluster gets an error, since a folder of one machine would be lost with it.
-    """
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="medspan-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,8 @@
 The model is trained from a small labelled URL table (``ORDINARY_URLS`` and ``UNWANTED_URLS``, or one of the caller's, at most
 ``MAX_TRAINING_ROWS`` rows) by Spark ML's logistic regression, which runs in the JVM on sparse vectors; its ``BINS`` weights enter the
 scoring expression as one literal array.  Parsing, rules and scoring are DataFrame expressions inside one
-projection: no join, no shuffle, no Python on the executors.
+projection: no join, no shuffle, no Python on the executors.  A long block list (``with_rules``) is a table by host that the url's
+host endings are looked up in, by one hash join for each number of labels that its hosts have; of a host's few paths the longest that fits counts.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 method, whose score for no n-grams is that of the intercept alone.  Host letters A-Z are lower-cased, nothing else is.  A rule fits its host and
@@ -24,7 +25,8 @@ from medspan.llm.common import unused
 BINS = 1 << 14
 ORDERS = (3, 4, 5)
 MAX_TRAINING_ROWS = 10_000
-MAX_RULES = 10_000
+#: Up to so many rules stand in the expression itself; more are looked up by host, broadcast up to the second number.
+LITERAL_RULES, BROADCAST_RULES = 64, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values of the contract: (action, host, path).
@@ -105,8 +107,6 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null.  Longest first, so the first fit wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules fit a literal expression")
     if not rules:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1], r[2], r[0]))
@@ -116,6 +116,27 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.when(hit.isNotNull(), F.struct(hit["rule"].alias("rule"), hit["verdict"].alias("verdict")))
 
 
+def with_rules(rows: DataFrame, host: str, path: str, rules: list[tuple[str, str, str]], out: str) -> DataFrame:
+    """``rows`` with ``out``, the struct of ``rule_for``, for any number of rules.  Row for row: no join multiplies or drops any."""
+    if len(rules) <= LITERAL_RULES:
+        return rows.withColumn(out, rule_for(F.col(host), F.col(path), rules))
+    paths: dict[str, list[tuple[str, str, str]]] = {}
+    for action, own, start in sorted(rules, key=lambda r: (-len(r[2]), r[2], r[0])):
+        paths.setdefault(own, []).append((start, own + start, action))
+    table = rows.sparkSession.createDataFrame(list(paths.items()), "own string, held array<struct<start:string,rule:string,verdict:string>>")
+    table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
+    labels, kept = F.split(F.col(host), r"\."), list(rows.columns)
+    hits = []
+    for n in sorted({own.count(".") + 1 for own in paths}):
+        ending, held = unused(rows, f"ending{n}"), unused(rows, f"held{n}")
+        rows = rows.withColumn(ending, F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.lit(-n), F.lit(n)), ".")))
+        rows = rows.join(table.withColumnsRenamed({"own": ending, "held": held}), ending, "left")
+        hit = F.get(F.filter(held, lambda r: F.col(path).startswith(r["start"])), F.lit(0))
+        hits.append(F.when(hit.isNotNull(), F.struct(F.length(hit["rule"]).alias("size"), F.lit(n).alias("labels"), hit["rule"].alias("rule"), hit["verdict"].alias("verdict"))))
+    best = F.array_max(F.array_compact(F.array(*hits)))
+    return rows.select(*kept, F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict"))).alias(out))
+
+
 def with_bins(rows: DataFrame, host: Column, path: Column, out: str) -> DataFrame:
     """``rows`` with ``out``: the distinct bins of the character n-grams of ``^host$`` (without its last label) and ``path$``; digits count as 0.
 
@@ -177,7 +198,8 @@ def judge(pages: DataFrame, weights: list[float], intercept: float, rules: list[
     parsed = pages.withColumn(address, F.col(url)).withColumns({"host": host_of(F.col(address)), "path": path_of(F.col(address))})
     bins, table, hit = unused(parsed, "bins"), unused(parsed, "weights"), unused(parsed, "hit")
     parsed = with_bins(parsed, F.col("host"), F.col("path"), bins).withColumn(table, weight_table(weights))
-    scored = parsed.withColumns({hit: rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules), "score": F.round(score_of(F.col(bins), F.col(table), intercept), 6)})
+    parsed = with_rules(parsed, "host", "path", RULES if rules is None else rules, hit)
+    scored = parsed.withColumns({"score": F.round(score_of(F.col(bins), F.col(table), intercept), 6)})
     verdict = F.coalesce(F.col(f"{hit}.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.withColumns({"rule": F.col(f"{hit}.rule"), "verdict": verdict}).drop(hit, bins, table, address)
 

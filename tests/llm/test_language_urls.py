@@ -166,3 +166,19 @@ def test_urls_held_out_of_training_are_told_apart(spark):
         right += urls.judge(held, *model, rules=[], threshold=0.5).where("(verdict = 'block') = (label = 1)").count()
     print("held-out accuracy", right / len(rows))
     assert right / len(rows) > 0.9
+
+
+def test_long_rule_lists_are_looked_up_by_host(spark, monkeypatch):
+    """Rules by join, broadcast and shuffled, against the literal expression; ties, subdomains and rows that share a url."""
+    rng = random.Random(6)
+    hosts = ["com", "org", "a.com", "b.a.com", "x.org", "news.x.org", "co.uk", "y.co.uk", "very.long.host.name.example"]
+    rules = sorted({(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["", "/", "/a", "/a/b", "/a/b/c", "/c"])) for _ in range(60)})
+    urls_ = [f"http://{rng.choice(['', 'www.', 'B.', 'x'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/b/c?x', '/c#y', '/d'])}" for _ in range(300)] + [None, "", "no address", "http://", "http://.com/a", "http://com./a"]
+    pages = spark.createDataFrame([(i % 250, u) for i, u in enumerate(urls_)], "page_id long, url string")
+    weights = [0.0] * urls.BINS
+    results = []
+    for literal, broadcast in ((10_000, 0), (0, 10_000), (0, 0)):
+        monkeypatch.setattr(urls, "LITERAL_RULES", literal)
+        monkeypatch.setattr(urls, "BROADCAST_RULES", broadcast)
+        results.append(sorted(map(str, urls.judge(pages, weights, 0.0, rules).collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(urls_)

@@ -206,7 +206,7 @@ def of_join(df):
 
 
 def test_join_equals_all_pairs(spark, docs, edge_rows):
-    from tests.llm.conftest import SCHEMA, row
+    from conftest import SCHEMA, row
 
     own = near_copies(3) + [(r[0], r[1]) for r in edge_rows]
     df = spark.createDataFrame([row(i, t) for i, t in own], SCHEMA).repartition(3)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.llm import op1_language, op4_mixing, op8_decontaminate, op9_pii, op10_simhash
+from medspan.session import remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,25 +58,14 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder (or, where none is set, under the warehouse)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; a stage's table is removed once the next one is written, the last one stays."""
-    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark), None
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            _remove(spark, before)
+            remove(spark, before)
         before = path
     return docs

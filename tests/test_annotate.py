@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import mini
+import plain_notes
 from medspan import serve
 from medspan.__main__ import main
 from medspan.functions import lexicon as lx
@@ -173,6 +174,42 @@ def test_scan_loses_no_mention():
             assert {k for k in mentions.needed_keys(text, mentions.all_spans(text, 8)) if k in table} == {k for k in mentions.needed_keys(text, note) if k in table}
 
 
+def test_detection_equals_a_plain_detector(spark):
+    """Random notes with dense lines, brackets, shorthands and types that are no drug's, against every span looked up note by note."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(500):
+        parts = [random_text(rng, 8) for _ in range(rng.randint(1, 3))]
+        if rng.random() < 0.3:
+            parts.append(rng.choice(["metformin (asa) 500 mg", "(aspirin)", "[sodium chloride] po", "aspirin; metformin, held", "sugar pill", "water"]))
+        if rng.random() < 0.2:
+            parts.append(DENSE + rng.choice(["", " po", ", propofol", " x"]))
+        texts.append("\n".join(parts))
+    texts += ["", "  ", "...", "\n\n", "one", "a;b\n;c"]
+    table = {}
+    for text in texts[::7]:
+        for key, rows in random_table(rng, [text]).items():
+            table.setdefault(key, []).extend([(f"{i}{k}", t) for i, (k, t) in enumerate(rows * rng.randint(1, 2))])
+    table |= {"metformin": [("m", "IN"), ("f", "DF")], "aspirin": [("a", "IN")], "sodium chloride": [("n", "DF")], "water": [("w", "IN")], "mg po": [("d", "SCDF")]}
+    rows = [(key, c, key, t, i + 1) for key, own in table.items() for i, (c, t) in enumerate(own)]
+    aliases = spark.createDataFrame(rows, "norm_text string, concept_id string, raw_text string, tty string, pos int")
+    notes = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: plain_notes.detected(t, table) for i, t in enumerate(texts)}
+    for limit in (mentions.MAX_BROADCAST_BYTES, 0):
+        got: dict = {i: [] for i in want}
+        for r in mentions.detect_mentions(notes, aliases, max_broadcast_bytes=limit).orderBy("doc_id", "mention_no").collect():
+            got[r.doc_id].append(r)
+        for i, own in want.items():
+            assert [(r.text, r.norm_text, r.start, r.end, r.exact_ids, r.exact_types, r.method, r.lookup_source) for r in got[i]] == [(m["text"], m["norm"], m["start"], m["end"], m["ids"], m["types"], m["method"], m["source"]) for m in own], (texts[i], own)
+            for r, m in zip(got[i], own, strict=True):
+                lo, hi = plain_notes.bounds(texts[i], r.start, r.end)
+                assert (r.line_text, r.line_start) == (texts[i][lo:hi], lo)
+                if m["method"] in ("exact_alias_span", "dense_line_scan") and plain_notes.shown(texts[i], m):
+                    assert r.mention_text == plain_notes.shown(texts[i], m), texts[i]
+    methods = {m["method"] for own in want.values() for m in own}
+    assert methods == {"exact_alias_span", "dense_line_scan", "fallback_chunk", "fallback_whole_text", "unknown"}
+
+
 def test_scan_cuts_tokens_as_the_pattern_does():
     rng = random.Random(4)
     for _ in range(300):

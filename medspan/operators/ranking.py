@@ -103,7 +103,9 @@ def chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
 
 
 def with_similarity(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("name_similarity", char_similarity(F.col("norm_text"), F.col("best_name")))
+    """``rows`` with ``name_similarity``, computed once for each distinct pair of text and name."""
+    pairs = rows.select("norm_text", "best_name").distinct().withColumn("name_similarity", char_similarity(F.col("norm_text"), F.col("best_name")))
+    return rows.join(stage(pairs), ["norm_text", "best_name"], "left")
 
 
 def low_confidence() -> Column:

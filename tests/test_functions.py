@@ -79,6 +79,19 @@ def test_negation(spark):
     assert [r.negated for r in got] == [n for *_, n in rows]
 
 
+def test_similarity_of_pairs_equals_the_plain_ratio(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    texts = ["", "metformin 500 mg", "metformin hydrochloride", *("".join(rng.choice("abcdef 12") for _ in range(rng.choice([5, 40, 260]))) for _ in range(40))]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, norm_text string, best_name string")
+    got = {r.i: r.name_similarity for r in ranking.with_similarity(rows).collect()}
+    for i, pair in enumerate(pairs):
+        x, y = (textnorm.noisy_py(t).replace(" ", "") for t in pair)
+        assert got[i] == (SequenceMatcher(None, x, y).ratio() if x and y else 0.0)
+
+
 def test_negation_by_places_equals_the_patterns(spark):
     rng = random.Random(3)
     vocabulary = "no denies not taking on off hold held stopped allergic to aspirin aspirin but though x y z 81 mg w v u".split()

@@ -3,8 +3,8 @@
 The base patterns (assignments, access keys, hex runs) always stay.  The method adds spans of kind ``random``.  What
 base spans leave of each run of token characters is scored by the best log-likelihood ratio per character between a
 first-order Markov model of random strings (one for each alphabet) and one of ordinary identifiers: the whole run first and, where that
-is not random, its parts between ``/ _ = -``, so that a key within a path or a name is found.  Runs and parts under
-``min_token`` characters are not scored: short strings do not tell (see README for figures).  Both models are trained from labelled samples,
+is not random, its parts between ``/ _ = -``, so that a key within a path or a name is found.  The bound rises with shortness
+(``least_ratio``), as short strings tell less; runs and parts under ``min_token`` characters are not scored (README has figures).  Both models are trained from labelled samples,
 which ``labelled_samples`` builds from fixed parts and a seed.
 
 Texts are scanned as UTF-8 bytes in Arrow batches; offsets are reported in code points, end exclusive.
@@ -30,9 +30,9 @@ from medspan.llm.common import Spans, buffers, code_points, doc_groups, runs, un
 
 KINDS = ("assign", "access", "hex", "random")
 #: Least characters of a scored run or part.
-MIN_TOKEN = 20
-#: Nats per character by which a random model must beat the ordinary one.
-MIN_RATIO = 0.7
+MIN_TOKEN = 12
+#: Nats per character by which a random model must beat the ordinary one, and how much more for each character under ``SURE``.
+MIN_RATIO, SHORT_RATIO, SURE = 0.7, 0.05, 20
 RESULT = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>"
 
 #: Fixed patterns of the contract.
@@ -110,6 +110,14 @@ def ratio(token: bytes, tables: np.ndarray) -> float:
     return float(tables[:, codes[:-1], codes[1:]].mean(1).max())
 
 
+def least_ratio(size: int) -> float:
+    return MIN_RATIO + SHORT_RATIO * max(0, SURE - size)
+
+
+def is_random(token: bytes, tables: np.ndarray) -> bool:
+    return ratio(token, tables) >= least_ratio(len(token))
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
@@ -118,10 +126,10 @@ def random_spans(text: bytes, start: int, end: int, tables: np.ndarray, min_toke
     """The run itself if it is random, else its random parts."""
     if end - start < min_token:
         return []
-    if ratio(text[start:end], tables) >= MIN_RATIO:
+    if is_random(text[start:end], tables):
         return [(start, end)]
     parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end]) if m.end() - m.start() >= min_token]
-    return [(s, e) for s, e in parts if (s, e) != (start, end) and ratio(text[s:e], tables) >= MIN_RATIO]
+    return [(s, e) for s, e in parts if (s, e) != (start, end) and is_random(text[s:e], tables)]
 
 
 def scan(texts: pa.Array, tables: np.ndarray, min_token: int = MIN_TOKEN) -> pa.StructArray:

@@ -80,7 +80,7 @@ def test_markov_models_tell_random_from_names():
     tables = secrets.train(secrets.labelled_samples())
     held = secrets.labelled_samples(seed=99, per_kind=300)
     long = [(t, k) for t, k in held if len(t) >= secrets.MIN_TOKEN]
-    right = [(secrets.ratio(t.encode(), tables) >= secrets.MIN_RATIO) == (k != "ordinary") for t, k in long]
+    right = [secrets.is_random(t.encode(), tables) == (k != "ordinary") for t, k in long]
     assert sum(right) / len(right) > 0.97
 
 
@@ -215,3 +215,15 @@ def test_token_counts_equal_the_library(spark, docs, no_docs):
     assert made.count(long, 1024)[0] == count(long)
     letters = "".join(rng.choice(string.ascii_lowercase) for _ in range(3000))
     assert made.at_prefix(letters, 1500) == count(letters[:1500])
+
+
+def test_short_random_strings_are_told_from_ordinary_ones():
+    """Held-out strings of 12 to 19 characters: nine in ten random ones and more are found, and no ordinary one is."""
+    tables = secrets.train(secrets.labelled_samples())
+    held = secrets.labelled_samples(seed=99, per_kind=400)
+    for n in range(12, 20):
+        found = [secrets.is_random(t[:n].encode(), tables) for t, k in held if k != "ordinary"]
+        assert sum(found) > 0.9 * len(found)
+        assert not any(secrets.is_random(t[:n].encode(), tables) for t, k in held if k == "ordinary" and len(t) >= n)
+    text = b"see reset/confirm/qZ7xK2mW9pL4vT8n/next and user_name_of_account"
+    assert [text[a:b] for a, b in secrets.random_spans(text, 4, 39, tables, secrets.MIN_TOKEN)] == [b"qZ7xK2mW9pL4vT8n"]

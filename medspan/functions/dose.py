@@ -124,9 +124,12 @@ def record_parts(text: Column) -> Column:
 
 def with_record(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``record_name``, ``record_route``, ``record_schedule``, ``record_status`` (normalised) and ``structured``."""
-    parsed = rows.withColumn("__record", record_parts(F.col(text)))
-    norm = {f"record_{n}": F.coalesce(normalize(F.col(f"__record.{n}")), F.lit("")) for n in ("route", "schedule", "status")}
-    return parsed.withColumns(norm | {"record_name": F.col("__record.name"), "record_strength": F.col("__record.strength"), "structured": F.col("__record").isNotNull()}).drop("__record")
+    record = "record"
+    while record in rows.columns:
+        record += "_"
+    own, parsed = F.col(record), rows.withColumn(record, record_parts(F.col(text)))
+    norm = {f"record_{n}": F.coalesce(normalize(own[n]), F.lit("")) for n in ("route", "schedule", "status")}
+    return parsed.withColumns(norm | {"record_name": own["name"], "record_strength": own["strength"], "structured": own.isNotNull()}).drop(record)
 
 
 def combo_hint(raw: Column, norm: Column) -> Column:
@@ -148,7 +151,7 @@ def with_mention_features(rows: DataFrame) -> DataFrame:
             "rate": context.rlike(lx.INFUSION_RATE),
             "context_forms": form_tokens(context),
             "schedule": context.rlike(lx.SCHEDULE),
-            "oral": context.rlike(r"\b(?:po|oral)\b") | route.isin(*lx.ORAL_ROUTES),
+            "oral": context.rlike(lx.ORAL_ROUTE) | route.isin(*lx.ORAL_ROUTES),
             "ascii_mention": F.lower(fold(mention, lookalikes=False)),
             "surface_numbers": _positive(_all(surface, lx.BARE_NUMBER, 0), 1500.0),
         }
@@ -158,8 +161,8 @@ def with_mention_features(rows: DataFrame) -> DataFrame:
     injected = F.when(route.isin(*lx.IV_ROUTES) | F.col("rate"), F.array(F.lit("injection"))).otherwise(F.array().cast("array<string>"))
     second = first.withColumns(
         {
-            "iv": context.rlike(r"\b(?:iv|ivp|ivpb|intravenous)\b") | route.isin(*lx.IV_ROUTES) | F.col("rate"),
-            "continuous": context.rlike(lx.CONTINUOUS) | schedule.isin("cont", "continuous") | F.col("rate"),
+            "iv": context.rlike(lx.IV_ROUTE) | route.isin(*lx.IV_ROUTES) | F.col("rate"),
+            "continuous": context.rlike(lx.CONTINUOUS) | schedule.isin(*lx.CONTINUOUS_SCHEDULES) | F.col("rate"),
             "forms": F.array_distinct(F.concat("context_forms", injected)),
             "strength_tokens": strength_tokens(context),
             "strength_sigs": strength_signatures(context),
@@ -168,6 +171,6 @@ def with_mention_features(rows: DataFrame) -> DataFrame:
             "numbers": F.array_sort(F.array_distinct(F.transform(_positive(_all(context, lx.BARE_NUMBER, 0), 1500.0), lambda v: F.round(v, 6)))),
         }
     )
-    oral_form = F.arrays_overlap("forms", F.array(*[F.lit(x) for x in ("tablet", "capsule", "er", "ec", "xl24", "oral")]))
-    implicit = ~F.col("iv") & ~F.col("continuous") & ~surface.rlike(r"\b(?:kg|hr|h|min|sec)\b") & (F.size("surface_numbers") > 0) & (F.col("schedule") | F.col("oral") | oral_form)
+    oral_form = F.arrays_overlap("forms", F.array(*[F.lit(x) for x in lx.SOLID_FORMS]))
+    implicit = ~F.col("iv") & ~F.col("continuous") & ~surface.rlike(lx.PER_UNIT) & (F.size("surface_numbers") > 0) & (F.col("schedule") | F.col("oral") | oral_form)
     return second.withColumn("dose_signal", (surface != "") & (has_strength_signal(surface) | implicit)).drop("rate", "context_forms", "ascii_mention", "surface_numbers")

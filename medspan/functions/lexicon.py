@@ -141,6 +141,13 @@ CONTINUOUS = r"\b(?:gtt|drip|infusion|cont|continuous)\b"
 INFUSION_RATE = r"\b(?:mcg|mg|u|unit|units)\s*(?:/|\s+)?\s*(?:kg\s*(?:/|\s+)?\s*h(?:r)?|kgh?r)\w*"
 UNITS_PER_KG_HOUR = rf"\b{NUMBER}\s*(?:u|unit|units)\s*(?:/|\s+)\s*kg\s*(?:/|\s+)\s*h(?:r)?\b"
 SEGMENT_BREAKS = (r"\?", "!", ";", ":", r"\+", r"\bbut\b", r"\bplus\b")
+ORAL_ROUTE = r"\b(?:po|oral)\b"
+IV_ROUTE = r"\b(?:iv|ivp|ivpb|intravenous)\b"
+CONTINUOUS_SCHEDULES = ("cont", "continuous")
+PER_UNIT = r"\b(?:kg|hr|h|min|sec)\b"
+SOLID_FORMS = ("tablet", "capsule", "er", "ec", "xl24", "oral")
+XML_VALUE = r"""value\s*=\s*(['"])(.*?)\1"""
+BRACKETED = r"[\(\[]([^)\]]{2,60})[\)\]]"
 NEGATION_CUES = "no|denies|deny|denied|without|not taking|not on|off|hold|held|stop|stopped|discontinue|discontinued|allergic to|allergy to"
 NEGATION_BREAK_WORDS = "but however though although except".split()
 NEGATION_BREAKS = rf"\b(?:{'|'.join(NEGATION_BREAK_WORDS)})\b"

@@ -49,7 +49,7 @@ _TOKEN = re.compile(lx.TOKEN)
 _DENSE = re.compile("|".join(map(re.escape, sorted(lx.DENSE_LINE_TERMS, key=len, reverse=True))), re.IGNORECASE)
 _LOOKALIKE = str.maketrans(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)
 _NOT_NAMES = frozenset(lx.CONTEXT_WORDS) | frozenset(lx.STRENGTH_UNITS)
-_VALUE = re.compile(r"""value\s*=\s*(['"])(.*?)\1""", re.IGNORECASE)
+_VALUE = re.compile(lx.XML_VALUE, re.IGNORECASE)
 _CLAUSE_MARK = re.compile("[.;:!?,]")
 _DULL = re.compile(r"\d{4}-\d{2}-\d{2}|[a-z]+/\d+", re.IGNORECASE)
 

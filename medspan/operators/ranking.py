@@ -117,7 +117,7 @@ def low_confidence() -> Column:
 def has_brand(rows: DataFrame, index: Index) -> DataFrame:
     """``rows`` with ``brand``: the best concept or an exact type is a brand's, or a bracketed part of the mention names a brand."""
     brands = index.aliases.where("tty = 'BN'").select(F.col("norm_text").alias("part")).distinct()
-    parts = rows.select("mention_id", F.explode(F.regexp_extract_all("mention_text", F.lit(r"[\(\[]([^)\]]{2,60})[\)\]]"), F.lit(1))).alias("raw")).select("mention_id", normalize(F.col("raw")).alias("part"))
+    parts = rows.select("mention_id", F.explode(F.regexp_extract_all("mention_text", F.lit(lx.BRACKETED), F.lit(1))).alias("raw")).select("mention_id", normalize(F.col("raw")).alias("part"))
     named = parts.where("part <> ''").join(brands, "part", "left_semi").select("mention_id").distinct().withColumn("bracketed", F.lit(True))
     types = F.array(*[F.lit(t) for t in lx.BRAND_TYPES])
     kind = F.coalesce(F.array_contains(types, F.col("best_type")), F.lit(False)) | F.arrays_overlap("exact_types", types)

@@ -56,6 +56,12 @@ def test_mixing(spark, docs, no_docs, edge_rows):
     assert mixing.mixed(no_docs).count() == 0
 
 
+def test_mixing_of_more_sources_than_are_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(repr, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == want
+
+
 def test_water_fill_clamps_several_sources(spark):
     sizes = {f"s{i:02d}": v for i, v in enumerate([10, 10_000, 20, 15_000, 1, 9_000, 0])}
     totals = spark.createDataFrame([(s, v, (1, 2, 3)[i % 3]) for i, (s, v) in enumerate(sizes.items())], "source string, source_size long, weight int")
@@ -236,6 +242,18 @@ def test_decontamination(spark, docs, no_docs):
     assert leaks.contaminated(docs, bench).count() == 0 and leaks.contaminated(no_docs, bench).count() == 0 and leaks.contaminated(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_exact_seeds(spark, monkeypatch):
+    """A benchmark of more seeds than are sent as hashes: the bit set alone thins, the join decides."""
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(8, 30))] for _ in range(40)]
+    texts = [[f"w{rng.randrange(400)}" for _ in range(40)] + (items[i % 40] if i % 3 else []) for i in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = sorted(map(tuple, leaks.contaminated(rows, bench).collect()))
+    monkeypatch.setattr(leaks, "MAX_EXACT_SEEDS", 0)
+    assert sorted(map(tuple, leaks.contaminated(rows, bench).collect())) == want and len(want) >= 40
+
+
 def test_decontamination_finds_edited_copies_singly_and_in_thousands(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
@@ -329,6 +347,18 @@ def test_simhash(spark, docs, no_docs, edge_rows, monkeypatch):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_simhash_of_rows_without_an_id(spark):
+    texts = [(None, "one two three four five six"), (7, "one two three four five six"), (5, "one two three four five six"), (None, "quite another text that stands alone here"), (None, None), (None, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
+    root = plain_components({plain_simhash(t) for _, t in texts})
+    least = {}
+    for i, t in texts:
+        if i is not None:
+            least[root[plain_simhash(t)]] = min(i, least.get(root[plain_simhash(t)], i))
+    assert got == sorted(((i, f"{plain_simhash(t):016x}", least.get(root[plain_simhash(t)])) for i, t in texts), key=str)
+
+
 def plain_wide(texts):
     """Components of texts by the links that ``one_of_each`` is to use, over all pairs; as sets of positions."""
     prints = simhash.wide_prints(pa.array(texts, pa.string()))

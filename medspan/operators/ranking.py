@@ -41,12 +41,16 @@ def ranked_concepts(mentions: DataFrame, index: Index, top_k: int, exact_boost:
     Distinct queries are searched once for the whole batch.
     """
     variants = mentions.select("mention_id", "norm_text", F.posexplode("variants").alias("variant", "query"))
-    found = variants.join(nearest(variants, index.vectors, top_k, index.dims), "query")
-    adjusted = F.col("score") - F.when(F.col("query") == F.col("norm_text"), 0.0).otherwise(VARIANT_PENALTY)
-    by_vector = found.select("mention_id", "concept_id", adjusted.alias("score"), F.struct("variant", "rank").alias("order"))
+    by_vector = penalised(variants.join(nearest(variants, index.vectors, top_k, index.dims), "query"))
     return merged_scores(by_vector, mentions.select("mention_id", F.posexplode("exact_ids").alias("pos", "concept_id")), exact_boost)
 
 
+def penalised(found: DataFrame) -> DataFrame:
+    """(mention_id, concept_id, score, order) of the hits of all query variants; those of a variant other than the matched norm cost a little."""
+    adjusted = F.col("score") - F.when(F.col("query") == F.col("norm_text"), 0.0).otherwise(VARIANT_PENALTY)
+    return found.select("mention_id", "concept_id", adjusted.alias("score"), F.struct("variant", "rank").alias("order"))
+
+
 def merged_scores(by_vector: DataFrame, exact: DataFrame, exact_boost: float) -> DataFrame:
     """Best score of each (mention_id, concept_id), plus the boost once for every row of ``exact`` (mention_id, pos, concept_id)."""
     merged = by_vector.groupBy("mention_id", "concept_id").agg(F.max("score").alias("score"), F.min("order").alias("order"))

@@ -17,6 +17,7 @@ from medspan.functions import lexicon as lx
 from medspan.functions import textnorm
 from medspan.operators import mentions
 from medspan.plans import queries as q
+from medspan.plans import rule_queries  # noqa: F401  (adds to q.QUERIES)
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

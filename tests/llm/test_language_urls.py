@@ -36,6 +36,12 @@ def test_language(spark, docs, no_docs, edge_rows):
     assert lang.identify(no_docs, model).count() == 0
 
 
+def scores(spark, texts, model):
+    """lang_pred, score and fit of texts, as lists in their order."""
+    found = lang.identify(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).orderBy("i").collect()
+    return [r.lang_pred for r in found], [r.score for r in found], [r.fit for r in found]
+
+
 def plain_scores(train_rows, texts):
     """Naive Bayes with a plain loop over n-grams; the bin of an n-gram as the operator computes it, character by character."""
 
@@ -75,23 +81,43 @@ def test_scores_equal_plain_naive_bayes(spark):
     model = lang.train(frame)
     texts = [t for _, t, _ in rows] + ["Über das Haus", "zzz", "12", "qxj zkv wqx", "日本語のテキスト"]
     want = plain_scores([(t, k) for _, t, k in rows if k is not None and t is not None], texts)
-    best, score, fit = lang.score_texts(texts, model)
+    best, score, fit = scores(spark, texts, model)
     assert best == [w[0] for w in want]
     assert np.allclose(score, [w[1] for w in want]) and np.allclose(fit, [w[2] for w in want])
     assert max(fit[texts.index(t)] for t in ("日本語のテキスト", "qxj zkv wqx")) + 1 < min(f for f, (i, t, k) in zip(fit, rows, strict=False) if k and t and len(t) > 20)
 
 
-def test_too_many_labels_are_refused(spark):
-    rows = spark.range(lang.MAX_LANGUAGES + 1).selectExpr("id AS doc_id", "'text' AS text", "cast(id AS string) AS lang")
-    with pytest.raises(ValueError, match="labels"):
-        lang.train(rows)
-
-
-def test_scores_do_not_depend_on_blocks(docs):
+def test_languages_in_blocks(spark):
+    """Seven languages in blocks of two and three score as in one block, ties going to the first; texts without a letter have none."""
+    rng, names = random.Random(5), ["aa", "b", "bb", "de", "en", "x", "z"]
+    words = {n: ["".join(rng.choice("abcdefghijklmnop" if n != "z" else "abcdeöüß日本") for _ in range(rng.randint(2, 9))) for _ in range(30)] for n in names}
+    rows = [(i, " ".join(rng.choices(words[n], k=rng.randint(3, 40))), n) for i, n in enumerate(names * 12)] + [(900 + i, "same text twice", n) for i, n in enumerate(("p", "q"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [t for _, t, _ in rows] + [None, "", "12 34", "Über das Haus"]
+    whole = scores(spark, texts, lang.train(frame))
+    assert whole[0] == [w[0] for w in plain_scores([(t, k) for _, t, k in rows], texts)] and whole[0][-4:-1] == ["und"] * 3
+    assert whole[0][texts.index("same text twice")] == "p"
+    for at_once in (2, 3):
+        model = lang.train(frame, at_once=at_once)
+        assert len(list(model.blocks())) == -(-len(model.langs) // at_once) and max(len(b.langs) for b in model.blocks()) == at_once
+        cut = scores(spark, texts, model)
+        assert cut[0] == whole[0] and np.allclose(cut[1], whole[1]) and np.allclose(cut[2], whole[2])
+        assert lang.accepted(frame, model).count() == lang.accepted(frame, lang.train(frame)).count()
+
+
+def test_more_labels_than_a_block_holds(spark):
+    rows = spark.range(lang.BLOCK_LANGUAGES + 40).selectExpr("id AS doc_id", "concat('text', id, ' of ', id * 7919) AS text", "cast(id AS string) AS lang")
+    model = lang.train(rows)
+    assert model.langs == sorted(map(str, range(lang.BLOCK_LANGUAGES + 40)))
+    assert lang.identify(rows, model).where("lang_pred = lang").count() == lang.BLOCK_LANGUAGES + 40
+
+
+def test_scores_do_not_depend_on_blocks_of_text(spark, docs):
     model = lang.train(docs)
     texts = ["the house over the river", None, "haus und fluss", "x" * 700_000 + " the house"]
-    whole = lang.score_texts(texts, model)
-    assert [lang.score_texts([t], model)[0][0] for t in texts] == whole[0]
+    block = next(model.blocks())
+    whole = lang.score_block(texts, block).to_pylist()
+    assert [lang.score_block([t], block).to_pylist()[0]["lang"] for t in texts] == [w["lang"] for w in whole]
     assert sum(len(two) - (two == lang.BINS).sum() for _, _, two, _ in lang._blocks(texts, 64)) == sum(len(t) + 1 for t in texts if t)
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
+import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -227,3 +230,103 @@ def test_short_random_strings_are_told_from_ordinary_ones():
         assert not any(secrets.is_random(t[:n].encode(), tables) for t, k in held if k == "ordinary" and len(t) >= n)
     text = b"see reset/confirm/qZ7xK2mW9pL4vT8n/next and user_name_of_account"
     assert [text[a:b] for a, b in secrets.random_spans(text, 4, 39, tables, secrets.MIN_TOKEN)] == [b"qZ7xK2mW9pL4vT8n"]
+
+
+def _plain_candidates(text):
+    """(kind, start, end, valid) by plain patterns; ASCII texts."""
+    loose = [(k, re.compile(p.pattern.decode("latin-1"))) for k, p in ((4, pii.LOCAL_PHONE), (5, pii.IDENTITY), (6, pii.HIDDEN_EMAIL), (7, pii.TITLED), (7, pii.NAMED))]
+    out = [(k, m.start(), m.end(), _passes(name, m)) for k, (name, p) in enumerate(PII_PATTERNS) for m in re.finditer(p, text) if name != "card" or len(re.sub("[^0-9]", "", m[0])) >= 14]
+    return out + [(k, m.start(), m.end(), True) for k, p in loose for m in p.finditer(text)]
+
+
+def _touching(text, i):
+    if not 0 <= i < len(text) or text[i].isspace():
+        return "space"
+    return "digit" if text[i].isdigit() else "letter" if text[i].isalpha() else "mark"
+
+
+def _plain_votes(text, kind, start, end, valid):
+    """Each labeler: None, False or True."""
+    own, before = text[start:end], text[max(0, start - 40) : start]
+    digits = re.sub("[^0-9]", "", own)
+    domain = re.split("[^a-z]+", own.lower())[-1].encode() in pii.TOP_DOMAINS
+    known = any(n.decode() in own for n in pii.GIVEN_NAMES)
+    near, far = (re.search(p.pattern.decode(), before) for p in (pii.TRIGGERS, pii.COUNTER_TRIGGERS))
+    dull = len(set(digits)) <= 2 or own[:2] == "0." or own[:4] == "127."
+    return (
+        valid if kind < 4 else None,
+        domain if kind in (0, 6) else True if kind == 7 and known else None,
+        True if near else False if far else None,
+        not {_touching(text, start - 1), _touching(text, end)} & {"digit", "letter"},
+        None if not digits else False if dull else True if set(own) & set(" ().-") else None,
+    )
+
+
+def _plain_features(text, kind, start, end):
+    own, words = text[start:end], re.findall("[a-z]+", text[max(0, start - 40) : start].lower())[-3:]
+    digits, marks = sum(map(str.isdigit, own)), sum(not c.isalnum() for c in own)
+    side = ["space", "digit", "letter", "mark"]
+    fixed = {kind, 8 + min(7, len(own) // 4), 16 + min(4, 5 * digits // len(own)), 21 + min(4, marks), 26 + side.index(_touching(text, start - 1)), 31 + side.index(_touching(text, end))}
+    return frozenset(fixed | {36 + zlib.crc32(w.encode()) % (pii.FEATURES - 36) for w in words})
+
+
+def _plain_posteriors(patterns):
+    """EM over counts of vote patterns, labelers independent given the truth."""
+    post = {v: min(0.95, max(0.05, 0.5 + 0.2 * (v.count(True) - 1.5 * v.count(False)))) for v in patterns}
+    for _ in range(60):
+        prior = sum(n * post[v] for v, n in patterns.items()) / sum(patterns.values())
+        mass = {}
+        for v, n in patterns.items():
+            for k, vote in enumerate(v):
+                for truth, w in ((True, n * post[v]), (False, n * (1 - post[v]))):
+                    mass[k, vote, truth] = mass.get((k, vote, truth), 0.0) + w
+        rate = lambda k, vote, truth: (mass.get((k, vote, truth), 0.0) + 1) / (sum(mass.get((k, x, truth), 0.0) for x in (None, False, True)) + 3)  # noqa: E731, B023
+        made = {}
+        for v in patterns:
+            yes, no = math.log(prior + 1e-9), math.log(1 - prior + 1e-9)
+            for k, vote in enumerate(v):
+                yes, no = yes + math.log(rate(k, vote, True)), no + math.log(rate(k, vote, False))
+            made[v] = 1 / (1 + math.exp(no - yes))
+        post = made
+    return post
+
+
+def _plain_classifier(rows):
+    """Logistic regression by gradient steps on (features, target, weight)."""
+    weights, bias, total = [0.0] * pii.FEATURES, 0.0, sum(n for _, _, n in rows)
+    for step in range(300):
+        rate, slope, shift = 2.0 / (1 + step / 100), [1e-4 * w for w in weights], 0.0
+        for features, target, n in rows:
+            off = n * (1 / (1 + math.exp(-bias - sum(weights[f] for f in features))) - target) / total
+            shift += off
+            for f in features:
+                slope[f] += off
+        weights, bias = [w - rate * s for w, s in zip(weights, slope, strict=True)], bias - rate * shift
+    return weights, bias
+
+
+def test_added_spans_equal_a_plain_learner(spark):
+    """Votes, reliabilities, classifier and added spans against plain loops, on notes where some loose candidates are right and some not."""
+    rng = random.Random(77)
+    digits = lambda *sizes, sep="-": sep.join("".join(rng.choices(string.digits, k=n)) for n in sizes)
+    makers = [
+        lambda: f"call {digits(3, 3, 4, sep=rng.choice('-. '))}", lambda: f"order {digits(3, 3, 4)}", lambda: f"version {digits(3, 2, 4)}", lambda: f"ssn {digits(3, 2, 4)}",
+        lambda: f"mail anna{digits(2)}@mail.{rng.choice(['com', 'org', 'qqq'])}", lambda: f"write to joe (at) host{digits(1)} (dot) {rng.choice(['com', 'zzz'])}", lambda: f"from {rng.choice(['Dr. Karen Hill', 'Mr Stone', 'Linda Smith'])},",
+        lambda: f"chapter {rng.choice(['Dr No', 'Prof Xav'])}", lambda: f"server {digits(2, 2, 1, 2, sep='.')}", lambda: f"version {rng.randint(300, 999)}.{digits(1, 1, 1, sep='.')}", lambda: f"phone +{digits(2, 4, 6, sep=' ')}", lambda: f"item +{digits(1, 2)}", lambda: f"card {digits(4, 4, 4, 4, sep=' ')}",
+    ]
+    texts = ["; ".join(rng.choice(["nothing here", "we went on", *(m() for m in rng.sample(makers, 4))]) for _ in range(rng.randint(1, 5))) + "." for _ in range(400)]
+    found = [(t, c, _plain_votes(t, *c), _plain_features(t, *c[:3])) for t in texts for c in _plain_candidates(t)]
+    post = _plain_posteriors(Counter(v for _, _, v, _ in found))
+    weights, bias = _plain_classifier([(f, post[v], n) for (v, f), n in Counter((v, f) for _, _, v, f in found).items()])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.learn(frame)
+    assert abs(model.bias - bias) < 1e-6 and max(abs(a - b) for a, b in zip(model.weights, weights, strict=True)) < 1e-6
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame, model).collect()}
+    taken = dropped = 0
+    for i, text in enumerate(texts):
+        own = [(c, f) for t, c, _, f in ((t, c, _plain_votes(t, *c), _plain_features(t, *c[:3])) for t in (text,) for c in _plain_candidates(text))]
+        base = [(s, k, e) for (k, s, e, valid), _ in own if k < 4 and valid]
+        loose = {(s, k, e): bias + sum(weights[x] for x in f) > 0 for (k, s, e, _), f in own if k >= 4 and not any(s < b[2] and b[0] < e for b in base)}
+        taken, dropped = taken + sum(loose.values()), dropped + sum(not x for x in loose.values())
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + [x for x, yes in loose.items() if yes])), text
+    assert taken > 50 and dropped > 20

@@ -187,11 +187,11 @@ def projection_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("d1", "SCDC", F.when(size % 2 == 0, size).otherwise(far), always), one("d2", "SCDC", F.when(size % 2 == 0, far).otherwise(size), always), one("n", "BN", size, always),
     )
     rows = part.select(F.concat(F.lit("s:"), key).alias("seed"), F.explode(F.array_compact(made)).alias("c")).select("seed", "c.*")
-    names = with_name_features(rows.drop("seed"))
+    names = stage(with_name_features(rows.drop("seed")))
     relation = F.expr("CASE tty " + " ".join(f"WHEN '{t}' THEN '{lx.TARGET_RELATIONS[t][0]}'" for t in ("SBD", "SCD", "SCDC", "BN")) + " END")
     edges = rows.select(F.col("seed").alias("src"), F.col("concept_id").alias("dst"), F.lit("RO").alias("rel"), relation.alias("rela"))
     ingredients = names.select("concept_id", F.array().cast("array<string>").alias("ingredients"))
-    index = Index(names, stage(names), names, stage(edges), ingredients, names)
+    index = Index(names, names, names, stage(edges), ingredients, names)
     strings, doubles, no = F.array().cast("array<string>"), F.array().cast("array<double>"), F.lit(False)
     bare = size % 7 == 0
     base = part.select(

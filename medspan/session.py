@@ -19,16 +19,29 @@ def shared_folder(session: SparkSession) -> str:
     return (folder or tempfile.mkdtemp(prefix="medspan-checkpoint-")).rstrip("/")
 
 
+#: Staged tables of more rows are joined by shuffles, whatever their estimate; those of an estimate beyond any broadcast are not counted.
+MAX_BROADCAST_ROWS, COUNTED_BYTES = 50_000, 1 << 30
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from its checkpoint in the shared folder.
 
     Long plans that use a table several times would otherwise compute and analyse it each time, and lost executors
     would set them back to the start.
+
+    A checkpoint keeps the estimate of its plan, which starts from the bytes of compressed files: some megabytes of them may be millions of
+    rows, which the driver would collect for a broadcast.  Rows are counted, now that they are there, and many are kept from it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    return made.hint("merge") if estimated_bytes(df) < COUNTED_BYTES and made.count() > MAX_BROADCAST_ROWS else made
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The plan's own estimate of its size; nothing is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def qualified(session: SparkSession, path: str) -> str:
@@ -52,5 +65,4 @@ def spread(df: DataFrame) -> DataFrame:
     The plan's own estimate of its size decides, so nothing is run for it; a table of any size worth a cluster is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPLIT_BYTES else df

@@ -45,3 +45,9 @@ def test_alignment_is_made_once_for_what_is_alike(spark):
     made = projection.realigned(scdc, scd, base, Index(names, names, names, edges, ingredients, names), 3)
     assert {(r.mention_id, r.hit.concept_id, r.hit.name, r.hit.depth) for r in made.collect()} == {(i, "c:000", "name c:000", 1) for i in range(400)}
     assert join_rows(made) <= 2000
+
+
+def test_staged_tables_of_many_rows_are_not_broadcast(spark):
+    joined = lambda n: spark.range(1_000_000).join(stage(spark.range(n)), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in joined(1_000)
+    assert "Broadcast" not in joined(60_000)

@@ -29,7 +29,7 @@ from medspan.functions import lexicon as lx
 
 #: Bits of the sets of words and of keys.
 WORD_BITS, KEY_BITS = 24, 26
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 _CONFUSABLE = str.maketrans(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)
@@ -409,13 +409,14 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
 def batches(texts: pa.Array, chars: int = BATCH_CHARS):
     """Yield lists of (row, text) of about ``chars`` characters; null texts are left out."""
     held, size = [], 0
-    for row, text in enumerate(texts.to_pylist()):
-        if text is None:
-            continue
-        held.append((row, text))
-        size += len(text)
-        if size >= chars:
-            yield held
-            held, size = [], 0
+    for at in range(0, len(texts), 64):
+        for row, text in enumerate(texts.slice(at, 64).to_pylist(), at):
+            if text is None:
+                continue
+            held.append((row, text))
+            size += len(text)
+            if size >= chars:
+                yield held
+                held, size = [], 0
     if held:
         yield held

@@ -102,7 +102,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(e - length(line) AS BIG
 """
 )
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.note_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return mentions.note_lines(spread(table(spark, sf_dir, "documents")), with_tokens=False).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def no_aliases(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medspan.operators import projection
+from medspan.operators import mentions, projection
 from medspan.session import stage
 from medspan.sources import release
 from medspan.sources.index import Index
@@ -51,3 +51,19 @@ def test_staged_tables_of_many_rows_are_not_broadcast(spark):
     joined = lambda n: spark.range(1_000_000).join(stage(spark.range(n)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in joined(1_000)
     assert "Broadcast" not in joined(60_000)
+
+
+def test_lines_and_mentions_are_made_piece_by_piece(spark):
+    """Notes beyond one piece in one task, null ones between; no Arrow function makes all that a batch of rows holds at once."""
+    texts = {i: None if i % 7 == 0 else f"note {i} aspirin 20 mg; \nline {'word ' * (i % 90)}\n" for i in range(2000)}
+    notes = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    lines = mentions.note_lines(notes)
+    want = [(i, n, at, at + len(x), [(m[0], at + m.start(), at + m.end()) for m in mentions.tokens_of(x)]) for i, t in texts.items() if t is not None for n, (at, x) in enumerate(mentions.lines_of(t))]
+    assert sorted((r.doc_id, r.line_no, r.start, r.end, [tuple(t) for t in r.tokens]) for r in lines.collect()) == want
+    known = spark.createDataFrame([("aspirin", "1", "aspirin", "IN", 1)], "norm_text string, concept_id string, raw_text string, tty string, pos int")
+    found = [mentions.detect_mentions(notes, known, max_broadcast_bytes=most) for most in (1 << 20, 0)]
+    for rows in found:
+        assert {(r.doc_id, r.text, r.start) for r in rows.collect()} == {(i, "aspirin", t.index("aspirin")) for i, t in texts.items() if t is not None}
+    for made in (lines, *found):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from medspan.session import stage
 
 #: A task holds a block of the concept matrix of at most so many bytes, and searches it for a slice of so many queries.
-MAX_MATRIX_BYTES, SLICE_QUERIES = 64 << 20, 50_000
-QUERY_ROWS = 256
+MAX_MATRIX_BYTES, SLICE_QUERIES = 16 << 20, 50_000
+#: Scores that a task makes at once: so many queries against its whole block.
+MAX_SCORES = 1 << 21
 
 
 def gram_slot(gram: str, dims: int) -> tuple[int, float]:
@@ -74,12 +75,15 @@ class Block:
     def __init__(self, ids: list[str], vectors: list[np.ndarray]):
         order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
         self.ids = pa.array([ids[i] for i in order], pa.string())
-        matrix = np.nan_to_num(np.stack(vectors)[order], nan=-1.0, posinf=1.0, neginf=-1.0)
+        matrix = np.nan_to_num(np.concatenate(vectors)[order], nan=-1.0, posinf=1.0, neginf=-1.0)
         self.wide = np.ascontiguousarray(matrix.T, dtype=np.float64)
+        #: Queries that are scored at once.
+        self.step = max(1, MAX_SCORES // len(ids))
 
     def best(self, queries: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, place in the block, score) of the ``top_k`` most similar concepts; ids are in order, so a stable sort settles ties."""
-        scores = np.round(queries.astype(np.float64) @ self.wide, 6)
+        scores = queries.astype(np.float64) @ self.wide
+        np.round(scores, 6, out=scores)
         k = min(top_k, scores.shape[1])
         edge = np.partition(scores, -k, axis=1)[:, -k]
         row, at = np.nonzero(scores >= edge[:, None])
@@ -122,13 +126,13 @@ def nearest_vectors(queries: DataFrame, concepts: DataFrame, top_k: int, max_mat
                 names = batch.column("name").slice(lo, hi - lo)
                 if place[lo, 2] == 0:
                     ids += names.to_pylist()
-                    vectors += list(matrix[lo:hi].copy())
+                    vectors.append(matrix[lo:hi].copy())
                     continue
                 if own is None and ids:
                     own = Block(ids, vectors)
                     vectors = []
-                for at in range(0, hi - lo if own else 0, QUERY_ROWS):
-                    row, near, value = own.best(matrix[lo + at : min(lo + at + QUERY_ROWS, hi)], top_k)
+                for at in range(0, hi - lo, own.step) if own else ():
+                    row, near, value = own.best(matrix[lo + at : min(lo + at + own.step, hi)], top_k)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(row + at)), own.ids.take(pa.array(near)), pa.array(value)], ["query", "concept_id", "score"])
 
     dealt = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from medspan.operators import mentions, projection
+from medspan.operators import mentions, projection, vectors
 from medspan.session import stage
 from medspan.sources import release
 from medspan.sources.index import Index
@@ -62,8 +65,22 @@ def test_lines_and_mentions_are_made_piece_by_piece(spark):
     assert sorted((r.doc_id, r.line_no, r.start, r.end, [tuple(t) for t in r.tokens]) for r in lines.collect()) == want
     known = spark.createDataFrame([("aspirin", "1", "aspirin", "IN", 1)], "norm_text string, concept_id string, raw_text string, tty string, pos int")
     found = [mentions.detect_mentions(notes, known, max_broadcast_bytes=most) for most in (1 << 20, 0)]
+    plain = {(i, m["text"], m["start"]) for i, t in texts.items() if t is not None for m in mentions.detect(t, lambda key: [("1", "IN")] if key == "aspirin" else [])}
     for rows in found:
-        assert {(r.doc_id, r.text, r.start) for r in rows.collect()} == {(i, "aspirin", t.index("aspirin")) for i, t in texts.items() if t is not None}
+        assert {(r.doc_id, r.text, r.start) for r in rows.collect()} == plain
     for made in (lines, *found):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_search_holds_one_block_and_few_scores():
+    """A full block of the default size: what its scores take at once stays below what the block itself may."""
+    n = vectors.MAX_MATRIX_BYTES // (4 * 64)
+    matrix = np.random.default_rng(5).standard_normal((n, 64)).astype(np.float32)
+    tracemalloc.start()
+    block = vectors.Block([f"{i:07d}" for i in range(n)], [matrix[: n // 2], matrix[n // 2 :]])
+    row, at, _ = block.best(matrix[: block.step], 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert len(row) == 40 * block.step and set(np.arange(block.step)) == {r for r, a in zip(row, at, strict=True) if r == a}

@@ -616,7 +616,7 @@ def best_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     names = part.select(F.col("p_partkey").alias("line_no"), F.col("p_brand").alias("concept_id"), F.lit("Y").alias("ispref"), F.expr(_KIND).alias("tty"), F.col("p_name").alias("raw_name"), textnorm.normalize(F.col("p_name")).alias("norm_text"))
     names = stage(names)
-    index = Index(release.preferred_names(names), release.typed_names(names), alias_table(names), names, names, names)
+    index = Index(stage(release.preferred_names(names)), stage(release.typed_names(names)), stage(alias_table(names)), names, names, names)  # few rows, whatever the names
     none = F.array().cast("array<string>")
     found = part.select(F.col("p_partkey").alias("mention_id"), textnorm.normalize(F.col("p_name")).alias("norm_text"), F.expr(_CONTEXT).alias("context"), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", F.expr(_OTHER))).otherwise(none).alias("exact_ids"))
     found = found.withColumn("projection_norm", textnorm.strip_context(F.col("norm_text")))

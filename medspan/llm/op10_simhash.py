@@ -11,7 +11,7 @@
    does not), and searches all fingerprints of the cell level by level, adding up differences and pruning a whole
    group once they exceed ``d``.  Groups that already hang together with the query are pruned too: components need
    a spanning set of links, not all pairs.  A cell's links are emitted as chains, so no fingerprint gets many.
-4. ``components``: large-star and small-star rounds over the links, checkpointed, until nothing changes.  Nodes are ordered by
+4. ``components``: large-star and small-star rounds over the links, each written to the shared folder, until nothing changes.  Nodes are ordered by
    document id and the root of a component is its smallest node, so nothing is gathered by component afterwards.
 
 A fingerprint occurs once in the search however many copies its text has, and a cell of near copies costs about its
@@ -30,7 +30,8 @@ their names.
 
 from __future__ import annotations
 
-from itertools import combinations
+import uuid
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.llm.common import buffers, checkpointed, mix, shingle_hashes, unused, word_blocks
+from medspan.session import MAX_BROADCAST_ROWS, remove, shared_folder
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: For corpora: words of a shingle, how many of the four fingerprints are searched, and by how many bits of one of those, and
@@ -381,25 +383,38 @@ def components(edges: DataFrame) -> DataFrame:
     links of a hub, of which there are few, meet its least neighbour by broadcast, all others by a shuffle.
     """
     a, b = F.col("a"), F.col("b")
-    stars = checkpointed(edges.where(a != b).select(F.when(a < b, b).otherwise(a).alias("u"), F.when(a < b, a).otherwise(b).alias("v")).distinct())  # v < u
-    seen = None
-    while True:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"), "n"))
-        size = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-        hub = max(HUB, size["rows"] // MAX_BROADCAST)
-        met = both.join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-        if size["most"] > hub:
-            hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
-            met = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
-        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        stars = checkpointed(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == seen:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+    session = edges.sparkSession
+    folder = f"{shared_folder(session)}/stars-{uuid.uuid4().hex}"
+
+    def kept(made: DataFrame, turn: int) -> DataFrame:
+        """``made`` from a file: a checkpoint would keep the estimate of its joins, and each round raises that to the fourth power."""
+        made.write.parquet(f"{folder}/{turn}")
+        return session.read.schema(made.schema).parquet(f"{folder}/{turn}")
+
+    try:
+        stars = kept(edges.where(a != b).select(F.when(a < b, b).otherwise(a).alias("u"), F.when(a < b, a).otherwise(b).alias("v")).distinct(), 0)  # v < u
+        seen = None
+        for turn in count(1):
+            both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"), "n"))
+            size = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+            both = both.hint("merge") if size["rows"] > MAX_BROADCAST_ROWS else both
+            hub = max(HUB, size["rows"] // MAX_BROADCAST)
+            met = both.join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+            if size["most"] > hub:
+                hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
+                met = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
+            large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(down, "u")
+            stars = kept(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), turn)
+            remove(session, f"{folder}/{turn - 1}")
+            state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+            if state == seen:
+                return checkpointed(stars.select(F.col("u").alias("node"), F.col("v").alias("root")))
+            seen = state
+    finally:
+        remove(session, folder)
 
 
 def _linked(distinct: DataFrame, found: DataFrame) -> DataFrame:

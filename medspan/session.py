@@ -21,6 +21,8 @@ def shared_folder(session: SparkSession) -> str:
 
 #: Staged tables of more rows are joined by shuffles, whatever their estimate; those of an estimate beyond any broadcast are not counted.
 MAX_BROADCAST_ROWS, COUNTED_BYTES = 50_000, 1 << 30
+#: The estimate of a plan whose own is larger.
+BEYOND = 1 << 63
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -40,8 +42,14 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The plan's own estimate of its size; nothing is run for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The plan's own estimate of its size, or a number beyond any table; nothing is run for it.
+
+    A join is estimated as the product of its sides, so a chain of them soon has more digits than Python turns into a number (ValueError).
+    """
+    try:
+        return min(BEYOND, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:
+        return BEYOND
 
 
 def qualified(session: SparkSession, path: str) -> str:

@@ -11,7 +11,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from medspan.llm import op11_search, op12_centroids, op13_jaccard
+from medspan.llm import op10_simhash, op11_search, op12_centroids, op13_jaccard
+from medspan.session import BEYOND, estimated_bytes
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -274,3 +275,20 @@ def test_join_of_nothing(no_docs):
     out = op13_jaccard.near_duplicates(no_docs)
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
     assert out.collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    """Many rounds of joins, whose estimates must not build on one another."""
+    order = list(range(3000))
+    random.Random(5).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a bigint, b bigint")
+    rooted = op10_simhash.components(edges)
+    assert {(r.node, r.root) for r in rooted.collect()} == {(n, 0) for n in range(1, 3000)}
+    assert estimated_bytes(rooted) < 1 << 30
+
+
+def test_an_estimate_of_many_joins_is_a_number(spark):
+    rows = spark.range(1 << 40).selectExpr("id + 1 AS id")
+    for _ in range(8):
+        rows = rows.crossJoin(rows.withColumnRenamed("id", "other")).select("id")
+    assert estimated_bytes(rows) == BEYOND

@@ -18,7 +18,7 @@ from medspan.functions import dose, textnorm
 from medspan.functions import lexicon as lx
 from medspan.operators import display, graph, mentions, projection, ranking, vectors
 from medspan.plans.annotate import annotate, signals
-from medspan.session import remove, shared_folder, spread, stage
+from medspan.session import dealt, remove, shared_folder, spread, stage
 from medspan.sources import release
 from medspan.sources.index import Index, alias_table, build_index, load_index, make_index
 
@@ -226,7 +226,7 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations part - supplier - nation - region under terminology relation names."""
     t = lambda n: table(spark, sf_dir, n)
     rows = [
-        t("lineitem").select(F.concat(F.lit("p"), _text("l_partkey")).alias("src"), F.concat(F.lit("s"), _text("l_suppkey")).alias("dst"), F.lit("has_ingredient").alias("rela")).distinct(),
+        dealt(t("lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey").distinct().select(F.concat(F.lit("p"), _text("l_partkey")).alias("src"), F.concat(F.lit("s"), _text("l_suppkey")).alias("dst"), F.lit("has_ingredient").alias("rela")),
         t("supplier").select(F.concat(F.lit("s"), _text("s_suppkey")).alias("src"), F.concat(F.lit("n"), _text("s_nationkey")).alias("dst"), F.lit("consists_of").alias("rela")),
         t("nation").select(F.concat(F.lit("n"), _text("n_nationkey")).alias("src"), F.concat(F.lit("r"), _text("n_regionkey")).alias("dst"), F.lit("contains").alias("rela")),
     ]

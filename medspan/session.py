@@ -74,3 +74,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if estimated_bytes(df) < cores * SPLIT_BYTES else df
+
+
+#: Estimated bytes of a partition that ``dealt`` makes, and the most partitions.
+DEALT_BYTES, MAX_DEALT = 2 << 20, 10_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in partitions whose number grows with its estimate; a small table is left as it is.
+
+    For hash tables over narrow rows read from files: adaptive execution joins partitions up to 64 MB of compressed rows, which are millions of them.
+    """
+    parts = min(estimated_bytes(df) // DEALT_BYTES, MAX_DEALT)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df

@@ -66,9 +66,16 @@ def first_relations(kept: DataFrame, lines: DataFrame, most: int | None) -> Data
 
 
 def both_ways(relations: DataFrame) -> DataFrame:
-    """Each relation in both directions under the same label, without repeats."""
-    back = relations.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "rela")
-    return relations.select("src", "dst", "rel", "rela").unionByName(back).distinct()
+    """Each relation in both directions under the same label, without repeats.
+
+    Repeats are told by the unordered pair, so each relation is held and moved once; the other direction is added behind that.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    kept = src.isNull() | (src <= dst)
+    pairs = relations.select(F.when(kept, src).otherwise(dst).alias("src"), F.when(kept, dst).otherwise(src).alias("dst"), "rel", "rela").distinct()
+    one, back = F.struct("src", "dst"), F.struct(dst.alias("src"), src.alias("dst"))
+    ways = F.when(src.eqNullSafe(dst), F.array(one)).otherwise(F.array(one, back))
+    return pairs.select(F.explode(ways).alias("way"), "rel", "rela").select("way.src", "way.dst", "rel", "rela")
 
 
 def _rank(tty: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from medspan.operators import mentions, projection, vectors
-from medspan.session import stage
+from medspan.session import DEALT_BYTES, dealt, stage
 from medspan.sources import release
 from medspan.sources.index import Index
 
@@ -84,3 +85,17 @@ def test_a_search_holds_one_block_and_few_scores():
     tracemalloc.stop()
     assert peak < 200 << 20
     assert len(row) == 40 * block.step and set(np.arange(block.step)) == {r for r, a in zip(row, at, strict=True) if r == a}
+
+
+def test_both_ways_holds_each_relation_once(spark):
+    """Repeats, inverse rows, loops and nulls; no distinct gets both directions of a relation."""
+    rows = [("a", "b", "RO", "x"), ("b", "a", "RO", "x"), ("a", "b", "RO", "x"), ("a", "b", "RO", "y"), ("c", "c", "RO", "x"), (None, "a", "RO", "x"), ("a", None, "RO", "x"), (None, None, "RO", "x"), ("b", "c", None, None)]
+    made = release.both_ways(spark.createDataFrame(rows, "src string, dst string, rel string, rela string"))
+    assert Counter(map(tuple, made.collect())) == Counter({*rows, *[(b, a, *r) for a, b, *r in rows]})
+    assert "Union" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_grow_with_a_table(spark):
+    """Ten times the rows: ten times the partitions, so that none grows; few rows stay as they are."""
+    parts = [dealt(spark.range(n * DEALT_BYTES // 8), "id").rdd.getNumPartitions() for n in (1, 10, 100)]
+    assert parts == [spark.sparkContext.defaultParallelism, 10, 100]

@@ -275,7 +275,7 @@ walk(seed, target, node, depth) AS (
 """
 )
 def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stage(release.both_ways(supply_edges(spark, sf_dir)))  # as the index holds them: made once
+    edges = stage(release.both_ways(supply_edges(spark, sf_dir)).select("src", "dst", "rela"))  # as the index holds them: made once
     targets = spark.createDataFrame([(t,) for t in lx.TARGET_RELATIONS], "target string")
     seeds = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), _text("r_regionkey")).alias("seed")).crossJoin(targets)
     return graph.closure(seeds, edges, graph.relation_table(spark), 3).select("seed", "target", "node", F.col("depth").cast("int").alias("depth"))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from medspan.operators import mentions, projection, vectors
+from medspan.operators import graph, mentions, projection, vectors
 from medspan.session import DEALT_BYTES, dealt, stage
 from medspan.sources import release
 from medspan.sources.index import Index
@@ -99,3 +99,18 @@ def test_partitions_grow_with_a_table(spark):
     """Ten times the rows: ten times the partitions, so that none grows; few rows stay as they are."""
     parts = [dealt(spark.range(n * DEALT_BYTES // 8), "id").rdd.getNumPartitions() for n in (1, 10, 100)]
     assert parts == [spark.sparkContext.defaultParallelism, 10, 100]
+
+
+def test_targets_of_a_closure_share_its_walk(spark, monkeypatch):
+    """20 targets that allow the same: their walk joins each edge once, whatever number of bits is walked at once."""
+    pairs = [(f"a{i}", f"b{j}") for i in range(10) for j in range(30)]
+    edges = stage(spark.createDataFrame([("top", f"a{i}", "isa") for i in range(10)] + [(a, b, "isa") for a, b in pairs] + [("b0", "top", "isa")], "src string, dst string, rela string"))
+    allowed = graph.relation_table(spark, {f"t{k}": ["isa"] if k else ["other", "isa"] for k in range(20)})
+    seeds = spark.createDataFrame([("top", f"t{k}") for k in range(20)] + [("top", "unknown")], "seed string, target string")
+    want = {("top", f"t{k}", n, d) for k in range(20) for n, d in [("top", 0), *[(f"a{i}", 1) for i in range(10)], *[(f"b{j}", 2) for j in range(30)]]} | {("top", "unknown", "top", 0)}
+    made = graph.closure(seeds, edges, allowed, 2)
+    assert Counter(map(tuple, made.collect())) == Counter(want)
+    assert join_rows(made) <= 311  # the edges
+    for name, value in (("MASK_BITS", 7), ("MAX_BROADCAST_FRONTIER", 0), ("HUB_EDGES", 3)):
+        monkeypatch.setattr(graph, name, value)
+    assert Counter(map(tuple, graph.closure(seeds, edges, allowed, 3).collect())) == Counter(want)

@@ -109,15 +109,78 @@ def no_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "norm_text string, concept_id string, raw_text string, tty string, pos int")
 
 
+#: White space and digits as Python knows them, for RE2.
+_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LETTER_FORMS = {x: [x, x.upper(), *[f for f, t in zip(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO, strict=True) if t.lower() == x]] for x in "abcdefghijklmnopqrstuvwxyz"}
+_CASELESS = {"i": ["ı", "İ"], "s": ["ſ"]}  # what else may equal a letter where case is ignored
+
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g')"
+
+
+def sql_quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql_map(pairs: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{sql_quoted(k)}: {sql_quoted(v)}" for k, v in pairs.items()) + "}"
+
+
+def sql_dense_terms(forms: Callable[[str], list[str]]) -> str:
+    """Pattern of the dense list, longest first; each letter in any of its forms."""
+    return "|".join("".join(f"[{''.join(forms(c))}]" for c in term) for term in sorted(lx.DENSE_LINE_TERMS, key=len, reverse=True))
+
+
+_ANY_FORM = sql_dense_terms(lambda c: _LETTER_FORMS[c] + _CASELESS.get(c, []))
+_LOW_FORM = sql_dense_terms(lambda c: [c, *_CASELESS.get(c, [])])
+_LOOKALIKES = f"{sql_quoted(lx.CONFUSABLE_FROM)}, {sql_quoted(lx.CONFUSABLE_TO)}"
+_REPLACED = sql_map(lx.TOKEN_REPLACEMENTS)
+_SPELLED = r"\b([a-z] ){2,}[a-z]\b"
+
+
+def sql_dense_segments(notes: str) -> str:
+    """CTEs up to ``segments`` (note, no, line, start, text): the segments of dense lines of ``notes`` (note, text), before brackets are left out."""
+    one_from, one_to, many = textnorm.decompositions()
+    pair = "w || raw[i + 1]"
+    return rf"""
+lines AS (SELECT note, unnest(p) AS line, generate_subscripts(p, 1) AS no FROM (SELECT note, string_split(text, chr(10)) AS p FROM {notes} WHERE regexp_matches(text, '[A-Za-z0-9]'))),
+wide AS MATERIALIZED (SELECT *, translate(line, {_LOOKALIKES}) AS alike, regexp_extract_all(line, '[^{_SPACES}]+') AS parts FROM lines WHERE length({sql_trim('line')}) >= 70 AND regexp_matches(line, '{_ANY_FORM}')),
+folded AS (SELECT *, array_to_string(list_transform(regexp_extract_all(translate(alike, {sql_quoted(one_from)}, {sql_quoted(one_to)}), '(?s).'), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE coalesce({sql_map(many)}[c], '') END), '') AS plain FROM wide),
+normed AS (SELECT *, array_to_string(regexp_extract_all(lower(plain), '[a-z0-9]+'), ' ') AS norm FROM folded),
+cut AS (SELECT *, regexp_split_to_array(norm, '{_SPELLED}') AS rest, regexp_extract_all(norm, '{_SPELLED}') AS spelled FROM normed),
+joined AS (SELECT *, array_to_string(list_transform(rest, lambda x, i: x || coalesce(replace(spelled[i], ' ', ''), '')), '') AS whole FROM cut),
+parted AS (SELECT *, regexp_replace(regexp_replace(whole, '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g') AS apart FROM joined),
+units AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(apart, '\b([0-9]+) *m *c *g\b', '\1 mcg', 'g'), '\b([0-9]+) *m *g\b', '\1 mg', 'g'), '\b([0-9]+) *m *l\b', '\1 ml', 'g'), ' ') AS raw FROM parted),
+zeros AS (SELECT *, list_transform(raw, lambda w: CASE WHEN regexp_full_match(w, '[0-9o]+({lx.UNIT})?') THEN replace(w, 'o', '0') ELSE w END) AS own FROM units),
+flagged AS (SELECT *, array_to_string(list_transform(own, lambda w, i: CASE WHEN i < len(raw) AND {_REPLACED}[w] IS NULL AND regexp_full_match(w, '[a-z]{{2,6}}') AND regexp_full_match(raw[i + 1], '[a-z]{{2,8}}')
+  AND NOT list_contains({sql_list(lx.CONTEXT_WORDS)}, w) AND NOT list_contains({sql_list(lx.CONTEXT_WORDS)}, raw[i + 1]) AND (length({pair}) >= 7 OR {_REPLACED}[{pair}] IS NOT NULL) THEN '1' ELSE '0' END), '') AS flags FROM zeros),
+marked AS (SELECT *, regexp_replace(flags, '1.', 'JS', 'g') AS marks FROM flagged),
+repaired AS (SELECT *, array_to_string(list_filter(list_transform(own, lambda w, i: CASE substring(marks, i, 1) WHEN 'J' THEN coalesce({_REPLACED}[{pair}], {pair}) WHEN '0' THEN coalesce({_REPLACED}[w], w) END), lambda w: w IS NOT NULL), ' ') AS fixed FROM marked),
+dense AS (SELECT note, no, line, lower(replace(alike, 'İ', 'i' || chr(775))) AS low FROM repaired WHERE length(fixed) >= 50 AND len(regexp_extract_all(fixed, '{sql_dense_terms(lambda c: [c])}')) >= 2
+  AND (len(parts) <= 4 OR len(list_filter(parts, lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '\p{{Nd}}'))) >= 2 OR len(list_filter(parts, lambda w: length(w) >= 12)) >= 3)),
+named AS (SELECT *, list_transform(regexp_split_to_array(low, '{_LOW_FORM}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(low, '{_LOW_FORM}'), lambda x: length(x)) AS sizes FROM dense),
+starts AS (SELECT *, list_transform(sizes, lambda x, i: CAST(list_sum(gaps[:i]) + list_sum(sizes[:i]) - x AS BIGINT)) AS begins FROM named),
+hits AS (SELECT note, no, line, unnest(begins) AS "start", unnest(list_append(begins[2:], length(line))) AS after FROM starts WHERE len(begins) > 0),
+segments AS MATERIALIZED (SELECT * FROM (SELECT note, no, line, "start", trim(substring(line, "start" + 1, greatest(after - "start", 0)), ' ,;') AS text FROM hits) WHERE length(text) >= 3)"""
+
+
 @query(
     rf"""
-WITH c AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')),
-k AS (SELECT doc_id, CASE WHEN len(p) > 1 THEN p ELSE [{sql_strip('text')}] END AS p, CASE WHEN len(p) > 1 THEN 'fallback_chunk' ELSE 'fallback_whole_text' END AS method FROM c)
+WITH notes AS (SELECT doc_id, text, regexp_matches(text, '{_ANY_FORM}') AS naming FROM documents),
+held AS MATERIALIZED (SELECT row_number() OVER () AS note, doc_id, text FROM notes WHERE naming),
+{sql_dense_segments('held')},
+wrapped AS (SELECT *, count(*) OVER (PARTITION BY note, no) > 1 AND "start" > 0 AND substring(line, "start", 1) IN ('(', '[') AND substring(line, "start" + length(text) + 1, 1) IN (')', ']') AS dropped FROM segments),
+other AS (SELECT doc_id, text FROM notes WHERE NOT naming UNION ALL SELECT doc_id, text FROM held WHERE note NOT IN (SELECT note FROM segments)),
+c AS (SELECT doc_id, text, regexp_matches(text, '[A-Za-z0-9]') AS telling, list_filter(list_transform(regexp_split_to_array(text, '[;\n]+'), lambda x: {sql_trim('x')}), lambda x: x <> '') AS p FROM other),
+k AS (SELECT doc_id, CASE WHEN telling AND len(p) > 1 THEN p ELSE [{sql_trim('text')}] END AS p, CASE WHEN NOT telling THEN 'unknown' WHEN len(p) > 1 THEN 'fallback_chunk' ELSE 'fallback_whole_text' END AS method FROM c WHERE {sql_trim('text')} <> '')
 SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS mention_no, unnest(p) AS text, method FROM k
+UNION ALL
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY note ORDER BY no, "start") - 1 AS INTEGER), w.text, 'dense_line_scan' FROM wrapped w JOIN held USING (note) WHERE NOT dropped
 """
 )
 def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes in which a dictionary finds nothing."""
+    """Notes in which a dictionary finds nothing: their dense lines' segments, else their chunks, else the whole text; without letters or digits, the bare text."""
     notes = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mentions.detect_mentions(notes, no_aliases(spark)).select("doc_id", F.col("mention_no").cast("int").alias("mention_no"), "text", "method")
 

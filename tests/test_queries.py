@@ -43,6 +43,30 @@ def test_query_equals_sql(spark, db, name):
     assert cells(got, sorted(got.columns)) == cells(want, sorted(got.columns))
 
 
+LONG = "abcdefghijklmn opqrstuvwxyzab cdefghijklmnop qrstuvwxyzabcd"
+ODD_NOTES = {
+    "metoprololsuccinate25 " + LONG + " lisinoprilxx": [("metoprololsuccinate25 " + LONG, "dense_line_scan"), ("lisinoprilxx", "dense_line_scan")],
+    "one; two\nm e t o p r o l o l 5mg " + LONG + " (vanc) heparin": [("vanc)", "dense_line_scan"), ("heparin", "dense_line_scan")],  # the first name is one by repair alone
+    "L\u0130S\u0130NOPRIL li\u017finopril f\u0435ntanyl dex " + LONG: [("\u017finopril f\u0435", "dense_line_scan"), ("ntanyl de", "dense_line_scan"), ("x " + LONG, "dense_line_scan")],  # places are those after lower-casing, which makes two of a character
+    "xx-yy va nc omycins, va nc omycins " + LONG: [("xx-yy va nc omycins, va nc omycins " + LONG, "fallback_whole_text")],  # names by repair alone
+    "dexvanc; of few words": [("dexvanc", "fallback_chunk"), ("of few words", "fallback_chunk")],
+    "\u3000one\xa0;\x1ctwo\x85\n\x0b": [("one", "fallback_chunk"), ("two", "fallback_chunk")],
+    "\xa0\u65e5\u672c; \u2026 ": [("\u65e5\u672c; \u2026", "unknown")],
+    ";;\n": [(";;", "unknown")],
+    "\u2003\n": [], "": [], None: [],
+}
+
+
+def test_notes_without_a_dictionary_equal_sql(spark, tmp_path):
+    rows = list(enumerate(ODD_NOTES))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, q.QUERIES["fallback_chunks"](spark, str(tmp_path)).collect()))
+    assert got == [(i, n, *m) for i, text in rows for n, m in enumerate(ODD_NOTES[text])]
+    own = duckdb.connect()
+    own.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(own.sql(q.ORACLE_SQL["fallback_chunks"]).fetchall()) == got
+
+
 def plain_noisy(text):
     """The repair of noisy text, word by word."""
     words = re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", text.translate(str.maketrans(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO))).encode("ascii", "ignore").decode().lower()).split()

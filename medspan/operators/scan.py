@@ -83,10 +83,11 @@ def _sorted_mix(word: np.ndarray) -> np.ndarray:
 
 
 class KeyFilter:
-    """What a dictionary may hold, as bit sets: words, keys as word sequences, and keys of two or three words in order as word sets."""
+    """What a dictionary may hold, as bit sets: words, keys as word sequences, and keys of two or three words in order as word sets; and what
+    keys begin with: their first words, however many, or parts of their word sets."""
 
-    def __init__(self, word_slots: np.ndarray, key_slots: np.ndarray):
-        self.words, self.keys = (self._packed(s, n) for s, n in ((word_slots, WORD_BITS), (key_slots, KEY_BITS)))
+    def __init__(self, word_slots: np.ndarray, key_slots: np.ndarray, begin_slots: np.ndarray):
+        self.words, self.keys, self.begun = (self._packed(s, n) for s, n in ((word_slots, WORD_BITS), (key_slots, KEY_BITS), (begin_slots, KEY_BITS)))
 
     @staticmethod
     def _packed(slots: np.ndarray, bits: int) -> np.ndarray:
@@ -104,9 +105,17 @@ class KeyFilter:
     def holds(self, key: np.ndarray) -> np.ndarray:
         return _has(self.keys, key >> np.uint64(64 - KEY_BITS))
 
+    def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys begin so, and whether a key is so."""
+        begun = _has(self.begun, key >> np.uint64(64 - KEY_BITS))
+        held = begun.copy()
+        at = np.flatnonzero(begun)
+        held[at] = self.holds(key[at])
+        return begun, held
 
-def key_slots(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the words of normalised names and of the names."""
+
+def key_slots(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the words of normalised names, of the names, and of what they begin with."""
     stream = np.frombuffer(("\n".join(names) + "\n").encode(), dtype=np.uint8)
     line = np.concatenate([[0], np.flatnonzero(stream == 10) + 1])
     stream = np.where(stream < 128, _ALNUM[stream & 127], 0)
@@ -114,11 +123,22 @@ def key_slots(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = _mix(Sums(stream.astype(np.uint64), _P).raw(starts, ends))
     first = np.searchsorted(starts, line)
     a, b = first[:-1], first[1:]
-    keys = _mix(Sums(word, _Q).raw(a, b))[b > a]
+    sums = Sums(word, _Q)
+    keys = _mix(sums.raw(a, b))[b > a]
     few = np.flatnonzero((b - a >= 2) & (b - a <= 3))
     few = few[[(w := names[i].split()) == sorted(w) for i in few.tolist()]] if len(few) else few
-    sets = _mix(np.add.reduceat(np.append(_sorted_mix(word), np.uint64(0)), np.stack([a[few], b[few]], axis=1).ravel())[::2] + np.uint64(1)) if len(few) else keys[:0]
-    return np.unique(word >> np.uint64(64 - WORD_BITS)), np.unique(np.concatenate([keys, sets]) >> np.uint64(64 - KEY_BITS))
+    x, size = a[few], (b - a)[few]
+    one = _sorted_mix(np.append(word, np.zeros(2, np.uint64)))
+    two, three = one[x] + one[x + 1], one[x] + one[x + 1] + one[x + 2]
+    more = size == 3
+    sets = _mix(np.where(more, three, two) + np.uint64(1))
+    parts = [one[x], one[x + 1], one[x + 2][more], two[more], (one[x] + one[x + 2])[more], (one[x + 1] + one[x + 2])[more]]
+    begun = [keys, sets, *(_mix(p + np.uint64(1)) for p in parts)]
+    for n in range(1, int((b - a).max(initial=0))):
+        longer = a[b - a > n]
+        begun.append(_mix(sums.raw(longer, longer + n)))
+    slots = lambda h, bits: np.unique(h >> np.uint64(64 - bits))
+    return slots(word, WORD_BITS), slots(np.concatenate([keys, sets]), KEY_BITS), slots(np.concatenate(begun), KEY_BITS)
 
 
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +148,14 @@ def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def _fixed() -> dict[str, np.ndarray]:
-    """Sorted hashes of the fixed words."""
+    """Sorted hashes of the fixed words, and a bit set of them."""
     lists = {
         "context": lx.CONTEXT_WORDS,
         "dropped": [*lx.CONTEXT_WORDS, *lx.STRENGTH_UNITS],
         "short": list(lx.TOKEN_REPLACEMENTS),
-        "zeros": ["o" * k + u for k in range(1, 10) for u in ("", "mg", "mcg", "g", "ml", "unit", "units", "meq")],
+        "zeros": ["o" * k + u for k in range(1, 10) for u in ("", "mg", "mcg", "g", "ml", "unit", "units", "meq") if k > 1 or u],
+        "o": ["o"],
+        "0": ["0"],
         "split": ["m", "mc"],
     }
     out = {}
@@ -141,12 +163,17 @@ def _fixed() -> dict[str, np.ndarray]:
         stream = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
         stream = np.where(stream == 32, 0, stream)
         out[name] = np.unique(_mix(Sums(stream.astype(np.uint64), _P).raw(*_runs(stream != 0))))
+        out[f"{name} slots"] = np.zeros(1 << 14, dtype=bool)
+        out[f"{name} slots"][out[name] >> np.uint64(50)] = True
     return out
 
 
 def _among(word: np.ndarray, kind: str) -> np.ndarray:
     table = _fixed()[kind]
-    return table[np.minimum(np.searchsorted(table, word), len(table) - 1)] == word
+    hit = _fixed()[f"{kind} slots"][word >> np.uint64(50)]
+    at = np.flatnonzero(hit)
+    hit[at] = table[np.minimum(np.searchsorted(table, word[at]), len(table) - 1)] == word[at]
+    return hit
 
 
 @lru_cache(maxsize=1 << 16)
@@ -174,10 +201,10 @@ class Batch:
 
     def __init__(self, texts: list[str]):
         self.texts = texts
-        whole = "\n".join(texts) + "\n"
-        self.code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.whole = "\n".join(texts) + "\n"
+        self.code = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        self.base = np.cumsum(size) - size
+        self.base, self.length = np.cumsum(size) - size, size - 1
         self._fold()
         self._tokens()
         self._words()
@@ -216,8 +243,9 @@ class Batch:
         self.start, self.end = starts[first], ends[np.append(first[1:] - 1, len(ends) - 1)] if len(first) else ends
         breaks = np.flatnonzero(code == 10)
         self.line = np.searchsorted(breaks, self.start)
-        #: Start of each line.
+        #: Start of each line, and the note it is of.
         self.line_start = np.append(0, breaks + 1)
+        self.note = np.searchsorted(np.searchsorted(self.line_start, self.base), np.arange(len(self.line_start)), side="right") - 1
 
     def _words(self) -> None:
         s = self.stream
@@ -241,18 +269,21 @@ class Batch:
         size = b - a
         digits = self.digits[b] - self.digits[a]
         wild = (self.borders[b - 1] - self.borders[a] > 0) | _among(word, "short") | _among(word, "zeros")
-        wild |= (size > 9) & (self.stream[a] == ord("o")) & (self.stream[np.minimum(a + 8, len(self.stream) - 1)] == ord("o"))
-        return {"raw": raw, "word": word, "size": size, "digits": digits, "wild": wild, "known": knows(word), "context": _among(word, "context"), "dropped": _among(word, "dropped") | (digits == size), "single": (size == 1) & (digits == 0)}
+        long = np.flatnonzero(size > 9)
+        for k in (0, 1, 2, 4, 8):
+            long = long[self.stream[a[long] + k] == ord("o")]
+        wild[long] = True
+        return {"raw": raw, "word": word, "size": size, "digits": digits, "wild": wild, "known": knows(word), "context": _among(word, "context"), "dropped": _among(word, "dropped") | (digits == size), "single": (size == 1) & (digits == 0), "zero": _among(word, "o")}
 
     @staticmethod
-    def good_pair(x: dict, y: dict, knows, i=slice(None), j=slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether repairs join the words ``x[i]`` and ``y[j]``; whether what they make may be of a key; whether it is a shorthand."""
+    def good_pair(x: dict, y: dict, knows, i=slice(None), j=slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether repairs join the words ``x[i]`` and ``y[j]``; whether what they make may be of a key; whether it is a shorthand; its hash."""
         sx, sy = x["size"][i], y["size"][j]
         plain = (x["digits"][i] == 0) & (y["digits"][j] == 0) & (sx >= 2) & (sx <= 6) & (sy >= 2) & (sy <= 8) & ~x["context"][i] & ~y["context"][j]
         word = _mix(x["raw"][i] + y["raw"][j] * _power(_P, 16)[np.minimum(sx, 15)])
         short = plain & _among(word, "short")
         joins = plain & ((sx + sy >= 7) | short)
-        return joins, joins & (short | _among(word, "dropped") | knows(word)), short
+        return joins, joins & (short | _among(word, "dropped") | knows(word)), short, word
 
 
 def _near(flags: np.ndarray) -> np.ndarray:
@@ -263,12 +294,52 @@ def _near(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Scanned:
+    """What the scan found in a batch: ``first`` tokens and sizes of spans by line, longest first, then from the left; tokens that may be
+    shorthands; and lines that may be dense."""
+
+    batch: Batch
+    first: np.ndarray
+    size: np.ndarray
+    shorts: np.ndarray
+    dense: np.ndarray
+
+    def notes(self, asked: np.ndarray | None = None) -> list[Note | None]:
+        """The ``Note`` of each text, or of those ``asked`` for."""
+        t = self.batch
+        asked = np.ones(len(t.texts), dtype=bool) if asked is None else asked
+        notes = [Note(False, {}, {}, []) if own else None for own in asked.tolist()]
+        for k in np.flatnonzero(asked & (np.bincount(t.note[t.line], minlength=len(asked)) > 0)).tolist():
+            notes[k].has_token = True
+        own = asked[t.note[t.line[self.first]]]
+        first, size = self.first[own], self.size[own]
+        k = t.note[t.line[first]]
+        base = t.base[k]
+        for k, at, i, n, a, b in zip(k.tolist(), (t.line_start[t.line[first]] - base).tolist(), first.tolist(), size.tolist(), (t.start[first] - base).tolist(), (t.end[first + size - 1] - base).tolist(), strict=True):
+            notes[k].lines.setdefault(at, []).append((i, n, a, b))
+        for i in self.shorts.tolist():
+            k = int(t.note[t.line[i]])
+            base = int(t.base[k])
+            if asked[k]:
+                notes[k].shorts.setdefault(int(t.line_start[t.line[i]]) - base, []).append((i, int(t.start[i]) - base, int(t.end[i]) - base))
+        for line in self.dense.tolist():
+            k = int(t.note[line])
+            if asked[k]:
+                notes[k].dense.append(int(t.line_start[line] - t.base[k]))
+        return notes
+
+
 def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
     """The ``Note`` of each text."""
+    return scanned(texts, keys, max_ngram).notes()
+
+
+def scanned(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> Scanned:
     t = Batch(texts)
-    notes = [Note(False, {}, {}, []) for _ in texts]
+    none = np.zeros(0, np.int64)
     if not len(t.start):
-        return notes
+        return Scanned(t, none, none, none, none)
     knows = keys.knows
     w = t.classed(t.ws, t.we, knows)
     n = len(t.ws)
@@ -282,11 +353,15 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
     torn[:-1] = (w["digits"][:-1] == w["size"][:-1]) & _among(w["word"][1:], "split")
     torn[1:] |= torn[:-1].copy()
     wild = w["wild"] | spelled | torn
-    joins, good, short_pair = (np.append(x, False) for x in Batch.good_pair(w, w, knows, slice(0, -1), slice(1, None)))
+    joins, good, short_pair, pair_word = (np.append(x, x.dtype.type(0)) for x in Batch.good_pair(w, w, knows, slice(0, -1), slice(1, None)))
+    odd_pair = short_pair | (joins & _among(pair_word, "dropped"))  # what they make is replaced or left out in turn
     in_good = good.copy()
     in_good[1:] |= good[:-1]
-    able = w["known"] | _near(wild) | in_good
-    alive = able | w["dropped"]
+    # A letter o by itself is a zero when repaired, which changes nothing beside it.
+    nought = _fixed()["0"][0]
+    able = w["known"] | _near(wild) | in_good | (w["zero"] & knows(np.array([nought])))
+    alive = able | w["dropped"] | w["zero"]
+    zeros = _running(w["zero"])
     dead, telling, strange = _running(~alive), _running(able), _running(wild)
     # For spans from each word on: the end of the first joined pair on the way that repairs take, and of the first that may be of a key.
     far = np.iinfo(np.int64).max
@@ -300,16 +375,27 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
     forms = {kind: (_running(kept), Sums(w["word"][kept], _Q)) for kind, kept in (("all", np.ones(n, bool)), ("names", names), ("stripped", ~w["context"]))}
     sets = np.append(np.uint64(0), np.cumsum(_sorted_mix(w["word"][names]), dtype=np.uint64))
 
-    def matched(a: np.ndarray, b: np.ndarray, untouched: np.ndarray) -> np.ndarray:
-        """Whether a form of the words [a, b), which no repair changes (or only into what no key holds), may be a key."""
-        hit = np.zeros(len(a), dtype=bool)
+    def matched(a: np.ndarray, b: np.ndarray, untouched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys may begin with a form of the words [a, b), which no repair changes (or only into what no key holds), and whether a form may be a key."""
+        begun, hit = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
         for kind, (count, sums) in forms.items():
             x, y = count[a], count[b]
-            one = (y > x) & keys.holds(_mix(sums.raw(x, y)))
-            hit |= one & untouched if kind == "stripped" else one
+            more, one = keys.found(_mix(sums.raw(x, y)))
+            begun |= more | (x == y)
+            hit |= one & (y > x) & untouched if kind == "stripped" else one & (y > x)
             if kind == "names":
-                hit |= (y - x >= 2) & (y - x <= 3) & keys.holds(_mix(sets[y] - sets[x] + np.uint64(1)))
-        return hit
+                begun_, hit_ = matched_sets(y - x, sets[y] - sets[x])
+                begun |= begun_
+                hit |= hit_
+        return begun, hit
+
+    def matched_sets(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``matched`` for sets of so many names."""
+        begun, hit = np.zeros(len(count), dtype=bool), np.zeros(len(count), dtype=bool)
+        few = np.flatnonzero((count > 0) & (count <= 3))
+        begun[few], one = keys.found(_mix(total[few] + np.uint64(1)))
+        hit[few] = one & (count[few] >= 2)
+        return begun, hit
 
     # Parts of words in which tokens begin or end.
     cs, ce = np.flatnonzero(t.cut_start), np.flatnonzero(t.cut_end)
@@ -317,19 +403,71 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
     after, before = np.minimum(t.fw[cs] + 1, n - 1), np.maximum(t.lw[ce] - 1, 0)
     head_wild = head["wild"] | (head["single"] & single[after] & single[np.minimum(after + 1, n - 1)]) | ((head["digits"] == head["size"]) & _among(w["word"][after], "split"))
     tail_wild = tail["wild"] | (tail["single"] & single[before] & single[np.maximum(before - 1, 0)])
-    head_pair, tail_pair = Batch.good_pair(head, w, knows, slice(None), after)[1], Batch.good_pair(w, tail, knows, before)[1]
+    head_joins, head_pair, head_odd, head_word = Batch.good_pair(head, w, knows, slice(None), after)
+    tail_joins, tail_pair, tail_odd, tail_word = Batch.good_pair(w, tail, knows, before)
+    head_odd, tail_odd = head_odd | (head_joins & _among(head_word, "dropped")), tail_odd | (tail_joins & _among(tail_word, "dropped"))
     head_able, tail_able = head["known"] | head_pair | wild[after], tail["known"] | tail_pair | wild[before]
+    goods = _running(good)
+    # Words of which what comes after them may change the repaired form: what begins a span is judged up to other words.
+    part = np.zeros(n, dtype=bool)
+    part[t.fw[cs]] = part[t.lw[ce]] = True
+    soft = good.copy()
+    soft[:-1] |= wild[1:] | part[1:]
+
+    def matched_repaired(a: np.ndarray, b: np.ndarray, h: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``matched`` for the repaired words [a, b), where repairs join neighbours or read an o as a zero and change nothing else.
+
+        ``h`` and ``e`` are the parts in place of the first and the last word, or -1.  Words are followed from the first on, as repair does.
+        """
+        at = a.copy()
+        begun, hit = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
+        count = {kind: np.zeros(len(a), np.int64) for kind in forms}
+        total = {kind: np.zeros(len(a), np.uint64) for kind in (*forms, "set")}
+        power = _power(_Q, int((b - a).max(initial=0)) + 1)
+        while len(go := np.flatnonzero(at < b)):
+            x, end = at[go], b[go]
+            word, kept, zero, two, odd, pair = w["word"][x], {"names": names[x], "stripped": ~w["context"][x]}, w["zero"][x], joins[x], odd_pair[x], pair_word[x]
+            k = np.flatnonzero((x + 2 == end) & (e[go] >= 0))  # before the part at the end
+            own = e[go[k]]
+            two[k], odd[k], pair[k] = tail_joins[own], tail_odd[own], tail_word[own]
+            for part, own, k, joined in ((head, h[go], np.flatnonzero((x == a[go]) & (h[go] >= 0)), (head_joins, head_odd, head_word)), (tail, e[go], np.flatnonzero((x + 1 == end) & (e[go] >= 0)), None)):
+                own = own[k]
+                word[k], zero[k] = part["word"][own], part["zero"][own]
+                kept["names"][k], kept["stripped"][k] = ~part["dropped"][own], ~part["context"][own]
+                if joined:
+                    two[k], odd[k], pair[k] = (j[own] for j in joined)
+                    if len(last := k[(x[k] + 2 == end[k]) & (e[go[k]] >= 0)]):  # of two parts
+                        two[last], _, odd[last], pair[last] = Batch.good_pair(head, tail, knows, h[go[last]], e[go[last]])
+                        odd[last] |= _among(pair[last], "dropped")
+            two &= x + 1 < end
+            hit[go] |= two & odd
+            word = np.where(two, pair, np.where(zero, nought, word))
+            for kind in forms:
+                own = np.flatnonzero(two | kept[kind] & ~(zero & (kind == "names"))) if kind != "all" else np.arange(len(go))
+                to = go[own]
+                total[kind][to] += word[own] * power[count[kind][to]]
+                count[kind][to] += 1
+                if kind == "names":
+                    total["set"][to] += _sorted_mix(word[own])
+            at[go] += 1 + two
+        begun |= hit
+        for kind in forms:
+            more, one = keys.found(_mix(total[kind]))
+            begun |= more | (count[kind] == 0)
+            hit |= one & (count[kind] > 0)
+        more, one = matched_sets(count["names"], total["set"])
+        return begun | more, hit | one
     where_head, where_tail = np.zeros(len(t.start), np.int64), np.zeros(len(t.start), np.int64)
     where_head[cs], where_tail[ce] = np.arange(len(cs)), np.arange(len(ce))
 
-    def cut_spans(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether spans of the tokens i to j that begin or end within a word may be found."""
+    def cut_spans(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether longer spans from there, and whether spans of the tokens i to j, which begin or end within a word, may be found."""
         a, b = t.fw[i], t.lw[j] + 1
-        out = np.zeros(len(i), dtype=bool)
+        on, out = np.ones(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
         one = b - a == 1
         k = np.flatnonzero(one)
         part = t.classed(t.a[i[k]], t.b[j[k]], knows)
-        out[k] = part["known"] | part["wild"]
+        out[k] = keys.holds(_mix(part["word"])) | part["wild"] | (part["zero"] & keys.holds(_mix(np.array([nought]))))
         k = np.flatnonzero(~one)
         i, j, a, b = i[k], j[k], a[k], b[k]
         hs, te = t.cut_start[i], t.cut_end[j]
@@ -337,12 +475,15 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
         at = lambda x, own, has: x[own] & has if len(x) else has & False
         h_wild, e_wild = at(head_wild, h, hs), at(tail_wild, e, te)
         h_able, e_able = at(head_able, h, hs), at(tail_able, e, te)
-        h_drop, e_drop = at(head["dropped"], h, hs), at(tail["dropped"], e, te)
+        h_zero, e_zero = at(head["zero"], h, hs), at(tail["zero"], e, te)
+        h_drop, e_drop = at(head["dropped"], h, hs) | h_zero, at(tail["dropped"], e, te) | e_zero
+        h_pair, e_pair = at(head_pair, h, hs), at(tail_pair, e, te)
         both = np.flatnonzero(hs & te & (b - a == 2))
         if len(both):
             pair = Batch.good_pair(head, tail, knows, h[both], e[both])[1]
             h_able[both] |= pair
             e_able[both] |= pair
+            h_pair[both] |= pair
         three = np.flatnonzero(hs & te & (b - a == 3))
         if len(three):  # letters spelled over both ends
             spelt = head["single"][h[three]] & single[a[three] + 1] & tail["single"][e[three]]
@@ -352,45 +493,84 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
         lo = np.minimum(a + hs + np.where(h_wild, 3, at(head_pair, h, hs)), b - te)
         hi = np.maximum(b - te - np.where(e_wild, 3, at(tail_pair, e, te)), lo)
         fine = (dead[hi] - dead[lo] == 0) & (~hs | h_able | h_drop | h_wild) & (~te | e_able | e_drop | e_wild)
-        out[k] = fine & ((telling[b - te] - telling[a + hs] > 0) | h_able | e_able | h_wild | e_wild)
-        return out
+        fine &= (telling[b - te] - telling[a + hs] > 0) | h_able | e_able | h_wild | e_wild | ((h_zero | e_zero) & knows(np.array([nought])))
+        able = fine & (h_wild | e_wild | (strange[b - te] - strange[a + hs] > 0))
+        left = np.flatnonzero(fine & ~able & (h_pair | e_pair | h_zero | e_zero | (goods[b] - goods[a] > 0) | (zeros[b] - zeros[a] > 0)))
+        begun, able[left] = matched_repaired(a[left], b[left], np.where(hs, h, -1)[left], np.where(te, e, -1)[left])
+        more = np.ones(len(k), dtype=bool)
+        more[left] = begun
+        changed = np.zeros(len(k), dtype=bool)
+        changed[left] = True
+        wild_ = able & ~changed
+        left = np.flatnonzero(fine & ~able)  # as it is
+        h, e, one, two, a, b = h[left], e[left], hs[left], te[left], a[left], b[left] - 1
+        of = lambda x, own, at, has, whole: np.where(has, x[own], whole[at]) if len(x) else whole[at]
+        first, last = of(head["word"], h, a, one, w["word"]), of(tail["word"], e, b, two, w["word"])
+        begun, hit = np.zeros(len(left), dtype=bool), np.zeros(len(left), dtype=bool)
+        for kind, (count, sums) in forms.items():
+            gone = {"all": None, "names": "dropped", "stripped": "context"}[kind]
+            x, y = (np.ones(len(left), bool) if gone is None else ~of(z[gone], own, at, has, w[gone]) for z, own, at, has in ((head, h, a, one), (tail, e, b, two)))
+            lo, hi = count[a + 1], count[b]
+            size = x + (hi - lo) + y
+            power = _power(_Q, int(size.max(initial=0)) + 1)
+            begun_, hit_ = keys.found(_mix(first * x + sums.raw(lo, hi) * power[x.astype(np.int64)] + last * y * power[x + (hi - lo)]))
+            begun |= begun_ | (size == 0)
+            hit |= hit_ & (size > 0)
+            if kind == "names":
+                begun_, hit_ = matched_sets(size, _sorted_mix(first) * x + sets[hi] - sets[lo] + _sorted_mix(last) * y)
+                begun |= begun_
+                hit |= hit_
+        able[left] = hit
+        more[left] = begun | (more[left] & changed[left])
+        out[k] = able
+        on[k] = more | ~fine | able | wild_ | te | soft[t.lw[j]]
+        return on, out
 
     found: list[np.ndarray] = []
     total = len(t.start)
+    i = np.arange(total)  # tokens from which spans may begin
+    lo = t.fw + t.cut_start
+    lo[cs] += np.where(head_wild, 3, head_pair)
+    lo = np.minimum(lo, n)
     for size in range(1, max_ngram + 1):
         if size > total:
             break
-        i = np.flatnonzero(t.line[: total - size + 1] == t.line[size - 1 :])
+        i = i[i + size <= total]
+        i = i[t.line[i] == t.line[i + size - 1]]
+        b = t.lw[i + size - 1] + 1
+        i = i[dead[np.maximum(b - 4, lo[i])] - dead[lo[i]] == 0]  # the last three words may be repaired, and the last be cut
         j = i + size - 1
         cut = t.cut_start[i] | t.cut_end[j]
         a, b = t.fw[i], t.lw[j] + 1
+        on = np.ones(len(i), dtype=bool)
         plain = ~cut & (dead[b] - dead[a] == 0) & (telling[b] - telling[a] > 0)
         k = np.flatnonzero(plain)
         x, y = a[k], b[k]
-        repaired = (strange[y] - strange[x] > 0) | (good_end[x] <= y)
-        hit = repaired | matched(x, y, joined_end[x] > y)
+        hit = strange[y] - strange[x] > 0
+        rest = np.flatnonzero(~hit)
+        x, y = x[rest], y[rest]
+        repaired = (good_end[x] <= y) | (zeros[y] - zeros[x] > 0)
+        more, hit[rest] = matched(x, y, (joined_end[x] > y) & ~repaired)
+        on[k[rest]] = more | soft[y - 1]
+        rest, x, y = rest[repaired], x[repaired], y[repaired]
+        none = np.full(len(x), -1)
+        more, one = matched_repaired(x, y, none, none)
+        on[k[rest]] |= more
+        hit[rest] |= one
         k = k[hit]
         c = np.flatnonzero(cut)
-        c = c[cut_spans(i[c], j[c])] if len(c) else c
+        if len(c):
+            on[c], one = cut_spans(i[c], j[c])
+            c = c[one]
         own = np.sort(i[np.concatenate([k, c])])
         found.append(np.stack([t.line[own], np.full(len(own), -size), own], axis=1))
+        i = i[on]
     spans = np.concatenate(found)
     spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
-    first_line = np.searchsorted(t.line_start, t.base)
-    of_line = np.searchsorted(first_line, np.arange(len(t.line_start)), side="right") - 1
-    for k in np.unique(of_line[t.line]).tolist():
-        notes[k].has_token = True
-    for line, size, i in spans.tolist():
-        k = int(of_line[line])
-        base = int(t.base[k])
-        notes[k].lines.setdefault(int(t.line_start[line]) - base, []).append((i, -size, int(t.start[i]) - base, int(t.end[i - size - 1]) - base))
     # Shorthands, also torn or spelled ones, and the lines that hold any or a name of the dense list.
     short = _running(_among(w["word"], "short") | spelled | short_pair | np.append(False, short_pair[:-1]))
     cuts = t.cut_start | t.cut_end
-    for i in np.flatnonzero((short[t.lw + 1] - short[t.fw] > 0) | (cuts & (t.lw > t.fw))).tolist():
-        k = int(of_line[t.line[i]])
-        base = int(t.base[k])
-        notes[k].shorts.setdefault(int(t.line_start[t.line[i]]) - base, []).append((i, int(t.start[i]) - base, int(t.end[i]) - base))
+    shorts = np.flatnonzero((short[t.lw + 1] - short[t.fw] > 0) | (cuts & (t.lw > t.fw)))
     hit = np.zeros(len(t.line_start), dtype=bool)
     word_line = np.searchsorted(t.line_start, np.searchsorted(t.place, t.ws, side="right") - 1, side="right") - 1
     hit[word_line[np.flatnonzero(np.diff(short))]] = True
@@ -400,10 +580,7 @@ def scan(texts: list[str], keys: KeyFilter, max_ngram: int = 8) -> list[Note]:
         at, sought = -1, "".join(c for c in term if c.isalnum()).encode()
         while (at := squeezed.find(sought, at + 1)) >= 0:
             hit[np.searchsorted(t.line_start, np.searchsorted(t.place, dense[[at, at + len(sought) - 1]], side="right") - 1, side="right") - 1] = True
-    for line in np.flatnonzero(hit).tolist():
-        k = int(of_line[line])
-        notes[k].dense.append(int(t.line_start[line] - t.base[k]))
-    return notes
+    return Scanned(t, spans[:, 2], -spans[:, 1], shorts, np.flatnonzero(hit))
 
 
 def batches(texts: pa.Array, chars: int = BATCH_CHARS):

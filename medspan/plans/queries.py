@@ -405,9 +405,8 @@ def gazetteer_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against a dictionary of 1 to 8 words: how the conversations begin."""
     first = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", textnorm.words(textnorm.normalize(F.col("text"))).alias("w"))
     names = first.select(F.col("conv_id").alias("line_no"), F.concat(F.lit("c"), _text("conv_id")).alias("concept_id"), F.lit("BN").alias("tty"), F.array_join(F.slice("w", 1, (F.col("conv_id") % 8 + 1).cast("int")), " ").alias("norm_text")).where("norm_text <> ''")
-    found = mentions.detect_mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), alias_table(names.withColumn("raw_name", F.col("norm_text"))))
-    tokens = F.size(F.regexp_extract_all("text", F.lit(f"({lx.TOKEN})"), F.lit(1)))
-    return found.where("method = 'exact_alias_span'").select("doc_id", "start", "end", "norm_text", tokens.cast("long").alias("words"))
+    found = mentions.detect_mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), alias_table(names.withColumn("raw_name", F.col("norm_text"))), only=["start", "end", "norm_text", "tokens"], methods=["exact_alias_span"])
+    return found.select("doc_id", "start", "end", "norm_text", F.col("tokens").cast("long").alias("words"))
 
 
 @query(

@@ -226,6 +226,49 @@ def test_scan_leaves_few_spans():
     assert sum(map(len, note.lines.values())) < 100  # of 32,000
 
 
+FOLDED = ["o", "ó", "oo", "óó", "ciónos", "nó", "ñci", "a", "b", "é", "po", "mg", "5", "of", "metfor", "min", "miné", "lisi", "nopril", "oretionos", "daily", "0", "o5", "ASA", "as", "subcuta", "neous", "K", "½"]
+
+
+def test_scan_looks_up_little_but_what_is_known():
+    """A dictionary of many words that occur everywhere, alone and in threes, beside torn words and letters that fold: spans left are keys, nearly all."""
+    rng = random.Random(6)
+    words = ["thera", "ciónos", "ofretiono", "estion", "in", "nde", "ó", "le", "réal"]
+    names = {w.replace("ó", "o").replace("é", "e") for w in words if len(w) > 2} | {"thera in nde", "inestion", "le nde thera", "estion le estion in"}
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(40)) for _ in range(100))
+    note = scan.scan([text], scan.KeyFilter.of(sorted(names)))[0]
+    spans = [text[a:b] for own in note.lines.values() for _, _, a, b in own]
+    known = [s for s in spans if any(k in names for k, _ in mentions.lookup_keys(s))]
+    assert len(known) > 1000 and len(spans) < 1.1 * len(known)
+
+
+def test_fields_of_many_notes_equal_detection():
+    """Fields made for a batch at once equal the mentions of each note, dictionary by dictionary: dense lines, brackets, shorthands, letters that fold."""
+    rng = random.Random(31)
+    names = list(mentions.OWN_FIELDS)
+    for _ in range(150):
+        texts = [random_text(rng, 6) + " ".join(rng.choice(FOLDED) for _ in range(rng.randint(0, 12))) + rng.choice(["", "", "\nMetformin (asa) [aspirin]"]) for _ in range(rng.randint(1, 5))] + ["", "..."]
+        whole = sorted({k for t in texts for a in range(0, len(t), 2) for k, _ in mentions.lookup_keys(t[a : a + rng.randint(1, 30)])} | {"metformin", "aspirin"})
+        table = {k: [(k, rng.choice(["IN", "BN", "DF"])), (k + "2", None)][: rng.randint(1, 2)] for k in rng.sample(whole, min(len(whole), rng.choice([2, 10, 40])))}
+        lookup = lambda key, table=table: table.get(key, [])
+        known = mentions.Known(lookup)
+        found, number = mentions.chosen(scan.scanned(texts, scan.KeyFilter.of(list(table)), 8), known)
+        for methods in (mentions.METHODS, ["exact_alias_span"], ["dense_line_scan", "unknown"]):
+            made = mentions.own_fields(found, number, known, names, methods, lookup, 8).to_pylist()
+            for k, text in enumerate(texts):
+                want = [{n: len(mentions.tokens_of(m["text"])) if n == "tokens" else m[n] for n in names} for m in mentions.detect(text, lookup) if m["method"] in methods]
+                assert sorted(map(str, ({n: r[n] for n in names} for r in made if r["row"] == k))) == sorted(map(str, want)), (text, table)
+
+
+def test_only_some_fields_of_mentions(spark):
+    notes = spark.createDataFrame([(i, f"aspirin {i} mg\nmetformin (asa) 5, aspirin" if i % 3 else "nothing here") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    aliases = spark.createDataFrame([(x, x, x, "IN", 1) for x in ("aspirin", "aspirin 7 mg", "metformin")], "norm_text string, concept_id string, raw_text string, tty string, pos int")
+    for limit in (mentions.MAX_BROADCAST_BYTES, 0):
+        whole = mentions.detect_mentions(notes, aliases, max_broadcast_bytes=limit)
+        some = mentions.detect_mentions(notes, aliases, max_broadcast_bytes=limit, only=["text", "start", "norm_text"], methods=["exact_alias_span"])
+        assert some.columns == ["doc_id", "text", "start", "norm_text"]
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.where("method = 'exact_alias_span'").select(some.columns).collect()))
+
+
 def test_no_token_is_left_for_the_replacement_pass():
     """Repair replaces each shorthand itself, so no repaired token is a shorthand: that pass never finds one, here as before."""
     rng = random.Random(1)

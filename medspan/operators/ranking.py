@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from medspan.functions import lexicon as lx
 from medspan.functions.textnorm import noisy_py, normalize, strip_context
 from medspan.operators.vectors import nearest
-from medspan.session import stage
+from medspan.session import few_rows, has_few_rows, stage
 from medspan.sources.index import Index
 
 VARIANT_PENALTY = 0.03
@@ -66,9 +66,34 @@ def primary_type() -> Column:
     return F.min_by("tty", F.struct(F.when(order == 0, 99).otherwise(order), "tty"))
 
 
+#: What the choice of a mention's concept depends on, beside whether its context has a strength.
+CHOICE_INPUTS = ("norm_text", "variants", "exact_ids", "projection_norm")
+
+
 def choose_best(mentions: DataFrame, index: Index, top_k: int = 40, exact_boost: float = 0.35) -> DataFrame:
-    """``chosen`` among the candidates of ``ranked_concepts``; ``mentions`` also has ``variants``."""
-    return chosen(mentions, stage(ranked_concepts(mentions, index, top_k, exact_boost)), index)
+    """``chosen`` among the candidates of ``ranked_concepts``; ``mentions`` also has ``variants``.
+
+    Notes repeat themselves: each distinct combination of what is ranked and chosen by (``with_choice``) is ranked and chosen once, and what is
+    chosen goes to its mentions.  Candidates, some forty for each query string, are never made, kept or moved by mention.  Where few
+    combinations are broadcast, ``mentions`` are not kept once more; staged ones with their ``choice`` are cheap to read again.
+    """
+    keyed = mentions if "choice" in mentions.columns else with_choice(mentions)
+    inputs = [*CHOICE_INPUTS, "has_strength"]
+    shapes = stage(keyed.groupBy(F.col("choice").alias("mention_id")).agg(*[F.first(c).alias(c) for c in inputs]))
+    made = stage(_chosen(shapes, stage(ranked_concepts(shapes, index, top_k, exact_boost)), index).drop(*inputs).withColumnRenamed("mention_id", "choice"))
+    joined = keyed.join(few_rows(made), "choice").drop("choice", "has_strength")
+    return joined if has_few_rows(made) else stage(joined)
+
+
+def with_choice(mentions: DataFrame) -> DataFrame:
+    """``mentions`` with ``has_strength`` and ``choice``, a digest of all that the choice of a concept depends on."""
+    # JSON marks the borders of lists and fields; it leaves nulls out, but not those within a list.
+    return mentions.withColumn("has_strength", strength_signal()).withColumn("choice", F.sha2(F.to_json(F.struct(*CHOICE_INPUTS, "has_strength")), 256))
+
+
+def strength_signal() -> Column:
+    """Whether a mention's context has a strength."""
+    return F.col("context").rlike(lx.STRENGTH) | F.col("context").rlike(lx.RATIO_STRENGTH) | F.col("context").rlike(lx.SLASH_RATIO)
 
 
 def chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
@@ -77,15 +102,19 @@ def chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
     Input: mention_id, norm_text, projection_norm, context, exact_ids; ``ranked`` has (mention_id, concept_id, score, order).
     Mentions without candidates are dropped.
     """
+    return _chosen(mentions.withColumn("has_strength", strength_signal()), ranked, index).drop("has_strength")
+
+
+def _chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
+    """``chosen`` for mentions with ``has_strength``."""
     top = ranked.groupBy("mention_id").agg(F.min_by(F.struct("concept_id", "score"), F.struct(-F.col("score"), "order", "concept_id")).alias("top"))
     rows = mentions.join(top, "mention_id")
-    signal = F.col("context").rlike(lx.STRENGTH) | F.col("context").rlike(lx.RATIO_STRENGTH) | F.col("context").rlike(lx.SLASH_RATIO)
     ingredient = index.names.where("tty = 'IN'").select("concept_id").distinct()
     exact_in = mentions.select("mention_id", F.posexplode("exact_ids").alias("pos", "concept_id")).join(ingredient, "concept_id", "left_semi").groupBy("mention_id").agg(F.min_by("concept_id", "pos").alias("exact_in"))
     first_in = index.aliases.where("tty = 'IN'").groupBy("norm_text").agg(F.min_by("concept_id", "pos").alias("named_in")).withColumnRenamed("norm_text", "key")
     keys = mentions.select("mention_id", F.posexplode(F.array("norm_text", "projection_norm", strip_context(F.col("norm_text")))).alias("n", "key"))
     alias_in = keys.join(first_in, "key").groupBy("mention_id").agg(F.min_by("named_in", "n").alias("alias_in"))
-    rows = rows.join(exact_in, "mention_id", "left").join(alias_in, "mention_id", "left").withColumn("has_strength", signal)
+    rows = rows.join(exact_in, "mention_id", "left").join(alias_in, "mention_id", "left")
     weak = ~F.col("has_strength")
     step1 = F.when(weak & F.col("exact_in").isNotNull(), F.col("exact_in")).otherwise(F.col("top.concept_id"))
     rows = rows.withColumns({"after_exact": step1}).withColumns(
@@ -103,13 +132,13 @@ def chosen(mentions: DataFrame, ranked: DataFrame, index: Index) -> DataFrame:
     types = index.names.groupBy(F.col("concept_id").alias("best_id")).agg(primary_type().alias("best_type"))
     named = index.concepts.select(F.col("concept_id").alias("best_id"), F.col("preferred_name").alias("best_name"))
     rows = rows.withColumns({"exact_match": held, "selection_reason": reason})
-    return rows.join(types, "best_id", "left").join(named, "best_id", "left").withColumn("best_name", F.coalesce("best_name", F.lit(""))).drop("top", "exact_in", "alias_in", "after_exact", "own_score", "exact_score", "has_strength")
+    return rows.join(types, "best_id", "left").join(named, "best_id", "left").withColumn("best_name", F.coalesce("best_name", F.lit(""))).drop("top", "exact_in", "alias_in", "after_exact", "own_score", "exact_score")
 
 
 def with_similarity(rows: DataFrame) -> DataFrame:
     """``rows`` with ``name_similarity``, computed once for each distinct pair of text and name."""
     pairs = rows.select("norm_text", "best_name").distinct().withColumn("name_similarity", char_similarity(F.col("norm_text"), F.col("best_name")))
-    return rows.join(stage(pairs), ["norm_text", "best_name"], "left")
+    return rows.join(few_rows(stage(pairs)), ["norm_text", "best_name"], "left")
 
 
 def low_confidence() -> Column:
@@ -121,10 +150,11 @@ def low_confidence() -> Column:
 def has_brand(rows: DataFrame, index: Index) -> DataFrame:
     """``rows`` with ``brand``: the best concept or an exact type is a brand's, or a bracketed part of the mention names a brand."""
     brands = index.aliases.where("tty = 'BN'").select(F.col("norm_text").alias("part")).distinct()
-    parts = rows.select("mention_id", F.explode(F.regexp_extract_all("mention_text", F.lit(lx.BRACKETED), F.lit(1))).alias("raw")).select("mention_id", normalize(F.col("raw")).alias("part"))
-    named = parts.where("part <> ''").join(brands, "part", "left_semi").select("mention_id").distinct().withColumn("bracketed", F.lit(True))
+    texts = rows.select("mention_text").distinct()  # looked up once, and joined to rows that need not be moved for a few
+    parts = texts.select("mention_text", F.explode(F.regexp_extract_all("mention_text", F.lit(lx.BRACKETED), F.lit(1))).alias("raw")).select("mention_text", normalize(F.col("raw")).alias("part"))
+    named = stage(parts.where("part <> ''").join(brands, "part", "left_semi").select("mention_text").distinct().withColumn("bracketed", F.lit(True)))
     types = F.array(*[F.lit(t) for t in lx.BRAND_TYPES])
     kind = F.coalesce(F.array_contains(types, F.col("best_type")), F.lit(False)) | F.arrays_overlap("exact_types", types)
-    return rows.join(named, "mention_id", "left").withColumn("brand", kind | F.coalesce("bracketed", F.lit(False))).drop("bracketed")
+    return rows.join(few_rows(named), "mention_text", "left").withColumn("brand", kind | F.coalesce("bracketed", F.lit(False))).drop("bracketed")
 
 

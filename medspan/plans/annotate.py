@@ -113,12 +113,12 @@ def annotate_mentions(notes: DataFrame, index: Index | Prepared, options: Option
     kept = isinstance(index, Prepared)
     ready = index if kept else Prepared(index, options)
     o, index = ready.options, ready.index
-    found = stage(with_context(m.detect_mentions(notes, ready.detector, o.max_ngram)))  # several joins start from the mentions
+    found = stage(ranking.with_choice(with_context(m.detect_mentions(notes, ready.detector, o.max_ngram))))  # several joins start from the mentions
     if not kept:
         ready.release()
-    best = stage(ranking.choose_best(found, index, o.top_k, o.exact_boost))
-    projected = stage(projection.project(best, index, o.max_graph_depth))
-    rows = ranking.with_similarity(ranking.has_brand(projected, index))
+    # What follows is made for distinct mentions and staged; all mentions are staged once, and meet the rest on the way to their notes.
+    best = ranking.choose_best(found, index, o.top_k, o.exact_boost)
+    rows = projection.project(ranking.with_similarity(ranking.has_brand(best, index)), index, o.max_graph_depth)
     return assembled(rows.withColumn("suppressed", ranking.low_confidence()))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(session: SparkSession) -> str:
@@ -41,6 +42,15 @@ def stage(df: DataFrame) -> DataFrame:
     return made.hint("merge") if estimated_bytes(df) < COUNTED_BYTES and made.count() > MAX_BROADCAST_ROWS else made
 
 
+def few_rows(staged: DataFrame) -> DataFrame:
+    """A staged table of narrow rows, broadcast to what it is joined to where it has up to ``MAX_BROADCAST_ROWS``: the other side is not moved."""
+    return F.broadcast(staged) if has_few_rows(staged) else staged
+
+
+def has_few_rows(staged: DataFrame) -> bool:
+    return staged.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The plan's own estimate of its size, or a number beyond any table; nothing is run for it.
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 import mini
 import plain_notes
-from medspan import serve
+from medspan import serve, session
 from medspan.__main__ import main
 from medspan.functions import lexicon as lx
-from medspan.operators import display, graph, mentions, projection, scan, vectors
+from medspan.operators import display, graph, mentions, projection, ranking, scan, vectors
+from medspan.plans import annotate as annotate_plan
 from medspan.plans.annotate import Prepared, annotate, annotate_mentions
 from medspan.session import spread
 from medspan.sources import release
@@ -344,6 +345,29 @@ def test_prepared_index_serves_many_calls(spark, index, notes, results):
     ready.release()
 
 
+def test_repeated_notes_are_kept_once(spark, index, notes, results, monkeypatch):
+    """40 times the notes: of the staged tables only that of the mentions grows; candidates are made for distinct mentions."""
+    text = {i: t for i, t in NOTES}
+    sizes: list[list[int]] = []
+    keep = ranking.stage
+    for module in (annotate_plan, projection, ranking, graph, vectors):
+        monkeypatch.setattr(module, "stage", lambda df: (made := keep(df), sizes[-1].append(made.count()))[0])
+    for copies in (1, 40):
+        sizes.append([])
+        many = spark.createDataFrame([(i + 100 * k, t) for k in range(copies) for i, t in text.items()], "doc_id long, text string")
+        got = {r.doc_id: r.asDict(True) for r in annotate(many, index).collect()}
+        assert got == {i + 100 * k: r | {"doc_id": i + 100 * k} for k in range(copies) for i, r in results.items()}
+    found = sum(r["mention_count"] for r in results.values())
+    grown = [(a, b) for a, b in zip(*sizes, strict=True) if a != b]
+    assert len(grown) == 1 and grown[0][0] >= found and grown[0][1] == 40 * grown[0][0]
+
+
+def test_many_distinct_mentions_are_joined_by_shuffles(notes, index, results, monkeypatch):
+    monkeypatch.setattr(session, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(projection, "MAX_BROADCAST_SHAPES", 0)
+    assert {r.doc_id: r.asDict(True) for r in annotate(notes, index).collect()} == results
+
+
 def test_index_with_reach_gives_the_same(spark, index, notes, results, tmp_path):
     names, relations = mini.write_release(tmp_path)
     build_index(spark, names, relations, f"{tmp_path}/index", mini.SOURCE, reach_depth=3)
